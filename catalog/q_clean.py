@@ -9,7 +9,6 @@ from catalog.registry import query, r
 from surveyframe import fixtures as fx
 from surveyframe.functions import scalars as S
 from surveyframe.operators import joins, reshape
-from surveyframe.operators.keys import level_values
 from surveyframe.plans import clean
 from surveyframe.sources.tables import drop_empty
 
@@ -297,19 +296,14 @@ FROM (SELECT pair, type, avg(CASE WHEN life_stage = 'juvenile' THEN stage_count
 def _(spark, sf):
     from surveyframe.plans.results import stage_proportions
 
-    frame = _stage_frame(spark, sf)
+    frame = fx.stage_counts_frame(spark, sf)
     means = frame.groupBy("pair", "type", "life_stage").agg(F.avg("stage_count").alias("response"))
     return stage_proportions(means, ["pair", "type"])
 
 
-def _stage_frame(spark, sf):
-    staged = fx.stages(spark, sf)
-    return clean.stage_frame(staged, level_values(staged, "species"))
-
-
 @query("zero_fill", "SELECT survey_id, species, life_stage, stage_count FROM sframe", ["sframe"])
 def _(spark, sf):
-    return _stage_frame(spark, sf).select("survey_id", "species", "life_stage", "stage_count")
+    return fx.stage_counts_frame(spark, sf).select("survey_id", "species", "life_stage", "stage_count")
 
 
 @query("stage_counts", "SELECT survey_id, species, life_stage, stage_count FROM ssum", ["ssum"])
@@ -327,7 +321,7 @@ WHERE j + a > 0""", ["sframe"])
 def _(spark, sf):
     from surveyframe.plans.figures import raw_stage_proportions
 
-    return raw_stage_proportions(_stage_frame(spark, sf), ["survey_id", "species"])
+    return raw_stage_proportions(fx.stage_counts_frame(spark, sf), ["survey_id", "species"])
 
 
 @query("pivot_multi", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.functions import scalars as S
 from surveyframe.plans.clean import CountRules, SizeRules
-from surveyframe.session import literal_frame
+from surveyframe.session import checkpointed, literal_frame
 
 EVENT_SPECIES = ["click", "error", "purchase", "signup", "view"]
 GUILDS = [("click", "browse"), ("view", "browse"), ("purchase", "convert"), ("signup", "convert"), ("error", "fault")]
@@ -37,8 +37,19 @@ SIZE_RULES = SizeRules(
 )
 
 
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table under its stated schema, so that no job runs to infer it."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def day(c: str) -> Column:
@@ -175,6 +186,20 @@ def stages(spark: SparkSession, sf: str) -> DataFrame:
     return clean_sizes(records, sized_sites(spark, sf), size_guilds(spark), maturity(spark), SIZE_RULES)
 
 
+def stored_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned stage table stored once, for plans that read it several times."""
+    return checkpointed(stages(spark, sf))
+
+
+def stage_counts_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """Zero-filled survey × species × stage counts of the stored stage table."""
+    from surveyframe.operators.keys import level_values
+    from surveyframe.plans.clean import stage_frame
+
+    staged = stored_stages(spark, sf)
+    return stage_frame(staged, level_values(staged, "species"))
+
+
 # --- ORD and RARE -------------------------------------------------------------------------
 
 

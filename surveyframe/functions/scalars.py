@@ -40,10 +40,15 @@ def safe_double(c: ColumnOrName) -> Column:
 
 
 def safe_int(c: ColumnOrName, tokens: Sequence[str] = MISSING_TOKENS) -> Column:
-    """Text to integer, decimals cut off towards zero; missing-value tokens are null."""
+    """Text to integer, decimals cut off towards zero; missing-value tokens are null.
+
+    Tokens that are no number are null anyway, so only numeric ones cost a comparison.
+    """
     text = as_col(c).cast("string")
-    number = safe_double(F.when(~text.isin(list(tokens)), text))
-    return F.when(F.abs(number) <= 2147483647, number).cast("int")
+    numeric = [t for t in tokens if t.strip().lstrip("+-").replace(".", "", 1).isdigit()]
+    if numeric:
+        text = F.when(~text.isin(numeric), text)
+    return safe_double(text).try_cast("int")
 
 
 def parse_date(c: ColumnOrName) -> Column:

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from surveyframe.functions.scalars import ColumnOrName, as_col
 
@@ -152,17 +153,17 @@ def _series(values: np.ndarray) -> pd.Series:
 # Null arguments reach pandas as NaN and come back as null.
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_two_sided(z: pd.Series) -> pd.Series:
     return _series(_np_erfc(np.abs(z.to_numpy(float)) / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_cdf(z: pd.Series) -> pd.Series:
     return _series(0.5 * _np_erfc(-z.to_numpy(float) / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     t, df = t.to_numpy(float), df.to_numpy(float)
     normal = _np_erfc(np.abs(t) / math.sqrt(2))
@@ -170,32 +171,32 @@ def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return _series(np.where(np.isfinite(df), student, normal))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return _series(_gamma_upper(df.to_numpy(float) / 2, x.to_numpy(float) / 2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f_tail(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     x, d1, d2 = x.to_numpy(float), d1.to_numpy(float), d2.to_numpy(float)
     return _series(_beta_lower(d2 / 2, d1 / 2, d2 / (d2 + d1 * x)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _poisson_cdf(y: pd.Series, mu: pd.Series) -> pd.Series:
     y, mu = y.to_numpy(float), mu.to_numpy(float)
     value = _gamma_upper(np.where(y < 0, 1.0, np.floor(y) + 1), mu)
     return _series(np.where(y < 0, 0.0, value))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _negative_binomial_cdf(y: pd.Series, mu: pd.Series, size: pd.Series) -> pd.Series:
     y, mu, size = y.to_numpy(float), mu.to_numpy(float), size.to_numpy(float)
     value = _beta_lower(size, np.where(y < 0, 1.0, np.floor(y) + 1), size / (size + mu))
     return _series(np.where(y < 0, 0.0, value))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _binomial_cdf(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     k, n, p = np.floor(k.to_numpy(float)), n.to_numpy(float), p.to_numpy(float)
     inner = (k >= 0) & (k < n)
@@ -203,7 +204,7 @@ def _binomial_cdf(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return _series(np.where(k < 0, 0.0, np.where(k >= n, 1.0, value)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _kolmogorov_tail(d: pd.Series, n: pd.Series) -> pd.Series:
     d, n = d.to_numpy(float), n.to_numpy(float)
     root = np.sqrt(n)

@@ -28,24 +28,24 @@ def value_bucket(value: Column) -> Column:
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """One row per key and distinct value with its number of rows ``n`` and bucket."""
+    """One row per key and distinct value with its number of rows and bucket."""
     n = F.sum(weight) if weight else F.count(F.lit(1))
     kept = df.where(F.col(value).isNotNull())
     if weight:
         kept = kept.where(F.col(weight) > 0)
-    counts = kept.groupBy(*keys, value).agg(n.cast("bigint").alias("n"))
+    counts = kept.groupBy(*keys, value).agg(n.cast("bigint").alias("__n"))
     return counts.withColumn("__bucket", value_bucket(F.col(value)))
 
 
 def bucket_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows before each bucket and rows in the whole group; at most one row per bucket."""
-    totals = counts.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__in_bucket"))
+    totals = counts.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__in_bucket"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     running = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return totals.withColumns(
         {
             "__before": F.sum("__in_bucket").over(running) - F.col("__in_bucket"),
-            "total": F.sum("__in_bucket").over(group),
+            "__total": F.sum("__in_bucket").over(group),
         }
     )
 
@@ -58,8 +58,10 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, weight: str |
     inside = (
         Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = F.col("__before") + F.sum("n").over(inside) - F.col("n")
-    return placed.select(*keys, value, "n", before.alias("n_before"), "total")
+    before = F.col("__before") + F.sum("__n").over(inside) - F.col("__n")
+    return placed.select(
+        *keys, value, F.col("__n").alias("n"), before.alias("n_before"), F.col("__total").alias("total")
+    )
 
 
 def exact_quantiles(
@@ -76,7 +78,7 @@ def exact_quantiles(
     keys = list(keys)
     counts = value_counts(df, keys, value, weight)
     offsets = bucket_offsets(counts, keys)
-    position = {name: (F.col("total") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    position = {name: (F.col("__total") - 1) * F.lit(float(p)) for name, p in probs.items()}
     wanted = lambda rank, start, end: (rank >= start) & (rank < end)
     hit = F.lit(False)
     for at in position.values():
@@ -86,13 +88,13 @@ def exact_quantiles(
     inside = (
         Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = placed.withColumn("__end", F.col("__before") + F.sum("n").over(inside))
-    start, end = F.col("__end") - F.col("n"), F.col("__end")
+    placed = placed.withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
+    start, end = F.col("__end") - F.col("__n"), F.col("__end")
     ends = []
     for name, at in position.items():
         ends.append(F.max(F.when(wanted(F.floor(at), start, end), F.col(value))).alias(f"__lo_{name}"))
         ends.append(F.max(F.when(wanted(F.ceil(at), start, end), F.col(value))).alias(f"__hi_{name}"))
-    picked = placed.groupBy(*keys).agg(F.max("total").alias("total"), *ends)
+    picked = placed.groupBy(*keys).agg(F.max("__total").alias("__total"), *ends)
     low = lambda name: F.col(f"__lo_{name}").cast("double")
     step = lambda name: F.col(f"__hi_{name}").cast("double") - low(name)
     quantile = lambda name, at: low(name) + (at - F.floor(at)) * step(name)

@@ -180,12 +180,16 @@ def size_records(raw: DataFrame, rules: SizeRules, blank_is_null: bool = False)
     )
 
 
-def legacy_rates(df: DataFrame, parts: tuple[str, str], by: str) -> tuple[DataFrame, DataFrame]:
-    """Share of the first part among later, fully binned records: by group and overall."""
+def legacy_rates(df: DataFrame, parts: tuple[str, str], by: str) -> tuple[DataFrame, float | None]:
+    """Share of the first part among later, fully binned records: by group and overall.
+
+    The group sums are finished once; the overall rate adds them up.
+    """
     a, b = (F.col(p) for p in parts)
     base = df.where(a.isNotNull() & b.isNotNull() & (a + b > 0))
-    rate = F.sum(a) / F.sum(a + b)
-    return base.groupBy(by).agg(rate.alias("p_first")), base.agg(rate.alias("p_overall"))
+    sums = finish(base.groupBy(by).agg(F.sum(a).alias("__first"), F.sum(a + b).alias("__both")))
+    overall = sums.agg((F.sum("__first") / F.sum("__both")).alias("p")).first()["p"]
+    return sums.select(by, (F.col("__first") / F.col("__both")).alias("p_first")), overall
 
 
 def split_legacy_bin(df: DataFrame, old: str, parts: tuple[str, str], by: str) -> DataFrame:
@@ -199,13 +203,12 @@ def split_legacy_bin(df: DataFrame, old: str, parts: tuple[str, str], by: str) -
     for part in parts:
         if part not in df.columns:
             df = df.withColumn(part, F.lit(None).cast("int"))
-    by_group, overall = legacy_rates(df, parts, by)
-    p_overall = overall.first()["p_overall"]
+    by_group, p_overall = legacy_rates(df, parts, by)
     if p_overall is None:
         raise ValueError(f"no record with both {parts}: {old} cannot be split")
     needed = F.col(old).isNotNull() & (F.col(parts[0]).isNull() | F.col(parts[1]).isNull())
     first, second = S.split_count(old, F.coalesce("p_first", F.lit(p_overall)))
-    joined = df.join(finish(by_group), by, "left")
+    joined = df.join(by_group, by, "left")
     return joined.select(
         *[c for c in df.columns if c not in (old, *parts)],
         F.col(old).alias(f"{old}_orig"),

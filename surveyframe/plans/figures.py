@@ -15,3 +15,12 @@ def raw_stage_proportions(frame: DataFrame, by: Sequence[str]) -> DataFrame:
     total = F.col("juvenile") + F.col("adult")
     seen = wide.withColumn("total_count", total).where(F.col("total_count") > 0)
     return seen.withColumn("raw_juvenile_prop", F.col("juvenile") / F.col("total_count"))
+
+
+def timeline_frame(surveys: DataFrame, deployments: DataFrame) -> DataFrame:
+    """Survey points and, per group, the event that divides them."""
+    points = surveys.select("pair", "site", "type", "date", F.lit("survey").alias("kind"))
+    events = deployments.where(F.col("deployment_date").isNotNull()).select(
+        "pair", F.col("deployment_date").alias("date"), F.lit("event").alias("kind")
+    )
+    return points.unionByName(events, allowMissingColumns=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A finished frame with at most this many rows is kept as a local relation, whose
@@ -46,10 +47,17 @@ def finish(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     back as a local relation, so joins against it broadcast on Spark's own size check and
     no hint is needed. A larger result is checkpointed and later joins shuffle.
     """
+    return finish_with_max(df, None, max_rows)[0]
+
+
+def finish_with_max(df: DataFrame, column: str | None, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, float | None]:
+    """``finish`` and, in the same pass where possible, the largest value of one column."""
     table = df.limit(max_rows + 1).toArrow()
     if table.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(table, schema=df.schema)
-    return checkpointed(df)
+        top = pc.max(table[column]).as_py() if column else None
+        return df.sparkSession.createDataFrame(table, schema=df.schema), top
+    stored = checkpointed(df)
+    return stored, (stored.agg({column: "max"}).first()[0] if column else None)
 
 
 def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
