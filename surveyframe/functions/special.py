@@ -167,8 +167,9 @@ def _normal_cdf(z: pd.Series) -> pd.Series:
 def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     t, df = t.to_numpy(float), df.to_numpy(float)
     normal = _np_erfc(np.abs(t) / math.sqrt(2))
-    student = _beta_lower(df / 2, np.full_like(df, 0.5), df / (df + t * t))
-    return _series(np.where(np.isfinite(df), student, normal))
+    finite = np.isfinite(df)
+    d = np.where(finite, df, 1.0)
+    return _series(np.where(finite, _beta_lower(d / 2, np.full_like(d, 0.5), d / (d + t * t)), np.where(np.isnan(df), np.nan, normal)))
 
 
 @F.pandas_udf(DoubleType())
