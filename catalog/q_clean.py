@@ -356,7 +356,7 @@ def _(spark, sf):
 SELECT r.pair, r.type AS focal_type, CAST(r.date AS VARCHAR) AS focal_date, CAST(nearest_gap_days AS BIGINT) AS nearest_gap_days
 FROM rare r JOIN gaps g ON g.pair = r.pair AND g.focal_type = r.type AND g.focal_date = r.date""", ["rare", "gaps"])
 def _(spark, sf):
-    return joins.nearest_dates(fx.rare(spark, sf), ["pair"], "type", "date")
+    return joins.nearest_dates(fx.rare(spark, sf), ["pair"], "type", "date", tuple(fx.TYPES))
 
 
 @query("match_summary", """
@@ -367,7 +367,7 @@ SELECT r.pair, r.type AS focal_type, count(*) AS n_dates, CAST(max(nearest_gap_d
        round(CAST(median(nearest_gap_days) AS DOUBLE), 6) AS median_nearest_gap_days
 FROM rare r JOIN gaps g ON g.pair = r.pair AND g.focal_type = r.type AND g.focal_date = r.date GROUP BY ALL""", ["rare", "gaps"])
 def _(spark, sf):
-    gaps = joins.nearest_gaps(fx.rare(spark, sf), ["pair"], "type", "date")
+    gaps = joins.nearest_gaps(fx.rare(spark, sf), ["pair"], "type", "date", tuple(fx.TYPES))
     return joins.match_summary(gaps, ["pair"], {"percent_same_day": 0, "percent_within_7_days": 7, "percent_within_30_days": 30})
 
 

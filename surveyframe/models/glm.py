@@ -90,29 +90,30 @@ def poisson_aic(df: DataFrame, y: str, models: dict[str, Sequence[str]]) -> Data
     return table.withColumn("delta_aic", F.col("aic") - best)
 
 
-def trend_start(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Least squares of log1p(y) on x per cell, slope zero where x does not vary."""
+def _start_sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     n, x, z = F.col("n"), F.col("x"), F.log1p("y")
     sums = rows.groupBy(*keys).agg(
         F.sum(n).alias("sw"), F.sum(n * x).alias("sx"), F.sum(n * z).alias("sz"),
-        F.sum(n * x * x).alias("sxx"), F.sum(n * x * z).alias("sxz"),
+        F.sum(n * x * x).alias("sxx"), F.sum(n * x * z).alias("sxz"), F.sum(n * F.col("y")).alias("sy"),
     )
     det = F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx")
     flat = det <= 1e-9 * F.col("sw") * F.col("sxx")
-    slope = F.when(flat, 0.0).otherwise((F.col("sw") * F.col("sxz") - F.col("sx") * F.col("sz")) / det)
-    return sums.select(*keys, slope.alias("b"), "sw", "sx", "sz").select(
-        *keys, ((F.col("sz") - F.col("b") * F.col("sx")) / F.col("sw")).alias("a"), "b"
-    )
+    slope = F.when(flat, 0.0).otherwise(F.try_divide(F.col("sw") * F.col("sxz") - F.col("sx") * F.col("sz"), det))
+    return sums.withColumn("b", slope)
+
+
+def trend_start(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Least squares of log1p(y) on x per cell, slope zero where x does not vary."""
+    level = (F.col("sz") - F.col("b") * F.col("sx")) / F.col("sw")
+    return _start_sums(rows, keys).select(*keys, level.alias("a"), "b")
 
 
 def starting_values(rows: DataFrame, keys: list[str], family: str, phi_by: list[str] | None, zi: float) -> DataFrame:
     """Least-squares slopes, intercepts moved to the observed cell means, and a dispersion
     from squared distances to those lines."""
-    slopes = finish(trend_start(rows, keys))
     n, y, x = F.col("n"), F.col("y"), F.col("x")
-    means = rows.groupBy(*keys).agg((F.sum(n * y) / F.sum(n)).alias("m"), (F.sum(n * x) / F.sum(n)).alias("mx"))
-    level = F.ln(F.greatest(F.col("m"), F.lit(1e-3))) - F.col("b") * F.col("mx")
-    lines = join_on(slopes.drop("a"), means, keys).select(*keys, level.alias("a"), "b")
+    level = F.ln(F.greatest(F.col("sy") / F.col("sw"), F.lit(1e-3))) - F.col("b") * F.col("sx") / F.col("sw")
+    lines = _start_sums(rows, keys).select(*keys, level.alias("a"), "b")
     if phi_by is None:
         return finish(lines.withColumns({"phi": F.lit(1.0), "zi": F.lit(zi)}))
     lines = finish(lines)

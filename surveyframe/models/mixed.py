@@ -204,12 +204,12 @@ def fit_mixed(
     total = state.agg(F.sum("loglik"), F.count(F.lit(1))).first()
     vcov = None
     if with_covariance:
-        scored = _scored_nodes(rows, coef, keys, state, family).withColumn("one_n", F.col("n") * F.col("w_node"))
+        scored = _scored_nodes(rows, coef, keys, state, family)
         shared = {} if phi_by is None else {"log_phi": F.col("weight") * F.col("up")}
         # d/d log sigma belongs to the cluster: spread it over its rows through their share.
         rows_in = rows.groupBy("cluster").agg(F.sum("n").alias("rows_in"))
         scored = join_on(scored, rows_in, ["cluster"])
-        shared["log_sigma"] = F.col("one_n") * (F.pow(F.col("u") / sigma, 2) - 1) / F.col("rows_in")
+        shared["log_sigma"] = F.col("n") * (F.pow(F.col("u") / sigma, 2) - 1) / F.col("rows_in")
         products, labels = score_products(scored, "cluster", keys, _cells(coef, keys), x is not None, shared)
         vcov = long_covariance(df.sparkSession, np.linalg.pinv(products), labels)
     stats = {"sigma": sigma, "loglik": total[0], "n_clusters": total[1], "iterations": iteration, "converged": bool(done), "at_boundary": sigma <= SIGMA_FLOOR}
@@ -217,14 +217,14 @@ def fit_mixed(
 
 
 def _scored_nodes(rows: DataFrame, coef: DataFrame, keys: list[str], state: DataFrame, family: str) -> DataFrame:
-    """Rows at every posterior node with derivatives; the node weight enters ``weight``."""
+    """Rows at every posterior node with derivatives; ``n`` and ``weight`` carry the node weight."""
     placed = join_on(glm.with_linear_predictor(rows, coef, keys), state.select("cluster", "nodes"), ["cluster"])
     exploded = placed.select("*", F.explode("nodes").alias("node")).drop("nodes")
     exploded = exploded.withColumns({"u": F.col("node").getField("u"), "w_node": F.col("node").getField("w")}).drop("node")
     exploded = exploded.withColumn("eta", F.col("eta") + F.col("u"))
     scored = glm._with_zero_share(families.with_derivatives(exploded, family), family)
     weight = F.col("n") * F.col("w_node")
-    return scored.withColumns({"weight": weight * (1 - F.col("z")), "z": F.col("z") * F.col("w_node"), "n": F.col("n")})
+    return scored.withColumns({"weight": weight * (1 - F.col("z")), "n": weight})
 
 
 # --- two crossed intercepts ---------------------------------------------------------------

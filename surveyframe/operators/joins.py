@@ -35,61 +35,41 @@ def reconcile(parts: DataFrame, totals: DataFrame, keys: Sequence[str], part: st
     return both.withColumn("difference", F.col("part_sum") - F.col("stated_total"))
 
 
-def nearest_gaps(df: DataFrame, group: Sequence[str], kind: str, date: str) -> DataFrame:
-    """Per distinct (group, kind, date): days to the nearest date of another kind.
+def nearest_gaps(df: DataFrame, group: Sequence[str], kind: str, date: str, kinds: tuple[str, str]) -> DataFrame:
+    """Per distinct (group, kind, date): days to the nearest date of the other of two kinds.
 
     Works on distinct dates, so the ordered window holds at most one row per calendar day
     whatever the number of surveys behind it. ``n`` counts those surveys. A group with a
     single kind returns nothing.
     """
     group = list(group)
-    days = df.where(F.col(date).isNotNull() & F.col(kind).isNotNull())
-    days = days.groupBy(*group, kind, date).agg(F.count(F.lit(1)).alias("n"))
-    per_date = days.groupBy(*group, date).agg(
-        F.collect_list(F.struct(F.col(kind).alias("kind"), F.col("n").alias("n"))).alias("__kinds")
-    )
-    # The two kinds seen last (first) before (after) a date are enough: one of them differs
-    # from the focal kind. Kinds are the few values of the type column.
     day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
-    per_date = per_date.withColumn("__day", day)
-    per_date = per_date.withColumn(
-        "__low", F.array_min(F.transform("__kinds", lambda k: k.getField("kind")))
-    ).withColumn("__high", F.array_max(F.transform("__kinds", lambda k: k.getField("kind"))))
+    count = lambda k: F.sum(F.when(F.col(kind) == k, 1).otherwise(0)).cast("bigint")
+    days = df.where(F.col(date).isNotNull() & F.col(kind).isin(*kinds)).groupBy(*group, date).agg(
+        *[count(k).alias(f"__n{i}") for i, k in enumerate(kinds)]
+    )
+    days = days.withColumn("__day", day)
     ordered = Window.partitionBy(*group).orderBy("__day")
     back = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy(*group)
-    per_date = per_date.withColumns(
-        {"__first_kind": F.min("__low").over(everything), "__last_kind": F.max("__high").over(everything)}
-    )
-    has = lambda kind_col: F.exists("__kinds", lambda k: k.getField("kind") == kind_col)
-    on_first = F.when(has(F.col("__first_kind")), F.col("__day"))
-    on_last = F.when(has(F.col("__last_kind")), F.col("__day"))
-    per_date = per_date.withColumns(
-        {
-            "__first_back": F.max(on_first).over(back),
-            "__first_ahead": F.min(on_first).over(ahead),
-            "__last_back": F.max(on_last).over(back),
-            "__last_ahead": F.min(on_last).over(ahead),
-        }
-    )
-    focal = per_date.where(F.col("__first_kind") != F.col("__last_kind")).withColumn("__k", F.explode("__kinds"))
-    is_first = F.col("__k").getField("kind") == F.col("__first_kind")
-    gap = lambda side: F.least(
-        F.col("__day") - F.col(f"__{side}_back"), F.col(f"__{side}_ahead") - F.col("__day")
+    seen = lambda i: F.when(F.col(f"__n{i}") > 0, F.col("__day"))
+    days = days.withColumns(
+        {f"__{side}{i}": f(seen(i)).over(w) for i in (0, 1) for side, f, w in (("back", F.max, back), ("ahead", F.min, ahead))}
     )
-    return focal.select(
-        *group,
-        F.col("__k").getField("kind").alias("focal_type"),
-        F.col(date).alias("focal_date"),
-        F.when(is_first, gap("last")).otherwise(gap("first")).alias("nearest_gap_days"),
-        F.col("__k").getField("n").alias("n"),
+    gap = lambda i: F.least(F.col("__day") - F.col(f"__back{i}"), F.col(f"__ahead{i}") - F.col("__day"))
+    sides = F.array(
+        *[
+            F.struct(F.lit(k).alias("focal_type"), gap(1 - i).alias("nearest_gap_days"), F.col(f"__n{i}").alias("n"))
+            for i, k in enumerate(kinds)
+        ]
     )
+    focal = days.select(*group, F.col(date).alias("focal_date"), F.inline(sides))
+    return focal.where((F.col("n") > 0) & F.col("nearest_gap_days").isNotNull())
 
 
-def nearest_dates(df: DataFrame, group: Sequence[str], kind: str, date: str) -> DataFrame:
+def nearest_dates(df: DataFrame, group: Sequence[str], kind: str, date: str, kinds: tuple[str, str]) -> DataFrame:
     """One row per survey with the days to the nearest date of the other kind."""
-    gaps = nearest_gaps(df, group, kind, date).drop("n")
+    gaps = nearest_gaps(df, group, kind, date, kinds).drop("n")
     focal = df.select(*group, F.col(kind).alias("focal_type"), F.col(date).alias("focal_date"))
     return join_on(focal, gaps, [*group, "focal_type", "focal_date"])
 

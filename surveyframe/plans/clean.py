@@ -62,22 +62,20 @@ def merge_observers(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def date_scale(rows: DataFrame, date: str = "date") -> DataFrame:
     """One row: first date, mean and n-1 standard deviation of days since it.
 
-    Every observation row counts. Rows are counted per date first, so the statistics run
-    over a calendar.
+    Every observation row counts. Rows are counted per date first, so one narrow pass over
+    the data is followed by sums over a calendar.
     """
-    days = rows.groupBy(date).agg(F.count(F.lit(1)).alias("n"))
-    first = F.to_date(F.lit("1970-01-01"))
-    d = F.datediff(F.col(date), first).cast("double")
+    days = rows.where(F.col(date).isNotNull()).groupBy(date).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    d = F.datediff(F.col(date), F.to_date(F.lit("1970-01-01"))).cast("double")
+    n, w = F.sum("n"), F.col("n")
     sums = days.agg(
-        F.min(date).alias("first_date"), F.min(d).alias("d0"), F.sum("n").alias("n"),
-        (F.sum(d * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min(date).alias("first_date"), F.min(d).alias("d0"), n.alias("n"), F.sum(w * d).alias("s"), F.sum(w * d * d).alias("ss")
     )
-    centred = attach_scalars(days.where(F.col(date).isNotNull()), sums.select(F.col("mean").alias("m")))
-    spread = centred.agg(
-        F.sqrt(F.try_divide(F.sum(F.col("n") * F.pow(d - F.col("m"), 2)), F.sum("n") - 1)).alias("date_sd")
-    )
-    return attach_scalars(sums, spread).select(
-        "first_date", (F.col("mean") - F.col("d0")).alias("date_mean"), "date_sd"
+    square = F.greatest(F.lit(0.0), F.col("ss") - F.col("s") * F.col("s") / F.col("n"))
+    return sums.select(
+        "first_date",
+        (F.col("s") / F.col("n") - F.col("d0")).alias("date_mean"),
+        F.sqrt(F.try_divide(square, F.col("n") - 1)).alias("date_sd"),
     )
 
 
