@@ -179,14 +179,14 @@ def _(spark, sf):
 
 @query("mixed_intercept")
 def _(spark, sf):
-    fit = mixed.fit_mixed(_guilds(spark, sf), CELL, "count", "survey_id", "date_s", "nb2", zi_by=["guild"], with_covariance=False)
+    fit = mixed.fit_mixed(_guilds(spark, sf), CELL, "count", "survey_id", "date_s", "nb2", zi_by=["guild"], with_covariance=False, between=["pair", "type"], between_x=True)
     return mixed.effect_table(fit)
 
 
 @query("mixed_errors")
 def _(spark, sf):
     frame = _stages(spark, sf)
-    fit = mixed.fit_mixed(frame, STAGE_CELL, "stage_count", "survey_id", None, "nb2", max_iterations=6)
+    fit = mixed.fit_mixed(frame, STAGE_CELL, "stage_count", "survey_id", None, "nb2", max_iterations=8, between=["type", "pair"])
     return fit.vcov.where(F.col("term_i") == F.col("term_j")).select("term_i", F.sqrt("value").alias("se"))
 
 

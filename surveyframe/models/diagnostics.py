@@ -97,26 +97,25 @@ def durbin_watson(df: DataFrame, series: Sequence[str], time: str, residual: str
     rows = df.where(F.col(residual).isNotNull()).withColumn("__part", F.floor(F.col(time) / width))
     inside = Window.partitionBy(*series, "__part").orderBy(time)
     rows = rows.withColumn("__d", F.col(residual) - F.lag(residual).over(inside))
+    e = F.col(residual)
     parts = rows.groupBy(*series, "__part").agg(
-        F.sum(F.col("__d") * F.col("__d")).alias("d2"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(residual).alias("s"),
-        F.sum(F.col(residual) * F.col(residual)).alias("ss"),
-        F.min_by(residual, time).alias("first"),
-        F.max_by(residual, time).alias("last"),
+        F.sum(F.col("__d") * F.col("__d")).alias("__d2"),
+        F.count(F.lit(1)).alias("__n"),
+        F.sum(e).alias("__s"),
+        F.sum(e * e).alias("__ss"),
+        F.min_by(residual, time).alias("__first"),
+        F.max_by(residual, time).alias("__last"),
     )
-    gap = F.col("first") - F.lag("last").over(Window.partitionBy(*series).orderBy("__part"))
+    gap = F.col("__first") - F.lag("__last").over(Window.partitionBy(*series).orderBy("__part"))
+    added = F.coalesce("__d2", F.lit(0.0)) + F.coalesce(F.col("__gap") * F.col("__gap"), F.lit(0.0))
     sums = parts.withColumn("__gap", gap).groupBy(*series).agg(
-        F.sum("n").alias("n"),
-        (F.sum(F.coalesce("d2", F.lit(0.0))) + F.sum(F.coalesce(F.col("__gap") * F.col("__gap"), F.lit(0.0)))).alias("d2"),
-        F.sum("s").alias("s"),
-        F.sum("ss").alias("ss"),
+        F.sum("__n").alias("__n"), F.sum(added).alias("__d2"), F.sum("__s").alias("__s"), F.sum("__ss").alias("__ss")
     )
-    around = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
-    dw = F.when((F.col("n") > 2) & (around > 1e-12), F.try_divide(F.col("d2"), around))
-    n = F.col("n").cast("double")
+    around = F.col("__ss") - F.col("__s") * F.col("__s") / F.col("__n")
+    dw = F.when((F.col("__n") > 2) & (around > 1e-12), F.try_divide(F.col("__d2"), around))
+    n = F.col("__n").cast("double")
     spread = F.sqrt(2 * (2 * n - 4 - 4 / n) / (n * n - 1))
-    out = sums.select(*series, "n", dw.alias("dw"), F.when(n > 3, spread).alias("__sd"))
+    out = sums.select(*series, F.col("__n").alias("n"), dw.alias("dw"), F.when(n > 3, spread).alias("__sd"))
     z = F.try_divide(F.col("dw") - 2, F.col("__sd"))
     return out.withColumn("p_value", normal_two_sided(z)).drop("__sd")
 

@@ -161,6 +161,35 @@ def _sigma_move(state: DataFrame, sigma: float, last: float) -> float:
     return max(-limit, min(limit, move))
 
 
+def _recentred(
+    coef: DataFrame, state: DataFrame, traits: DataFrame, between: list[str], with_x: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Move the part of the effects that is a line per ``between`` group into the cells.
+
+    At the maximum the posterior effects of a group sum to zero (and to zero against a
+    covariate that is constant within clusters), so this only shortens the way there:
+    factors that do not vary within clusters would otherwise creep towards their values.
+    """
+    x = F.col("trait_x") if with_x else F.lit(0.0)
+    placed = join_on(state, traits, ["cluster"])
+    sums = placed.groupBy(*between).agg(
+        F.count(F.lit(1)).cast("double").alias("k"), F.sum("m").alias("sm"), F.sum(x).alias("sx"),
+        F.sum(x * x).alias("sxx"), F.sum(x * F.col("m")).alias("sxm"),
+    )
+    det = F.col("k") * F.col("sxx") - F.col("sx") * F.col("sx")
+    slope = F.when(det > 1e-9 * F.col("k") * F.col("sxx"), (F.col("k") * F.col("sxm") - F.col("sx") * F.col("sm")) / det).otherwise(0.0)
+    lines = sums.withColumn("move_b", slope)
+    lines = finish(lines.select(*between, ((F.col("sm") - F.col("move_b") * F.col("sx")) / F.col("k")).alias("move_a"), "move_b"))
+    attach = lambda df: join_on(df, lines, between) if between else attach_scalars(df, lines)
+    by = F.col("move_a") + F.col("move_b") * x
+    moved = attach(placed).withColumn("by", by)
+    nodes = F.transform("nodes", lambda e: F.struct((e.getField("u") - F.col("by")).alias("u"), e.getField("w").alias("w")))
+    u2 = F.col("u2") - 2 * F.col("by") * F.col("m") + F.col("by") * F.col("by")
+    moved = moved.withColumns({"u2": u2, "nodes": nodes}).withColumn("m", F.col("m") - F.col("by"))
+    shifted = attach(coef).withColumns({"a": F.col("a") + F.col("move_a"), "b": F.col("b") + F.col("move_b")})
+    return shifted.drop("move_a", "move_b"), moved.select(*state.columns)
+
+
 def fit_mixed(
     df: DataFrame,
     keys: Sequence[str],
@@ -174,13 +203,16 @@ def fit_mixed(
     max_iterations: int = 15,
     tolerance: float = 1e-3,
     with_covariance: bool = True,
+    between: Sequence[str] = (),
+    between_x: bool = False,
 ) -> MixedFit:
     """Cell lines with one normal random intercept per cluster, over Gauss-Hermite nodes
     placed around each cluster's posterior: the lines take the weighted Newton step of
     their expected log-likelihood, sigma a scoring step.
 
     Standard errors come from the products of per-cluster scores of all parameters
-    (lines, log phi, log sigma), not from the M-step.
+    (lines, log phi, log sigma), not from the M-step. ``between`` names the keys that are
+    constant within a cluster and ``between_x`` says that x is; both only speed the search.
     """
     keys = list(keys)
     phi_by = None if family == "poisson" else list(phi_by or [])
@@ -190,8 +222,10 @@ def fit_mixed(
     sigma, done, iteration, state, last = 0.5, False, 0, None, 0.0
     names = rows.select("cluster").distinct()
     effects = names.withColumns({"m": F.lit(0.0), "s": F.lit(sigma)})
+    traits = checkpointed(rows.groupBy("cluster", *between).agg(F.max("x").alias("trait_x")))
     while iteration < max_iterations and not done:
         state = checkpointed(_posterior(rows, coef, keys, effects, sigma, family, nodes, zi_by is not None))
+        coef, state = _recentred(coef, state, traits, list(between), between_x and x is not None)
         effects = state.select("cluster", "m", "s")
         scored = _scored_nodes(rows, coef, keys, state, family)
         coef, step = finish_with_max(glm.advance(glm.cell_sums(scored, keys), keys, phi_by, zi_by, x is not None), "step")
