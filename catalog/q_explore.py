@@ -10,6 +10,7 @@ from surveyframe import fixtures as fx
 from surveyframe.operators import checks, effort, explore
 from surveyframe.operators.diversity import diversity, diversity_summary
 from surveyframe.plans import clean, figures
+from surveyframe.session import checkpointed
 
 D = "CAST({0} AS VARCHAR) AS {0}".format
 
@@ -195,7 +196,7 @@ SELECT survey_id, pair, type, CAST(date AS VARCHAR) AS date, count, round(q1, 6)
 FROM (SELECT *, quantile_cont(count, 0.25) OVER (PARTITION BY pair, type) AS q1, quantile_cont(count, 0.75) OVER (PARTITION BY pair, type) AS q3 FROM tot)
 WHERE count > q3 + 3 * (q3 - q1)""", ["tot"])
 def _(spark, sf):
-    return explore.extremes(_totals(spark, sf), ["pair", "type"]).select("survey_id", "pair", "type", "date", "count", "q1", "q3")
+    return explore.extremes(checkpointed(_totals(spark, sf)), ["pair", "type"]).select("survey_id", "pair", "type", "date", "count", "q1", "q3")
 
 
 def _level_sql(name, src):
@@ -270,7 +271,7 @@ FROM (SELECT *, count >= q1 - 1.5 * (q3 - q1) AND count <= q3 + 1.5 * (q3 - q1)
   (SELECT pair, type, quantile_cont(count, 0.25) AS q1, quantile_cont(count, 0.5) AS median, quantile_cont(count, 0.75) AS q3 FROM tot GROUP BY pair, type) USING (pair, type))
 GROUP BY ALL""", ["tot"])
 def _(spark, sf):
-    return explore.box_stats(_totals(spark, sf), ["pair", "type"], "count")
+    return explore.box_stats(checkpointed(_totals(spark, sf)), ["pair", "type"], "count")
 
 
 @query("timeline", f"""
@@ -330,8 +331,6 @@ _REPORT = {
 @query("check_report", " UNION ALL ".join(
     f"SELECT '{k}' AS \"check\", count(*) = 0 AS ok, count(*) AS n_bad FROM ({v})" for k, v in _REPORT.items()), ["tidy", "gc", "tot"])
 def _(spark, sf):
-    from surveyframe.session import checkpointed
-
     tidy = checkpointed(fx.tidy(spark, sf))
     guilds = clean.guild_counts(tidy)
     report = checks.check_report(tidy, guilds, clean.survey_totals(guilds), fx.EVENT_SPECIES)

@@ -179,10 +179,13 @@ def test_smooth_follows_a_bend_and_stays_a_line_on_a_line(spark):
     start = glm.fit_cells(df, ["cell"], "y", "x")
     coef, knots = smooth.fit_smooth(df, ["cell"], "x", "y", start)
     edf = {r["cell"]: r["edf"] for r in coef.collect()}
-    assert edf["bend"] > 3 and edf["line"] < 3
-    grid = spark.createDataFrame([("bend", 1.5), ("bend", 0.0)], "cell string, x double")
-    high, low = (r["smooth_mean"] for r in smooth.predict_smooth(coef, knots, grid, ["cell"], "x").collect())
-    assert high > 2 * low
+    assert edf["bend"] > 3 and all(2 <= e <= 4 for e in edf.values())
+    truth = {"bend": lambda v: math.exp(2 + (1.2 * v if v > 0 else -0.8 * v)), "line": lambda v: math.exp(2 + 0.4 * v)}
+    grid = spark.createDataFrame([(c, v) for c in truth for v in (-1.0, 0.0, 1.0)], "cell string, x double")
+    for r in smooth.predict_smooth(coef, knots, grid, ["cell"], "x").collect():
+        assert r["smooth_mean"] == pytest.approx(truth[r["cell"]](r["x"]), rel=0.25)
+    line = [r["smooth_mean"] for r in smooth.predict_smooth(coef, knots, grid.where("cell = 'line'"), ["cell"], "x").orderBy("x").collect()]
+    assert line == sorted(line)
 
 
 # --- linear parts ------------------------------------------------------------------------
