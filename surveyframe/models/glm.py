@@ -147,7 +147,7 @@ def _zero_share(family: str) -> Column:
     return F.when(F.col("y") == 0, share).otherwise(0.0)
 
 
-def _with_zero_share(df: DataFrame, family: str) -> DataFrame:
+def with_zero_share(df: DataFrame, family: str) -> DataFrame:
     """``z``: probability that a zero row comes from the structural-zero part."""
     return df.withColumn("z", _zero_share(family))
 
@@ -253,7 +253,7 @@ def fit_cells(
     done, iteration = False, 0
     while iteration < max_iterations and not done:
         scored = families.with_derivatives(with_linear_predictor(rows, coef, keys), family)
-        scored = _with_zero_share(scored, family).withColumn("weight", F.col("n") * (1 - F.col("z")))
+        scored = with_zero_share(scored, family).withColumn("weight", F.col("n") * (1 - F.col("z")))
         coef, step = finish_with_max(advance(cell_sums(scored, keys), keys, phi_by, zi_by, x is not None), "step")
         iteration += 1
         done = step < tolerance
@@ -272,7 +272,7 @@ def _with_information(fit: CellFit, rows: DataFrame) -> None:
     """
     keys, family = fit.keys, fit.family
     scored = families.with_derivatives(with_linear_predictor(rows, fit.coef, keys), family)
-    scored = _with_zero_share(scored, family)
+    scored = with_zero_share(scored, family)
     ll = families.loglik(family, F.col("y"), F.col("mu"), F.col("phi"))
     mixed = F.ln((1 - F.col("zi")) * F.exp(ll) + F.when(F.col("y") == 0, F.col("zi")).otherwise(0.0))
     scored = scored.withColumn("ll", F.when(F.col("zi") > 0, mixed).otherwise(ll) if fit.zi_by is not None else ll)

@@ -85,7 +85,7 @@ def sandwich(df: DataFrame, fit: glm.CellFit, cluster: str, y: str, x: str | Non
     from the products of per-cluster scores."""
     rows = cluster_rows(df, cluster, fit.keys, y, x)
     scored = families.with_derivatives(glm.with_linear_predictor(rows, fit.coef, fit.keys), fit.family, with_phi=False)
-    scored = glm._with_zero_share(scored, fit.family).withColumn("weight", F.col("n") * (1 - F.col("z")))
+    scored = glm.with_zero_share(scored, fit.family).withColumn("weight", F.col("n") * (1 - F.col("z")))
     cells = _cells(fit.coef, fit.keys)
     filling, names = score_products(scored, "cluster", fit.keys, cells, fit.has_slope)
     at = {tuple(r[k] for k in fit.keys): r for r in fit.coef.collect()}
@@ -256,7 +256,7 @@ def _scored_nodes(rows: DataFrame, coef: DataFrame, keys: list[str], state: Data
     exploded = placed.select("*", F.explode("nodes").alias("node")).drop("nodes")
     exploded = exploded.withColumns({"u": F.col("node").getField("u"), "w_node": F.col("node").getField("w")}).drop("node")
     exploded = exploded.withColumn("eta", F.col("eta") + F.col("u"))
-    scored = glm._with_zero_share(families.with_derivatives(exploded, family), family)
+    scored = glm.with_zero_share(families.with_derivatives(exploded, family), family)
     weight = F.col("n") * F.col("w_node")
     return scored.withColumns({"weight": weight * (1 - F.col("z")), "n": weight})
 

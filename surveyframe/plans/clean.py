@@ -102,7 +102,9 @@ def clean_counts(
     observers are merged, on the smaller table. The z-score still weights every row.
     """
     kept = observations.where(~S.in_list("species", rules.exclude_species))
-    placed = kept.join(sites, "site", "inner").where(F.col("pair").isNotNull())
+    # The site list is finished once: while it is small the wide rows are not shuffled to meet it.
+    known = finish(sites.where(F.col("pair").isNotNull()))
+    placed = kept.join(known, "site", "inner")
     merged = merge_observers(placed, ["site", "pair", "type", "date", "species"])
     # Absent species are zero rows of their survey already, so guilds join after merging.
     labelled = merged.join(guilds, "species", "left").join(deployments, "pair", "left")
@@ -268,7 +270,7 @@ def life_stage_rejects(long: DataFrame, maturity: DataFrame) -> DataFrame:
 
 def binned_records(records: DataFrame, sites: DataFrame, guilds: DataFrame, rules: SizeRules) -> DataFrame:
     """Site-matched records with the legacy bin divided, caps applied and guild attached."""
-    placed = records.join(sites, "site", "inner").where(F.col("pair").isNotNull())
+    placed = records.join(finish(sites.where(F.col("pair").isNotNull())), "site", "inner")
     if rules.legacy:
         old, first, second = rules.legacy
         placed = split_legacy_bin(placed, old, (first, second), "species")
