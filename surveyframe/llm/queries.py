@@ -24,3 +24,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surveyframe.llm.quality import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surveyframe.llm.tokens import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
