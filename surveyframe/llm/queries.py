@@ -31,3 +31,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surveyframe.llm.tokens import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surveyframe.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
