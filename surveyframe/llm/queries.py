@@ -38,3 +38,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surveyframe.llm.licenses import license_scan
 
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surveyframe.llm.language import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs))
