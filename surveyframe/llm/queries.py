@@ -46,3 +46,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learn(docs))
+
+
+@query
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surveyframe.llm.warc import read_archives, resolve, write_archives
+
+    return resolve(read_archives(spark, write_archives(table(spark, sf_dir, "pages"))))
