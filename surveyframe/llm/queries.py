@@ -53,3 +53,10 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surveyframe.llm.warc import read_archives, resolve, write_archives
 
     return resolve(read_archives(spark, write_archives(table(spark, sf_dir, "pages"))))
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surveyframe.llm.html import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
