@@ -60,3 +60,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surveyframe.llm.html import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surveyframe.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
