@@ -67,3 +67,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surveyframe.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surveyframe.llm.substrings import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
