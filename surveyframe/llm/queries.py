@@ -74,3 +74,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surveyframe.llm.substrings import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surveyframe.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -35,6 +35,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """ASCII and Latin-1 capitals lower-cased; byte positions stay."""
+    out = LOWER[buf]
+    if len(out) > 1:
+        capital = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)
+        out[1:][capital] += 32
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit."""
     x = x ^ (x >> _U(30))
