@@ -141,31 +141,40 @@ def _popcounts(raw: np.ndarray, offsets: np.ndarray, masks: np.ndarray, n_langua
     return hits, grams
 
 
+def _predictor(names: list[str], fill: np.ndarray, common: str):
+    """Labels and scores of the texts of a chunk."""
+    import regex
+
+    letter = regex.compile(r"\p{L}")
+
+    def predict(raw: np.ndarray, offsets: np.ndarray, masks: np.ndarray) -> tuple[list[str], np.ndarray]:
+        n = len(offsets) - 1
+        hits, grams = _popcounts(raw, offsets, masks, len(names))
+        corrected = np.maximum(hits - grams[:, None] * fill, 0) / np.maximum(1 - fill, 1e-9)
+        total = corrected.sum(axis=1)
+        best = corrected.argmax(axis=1) if names else np.zeros(n, dtype=int)
+        score = corrected.max(axis=1, initial=0) / np.maximum(total, 1e-9)
+        plain = (raw >= 97) & (raw <= 122) | (raw >= 65) & (raw <= 90)
+        has_letter = W.count_in(plain, offsets) > 0
+        for k in np.flatnonzero(~has_letter & (np.diff(offsets) > 0)):
+            has_letter[k] = letter.search(raw[offsets[k] : offsets[k + 1]].tobytes().decode()) is not None
+        score[~has_letter] = 0
+        label = ["und" if not has_letter[k] or not names else names[best[k]] if total[k] > 0 else common for k in range(n)]
+        return label, score
+
+    return predict
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, str]) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document; reads doc_id only to return it."""
     names, masks, fill, common = model
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(masks)
+    shared = docs.sparkSession.sparkContext.broadcast(masks)
 
     def run(batches):
-        import regex
-
-        letter = regex.compile(r"\p{L}")
+        predict = _predictor(names, fill, common)
         for batch in batches:
             for lo, hi, raw, offsets in W.chunks(batch.column("text")):
-                hits, grams = _popcounts(raw, offsets, shared.value, len(names))
-                corrected = np.maximum(hits - grams[:, None] * fill, 0) / np.maximum(1 - fill, 1e-9)
-                total = corrected.sum(axis=1)
-                best = corrected.argmax(axis=1) if names else np.zeros(hi - lo, dtype=int)
-                score = corrected.max(axis=1, initial=0) / np.maximum(total, 1e-9)
-                plain = (raw >= 97) & (raw <= 122) | (raw >= 65) & (raw <= 90)
-                has_letter = W.count_in(plain, offsets) > 0
-                for k in np.flatnonzero(~has_letter & (np.diff(offsets) > 0)):
-                    has_letter[k] = letter.search(raw[offsets[k] : offsets[k + 1]].tobytes().decode()) is not None
-                label = [
-                    "und" if not has_letter[k] or not names else names[best[k]] if total[k] > 0 else common for k in range(hi - lo)
-                ]
-                score[~has_letter] = 0
+                label, score = predict(raw, offsets, shared.value)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(label), pa.array(score)],
@@ -174,3 +183,18 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, st
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return read.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, str]) -> DataFrame:
+    """The rows of `docs` whose text is in some language, all columns as they are."""
+    names, masks, fill, common = model
+    shared = docs.sparkSession.sparkContext.broadcast(masks)
+
+    def run(batches):
+        predict = _predictor(names, fill, common)
+        for batch in batches:
+            for lo, hi, raw, offsets in W.chunks(batch.column("text")):
+                label, _ = predict(raw, offsets, shared.value)
+                yield batch.slice(lo, hi - lo).filter(pa.array([x != "und" for x in label]))
+
+    return docs.mapInArrow(run, docs.schema)

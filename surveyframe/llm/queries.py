@@ -6,6 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from surveyframe.llm.decontaminate import contaminated
+from surveyframe.llm.html import extract_text
+from surveyframe.llm.jaccard import jaccard_components
+from surveyframe.llm.language import identify, learn
+from surveyframe.llm.licenses import license_scan
+from surveyframe.llm.pieces import encode_documents
+from surveyframe.llm.quality import quality_rules
+from surveyframe.llm.substrings import substring_dedup
+from surveyframe.llm.tokens import token_counts
+from surveyframe.llm.warc import read_archives, resolve, write_archives
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,63 +32,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from surveyframe.llm.quality import quality_rules
-
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from surveyframe.llm.tokens import token_counts
-
     return token_counts(table(spark, sf_dir, "documents"))
 
 
 @query
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from surveyframe.llm.licenses import license_scan
-
     return license_scan(table(spark, sf_dir, "documents"))
 
 
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from surveyframe.llm.language import identify, learn
-
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learn(docs))
 
 
 @query
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from surveyframe.llm.warc import read_archives, resolve, write_archives
-
     return resolve(read_archives(spark, write_archives(table(spark, sf_dir, "pages"))))
 
 
 @query
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from surveyframe.llm.html import extract_text
-
     return extract_text(table(spark, sf_dir, "pages"))
 
 
 @query
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from surveyframe.llm.jaccard import jaccard_components
-
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from surveyframe.llm.substrings import substring_dedup
-
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from surveyframe.llm.decontaminate import contaminated
-
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))

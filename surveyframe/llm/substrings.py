@@ -316,3 +316,44 @@ def substring_dedup(docs: DataFrame, k: int = 20, keep_text: bool = False) -> Da
         *([F.when(whole_copy, F.lit("")).otherwise(F.col("kept")).alias("kept")] if keep_text else []),
     )
     return out
+
+
+def remove_spans(docs: DataFrame, k: int = 20) -> DataFrame:
+    """`docs` without the words of repeated spans, n_chars renewed; unchanged texts stay as they are.
+
+    A changed text is its kept words joined by one space. Documents that lose every word go.
+    """
+    documents, spans = repeated_spans(docs, k)
+    whole = documents.where(F.col("copy") & (F.col("n_words") >= k)).select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("length"))
+    names = docs.columns
+    gone_name = "removed_spans"
+    while gone_name in names:
+        gone_name += "_"
+    lists = spans.select("doc_id", "start", "length").unionByName(whole).groupBy("doc_id").agg(
+        F.flatten(F.collect_list(F.array("start", "length"))).alias(gone_name)
+    )
+    at_text, at_chars = names.index("text"), names.index("n_chars")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                texts = part.column("text").to_pylist()
+                chars = part.column("n_chars").to_pylist()
+                keep = np.ones(len(part), dtype=bool)
+                for row, gone in enumerate(part.column(gone_name)):
+                    if not gone.is_valid or texts[row] is None:
+                        continue
+                    words = texts[row].encode().split()
+                    edges = np.array(gone.as_py(), dtype=np.int64).reshape(-1, 2)
+                    mask = W.covered(edges[:, 0], edges[:, 1], len(words))
+                    texts[row] = b" ".join(w for w, out in zip(words, mask.tolist()) if not out).decode()
+                    chars[row] = len(texts[row])
+                    keep[row] = not mask.all()
+                arrays = [part.column(n) for n in names]
+                arrays[at_text] = pa.array(texts, pa.string())
+                arrays[at_chars] = pa.array(chars, part.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep))
+
+    joined = docs.join(lists, "doc_id", "left").select(*(F.col(f"`{n}`") for n in names), gone_name)
+    return joined.mapInArrow(run, docs.schema)
