@@ -1,12 +1,14 @@
 """N-gram Jaccard join with signature trees: exact links between documents, as components.
 
 1. Repeated shingles. Documents send the part of each shingle hash that a hash range does not imply,
-   packed per batch and range, once per batch; each range finds which of its values occur in other
-   batches. A document whose share of repeated shingles is below the threshold cannot have a partner.
+   packed per batch and range, once per batch; each range finds which of its values occur in several
+   different sets. A document whose share of such shingles is below the threshold cannot have a partner.
    (Shortened hashes can only make a shingle look repeated, which is the safe side.)
 2. Equal sets become one vertex, their smallest doc_id, by a 128-bit digest of the whole set.
-3. The vertices left give their prefix in hash order; two sets at the threshold share a token of both
-   prefixes. Vertices that share one form candidate groups (connected components over tables).
+3. The vertices left count their tokens' sets, again by hash range, and give their prefix, rarest tokens
+   first; two sets at the threshold share a token of both prefixes. Vertices that share one form candidate
+   groups (connected components over tables). Passages that many sets share come last in the order, so
+   they do not tie groups together.
 4. A group is cut into tiles of bounded token count by hash, and every tile pair is one task's work. It
    builds a signature tree: nodes hold the OR and the AND of their sets' token bitmaps and their size range.
    The dual traversal drops node pairs whose largest possible overlap misses the threshold; what is left
@@ -28,16 +30,17 @@ from pyspark.sql import functions as F
 
 from surveyframe.llm import words as W
 from surveyframe.llm.graph import components
+from surveyframe.llm.ranges import ask, dump, load
 from surveyframe.llm.storage import stored
 
-FLUSH_TOKENS = 2_000_000
-RANGE_BYTES = 16 << 20
+FLUSH_TOKENS = 1_000_000
+RANGE_BYTES = 12 << 20
 TILE_TOKENS = 1_000_000
 BITS = 1024
 FANOUT = 8
 PAIR_BLOCK = 1 << 14
 
-_PACKED = "r long, batch binary, docs binary, counts binary, hashes binary, known binary, ids binary, sizes binary, base binary, keys binary"
+_PACKED = "r long, batch binary, docs binary, counts binary, marks binary, hashes binary, known binary, ids binary, sizes binary, base binary, keys binary"
 _PACKED_NAMES = [f.split()[0] for f in _PACKED.split(", ")]
 
 
@@ -65,9 +68,13 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarra
 
 
 def _pack(sets: list[np.ndarray], ids: list[int | None], n_ranges: int):
+    keys = [hashlib.md5(s.tobytes()).digest() if len(s) else bytes(16) for s in sets]
+    first: dict[bytes, int] = {}
+    same_as = np.array([first.setdefault(key, i) for i, key in enumerate(keys)], dtype=np.int32)
+    chosen = np.unique(same_as)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    tokens = np.concatenate([sets[i] for i in chosen])
+    owner = np.repeat(chosen, sizes[chosen])
     order = np.argsort(tokens)
     ranked = tokens[order]
     same = np.zeros(len(tokens) + 1, dtype=bool)
@@ -77,6 +84,7 @@ def _pack(sets: list[np.ndarray], ids: list[int | None], n_ranges: int):
     base = np.bincount(owner[repeated], minlength=len(sets)).astype(np.int64)
     known = np.unique(tokens[repeated])
     open_tokens, open_owner = tokens[~repeated], owner[~repeated]
+    marks = np.frombuffer(b"".join(key[:8] for key in keys), dtype=np.uint64)
 
     def range_of(x):
         return ((x >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)
@@ -88,7 +96,6 @@ def _pack(sets: list[np.ndarray], ids: list[int | None], n_ranges: int):
     known_r = range_of(known)
     known_edges = np.searchsorted(known_r, np.arange(n_ranges + 1))
     known = known.astype(np.uint32)
-    keys = [hashlib.md5(s.tobytes()).digest() if len(s) else bytes(16) for s in sets]
     numbers = np.array([0 if i is None else i for i in ids], dtype=np.int64)
     valid = np.array([i is not None for i in ids], dtype=np.int64)
     batch = hashlib.md5(b"".join(keys) + numbers.tobytes()).digest()
@@ -99,8 +106,11 @@ def _pack(sets: list[np.ndarray], ids: list[int | None], n_ranges: int):
         own = open_owner[part]
         turn = np.flatnonzero(np.diff(own, prepend=-1))
         counts = np.diff(np.append(turn, len(own)))
-        rows.append((k, batch, own[turn].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), open_tokens[part].tobytes(), known[news].tobytes(), None, None, None, None))
-    header = (batch[0] % n_ranges, batch, None, None, None, None, numbers.tobytes() + valid.tobytes(), sizes.tobytes(), base.tobytes(), b"".join(keys))
+        rows.append((k, batch, own[turn].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), marks[own[turn]].tobytes(), open_tokens[part].tobytes(), known[news].tobytes(), None, None, None, None))
+    header = (
+        batch[0] % n_ranges, batch, None, None, None, None, None, numbers.tobytes() + valid.tobytes(), sizes.tobytes(),
+        base.tobytes() + same_as.tobytes(), b"".join(keys),
+    )
     rows.append(header)
     for at in range(0, len(rows), 64):
         part = rows[at : at + 64]
@@ -131,8 +141,13 @@ def _send(k: int, n_ranges: int):
 def _find_repeated(key, table):
     hashes = [np.frombuffer(h.as_py() or b"", np.uint32) for h in table.column("hashes")]
     known = [np.frombuffer(h.as_py() or b"", np.uint32) for h in table.column("known")]
-    values = np.sort(np.concatenate([*hashes, *known]))
-    more = np.unique(values[1:][values[1:] == values[:-1]])
+    sets = [
+        np.repeat(np.frombuffer(m.as_py() or b"", np.uint64), np.frombuffer(c.as_py() or b"", np.int32)) for m, c in zip(table.column("marks"), table.column("counts"))
+    ]
+    values, of = np.concatenate(hashes), np.concatenate(sets)
+    order = np.lexsort((of, values))
+    values, of = values[order], of[order]
+    more = np.unique(np.concatenate([values[1:][(values[1:] == values[:-1]) & (of[1:] != of[:-1])], *known]))
     out = []
     for k, mine in enumerate(hashes):
         docs = np.frombuffer(table.column("docs")[k].as_py() or b"", np.int32)
@@ -156,14 +171,13 @@ def _add_up(key, table):
     first = headers[0]
     sizes = np.frombuffer(table.column("sizes")[first].as_py(), np.int64)
     numbers, valid = np.frombuffer(table.column("ids")[first].as_py(), np.int64).reshape(2, -1)
-    total = np.frombuffer(table.column("base")[first].as_py(), np.int64).copy()
+    base = table.column("base")[first].as_py()
+    total = np.frombuffer(base[: 8 * len(sizes)], np.int64).copy()
     keys = table.column("keys")[first].as_py()
     for docs, found in zip(table.column("docs"), table.column("found")):
         if docs.is_valid:
-            total[np.frombuffer(docs.as_py(), np.int32)] += np.frombuffer(found.as_py(), np.int32) // len(headers)
-    # the same batch sent twice (repeated rows read as a whole batch): every shingle of it is repeated
-    if len(headers) > 1:
-        total = sizes.copy()
+            np.add.at(total, np.frombuffer(docs.as_py(), np.int32), np.frombuffer(found.as_py(), np.int32))
+    total = np.minimum(total, sizes)[np.frombuffer(base[8 * len(sizes) :], np.int32)]
     n = len(sizes)
     one = pa.table({
         "doc_id": pa.array(numbers, pa.int64(), mask=valid == 0), "n_shingles": pa.array(sizes), "repeated": pa.array(total),
@@ -173,7 +187,7 @@ def _add_up(key, table):
 
 
 def shingle_profile(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, repeated (shingles that other documents or batches hold), set_key per document."""
+    """doc_id, n_shingles, repeated (shingles that other sets hold too), set_key per document."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = max(8, -(-size // RANGE_BYTES))
     sent = docs.mapInArrow(_send(k, n_ranges), _PACKED)
@@ -196,20 +210,46 @@ def _sets_of(k: int):
     return run
 
 
-def _prefixes(num: int, den: int):
-    """Prefix tokens: the n - ceil(num * n / den) + 1 smallest hashes."""
+def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, doc) of each set's n - ceil(num * n / den) + 1 rarest tokens."""
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                sets = [np.frombuffer(t.as_py(), np.uint64) for t in part.column("tokens")]
-                cut = [s[: len(s) - (num * len(s) + den - 1) // den + 1] for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(W.signed(np.concatenate(cut))), pa.array(np.repeat(np.array(part.column("doc_id")), [len(c) for c in cut]))], names=["token", "doc"]
-                )
+    def whole(held, ids):
+        keys, index, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        header = dump(keys=keys, index=index.astype(np.int32), sizes=np.array([len(h) for h in held]), ids=np.array(ids, dtype=np.int64))
+        return keys, [counts.astype(np.uint64)], header
 
-    return run
+    def prepare(batches):
+        held, ids, size = [], [], 0
+        for batch in batches:
+            for number, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("tokens")):
+                held.append(np.frombuffer(tokens.as_py(), np.uint64))
+                ids.append(number)
+                size += len(held[-1])
+                if size >= FLUSH_TOKENS:
+                    yield whole(held, ids)
+                    held, ids, size = [], [], 0
+        if held:
+            yield whole(held, ids)
+
+    def judge(keys, counts):
+        _, of = np.unique(keys, return_inverse=True)
+        total = np.bincount(of, weights=counts.astype(np.float64))[of]
+        return np.minimum(255, np.floor(8 * np.log2(total)))
+
+    def finish(header, flags, copies):
+        h = load(header)
+        edges = np.concatenate([[0], np.cumsum(h["sizes"])])
+        tokens, owners = [], []
+        for number, a, b in zip(h["ids"], edges[:-1], edges[1:]):
+            at = h["index"][a:b]
+            own, n = h["keys"][at], int(b - a)
+            cut = np.lexsort((own, flags[at]))[: n - (num * n + den - 1) // den + 1]
+            tokens.append(own[cut])
+            owners.append(np.full(len(cut), number))
+        return pa.table({"token": pa.array(W.signed(np.concatenate(tokens))), "doc": pa.array(np.concatenate(owners), pa.int64())})
+
+    size = (sets.agg(F.sum("n")).first()[0] or 0) * 16
+    return ask(sets.select("doc_id", "tokens"), prepare, judge, finish, max(8, -(-size // RANGE_BYTES)), 1, "token long, doc long")
 
 
 class SignatureTree:
@@ -331,7 +371,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         read.join(wanted, F.col("doc_id") == F.col("w_doc"), "left_semi").mapInArrow(_sets_of(k), "doc_id long, n long, tokens binary")
         .where(F.col("n") > 0)
     )
-    near = sets.mapInArrow(_prefixes(num, den), "token long, doc long")
+    near = stored(prefixes(sets, num, den))
     blocks = near.groupBy("token").agg(F.min("doc").alias("b"), F.max("doc").alias("most")).where(F.col("b") != F.col("most"))
     edges = near.join(blocks.select(F.col("token").alias("t"), "b"), F.col("token") == F.col("t")).select(F.col("doc").alias("a"), "b")
     groups = components(edges)

@@ -10,16 +10,26 @@ A batch's name is a digest of its content: a task that runs again sends the same
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 _SENT = "r long, batch binary, keys binary, extra binary, header binary"
 _BACK = "batch binary, r long, flags binary, header binary"
 
 
+def dump(**parts) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts))
+
+
+def load(header: bytes) -> dict:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(header))
+
+
 def pack(keys: np.ndarray, extras: list[np.ndarray], header: bytes, n_ranges: int):
     """`keys` sorted and distinct; each extra is an array of 64-bit values aligned with them."""
     r = ((keys >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)

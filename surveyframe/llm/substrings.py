@@ -28,7 +28,6 @@ are taken for the same document.
 from __future__ import annotations
 
 import hashlib
-import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyframe.llm import words as W
-from surveyframe.llm.ranges import ask, group_span
+from surveyframe.llm.ranges import ask, dump, group_span, load
 from surveyframe.llm.storage import stored
 
 ANCHOR_WORDS = 8
@@ -68,14 +67,6 @@ def _words(buf: np.ndarray, offsets: np.ndarray):
     return W.byte_hash(buf, starts, ends), W.per_text(starts, offsets)
 
 
-def _dump(**parts) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts))
-
-
-def _load(header: bytes) -> dict:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(header))
-
-
 # 1 and 2: documents, and positions of anchors that occur elsewhere
 
 
@@ -89,7 +80,7 @@ def _prepare_anchors(k: int, m: int):
         summary = np.zeros(len(distinct), dtype=np.uint64)
         summary[index] = np.where(low == high, low, _MANY)
         summary[index[own]] = _MANY
-        header = _dump(
+        header = dump(
             index=index.astype(np.int32), at=np.concatenate([h["at"] for h in held]).astype(np.int32),
             counts=np.concatenate([h["counts"] for h in held]).astype(np.int32), ids=sum((h["ids"] for h in held), []),
             n_words=np.concatenate([h["n_words"] for h in held]), seq=b"".join(h["seq"] for h in held), sha=sum((h["sha"] for h in held), []),
@@ -137,7 +128,7 @@ def _judge_anchors(keys: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def _finish_anchors(header: bytes, flags: np.ndarray, copies: int) -> pa.Table:
-    h = _load(header)
+    h = load(header)
     hit = flags[h["index"]] > 0 if len(h["index"]) else np.zeros(0, bool)
     edges = np.concatenate([[0], np.cumsum(h["counts"])])
     places = [h["at"][a:b][hit[a:b]] for a, b in zip(edges[:-1], edges[1:])]
@@ -165,7 +156,7 @@ def _prepare_edges(k: int, m: int):
         distinct, index, counts = np.unique(keys, return_inverse=True, return_counts=True)
         before = summary(index, np.concatenate([h["before"] for h in held]), len(distinct))
         after = summary(index, np.concatenate([h["after"] for h in held]), len(distinct))
-        header = _dump(
+        header = dump(
             index=index.astype(np.int32), keys=distinct, at=np.concatenate([h["at"] for h in held]).astype(np.int32),
             counts=np.concatenate([h["counts"] for h in held]).astype(np.int32), ids=np.concatenate([h["ids"] for h in held]),
         )
@@ -214,7 +205,7 @@ def _judge_edges(keys: np.ndarray, both: np.ndarray) -> np.ndarray:
 
 
 def _finish_edges(header: bytes, flags: np.ndarray, copies: int) -> pa.Table:
-    h = _load(header)
+    h = load(header)
     flag = flags[h["index"]] if len(h["index"]) else np.zeros(0, np.uint8)
     doc = np.repeat(np.arange(len(h["counts"])), h["counts"])
     keep = (flag & REPEATED) > 0
