@@ -19,7 +19,8 @@ the input texts; words are compared as they stand.
 
 Keys are 64-bit hashes of exact words; neighbours are compared by 32 bits each (a branch is overlooked with
 probability 2 ** -32; the path's digest then keeps different texts apart). No row per window ever leaves a
-task. Hot passages: a key travels once per batch, and path joins have one row per path on one side.
+task. Hot passages: a key travels once per batch, and path joins have one row per path on one side, a table by
+itself, so that Spark can split the other side of a hot path.
 
 Null and blank texts have no words. Rows without doc_id are only counted. Rows that share doc_id and words
 are taken for the same document.
@@ -40,7 +41,7 @@ from surveyframe.llm.ranges import ask, dump, group_span, load
 from surveyframe.llm.storage import stored
 
 ANCHOR_WORDS = 8
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_000_000
 RANGE_BYTES = 24 << 20
 _U = np.uint64
 _MANY = _U(0xFFFFFFFFFFFFFFFF)
@@ -246,7 +247,7 @@ def repeated_spans(docs: DataFrame, k: int = 20, m: int = ANCHOR_WORDS) -> tuple
         read, _prepare_anchors(k, m), _judge_anchors, _finish_anchors, max(8, -(-size // RANGE_BYTES)), 1,
         "doc_id long, n_words long, seq binary, sha string, anchors binary",
     ))
-    first = profile.where(F.col("doc_id").isNotNull()).groupBy("seq").agg(F.min("doc_id").alias("original")).withColumnRenamed("seq", "o_seq")
+    first = stored(profile.where(F.col("doc_id").isNotNull()).groupBy(F.col("seq").alias("o_seq")).agg(F.min("doc_id").alias("original")))
     documents = profile.join(first, F.col("seq") == F.col("o_seq"), "left").select(
         "doc_id", "n_words", "sha", "anchors", F.coalesce(F.col("doc_id") != F.col("original"), F.lit(False)).alias("copy")
     )
@@ -258,7 +259,9 @@ def repeated_spans(docs: DataFrame, k: int = 20, m: int = ANCHOR_WORDS) -> tuple
         "edge long, digest long, edges long, doc_id long, start long",
     ))
     name = ["edge", "digest", "edges"]
-    earliest = paths.groupBy(*name).agg(F.min(F.struct("doc_id", "start")).alias("source"), F.count("*").alias("n")).where("n > 1")
+    earliest = stored(
+        paths.groupBy(*name).agg(F.min(F.struct("doc_id", "start")).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
+    )
     spans = paths.join(earliest, name).where(F.struct("doc_id", "start") != F.col("source")).select(
         "doc_id", "start", (F.col("edges") + (k - 1)).alias("length")
     )
