@@ -114,7 +114,7 @@ def quality_rules(
     lines = stats.select(
         "doc_id", "source", "text_key", F.explode(F.arrays_zip("lines", "line_words")).alias("x")
     ).select("doc_id", "source", "text_key", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    over = (
+    over = stored(
         lines.groupBy("source", "line", "text_key").agg(F.lit(1).alias("one"))
         .groupBy("source", "line").agg(F.count("*").alias("texts"))
         .where(F.col("texts") > max_documents)

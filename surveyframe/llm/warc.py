@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyframe.llm.storage import shared_path
+from surveyframe.llm.storage import shared_path, stored
 
 _HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -50,9 +50,8 @@ def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"),
         base32_sha1(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"),
     )
-    originals = (
-        read.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
-        .agg(F.max("page_id").alias("original")).withColumnRenamed("payload_digest", "o_digest")
+    originals = stored(
+        read.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("o_digest")).agg(F.max("page_id").alias("original"))
     )
     joined = read.join(originals, F.col("payload_digest") == F.col("o_digest"), "left").drop("o_digest")
     revisit = F.coalesce(~F.col("original").eqNullSafe(F.col("page_id")), F.lit(False)) & F.col("original").isNotNull()
