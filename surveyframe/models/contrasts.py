@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.functions.scalars import significance_label, trajectory_label
 from surveyframe.functions.special import chi2_upper_tail, t_two_sided
-from surveyframe.operators.keys import join_on
+from surveyframe.operators.keys import attach_scalars, join_on
 from surveyframe.operators.ordering import ranked_values, running_max
 from surveyframe.session import literal_frame
 
@@ -36,7 +36,8 @@ def _term_join(coef: DataFrame, weights: DataFrame) -> list[str]:
 
 
 def contrast(coef: DataFrame, vcov: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Estimate, standard error, interval and two-sided p of each weighted sum.
+    """Estimate, standard error, interval and two-sided p of each weighted sum; all null where a
+    used coefficient or its variance is unknown.
 
     ``by`` names the contrast columns of ``weights``. Without a model column in the weights
     every model is contrasted alike.
@@ -44,12 +45,18 @@ def contrast(coef: DataFrame, vcov: DataFrame, weights: DataFrame, by: Sequence[
     by = list(by)
     keys = _term_join(coef, weights)
     used = weights.select(*by, *keys, "weight")
+    model = [k for k in keys if k == "model"]
     terms = used.join(coef.select("model", "term", "estimate", "df"), keys)
-    value = terms.groupBy("model", *by).agg(
-        F.sum(F.col("weight") * F.col("estimate")).alias("estimate"), F.min("df").alias("df")
-    )
+    product = F.col("weight") * F.col("estimate")
+    value = terms.groupBy("model", *by).agg(F.sum(product).alias("estimate"), F.count(product).alias("__known"), F.min("df").alias("df"))
+    wanted = used.groupBy(*by, *model).agg(F.count(F.lit(1)).alias("__wanted"))
+    value = join_on(value, wanted, [*by, *model]) if by or model else attach_scalars(value, wanted)
     spread = contrast_covariance(vcov, weights, by, diagonal=True)
-    out = join_on(value, spread, ["model", *by]).withColumn("se", F.sqrt("variance")).drop("variance")
+    out = join_on(value, spread, ["model", *by], "left")
+    sure = (F.col("__known") == F.col("__wanted")) & (F.col("__pairs") == F.col("__wanted")) & (F.col("__gaps") == 0)
+    out = out.withColumns({"estimate": F.when(sure, F.col("estimate")), "se": F.when(sure, F.sqrt("variance"))}).drop(
+        "variance", "__known", "__wanted", "__pairs", "__gaps"
+    )
     out = out.withColumn("statistic", F.try_divide("estimate", "se"))
     reach = t975(F.col("df")) * F.col("se")
     return out.withColumns(
@@ -66,13 +73,16 @@ def contrast_covariance(vcov: DataFrame, weights: DataFrame, by: Sequence[str],
     right = weights.select(*by, *model, F.col("term").alias("term_j"), F.col("weight").alias("wj"))
     half = left.join(vcov, [*model, "term_i"])
     part = F.sum(F.col("wi") * F.col("wj") * F.col("value"))
+    gaps = F.count_if(F.col("value").isNull() | F.col("wi").isNull() | F.col("wj").isNull())
     if diagonal:
-        return join_on(half, right, [*by, *model, "term_j"]).groupBy("model", *by).agg(part.alias("variance"))
+        return join_on(half, right, [*by, *model, "term_j"]).groupBy("model", *by).agg(
+            part.alias("variance"), F.count_if(F.col("term_i") == F.col("term_j")).alias("__pairs"), gaps.alias("__gaps")
+        )
     group, row = by[:-1], by[-1]
     half = half.withColumnRenamed(row, "row_i")
     right = right.withColumnRenamed(row, "row_j")
     joined = join_on(half, right, [*group, *model, "term_j"])
-    return joined.groupBy("model", *group, "row_i", "row_j").agg(part.alias("value"))
+    return joined.groupBy("model", *group, "row_i", "row_j").agg(F.when(gaps == 0, part).alias("value"))
 
 
 def cell_weights(
@@ -81,7 +91,8 @@ def cell_weights(
     """Weights over the cells of a fit, cells inside a group averaged equally.
 
     ``change`` maps a factor to (from, to): one factor gives a difference, two give a
-    difference of differences. Without it the result is the plain average per group.
+    difference of differences. Without it the result is the plain average per group. Where a
+    cell or a whole side is absent the weights are null, and so is the contrast.
     """
     change = change or {}
     cells = coef.where(F.col("part") == part)
@@ -91,8 +102,14 @@ def cell_weights(
         sign = sign * F.when(F.col(factor) == end, 1.0).otherwise(-1.0)
     group = ["model", *by, *change]
     size = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("__size"))
-    joined = join_on(cells, size, group)
-    return joined.select("model", *by, "term", (sign / F.col("__size")).alias("weight"))
+    # Equal weights compare like with like only where every group has all the cells, and a
+    # difference needs both ends of every factor.
+    full = size.groupBy("model").agg(F.max("__size").alias("__full"))
+    corners = size.groupBy("model", *by).agg(F.count(F.lit(1)).alias("__corners"), F.min("__size").alias("__least"))
+    corners = join_on(corners, full, ["model"])
+    joined = join_on(join_on(cells, size, group), corners, ["model", *by])
+    whole = (F.col("__corners") == 2 ** len(change)) & (F.col("__least") == F.col("__full"))
+    return joined.select("model", *by, "term", F.when(whole, sign / F.col("__size")).alias("weight"))
 
 
 def as_ratio(contrasts: DataFrame) -> DataFrame:
@@ -160,8 +177,9 @@ def term_tests(spark: SparkSession, levels: Mapping[str, Sequence[str]], part: s
 def wald(coef: DataFrame, vcov: DataFrame, tests: DataFrame) -> DataFrame:
     """Chi-square, degrees of freedom and p of each (model, test)."""
     keys = _term_join(coef, tests)
+    product = F.col("weight") * F.col("estimate")
     values = tests.join(coef.select("model", "term", "estimate"), keys).groupBy("model", "test", "row").agg(
-        F.sum(F.col("weight") * F.col("estimate")).alias("value")
+        F.when(F.count_if(product.isNull()) == 0, F.sum(product)).alias("value")
     )
     cov = contrast_covariance(vcov, tests, ["test", "row"])
     rows = values.select("model", "test", F.col("row").alias("row_i"), F.lit(None).cast("int").alias("row_j"), "value")
@@ -176,6 +194,7 @@ def _chi_square(pdf: pd.DataFrame) -> pd.DataFrame:
     square = pdf[pdf["row_j"].notna()].pivot(index="row_i", columns="row_j", values="value").sort_index(axis=0).sort_index(axis=1)
     q, c = vector["value"].to_numpy(float), square.to_numpy(float)
     usable = len(q) == c.shape[0] and np.isfinite(q).all() and np.isfinite(c).all()
-    chisq = float(q @ np.linalg.pinv(c) @ q) if usable else float("nan")
-    df = int(np.linalg.matrix_rank(c)) if usable else 0
-    return pd.DataFrame({"model": [pdf["model"].iloc[0]], "test": [pdf["test"].iloc[0]], "chisq": [chisq], "df": [df]})
+    chisq = float(q @ np.linalg.pinv(c) @ q) if usable else None
+    df = int(np.linalg.matrix_rank(c)) if usable else None
+    out = pd.DataFrame({"model": [pdf["model"].iloc[0]], "test": [pdf["test"].iloc[0]], "chisq": [chisq], "df": [df]})
+    return out.astype({"chisq": "Float64", "df": "Int64"})

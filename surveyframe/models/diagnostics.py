@@ -90,11 +90,14 @@ def outlier_test(residuals: DataFrame, u: str = "u", draws: int = 1000) -> DataF
 def durbin_watson(df: DataFrame, series: Sequence[str], time: str, residual: str, width: float = 366.0) -> DataFrame:
     """Lag-one autocorrelation statistic per series ordered by ``time``, and its normal p.
 
+    Residuals of one time are averaged first, so that rows sharing a time have no order to choose.
+
     A series is cut into stretches of ``width`` time units; differences inside a stretch and
     across stretch borders are added, so a long series is not ordered in one task.
     """
     series = list(series)
-    rows = df.where(F.col(residual).isNotNull()).withColumn("__part", F.floor(F.col(time) / width))
+    steps = df.where(F.col(residual).isNotNull()).groupBy(*series, time).agg(F.avg(residual).alias(residual))
+    rows = steps.withColumn("__part", F.floor(F.col(time) / width))
     inside = Window.partitionBy(*series, "__part").orderBy(time)
     rows = rows.withColumn("__d", F.col(residual) - F.lag(residual).over(inside))
     e = F.col(residual)

@@ -20,7 +20,7 @@ from surveyframe.functions.scalars import BAND_Z, interaction_key
 from surveyframe.functions.special import lgamma
 from surveyframe.models import families
 from surveyframe.operators.keys import join_on
-from surveyframe.session import checkpointed, finish, finish_with_max, literal_frame
+from surveyframe.session import checkpointed, stored, stored_with_max, literal_frame
 
 MAX_ITERATIONS = 40
 TOLERANCE = 1e-7
@@ -72,10 +72,10 @@ def closed_form(df: DataFrame, keys: Sequence[str], y: str) -> CellFit:
     coef = cells.select(
         *keys, F.coalesce("estimate", F.lit(FLOOR)).alias("a"), zero.alias("b"), F.lit(1.0).alias("phi"), zero.alias("zi"),
         (F.col("se") * F.col("se")).alias("v00"), zero.alias("v01"), zero.alias("v11"), zero.alias("load0"), zero.alias("load1"),
-        F.col("n").cast("double").alias("n"), (F.col("n") * F.exp("estimate")).alias("total"), "loglik",
+        F.col("n").cast("double").alias("n"), F.coalesce(F.col("n") * F.exp("estimate"), F.lit(0.0)).alias("total"), "loglik",
         zero.alias("score"), F.col("se").isNotNull().alias("definite"),
     )
-    return CellFit("poisson", list(keys), False, finish(coef), None, None, {"iterations": 0, "converged": True})
+    return CellFit("poisson", list(keys), False, stored(coef), None, None, {"iterations": 0, "converged": True})
 
 
 def poisson_aic(df: DataFrame, y: str, models: dict[str, Sequence[str]]) -> DataFrame:
@@ -85,7 +85,7 @@ def poisson_aic(df: DataFrame, y: str, models: dict[str, Sequence[str]]) -> Data
         cells = poisson_cells(df, keys, y)
         parts.append(cells.agg(F.lit(name).alias("model"), F.sum("loglik").alias("loglik"), F.count(F.lit(1)).alias("n_par")))
     table = reduce(lambda a, b: a.unionByName(b), parts)
-    table = finish(table.withColumn("aic", -2 * F.col("loglik") + 2 * F.col("n_par")))
+    table = stored(table.withColumn("aic", -2 * F.col("loglik") + 2 * F.col("n_par")))
     best = table.agg(F.min("aic").alias("m")).select("m").scalar()
     return table.withColumn("delta_aic", F.col("aic") - best)
 
@@ -115,8 +115,8 @@ def starting_values(rows: DataFrame, keys: list[str], family: str, phi_by: list[
     level = F.ln(F.greatest(F.col("sy") / F.col("sw"), F.lit(1e-3))) - F.col("b") * F.col("sx") / F.col("sw")
     lines = _start_sums(rows, keys).select(*keys, level.alias("a"), "b")
     if phi_by is None:
-        return finish(lines.withColumns({"phi": F.lit(1.0), "zi": F.lit(zi)}))
-    lines = finish(lines)
+        return stored(lines.withColumns({"phi": F.lit(1.0), "zi": F.lit(zi)}))
+    lines = stored(lines)
     mu = F.exp(F.col("a") + F.col("b") * x)
     scored = join_on(rows, lines, keys).withColumn("mu", mu)
     square = F.pow(y - F.col("mu"), 2)
@@ -128,7 +128,7 @@ def starting_values(rows: DataFrame, keys: list[str], family: str, phi_by: list[
     excess = total("ss") - total("s1")
     guess = F.try_divide(excess, total("s1")) if family == "nb1" else F.try_divide(total("s2"), excess)
     start = F.when(excess > 0, F.greatest(F.lit(1e-3), F.least(F.lit(1e3), guess))).otherwise(1.0 if family == "nb1" else 100.0)
-    return finish(sums.select(*keys, "a", "b", F.coalesce(start, F.lit(1.0)).alias("phi"), F.lit(zi).alias("zi")))
+    return stored(sums.select(*keys, "a", "b", F.coalesce(start, F.lit(1.0)).alias("phi"), F.lit(zi).alias("zi")))
 
 
 def over(keys: Sequence[str] | None):
@@ -254,7 +254,7 @@ def fit_cells(
     while iteration < max_iterations and not done:
         scored = families.with_derivatives(with_linear_predictor(rows, coef, keys), family)
         scored = with_zero_share(scored, family).withColumn("weight", F.col("n") * (1 - F.col("z")))
-        coef, step = finish_with_max(advance(cell_sums(scored, keys), keys, phi_by, zi_by, x is not None), "step")
+        coef, step = stored_with_max(advance(cell_sums(scored, keys), keys, phi_by, zi_by, x is not None), "step")
         iteration += 1
         done = step < tolerance
     fit = CellFit(family, keys, x is not None, coef, phi_by, zi_by)
@@ -299,7 +299,7 @@ def _with_information(fit: CellFit, rows: DataFrame) -> None:
         both = both.withColumns({"load0": F.col("g0") * scale, "load1": F.col("g1") * scale})
     else:
         both = both.withColumns({"load0": F.lit(0.0), "load1": F.lit(0.0)})
-    fit.coef = finish(
+    fit.coef = stored(
         both.select(*keys, "a", "b", "phi", "zi", "v00", "v01", "v11", "load0", "load1", "n", "total", "loglik",
                     F.greatest(F.abs("s_u0"), F.abs("s_u1")).alias("score"), usable.alias("definite"))
     )
@@ -342,7 +342,8 @@ def coefficients(fit: CellFit, model_by: Sequence[str] = (), model: str = "model
     name = interaction_key(list(model_by)) if model_by else F.lit(model)
     cell = interaction_key([k for k in fit.keys if k not in model_by])
     se = lambda i: F.sqrt(F.col(f"v{i}{i}") + F.col(f"load{i}") * F.col(f"load{i}"))
-    entry = lambda part, est, s: F.struct(F.lit(part).alias("part"), est.alias("estimate"), s.alias("se"))
+    known = F.col("total") > 0  # the intercept of an all-zero cell is a bound of the search, not an estimate
+    entry = lambda part, est, s: F.struct(F.lit(part).alias("part"), F.when(known, est).alias("estimate"), s.alias("se"))
     parts = [entry("intercept", F.col("a"), se(0))] + ([entry("slope", F.col("b"), se(1))] if fit.has_slope else [])
     out = fit.coef.select(*fit.keys, name.alias("model"), cell.alias("cell"), F.inline(F.array(*parts)))
     return out.withColumns({"term": F.concat_ws(":", "cell", "part"), "df": F.lit(float("inf"))})
@@ -390,7 +391,7 @@ def fit_dispersion(
     grid = F.array(*[F.lit(10.0 ** (-3 + 6 * i / (candidates - 1))) for i in range(candidates)])
     ll = families.loglik(family, F.col("y"), F.col("mu"), F.col("phi"))
     profile = keyed.withColumn("phi", F.explode(grid)).groupBy(*by, "phi").agg(F.sum(F.col("n") * ll).alias("ll"))
-    current = finish(profile.groupBy(*by).agg(F.max_by("phi", "ll").alias("phi")))
+    current = stored(profile.groupBy(*by).agg(F.max_by("phi", "ll").alias("phi")))
     for _ in range(rounds):
         joined = join_on(keyed, current.select(*by, "phi"), by) if by else keyed.withColumn("phi", current.select("phi").scalar())
         scored = families.with_derivatives(joined.withColumn("eta", F.ln("mu")).drop("mu"), family)
@@ -401,7 +402,7 @@ def fit_dispersion(
         )
         move = F.when(F.col("h") < 0, -F.col("u") / F.col("h")).otherwise(F.signum("u") * 0.5)
         move = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), move))
-        current = finish(sums.select(*by, (F.col("phi") * F.exp(move)).alias("phi"), F.abs(move).alias("step"), "loglik", "n"))
+        current = stored(sums.select(*by, (F.col("phi") * F.exp(move)).alias("phi"), F.abs(move).alias("step"), "loglik", "n"))
     return current
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from surveyframe.models import families, glm
 from surveyframe.models.gram import MAX_COLUMNS, gram, matrix
 from surveyframe.operators.keys import attach_scalars, join_on
-from surveyframe.session import checkpointed, finish, finish_with_max, literal_frame
+from surveyframe.session import checkpointed, stored, stored_with_max, literal_frame
 
 
 @dataclass
@@ -76,13 +76,13 @@ def score_products(
 
 
 def long_covariance(spark, cov: np.ndarray, names: Sequence[str], model: str = "model") -> DataFrame:
-    rows = [(model, a, b, float(cov[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+    rows = [(model, a, b, float(cov[i, j]) if np.isfinite(cov[i, j]) else None) for i, a in enumerate(names) for j, b in enumerate(names)]
     return literal_frame(spark, rows, "model string, term_i string, term_j string, value double")
 
 
 def sandwich(df: DataFrame, fit: glm.CellFit, cluster: str, y: str, x: str | None = None) -> DataFrame:
     """Cluster-robust covariance of a cell fit: bread from its information blocks, filling
-    from the products of per-cluster scores."""
+    from the products of per-cluster scores. Cells without information have null entries."""
     rows = cluster_rows(df, cluster, fit.keys, y, x)
     scored = families.with_derivatives(glm.with_linear_predictor(rows, fit.coef, fit.keys), fit.family, with_phi=False)
     scored = glm.with_zero_share(scored, fit.family).withColumn("weight", F.col("n") * (1 - F.col("z")))
@@ -91,11 +91,16 @@ def sandwich(df: DataFrame, fit: glm.CellFit, cluster: str, y: str, x: str | Non
     at = {tuple(r[k] for k in fit.keys): r for r in fit.coef.collect()}
     bread = np.zeros_like(filling)
     width = 2 if fit.has_slope else 1
+    unknown = np.zeros(len(filling), dtype=bool)
     for i, cell in enumerate(cells):
         r = at[cell]
         block = np.array([[r["v00"], r["v01"]], [r["v01"], r["v11"]]], dtype=float)[:width, :width]
+        unknown[i * width : (i + 1) * width] = not np.isfinite(block).all()
         bread[i * width : (i + 1) * width, i * width : (i + 1) * width] = np.nan_to_num(block)
-    return long_covariance(df.sparkSession, bread @ filling @ bread, names)
+    cov = bread @ filling @ bread
+    cov[unknown, :] = np.nan
+    cov[:, unknown] = np.nan
+    return long_covariance(df.sparkSession, cov, names)
 
 
 # --- one random intercept ---------------------------------------------------------------
@@ -179,7 +184,7 @@ def _recentred(
     det = F.col("k") * F.col("sxx") - F.col("sx") * F.col("sx")
     slope = F.when(det > 1e-9 * F.col("k") * F.col("sxx"), (F.col("k") * F.col("sxm") - F.col("sx") * F.col("sm")) / det).otherwise(0.0)
     lines = sums.withColumn("move_b", slope)
-    lines = finish(lines.select(*between, ((F.col("sm") - F.col("move_b") * F.col("sx")) / F.col("k")).alias("move_a"), "move_b"))
+    lines = stored(lines.select(*between, ((F.col("sm") - F.col("move_b") * F.col("sx")) / F.col("k")).alias("move_a"), "move_b"))
     attach = lambda df: join_on(df, lines, between) if between else attach_scalars(df, lines)
     by = F.col("move_a") + F.col("move_b") * x
     moved = attach(placed).withColumn("by", by)
@@ -228,7 +233,7 @@ def fit_mixed(
         coef, state = _recentred(coef, state, traits, list(between), between_x and x is not None)
         effects = state.select("cluster", "m", "s")
         scored = _scored_nodes(rows, coef, keys, state, family)
-        coef, step = finish_with_max(glm.advance(glm.cell_sums(scored, keys), keys, phi_by, zi_by, x is not None), "step")
+        coef, step = stored_with_max(glm.advance(glm.cell_sums(scored, keys), keys, phi_by, zi_by, x is not None), "step")
         move = _sigma_move(state, sigma, last)
         new = max(sigma * math.exp(move), SIGMA_FLOOR)
         iteration += 1
@@ -287,7 +292,7 @@ def fit_crossed(
     rows = checkpointed(cluster_rows(renamed, cluster, keys, y, None, ["level"]))
     coef = glm.starting_values(rows.drop("cluster", "level"), keys, family, phi_by, 0.0)
     effects = {
-        "level": finish(rows.select("level").distinct().withColumn("e_level", F.lit(0.0))),
+        "level": stored(rows.select("level").distinct().withColumn("e_level", F.lit(0.0))),
         "cluster": rows.select("cluster").distinct().withColumn("e_cluster", F.lit(0.0)),
     }
     sigma = {"level": 0.5, "cluster": 0.5}
@@ -302,7 +307,7 @@ def fit_crossed(
         return out.withColumns({"z": F.lit(0.0), "weight": F.col("n")})
 
     while iteration < max_iterations and not done:
-        coef, largest = finish_with_max(glm.advance(glm.cell_sums(scored(True), keys), keys, phi_by, None, False), "step")
+        coef, largest = stored_with_max(glm.advance(glm.cell_sums(scored(True), keys), keys, phi_by, None, False), "step")
         for name in ("level", "cluster"):
             precision = 1.0 / sigma[name] ** 2
             sums = scored(False).groupBy(name).agg(
@@ -313,7 +318,7 @@ def fit_crossed(
                 name, (F.col("e") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), move))).alias(f"e_{name}"),
                 (1 / (F.col("w") + precision)).alias("v"), F.abs(move).alias("step"),
             )
-            effects[name] = checkpointed(moved) if name == "cluster" else finish(moved)
+            effects[name] = checkpointed(moved) if name == "cluster" else stored(moved)
             row = effects[name].agg(F.avg(F.pow(f"e_{name}", 2) + F.col("v")), F.max("step")).first()
             new = math.sqrt(max(row[0], 1e-8))
             largest = max(largest, row[1], abs(new - sigma[name]))

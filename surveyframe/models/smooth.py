@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from surveyframe.models import glm
 from surveyframe.operators.keys import join_on
 from surveyframe.operators.ordering import exact_quantiles
-from surveyframe.session import checkpointed, finish, finish_with_max
+from surveyframe.session import checkpointed, stored, stored_with_max
 
 # Fixed value: size of the basis.
 BASIS = 4
@@ -85,10 +85,10 @@ def fit_smooth(
             *[F.max(f"b{i}").alias(f"b{i}") for i in range(BASIS)],
         )
         solved = sums.mapInPandas(_solve, schema).withColumnsRenamed(names)
-        coef, step = finish_with_max(solved, "step")
+        coef, step = stored_with_max(solved, "step")
         if step < tolerance:
             break
-    return finish(coef), knots
+    return stored(coef), knots
 
 
 def predict_smooth(coef: DataFrame, knots: Sequence[float], grid: DataFrame, keys: Sequence[str], x: str, out: str = "smooth_mean") -> DataFrame:

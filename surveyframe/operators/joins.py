@@ -116,8 +116,9 @@ def split_by_key(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> tuple[Dat
 
 
 def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Row with the smallest order values per group, as a mergeable minimum."""
-    row = F.min(F.struct(*order, *[c for c in keep if c not in order])).alias("__row")
+    """Row with the smallest order values per group, as a mergeable minimum; null orders last."""
+    ranked = [e for c in order for e in (F.col(c).isNull().alias(f"__no_{c}"), F.col(c))]
+    row = F.min(F.struct(*ranked, *[c for c in keep if c not in order])).alias("__row")
     return df.groupBy(*group).agg(row).select(*group, *[F.col("__row").getField(c).alias(c) for c in keep])
 
 

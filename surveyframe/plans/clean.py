@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from surveyframe.functions import scalars as S
 from surveyframe.operators.keys import attach_scalars
 from surveyframe.operators.reshape import to_long
-from surveyframe.session import finish
 
 LIFE_STAGES = ("juvenile", "adult")
 
@@ -59,13 +58,14 @@ def merge_observers(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def date_scale(rows: DataFrame, date: str = "date") -> DataFrame:
+def date_scale(rows: DataFrame, date: str = "date", weight: str | None = None) -> DataFrame:
     """One row: first date, mean and n-1 standard deviation of days since it.
 
-    Every observation row counts. Rows are counted per date first, so one narrow pass over
-    the data is followed by sums over a calendar.
+    Every observation row counts, once or ``weight`` times. Rows are counted per date first,
+    so one narrow pass over the data is followed by sums over a calendar.
     """
-    days = rows.where(F.col(date).isNotNull()).groupBy(date).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    count = F.sum(weight) if weight else F.count(F.lit(1))
+    days = rows.where(F.col(date).isNotNull()).groupBy(date).agg(count.cast("double").alias("n"))
     d = F.datediff(F.col(date), F.to_date(F.lit("1970-01-01"))).cast("double")
     n, w = F.sum("n"), F.col("n")
     sums = days.agg(
@@ -102,13 +102,11 @@ def clean_counts(
     observers are merged, on the smaller table. The z-score still weights every row.
     """
     kept = observations.where(~S.in_list("species", rules.exclude_species))
-    # The site list is finished once: while it is small the wide rows are not shuffled to meet it.
-    known = finish(sites.where(F.col("pair").isNotNull()))
-    placed = kept.join(known, "site", "inner")
+    placed = kept.join(sites.where(F.col("pair").isNotNull()), "site", "inner")
     merged = merge_observers(placed, ["site", "pair", "type", "date", "species"])
     # Absent species are zero rows of their survey already, so guilds join after merging.
     labelled = merged.join(guilds, "species", "left").join(deployments, "pair", "left")
-    timed = add_time_index(labelled, date_scale(placed), rules.anchor)
+    timed = add_time_index(labelled, date_scale(merged, weight="n_observer_rows"), rules.anchor)
     if rules.guild_levels:
         timed = timed.withColumn("guild", S.as_level("guild", rules.guild_levels))
     return timed.select(
@@ -180,15 +178,13 @@ def size_records(raw: DataFrame, rules: SizeRules, blank_is_null: bool = False)
     )
 
 
-def legacy_rates(df: DataFrame, parts: tuple[str, str], by: str) -> tuple[DataFrame, float | None]:
-    """Share of the first part among later, fully binned records: by group and overall.
-
-    The group sums are finished once; the overall rate adds them up.
-    """
+def legacy_rates(df: DataFrame, parts: tuple[str, str], by: str) -> tuple[DataFrame, Column]:
+    """Share of the first part among later, fully binned records: by group, and overall as a
+    scalar subquery over the same group sums."""
     a, b = (F.col(p) for p in parts)
     base = df.where(a.isNotNull() & b.isNotNull() & (a + b > 0))
-    sums = finish(base.groupBy(by).agg(F.sum(a).alias("__first"), F.sum(a + b).alias("__both")))
-    overall = sums.agg((F.sum("__first") / F.sum("__both")).alias("p")).first()["p"]
+    sums = base.groupBy(by).agg(F.sum(a).alias("__first"), F.sum(a + b).alias("__both"))
+    overall = sums.agg((F.sum("__first") / F.sum("__both")).alias("p")).select("p").scalar()
     return sums.select(by, (F.col("__first") / F.col("__both")).alias("p_first")), overall
 
 
@@ -196,7 +192,8 @@ def split_legacy_bin(df: DataFrame, old: str, parts: tuple[str, str], by: str) -
     """Divide a legacy bin into its two parts where either of them is missing.
 
     Both parts are overwritten there. Rates come from the group, else from all records.
-    Raises when no later record exists, because the fish of the old bin would be lost.
+    A job that meets a legacy count without any later record fails, because the fish of the
+    old bin would be lost.
     """
     if old not in df.columns:
         return df
@@ -204,10 +201,9 @@ def split_legacy_bin(df: DataFrame, old: str, parts: tuple[str, str], by: str) -
         if part not in df.columns:
             df = df.withColumn(part, F.lit(None).cast("int"))
     by_group, p_overall = legacy_rates(df, parts, by)
-    if p_overall is None:
-        raise ValueError(f"no record with both {parts}: {old} cannot be split")
     needed = F.col(old).isNotNull() & (F.col(parts[0]).isNull() | F.col(parts[1]).isNull())
-    first, second = S.split_count(old, F.coalesce("p_first", F.lit(p_overall)))
+    lost = F.raise_error(F.lit(f"no record with both {parts}: {old} cannot be split")).cast("double")
+    first, second = S.split_count(old, F.coalesce(F.col("p_first"), p_overall, F.when(F.col(old).isNotNull(), lost)))
     joined = df.join(by_group, by, "left")
     return joined.select(
         *[c for c in df.columns if c not in (old, *parts)],
@@ -270,7 +266,7 @@ def life_stage_rejects(long: DataFrame, maturity: DataFrame) -> DataFrame:
 
 def binned_records(records: DataFrame, sites: DataFrame, guilds: DataFrame, rules: SizeRules) -> DataFrame:
     """Site-matched records with the legacy bin divided, caps applied and guild attached."""
-    placed = records.join(finish(sites.where(F.col("pair").isNotNull())), "site", "inner")
+    placed = records.join(sites.where(F.col("pair").isNotNull()), "site", "inner")
     if rules.legacy:
         old, first, second = rules.legacy
         placed = split_legacy_bin(placed, old, (first, second), "species")

@@ -1,18 +1,13 @@
-"""Session helpers: checkpoint location and finishing intermediate frames once."""
+"""Session helpers: checkpoint location and intermediate tables computed once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: A finished frame with at most this many rows is kept as a local relation, whose
-#: exact size the optimizer knows; anything larger is checkpointed and joined by shuffle.
-SMALL_ROWS = 50_000
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, taken from ``spark.checkpoint.dir`` where it is set.
 
@@ -40,24 +35,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def finish(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Compute ``df`` once and return a frame that later steps can reuse.
-
-    At most ``max_rows + 1`` rows travel to the driver. A result within the bound comes
-    back as a local relation, so joins against it broadcast on Spark's own size check and
-    no hint is needed. A larger result is checkpointed and later joins shuffle.
-    """
-    return finish_with_max(df, None, max_rows)[0]
+def stored(df: DataFrame) -> DataFrame:
+    """Write as Parquet in the shared folder and read back: computed once, lineage cut, and a
+    size Spark knows, so that its own check decides between broadcast and shuffle."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def finish_with_max(df: DataFrame, column: str | None, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, float | None]:
-    """``finish`` and, in the same pass where possible, the largest value of one column."""
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows <= max_rows:
-        top = pc.max(table[column]).as_py() if column else None
-        return df.sparkSession.createDataFrame(table, schema=df.schema), top
-    stored = checkpointed(df)
-    return stored, (stored.agg({column: "max"}).first()[0] if column else None)
+def stored_with_max(df: DataFrame, column: str) -> tuple[DataFrame, float]:
+    """``stored`` and the largest value of one column."""
+    table = stored(df)
+    return table, table.agg({column: "max"}).first()[0]
 
 
 def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

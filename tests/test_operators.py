@@ -12,7 +12,7 @@ from surveyframe.operators import checks, effort, explore, joins, ordering, resh
 from surveyframe.operators.diversity import diversity
 from surveyframe.operators.keys import assert_unique, level_values
 from surveyframe.plans import clean
-from surveyframe.session import finish, literal_frame
+from surveyframe.session import literal_frame, stored
 from surveyframe.sources import tables
 
 SLOW = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -135,12 +135,10 @@ def test_lookup_keys_and_levels_are_checked(spark):
         level_values(spark.range(5).withColumn("c", F.col("id").cast("string")), "c", 3)
 
 
-def test_finish_small_is_local_and_large_is_checkpointed(spark):
-    small = finish(spark.range(10))
-    large = finish(spark.range(100), max_rows=20)
-    assert "LocalRelation" in small._jdf.queryExecution().optimizedPlan().toString()
-    assert "LocalRelation" not in large._jdf.queryExecution().optimizedPlan().toString() and large.count() == 100
-    assert literal_frame(spark, [], "a string, b double").count() == 0
+def test_stored_is_one_path_for_every_size(spark):
+    for n in (0, 10, 100_000):
+        kept = stored(spark.range(n))
+        assert kept.count() == n and "parquet" in kept._jdf.queryExecution().executedPlan().toString().lower()
 
 
 def test_effort_by_type_fills_zero(spark):
