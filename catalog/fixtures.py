@@ -47,6 +47,10 @@ SCHEMAS = {
 }
 
 
+#: Least support of a species comparison on the size records of this catalogue.
+SUPPORT = {"occupied_types": 2, "occupied_surveys": 12, "occupied_dates": 6, "juvenile_surveys": 4, "adult_surveys": 4}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A driver table under its stated schema, so that no job runs to infer it."""
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
@@ -217,11 +221,11 @@ def ord_surveys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rare(spark: SparkSession, sf: str) -> DataFrame:
-    """High-value events as sparse dates."""
-    e = table(spark, sf, "events").where(F.col("value") > 150)
+    """Events of a user pair within one hour of the day: dates with gaps."""
+    e = table(spark, sf, "events")
     return e.select(
-        F.concat(F.lit("pair_"), (F.col("user_id") % 10).cast("string")).alias("pair"),
-        _type(F.col("user_id"), 10).alias("type"),
+        F.concat(F.lit("pair_"), F.floor(F.col("user_id") / 2).cast("string"), F.lit("_"), F.hour("ts").cast("string")).alias("pair"),
+        F.when(F.col("user_id") % 2 == 1, TYPES[1]).otherwise(TYPES[0]).alias("type"),
         F.col("event_id").alias("survey_id"),
         day("ts").alias("date"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import catalog.views  # noqa: F401
 from catalog.registry import query, r
-from surveyframe import fixtures as fx
+from catalog import fixtures as fx
 from surveyframe.functions import scalars as S
 from surveyframe.operators import joins, reshape
 from surveyframe.plans import clean

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import catalog.views  # noqa: F401
 from catalog.registry import query, r
-from surveyframe import fixtures as fx
+from catalog import fixtures as fx
 from surveyframe.operators import checks, effort, explore
 from surveyframe.operators.diversity import diversity, diversity_summary
 from surveyframe.plans import clean, figures
@@ -253,15 +253,14 @@ def _(spark, sf):
 
 
 @query("species_support", """
-SELECT *, occupied_types = 2 AND occupied_surveys >= 10 AND occupied_dates >= 5 AND juvenile_individuals >= 10 AND adult_individuals >= 10
-       AND juvenile_surveys >= 3 AND adult_surveys >= 3 AS descriptive_support FROM (
+SELECT *, occupied_types >= 2 AND occupied_surveys >= 12 AND occupied_dates >= 6 AND juvenile_surveys >= 4 AND adult_surveys >= 4 AS descriptive_support FROM (
  SELECT species, sci_name, guild, count(DISTINCT survey_id) AS occupied_surveys, count(DISTINCT date) AS occupied_dates, count(DISTINCT type) AS occupied_types,
   CAST(coalesce(sum(stage_count) FILTER (WHERE life_stage = 'juvenile'), 0) AS BIGINT) AS juvenile_individuals,
   CAST(coalesce(sum(stage_count) FILTER (WHERE life_stage = 'adult'), 0) AS BIGINT) AS adult_individuals,
   count(DISTINCT survey_id) FILTER (WHERE life_stage = 'juvenile') AS juvenile_surveys,
   count(DISTINCT survey_id) FILTER (WHERE life_stage = 'adult') AS adult_surveys FROM stages GROUP BY species, sci_name, guild)""", ["stages"])
 def _(spark, sf):
-    return explore.species_support(fx.stages(spark, sf))
+    return explore.species_support(fx.stages(spark, sf), fx.SUPPORT)
 
 
 @query("box_stats", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import catalog.views  # noqa: F401
 from catalog.registry import query, r
-from surveyframe import fixtures as fx
+from catalog import fixtures as fx
 from surveyframe.models import contrasts as C
 from surveyframe.models import diagnostics as D
 from surveyframe.models import glm, mixed, smooth
@@ -346,15 +346,50 @@ def _(spark, sf):
     )
 
 
+STEP = {"type": ("Natural", "Artificial")}
+GROWTH = {"life_stage": ("juvenile", "adult")}
+SLOPE_TABLES = {
+    "by_type": results.ContrastTable(["type"], label=True),
+    "types_apart": results.ContrastTable([], STEP),
+    "by_pair_type": results.ContrastTable(["pair", "type"], label=True),
+    "types_apart_by_pair": results.ContrastTable(["pair"], STEP),
+    "by_cell": results.ContrastTable(["pair", "type", "guild"], adjust=True, label=True),
+    "types_apart_by_guild": results.ContrastTable(["pair", "guild"], STEP, adjust=True),
+}
+TYPE_RATIO = results.ContrastTable(["life_stage", "pair"], STEP, ratio=True)
+STAGE_RATIO = results.ContrastTable(["type", "pair"], GROWTH, ratio=True)
+STAGE_BY_TYPE = results.ContrastTable(["pair"], {**GROWTH, **STEP}, ratio=True)
+
+
+def _stage_ratio(fit, table, model_by=()):
+    return results.contrast_tables(fit, "intercept", {"x": table}, model_by)["x"]
+
+
 _SCELL = "SELECT life_stage, type, pair, ln(avg(stage_count)) AS est, 1 / sum(stage_count) AS v FROM sframe GROUP BY life_stage, type, pair"
 
 
+_GAP = "(SELECT pair, type, guild, CASE WHEN pair = 'pair_0' AND type = 'Artificial' AND guild = 'browse' THEN 0 ELSE count END AS count FROM gc WHERE NOT (pair = 'pair_1' AND type = 'Artificial'))"
+
+
+@query("contrast_gaps", f"""
+SELECT pair, CASE WHEN pair = 'pair_2' THEN round(e, 6) END AS estimate, CASE WHEN pair = 'pair_2' THEN round(sqrt(s), 6) END AS se FROM (
+  SELECT pair, sum(CASE WHEN type = 'Artificial' THEN est ELSE -est END) / count(DISTINCT guild) AS e, sum(v) / (count(DISTINCT guild) * count(DISTINCT guild)) AS s FROM (
+    SELECT pair, type, guild, CASE WHEN sum(count) > 0 THEN ln(avg(count)) END AS est, CASE WHEN sum(count) > 0 THEN 1.0 / sum(count) END AS v FROM {_GAP} GROUP BY ALL) GROUP BY pair)""", ["gc"])
+def _(spark, sf):
+    """One cell all zero (pair_0) and one side absent (pair_1): both contrasts are unknown."""
+    g = clean.guild_counts(fx.tidy(spark, sf)).where(~((F.col("pair") == "pair_1") & (F.col("type") == "Artificial")))
+    zero = (F.col("pair") == "pair_0") & (F.col("type") == "Artificial") & (F.col("guild") == "browse")
+    fit = glm.closed_form(g.withColumn("count", F.when(zero, 0).otherwise(F.col("count"))), CELL, "count")
+    coef, vcov = glm.coefficients(fit), glm.covariance(fit)
+    return C.contrast(coef, vcov, C.cell_weights(coef, "intercept", ["pair"], STEP), ["pair"]).select("pair", "estimate", "se")
+
+
 @query("interaction_contrast", f"""
 SELECT pair, round(e, 6) AS estimate, round(sqrt(s), 6) AS se, round(exp(e), 6) AS ratio FROM (
   SELECT pair, sum(CASE WHEN (life_stage = 'adult') = (type = 'Artificial') THEN est ELSE -est END) AS e, sum(v) AS s FROM ({_SCELL}) GROUP BY pair)""", ["sframe"])
 def _(spark, sf):
     fit = glm.closed_form(fx.stage_counts_frame(spark, sf), STAGE_CELL, "stage_count")
-    return results.stage_tables(fit)["pair_composition"].select("pair", "estimate", "se", "ratio")
+    return _stage_ratio(fit, STAGE_BY_TYPE).select("pair", "estimate", "se", "ratio")
 
 
 @query("ratio_contrast", f"""
@@ -362,14 +397,14 @@ SELECT life_stage, pair, round(exp(e), 6) AS ratio, round(exp(e - 1.959963984540
   SELECT life_stage, pair, sum(CASE WHEN type = 'Artificial' THEN est ELSE -est END) AS e, sum(v) AS s FROM ({_SCELL}) GROUP BY life_stage, pair)""", ["sframe"])
 def _(spark, sf):
     fit = glm.closed_form(fx.stage_counts_frame(spark, sf), STAGE_CELL, "stage_count")
-    return results.stage_tables(fit)["reef_contrasts"].select("life_stage", "pair", "ratio", "ratio_lower", "ratio_upper")
+    return _stage_ratio(fit, TYPE_RATIO).select("life_stage", "pair", "ratio", "ratio_lower", "ratio_upper")
 
 
 @query("slope_tables")
 def _(spark, sf):
     _, fit = _guild_fit(spark, sf)
     parts = []
-    for name, t in results.slope_tables(fit).items():
+    for name, t in results.contrast_tables(fit, "slope", SLOPE_TABLES).items():
         keep = [c for c in ("pair", "type", "guild", *_OUT, "p_value", "p_adjusted", "trajectory") if c in t.columns]
         parts.append(t.select(F.lit(name).alias("result"), *keep))
     out = parts[0]
@@ -433,7 +468,7 @@ SELECT pair, round(max(CASE WHEN type = 'Natural' THEN b END), 6) AS "log2_ratio
   SELECT type, pair, sum(CASE WHEN life_stage = 'juvenile' THEN est ELSE -est END) / ln(2) AS b FROM ({_SCELL}) GROUP BY type, pair) GROUP BY pair""", ["sframe"])
 def _(spark, sf):
     fit = glm.closed_form(fx.stage_counts_frame(spark, sf), STAGE_CELL, "stage_count")
-    return figures.balance_segments(figures.balance_frame(results.stage_tables(fit)["stage_contrasts"]), fx.TYPES)
+    return figures.balance_segments(figures.balance_frame(_stage_ratio(fit, STAGE_RATIO)), fx.TYPES)
 
 
 @query("fig_species")
@@ -442,5 +477,4 @@ def _(spark, sf):
     by = ["species", "type", "pair"]
     predicted = results.predicted_stages(fit, by)
     shares = results.stage_proportions(predicted, by, "conditional_mean")
-    tables = results.stage_tables(fit, ["species"])
-    return figures.species_frame(shares, tables["stage_contrasts"], tables["pair_composition"])
+    return figures.species_frame(shares, _stage_ratio(fit, STAGE_RATIO, ["species"]), _stage_ratio(fit, STAGE_BY_TYPE, ["species"]))

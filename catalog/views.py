@@ -124,9 +124,9 @@ SELECT 'cust_' || CAST(o_custkey AS VARCHAR) AS site, 'pair_' || CAST(o_custkey
        CAST(o_orderdate AS DATE) AS date, 'order_' || CAST(o_orderkey AS VARCHAR) AS survey_id,
        CAST(floor(o_totalprice / 1000) AS BIGINT) AS count FROM orders""")
 cte("rare", """
-SELECT 'pair_' || CAST(user_id % 10 AS VARCHAR) AS pair,
-       CASE WHEN (user_id // 10) % 2 = 1 THEN 'Artificial' ELSE 'Natural' END AS type,
-       event_id AS survey_id, CAST(ts AS DATE) AS date FROM events WHERE value > 150""")
+SELECT 'pair_' || CAST(user_id // 2 AS VARCHAR) || '_' || CAST(hour(ts) AS VARCHAR) AS pair,
+       CASE WHEN user_id % 2 = 1 THEN 'Artificial' ELSE 'Natural' END AS type,
+       event_id AS survey_id, CAST(ts AS DATE) AS date FROM events""")
 cte("gaps", """
 SELECT pair, type AS focal_type, date AS focal_date, min(gap) AS nearest_gap_days, any_value(n) AS n FROM (
   SELECT f.pair, f.type, f.date, f.n, abs(f.date - o.date) AS gap

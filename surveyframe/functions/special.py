@@ -172,6 +172,21 @@ def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return _series(np.where(finite, _beta_lower(d / 2, np.full_like(d, 0.5), d / (d + t * t)), np.where(np.isnan(df), np.nan, normal)))
 
 
+@F.pandas_udf(DoubleType())
+def _t_975(df: pd.Series) -> pd.Series:
+    """97.5 % point by bisection of the beta tail: x = df / (df + t * t) has I_x(df / 2, 1 / 2) = 0.05."""
+    n = df.to_numpy(float)
+    usual = np.where(np.isfinite(n) & (n > 0), n, 1.0)
+    low, high = np.zeros(len(n)), np.ones(len(n))
+    for _ in range(60):
+        x = (low + high) / 2
+        less = _beta_lower(usual / 2, np.full(len(n), 0.5), x) < 0.05
+        low, high = np.where(less, x, low), np.where(less, high, x)
+    x = (low + high) / 2
+    t = np.sqrt(usual * (1 - x) / x)
+    return _series(np.where(np.isinf(n), 1.959963984540054, np.where(n > 0, t, np.nan)))
+
+
 @F.pandas_udf(DoubleType())
 def _chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return _series(_gamma_upper(df.to_numpy(float) / 2, x.to_numpy(float) / 2))
@@ -233,6 +248,11 @@ def t_two_sided(t: ColumnOrName, df: ColumnOrName) -> Column:
     return _t_two_sided(_double(t), _double(df))
 
 
+def t_975(df: ColumnOrName) -> Column:
+    """97.5 % point of Student's t; an infinite df gives the normal point."""
+    return _t_975(_double(df))
+
+
 def chi2_upper_tail(x: ColumnOrName, df: ColumnOrName) -> Column:
     return _chi2_tail(_double(x), _double(df))
 

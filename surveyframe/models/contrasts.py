@@ -11,26 +11,15 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyframe.functions.scalars import significance_label, trajectory_label
-from surveyframe.functions.special import chi2_upper_tail, t_two_sided
+from surveyframe.functions.special import chi2_upper_tail, t_975, t_two_sided
 from surveyframe.operators.keys import attach_scalars, join_on
 from surveyframe.operators.ordering import ranked_values, running_max
 from surveyframe.session import literal_frame
 
-# Fixed value: 97.5 % point of the normal distribution.
-Z975 = 1.959963984540054
-
-
-def t975(df: Column) -> Column:
-    """97.5 % point of Student's t by its expansion around the normal point."""
-    z = Z975
-    g1, g2, g3 = (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
-    return F.lit(z) + g1 / df + g2 / (df * df) + g3 / (df * df * df)
-
-
 def _term_join(coef: DataFrame, weights: DataFrame) -> list[str]:
     return ["model", "term"] if "model" in weights.columns else ["term"]
 
@@ -58,7 +47,7 @@ def contrast(coef: DataFrame, vcov: DataFrame, weights: DataFrame, by: Sequence[
         "variance", "__known", "__wanted", "__pairs", "__gaps"
     )
     out = out.withColumn("statistic", F.try_divide("estimate", "se"))
-    reach = t975(F.col("df")) * F.col("se")
+    reach = t_975("df") * F.col("se")
     return out.withColumns(
         {"lower": F.col("estimate") - reach, "upper": F.col("estimate") + reach, "p_value": t_two_sided("statistic", "df")}
     )

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyframe.functions.scalars import format_p, signif
+from surveyframe.functions.special import t_975, t_two_sided
+from surveyframe.models import contrasts as C
+from surveyframe.models import glm
+
 
 def stage_proportions(means: DataFrame, by: Sequence[str], response: str = "response") -> DataFrame:
     """Juvenile and adult responses side by side with their shares."""
@@ -23,11 +29,7 @@ def stage_proportions(means: DataFrame, by: Sequence[str], response: str = "resp
 
 def coef_table(coef: DataFrame, digits: int = 3) -> DataFrame:
     """Coefficients for print: three significant figures, interval and p as text."""
-    from surveyframe.functions.scalars import format_p, signif
-    from surveyframe.functions.special import t_two_sided
-    from surveyframe.models.contrasts import t975
-
-    reach = t975(F.col("df")) * F.col("se")
+    reach = t_975("df") * F.col("se")
     text = lambda c: signif(c, digits).cast("string")
     bounds = F.concat(F.lit("["), text(F.col("estimate") - reach), F.lit(", "), text(F.col("estimate") + reach), F.lit("]"))
     p = format_p(t_two_sided(F.col("estimate") / F.col("se"), F.col("df")))
@@ -37,49 +39,37 @@ def coef_table(coef: DataFrame, digits: int = 3) -> DataFrame:
     )
 
 
-def slope_tables(fit, guild: str = "guild", pair: str = "pair", kind: str = "type", levels=("Natural", "Artificial")) -> dict[str, DataFrame]:
-    """Slopes per type, per pair and type, per guild; and the type difference of each.
+@dataclass(frozen=True)
+class ContrastTable:
+    """One wanted table: groups, optional (from, to) per changed factor, and how p is treated."""
+
+    by: Sequence[str]
+    change: Mapping[str, tuple[str, str]] | None = None
+    adjust: bool = False
+    label: bool = False
+    ratio: bool = False
 
-    Only the guild tables adjust p: all guild slopes are one family, all guild differences
-    another.
-    """
-    from surveyframe.models import contrasts as C
-    from surveyframe.models import glm
-
-    coef, vcov = glm.coefficients(fit), glm.covariance(fit)
-    step = {kind: tuple(levels)}
-    make = lambda by, change=None: C.contrast(coef, vcov, C.cell_weights(coef, "slope", by, change), by)
-    adjusted = lambda df: C.holm(df, "p_value")
-    return {
-        "overall_slopes": C.labelled(make([kind])),
-        "overall_contrast": make([], step),
-        "pair_slopes": C.labelled(make([pair, kind])),
-        "pair_contrasts": make([pair], step),
-        "guild_slopes": C.labelled(adjusted(make([pair, kind, guild])), "p_adjusted"),
-        "guild_contrasts": adjusted(make([pair, guild], step)),
-    }
-
-
-def stage_tables(fit, model_by: Sequence[str] = (), kind: str = "type", pair: str = "pair", levels=("Natural", "Artificial")) -> dict[str, DataFrame]:
-    """Ratios of a life-stage fit: between types, between stages, and their ratio, with
-    numerator and denominator named by the change (from, to)."""
-    from surveyframe.models import contrasts as C
-    from surveyframe.models import glm
 
+def contrast_tables(
+    fit, part: str, wanted: Mapping[str, ContrastTable], model_by: Sequence[str] = ()
+) -> dict[str, DataFrame]:
+    """The wanted contrasts of a fit's intercepts or slopes under the caller's names.
+
+    ``adjust`` makes the p of a table one family, ``label`` names the direction of a slope
+    (by the adjusted p where there is one), ``ratio`` leaves the log scale.
+    """
     coef, vcov = glm.coefficients(fit, model_by), glm.covariance(fit, model_by)
-    stage = {"life_stage": ("juvenile", "adult")}
-    kinds = {kind: tuple(levels)}
-    make = lambda by, change: C.as_ratio(C.contrast(coef, vcov, C.cell_weights(coef, "intercept", by, change), by))
-    return {
-        "reef_contrasts": make(["life_stage", pair], kinds),
-        "stage_contrasts": make([kind, pair], stage),
-        "pair_composition": make([pair], {**stage, **kinds}),
-        "overall_composition": make([], {**stage, **kinds}),
-    }
+    out = {}
+    for name, table in wanted.items():
+        found = C.contrast(coef, vcov, C.cell_weights(coef, part, table.by, table.change), table.by)
+        if table.adjust:
+            found = C.holm(found, "p_value")
+        if table.label:
+            found = C.labelled(found, "p_adjusted" if table.adjust else "p_value")
+        out[name] = C.as_ratio(found) if table.ratio else found
+    return out
 
 
 def predicted_stages(fit, by: Sequence[str]) -> DataFrame:
     """Predicted stage counts with their band, one row per cell."""
-    from surveyframe.models import glm
-
     return glm.predict(fit, fit.coef.select(*by, "life_stage"))
