@@ -132,7 +132,8 @@ def starting_values(rows: DataFrame, keys: list[str], family: str, phi_by: list[
 
 
 def over(keys: Sequence[str] | None):
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    """A window over cells (one row each) that share ``keys``; without keys over all cells."""
+    return Window.partitionBy(*(keys or []))
 
 
 def with_linear_predictor(rows: DataFrame, coef: DataFrame, keys: Sequence[str]) -> DataFrame:

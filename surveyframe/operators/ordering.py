@@ -1,46 +1,47 @@
 """Ranks and quantiles of unbounded groups without one task per group.
 
-Equal values are counted first. Each value then falls in an order-preserving bucket;
-bucket totals give the number of smaller values, and only the inside of a bucket is
-sorted. A group holding most of the data is spread over its buckets.
+Equal values are counted first. The counted values are range-partitioned by group and value,
+with bounds Spark samples from the data, and each value keeps the number of its range. Range
+totals give the number of smaller values, and only the inside of a range is sorted: a group
+holding most of the data is spread over many ranges of even size, wherever its values lie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyframe.operators.keys import join_on
+from surveyframe.session import stored
 
-#: Buckets per doubling of magnitude.
-PER_OCTAVE = 1024
-# Larger than any possible |log2| * PER_OCTAVE of a double.
-_SHIFT = 2_000_000
 
+def in_ranges(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``df`` stored with the number of the range that holds (keys, value) as ``__bucket``.
 
-def value_bucket(value: Column) -> Column:
-    """Integer that never decreases as the value increases."""
-    value = value.cast("double")
-    size = F.floor(F.log2(F.abs(value)) * PER_OCTAVE) + _SHIFT
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("bigint"))
+    Ranges are ordered by key, then value. The number is stored because it belongs to this
+    partitioning; the stored table is what all later steps read.
+    """
+    placed = df.repartitionByRange(*[F.col(k) for k in keys], F.col(value))
+    return stored(placed.withColumn("__bucket", F.spark_partition_id()))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """One row per key and distinct value with its number of rows and bucket."""
+    """One row per key and distinct value with its number of rows and range."""
     n = F.sum(weight) if weight else F.count(F.lit(1))
     kept = df.where(F.col(value).isNotNull())
     if weight:
         kept = kept.where(F.col(weight) > 0)
     counts = kept.groupBy(*keys, value).agg(n.cast("bigint").alias("__n"))
-    return counts.withColumn("__bucket", value_bucket(F.col(value)))
+    return in_ranges(counts, keys, value)
 
 
 def bucket_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows before each bucket and rows in the whole group; at most one row per bucket."""
+    """Rows before each range and rows in the whole group. The windows hold one row per group
+    and range: without keys, as many rows as there are partitions."""
     totals = counts.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__in_bucket"))
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    group = Window.partitionBy(*keys)
     running = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return totals.withColumns(
         {
@@ -51,7 +52,7 @@ def bucket_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """(keys, value, n, n_before, total): how many rows of the group are smaller."""
+    """(keys, value, n, n_before, total, __bucket): how many rows of the group are smaller."""
     keys = list(keys)
     counts = value_counts(df, keys, value, weight)
     placed = join_on(counts, bucket_offsets(counts, keys), keys + ["__bucket"])
@@ -60,7 +61,7 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, weight: str |
     )
     before = F.col("__before") + F.sum("__n").over(inside) - F.col("__n")
     return placed.select(
-        *keys, value, F.col("__n").alias("n"), before.alias("n_before"), F.col("__total").alias("total")
+        *keys, value, F.col("__n").alias("n"), before.alias("n_before"), F.col("__total").alias("total"), "__bucket"
     )
 
 
@@ -73,7 +74,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, exact for any group size.
 
-    Only the buckets that contain a wanted rank are sorted.
+    Only the ranges that contain a wanted rank are sorted.
     """
     keys = list(keys)
     counts = value_counts(df, keys, value, weight)
@@ -109,10 +110,10 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def running_max(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
     """Largest ``value`` among rows of the group ordered at or before this one, where
-    ``order`` is a value column with distinct entries per group."""
+    ``order`` is a value column with distinct entries per group, in the ranges of ``ranked_values``."""
     keys = list(keys)
-    placed = df.withColumn("__bucket", value_bucket(F.col(order)))
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    placed = df
+    group = Window.partitionBy(*keys)
     earlier = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     tops = placed.groupBy(*keys, "__bucket").agg(F.max(value).alias("__top"))
     tops = tops.withColumn("__earlier", F.max("__top").over(earlier)).drop("__top")
