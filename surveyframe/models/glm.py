@@ -381,11 +381,13 @@ def covariance(fit: CellFit, model_by: Sequence[str] = (), model: str = "model")
 
 
 def fit_dispersion(
-    rows: DataFrame, family: str, by: Sequence[str] = (), candidates: int = 24, rounds: int = 6
+    rows: DataFrame, family: str, by: Sequence[str] = (), candidates: int = 24, tolerance: float = 1e-8, max_rounds: int = 100
 ) -> DataFrame:
     """Dispersion per group for rows (by, mu, y, n) by profile likelihood.
 
-    One pass evaluates a grid of candidates over the rows, Newton steps in log phi follow.
+    One pass evaluates a grid of candidates over the rows, Newton steps in log phi follow until
+    no group moves by ``tolerance``; groups whose likelihood keeps rising to a bound of phi
+    (1e-8, 1e8) rest there. Raises if ``max_rounds`` are not enough.
     """
     by = list(by)
     keyed = checkpointed(rows.select(*by, "mu", "y", "n"))
@@ -393,7 +395,7 @@ def fit_dispersion(
     ll = families.loglik(family, F.col("y"), F.col("mu"), F.col("phi"))
     profile = keyed.withColumn("phi", F.explode(grid)).groupBy(*by, "phi").agg(F.sum(F.col("n") * ll).alias("ll"))
     current = stored(profile.groupBy(*by).agg(F.max_by("phi", "ll").alias("phi")))
-    for _ in range(rounds):
+    for _ in range(max_rounds):
         joined = join_on(keyed, current.select(*by, "phi"), by) if by else keyed.withColumn("phi", current.select("phi").scalar())
         scored = families.with_derivatives(joined.withColumn("eta", F.ln("mu")).drop("mu"), family)
         ll = families.loglik(family, F.col("y"), F.col("mu"), F.col("phi"))
@@ -403,8 +405,12 @@ def fit_dispersion(
         )
         move = F.when(F.col("h") < 0, -F.col("u") / F.col("h")).otherwise(F.signum("u") * 0.5)
         move = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), move))
-        current = stored(sums.select(*by, (F.col("phi") * F.exp(move)).alias("phi"), F.abs(move).alias("step"), "loglik", "n"))
-    return current
+        new = F.greatest(F.lit(1e-8), F.least(F.lit(1e8), F.col("phi") * F.exp(move)))
+        moved = F.abs(F.ln(new / F.col("phi")))
+        current, largest = stored_with_max(sums.select(*by, new.alias("phi"), moved.alias("step"), "loglik", "n"), "step")
+        if largest is None or largest < tolerance:
+            return current
+    raise RuntimeError(f"dispersion still moves by {largest} after {max_rounds} rounds")
 
 
 # --- comparison --------------------------------------------------------------------------

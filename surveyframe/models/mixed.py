@@ -277,7 +277,7 @@ def fit_crossed(
     small: str,
     family: str = "nb2",
     phi_by: Sequence[str] | None = (),
-    max_iterations: int = 8,
+    max_iterations: int = 300,
     tolerance: float = 1e-3,
 ) -> MixedFit:
     """Cells with intercepts for every cluster and every level of a second factor.
@@ -325,6 +325,8 @@ def fit_crossed(
             sigma[name] = new
         iteration += 1
         done = largest < tolerance
+    if not done:
+        raise RuntimeError(f"crossed intercepts still move by {largest} after {max_iterations} iterations")
     both = effects["cluster"].select("cluster", F.col("e_cluster").alias("m"))
     stats = {"sigma": sigma["cluster"], "sigma_level": sigma["level"], "iterations": iteration, "converged": bool(done), "last_step": largest}
     fit = MixedFit(family, keys, False, coef, both, None, stats)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+_shipped: set[str] = set()
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, taken from ``spark.checkpoint.dir`` where it is set.
@@ -35,6 +39,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, for the functions that run in Python there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="surveyframe-")) / "surveyframe.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(home.rglob("*.py")):
+            z.write(path, path.relative_to(home.parent))
+    sc.addPyFile(str(archive))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write as Parquet in the shared folder and read back: computed once, lineage cut, and a
     size Spark knows, so that its own check decides between broadcast and shuffle."""
