@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.llm import words as W
 from surveyframe.llm.graph import components
+from surveyframe.llm.prefilter import likely_members
 from surveyframe.llm.ranges import ask, dump, load
 from surveyframe.llm.storage import stored
 
@@ -366,9 +367,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     same = vertices.groupBy("set_key").agg(
         F.min("doc_id").alias("vertex"), F.max(den * F.col("repeated") >= num * F.col("n_shingles")).alias("possible")
     )
-    wanted = same.where("possible").select(F.col("vertex").alias("w_doc"))
+    wanted = stored(same.where("possible").select(F.col("vertex").alias("w_doc")))
+    likely = likely_members(read, "doc_id", wanted, "w_doc")
     sets = stored(
-        read.join(wanted, F.col("doc_id") == F.col("w_doc"), "left_semi").mapInArrow(_sets_of(k), "doc_id long, n long, tokens binary")
+        likely.join(wanted, F.col("doc_id") == F.col("w_doc"), "left_semi").mapInArrow(_sets_of(k), "doc_id long, n long, tokens binary")
         .where(F.col("n") > 0)
     )
     near = stored(prefixes(sets, num, den))
