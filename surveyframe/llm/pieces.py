@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A text becomes units: a run of spaces with the characters up to the next space (with the model's leading
-space); no piece reaches across a unit's end, so a batch needs every distinct unit once. The distinct units
-are concatenated and indexed by their sorted suffixes (to the length of the longest piece); every piece of
+space); no piece reaches across a unit's end, so a batch needs every distinct unit once. A worker keeps the
+ids of up to `KNOWN_UNITS` units and forgets them all when more come. A batch's new units are concatenated and indexed by their sorted suffixes (to the length of the longest piece); every piece of
 the vocabulary finds its range of occurrences by binary search. The occurrences are edges between character
 positions. Sorted by position, they are relaxed in order of score: an edge whose inside is exactly two
 symbols joins them, best score first, then leftmost, until no edge applies. Short units do so side by side,
@@ -31,7 +31,8 @@ from surveyframe.llm import words as W
 LONG_UNIT = 48
 MARK = "▁"
 _TOP = "\U0010ffff"
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+KNOWN_UNITS = 200_000
 
 
 class PieceModel:
@@ -70,9 +71,21 @@ class PieceModel:
                 texts[k] = p.piece.replace(MARK, " ").encode()
             elif p.type == 2:
                 texts[k] = " ⁇ ".encode()
+        self.forget()
         self.bytes_at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
 
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.known_ids = np.zeros(0, dtype=np.int32)
+        self.known_at = np.zeros(1, dtype=np.int64)
+
+    def remember(self, keys: list[int], units: list[bytes]) -> None:
+        ids, at = self.unit_ids(units)
+        self.known.update(zip(keys, range(len(self.known_at) - 1, len(self.known_at) - 1 + len(keys))))
+        self.known_at = np.concatenate([self.known_at, len(self.known_ids) + at[1:]])
+        self.known_ids = np.concatenate([self.known_ids, ids.astype(np.int32)])
+
     def edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position and piece (in sorted order) of every occurrence in `code`, by position, then length."""
         padded = np.concatenate([code, np.zeros(self.width, np.uint32)])
@@ -208,12 +221,19 @@ def encode(model: PieceModel, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.
     first[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(first)
     ends = np.append(starts[1:], len(buf))
-    _, sample, which = np.unique(W.byte_hash(buf, starts, ends), return_index=True, return_inverse=True)
-    data = buf.tobytes()
-    ids, at = model.unit_ids([data[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist())])
-    sizes = np.diff(at)[which]
+    keys, sample, which = np.unique(W.byte_hash(buf, starts, ends), return_index=True, return_inverse=True)
+    keys = keys.tolist()
+    new = [i for i, key in enumerate(keys) if key not in model.known]
+    if len(model.known) + len(new) > KNOWN_UNITS:
+        model.forget()
+        new = list(range(len(keys)))
+    if new:
+        data = buf.tobytes()
+        model.remember([keys[i] for i in new], [data[starts[s] : ends[s]] for s in sample[new].tolist()])
+    unit = np.array([model.known[key] for key in keys], dtype=np.int64)[which]
+    sizes = np.diff(model.known_at)[unit]
     places = np.concatenate([[0], np.cumsum(sizes)])
-    return ids[_ranges(at[:-1][which], sizes)], places[np.searchsorted(starts, offsets)]
+    return model.known_ids[_ranges(model.known_at[:-1][unit], sizes)], places[np.searchsorted(starts, offsets)]
 
 
 def decode(model: PieceModel, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
