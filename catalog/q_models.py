@@ -192,7 +192,7 @@ def _(spark, sf):
 
 @query("mixed_crossed")
 def _(spark, sf):
-    fit = mixed.fit_crossed(_stages(spark, sf), STAGE_CELL, "stage_count", "survey_id", "species", "nb2", phi_by=["type"])
+    fit = mixed.fit_crossed(_stages(spark, sf), STAGE_CELL, "stage_count", "survey_id", "species", "nb2", phi_by=["type"], between=["type", "pair"])
     return mixed.effect_table(fit)
 
 

@@ -135,7 +135,10 @@ def design_support(df: DataFrame, specs: Mapping[str, ModelSpec]) -> DataFrame:
 
 @dataclass
 class LinearFit:
-    """Gaussian fit with its dense p×p parts; rows stay in Spark."""
+    """Gaussian fit with its dense p×p parts; rows stay in Spark.
+
+    Terms that the design cannot tell apart (``stats["aliased"]``) have null estimates and covariances.
+    """
 
     spec: ModelSpec
     beta: np.ndarray
@@ -145,12 +148,16 @@ class LinearFit:
 
     def coefficients(self, spark: SparkSession, model: str = "model") -> DataFrame:
         se = np.sqrt(np.diag(self.cov))
-        rows = [(model, n, float(b), float(s), float(self.stats["df"])) for n, b, s in zip(self.spec.names(), self.beta, se)]
+        known = lambda n, v: None if n in self.stats["aliased"] else float(v)
+        rows = [(model, n, known(n, b), known(n, s), float(self.stats["df"])) for n, b, s in zip(self.spec.names(), self.beta, se)]
         return literal_frame(spark, rows, "model string, term string, estimate double, se double, df double")
 
     def covariance(self, spark: SparkSession, model: str = "model") -> DataFrame:
         names = self.spec.names()
-        rows = [(model, a, b, float(self.cov[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+        gone = set(self.stats["aliased"])
+        rows = [
+            (model, a, b, None if a in gone or b in gone else float(self.cov[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)
+        ]
         return literal_frame(spark, rows, "model string, term_i string, term_j string, value double")
 
     def predict(self, grid: DataFrame) -> DataFrame:
@@ -165,6 +172,15 @@ class LinearFit:
         return wide.select(*grid.columns, mean.alias("predicted"), F.sqrt(var).alias("se"))
 
 
+def inestimable(cross: np.ndarray, names: Sequence[str]) -> list[str]:
+    """Terms whose coefficient the design leaves open: those in the null space of its cross products."""
+    scale = np.sqrt(np.diag(cross))
+    safe = np.where(scale > 0, scale, 1.0)
+    values, vectors = np.linalg.eigh(cross / np.outer(safe, safe))
+    null = vectors[:, values <= 1e-9 * max(values.max(), 1e-300)]
+    return [n for n, v in zip(names, np.abs(null).max(axis=1, initial=0.0)) if v > 1e-6]
+
+
 def fit_gaussian(df: DataFrame, spec: ModelSpec, y: str, var_by: str | None = None, rounds: int = 200) -> LinearFit:
     """Linear model with a variance per ``var_by`` group by maximum likelihood.
 
@@ -185,7 +201,8 @@ def fit_gaussian(df: DataFrame, spec: ModelSpec, y: str, var_by: str | None = No
         for i, j in pairs:
             full[i, j] = full[j, i] = row[f"s{i}_{j}"]
         xx[row["g"]], xy[row["g"]], yy[row["g"]], n[row["g"]] = full[:p, :p], full[:p, p], full[p, p], row["n"]
-    var = {g: 1.0 for g in xx}
+    aliased = inestimable(sum(xx.values()), spec.names())
+    var, done = {g: 1.0 for g in xx}, False
     for _ in range(rounds):
         a = sum(xx[g] / var[g] for g in xx)
         beta = np.linalg.pinv(a) @ sum(xy[g] / var[g] for g in xx)
@@ -194,10 +211,12 @@ def fit_gaussian(df: DataFrame, spec: ModelSpec, y: str, var_by: str | None = No
         var = new
         if done:
             break
+    if not done:
+        raise RuntimeError(f"group variances still move after {rounds} rounds")
     cov = np.linalg.pinv(sum(xx[g] / var[g] for g in xx))
     loglik = sum(-0.5 * n[g] * (np.log(2 * np.pi * var[g]) + 1) for g in xx)
-    total, n_par = sum(n.values()), p + len(var)
-    stats = {"loglik": float(loglik), "n_obs": total, "n_par": n_par, "df": total - n_par, "aic": float(-2 * loglik + 2 * n_par)}
+    total, n_par = sum(n.values()), p - len(aliased) + len(var)
+    stats = {"loglik": float(loglik), "n_obs": total, "n_par": n_par, "df": total - n_par, "aic": float(-2 * loglik + 2 * n_par), "aliased": aliased, "converged": True}
     return LinearFit(spec, beta, cov, var, stats)
 
 

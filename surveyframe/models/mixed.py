@@ -279,12 +279,16 @@ def fit_crossed(
     phi_by: Sequence[str] | None = (),
     max_iterations: int = 300,
     tolerance: float = 1e-3,
+    between: Sequence[str] = (),
 ) -> MixedFit:
     """Cells with intercepts for every cluster and every level of a second factor.
 
     Penalised quasi-likelihood by turns: cells, levels, clusters. Each turn is one
     aggregation by its own key with the other effects held, so neither factor's size
-    matters. Variances add the effects' squares and their posterior variances.
+    matters. A variance is the effects' squares over their effective number (the count less the
+    posterior variances' share of the prior's), which settles faster than adding both up. The mean of the
+    levels, and of the clusters within each group of ``between`` (keys constant within a cluster),
+    moves into the cells each time: that part of the effects would else creep there.
     """
     keys = list(keys)
     phi_by = None if family == "poisson" else list(phi_by or [])
@@ -296,6 +300,7 @@ def fit_crossed(
         "cluster": rows.select("cluster").distinct().withColumn("e_cluster", F.lit(0.0)),
     }
     sigma = {"level": 0.5, "cluster": 0.5}
+    groups = checkpointed(rows.select("cluster", *between).distinct()) if between else None
     done, iteration = False, 0
 
     def scored(with_phi: bool) -> DataFrame:
@@ -318,9 +323,9 @@ def fit_crossed(
                 name, (F.col("e") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), move))).alias(f"e_{name}"),
                 (1 / (F.col("w") + precision)).alias("v"), F.abs(move).alias("step"),
             )
-            effects[name] = checkpointed(moved) if name == "cluster" else stored(moved)
-            row = effects[name].agg(F.avg(F.pow(f"e_{name}", 2) + F.col("v")), F.max("step")).first()
-            new = math.sqrt(max(row[0], 1e-8))
+            coef, effects[name] = _centred(coef, stored(moved), name, groups if name == "cluster" else None, list(between))
+            row = effects[name].agg(F.sum(F.pow(f"e_{name}", 2)), F.max("step"), F.count(F.lit(1)) - F.sum("v") * precision).first()
+            new = math.sqrt(max(row[0] / max(row[2], 1e-12), 1e-8))
             largest = max(largest, row[1], abs(new - sigma[name]))
             sigma[name] = new
         iteration += 1
@@ -334,6 +339,19 @@ def fit_crossed(
     return fit
 
 
+def _centred(coef: DataFrame, moved: DataFrame, name: str, groups: DataFrame | None, between: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Cells and effects with the effects' means (per group of clusters) moved into the cells."""
+    effect = F.col(f"e_{name}")
+    if groups is None:
+        attach = lambda df: attach_scalars(df, moved.agg(F.avg(effect).alias("by")))
+    else:
+        moved = join_on(moved, groups, [name])
+        means = stored(moved.groupBy(*between).agg(F.avg(effect).alias("by")))
+        attach = lambda df: join_on(df, means, between)
+    effects = attach(moved).withColumn(f"e_{name}", effect - F.col("by")).drop("by", *(between if groups is not None else []))
+    return stored(attach(coef).withColumn("a", F.col("a") + F.col("by")).drop("by")), stored(effects)
+
+
 def effect_table(fit: MixedFit) -> DataFrame:
     """Cells with the model-wide variance parts beside them."""
     spark = fit.coef.sparkSession

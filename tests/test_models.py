@@ -145,7 +145,7 @@ def test_crossed_effects_shrink_towards_zero(spark):
     rng = np.random.default_rng(8)
     level, cluster = rng.normal(0, 0.8, 6), rng.normal(0, 0.4, 50)
     rows = [(f"s{i}", f"k{j}", "c", int(rng.poisson(math.exp(1.5 + level[i] + cluster[j])))) for i in range(6) for j in range(50)]
-    fit = mixed.fit_crossed(spark.createDataFrame(rows, "sp string, k string, cell string, y int"), ["cell"], "y", "k", "sp", "poisson", max_iterations=15)
+    fit = mixed.fit_crossed(spark.createDataFrame(rows, "sp string, k string, cell string, y int"), ["cell"], "y", "k", "sp", "poisson")
     got = np.array([r["m"] for r in fit.levels.orderBy("level").collect()])
     assert np.corrcoef(got, level)[0, 1] > 0.98
     assert fit.stats["sigma"] == pytest.approx(0.4, abs=0.15)
