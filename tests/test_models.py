@@ -277,3 +277,40 @@ def test_special_functions(spark):
     assert row["n"] == pytest.approx(0.6**3 * (1 + 3 * 0.4))
     assert row["b"] == pytest.approx(sum(math.comb(5, k) * 0.3**k * 0.7 ** (5 - k) for k in range(3)))
     assert row["z"] is None
+
+
+def test_contrast_with_an_all_zero_cell_or_an_absent_side_is_null(spark):
+    rows = [(p, t, g, y) for p in ("p0", "p1", "p2") for t in ("Natural", "Artificial") for g in ("a", "b") for y in (1, 2, 4)]
+    rows = [(p, t, g, 0 if (p, t, g) == ("p0", "Artificial", "a") else y) for p, t, g, y in rows if (p, t) != ("p1", "Artificial")]
+    rows = [r for r in rows if r[:3] != ("p2", "Natural", "b")]
+    fit = glm.closed_form(spark.createDataFrame(rows, "pair string, type string, guild string, y int"), ["pair", "type", "guild"], "y")
+    coef, vcov = glm.coefficients(fit), glm.covariance(fit)
+    step = {"type": ("Natural", "Artificial")}
+    found = {r["pair"]: r for r in C.contrast(coef, vcov, C.cell_weights(coef, "intercept", ["pair"], step), ["pair"]).collect()}
+    for pair in ("p0", "p1", "p2"):  # an all-zero cell, an absent side, an absent cell
+        assert all(found[pair][c] is None for c in ("estimate", "se", "lower", "upper", "p_value"))
+    means = {(r["pair"], r["type"]): r for r in C.contrast(coef, vcov, C.cell_weights(coef, "intercept", ["pair", "type"]), ["pair", "type"]).collect()}
+    assert means["p0", "Artificial"]["estimate"] is None and means["p2", "Natural"]["estimate"] is None
+    assert means["p0", "Natural"]["estimate"] == pytest.approx(math.log(7 / 3))
+
+
+def test_t_interval_at_few_degrees_of_freedom(spark):
+    got = [r[0] for r in spark.createDataFrame([(1.0,), (2.0,), (5.0,), (30.0,), (math.inf,)], "df double").select(special.t_975("df")).collect()]
+    assert got == pytest.approx([12.7062047, 4.3026527, 2.5705818, 2.0422725, 1.9599640], rel=1e-6)
+
+
+def test_durbin_watson_of_tied_times_has_one_answer(spark):
+    rows = [("s", 1, 2.0), ("s", 1, -1.0), ("s", 2, 0.5), ("s", 2, 1.5), ("s", 3, -2.0), ("s", 3, -1.0), ("s", 4, 1.0)]
+    answers = {
+        round(D.durbin_watson(spark.createDataFrame(order, "s string, t int, e double"), ["s"], "t", "e").first()["dw"], 9)
+        for order in (rows, rows[::-1], rows[1:] + rows[:1])
+    }
+    assert len(answers) == 1
+
+
+def test_aliased_terms_are_null(spark):
+    rows = [("a", "u", 1.0), ("a", "u", 2.0), ("b", "v", 3.0), ("b", "v", 5.0)]
+    spec = ModelSpec([("f",), ("g",)], {"f": ["a", "b"], "g": ["u", "v"]})
+    fit = fit_gaussian(spark.createDataFrame(rows, "f string, g string, y double"), spec, "y")
+    got = {r["term"]: r["estimate"] for r in fit.coefficients(spark).collect()}
+    assert len(fit.stats["aliased"]) == 2 and [v for v in got.values() if v is not None] == pytest.approx([1.5])

@@ -216,3 +216,22 @@ def test_tables_are_written_with_their_date(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     paths = tables.write_tables({"one": df}, str(tmp_path), "2024.01.01")
     assert spark.read.csv(paths["one"], header=True).count() == 3
+
+
+def test_first_per_group_puts_null_last(spark):
+    rows = [("a", None, 1), ("a", 5, 2), ("a", 3, 3), ("b", None, 4)]
+    found = joins.first_per_group(spark.createDataFrame(rows, "g string, d int, k int"), ["g"], ["d"], ["k"])
+    assert {r["g"]: r["k"] for r in found.collect()} == {"a": 3, "b": 4}
+
+
+def test_ranges_follow_the_data(spark):
+    """Values of one narrow octave still fall into several ranges of similar size."""
+    df = spark.range(20_000).select((F.lit(1.7e9) + F.col("id") / 100).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges would be merged
+    try:
+        counts = ordering.value_counts(df, [], "v")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in counts.groupBy("__bucket").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    assert ordering.exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"] == pytest.approx(1.7e9 + 99.995)
