@@ -34,12 +34,12 @@ from surveyframe.llm.prefilter import likely_members
 from surveyframe.llm.ranges import ask, dump, load
 from surveyframe.llm.storage import stored
 
-FLUSH_TOKENS = 1_000_000
-RANGE_BYTES = 12 << 20
-TILE_TOKENS = 1_000_000
+FLUSH_TOKENS = 500_000
+RANGE_BYTES = 8 << 20
+TILE_TOKENS = 500_000
 BITS = 1024
 FANOUT = 8
-PAIR_BLOCK = 1 << 14
+PAIR_BLOCK = 1 << 12
 
 _PACKED = "r long, batch binary, docs binary, counts binary, marks binary, hashes binary, known binary, ids binary, sizes binary, base binary, keys binary"
 _PACKED_NAMES = [f.split()[0] for f in _PACKED.split(", ")]
@@ -133,8 +133,10 @@ def _send(k: int, n_ranges: int):
                 if held >= FLUSH_TOKENS:
                     yield from _pack(sets, ids, n_ranges)
                     sets, ids, held = [], [], 0
+                    W.free_memory()
         if sets:
             yield from _pack(sets, ids, n_ranges)
+        W.free_memory()
 
     return run
 
@@ -163,6 +165,8 @@ def _find_repeated(key, table):
     for k, ids in enumerate(table.column("ids")):
         if ids.is_valid:
             out.append((table.column("batch")[k].as_py(), None, None, *(table.column(c)[k].as_py() for c in ("ids", "sizes", "base", "keys"))))
+    del hashes, known, sets, values, of, order, more
+    W.free_memory()
     names = ["batch", "docs", "found", "ids", "sizes", "base", "keys"]
     return pa.table({n: pa.array([row[k] for row in out], pa.binary()) for k, n in enumerate(names)})
 
@@ -354,6 +358,8 @@ def _link_group(num: int, den: int):
         if across and len(np.unique(tile)) < 2:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         a, b = link_sets(ids, sets, tile if across else np.zeros_like(tile), num, den)
+        del sets
+        W.free_memory()
         return pa.table({"a": a[a != b], "b": b[a != b]})
 
     return run

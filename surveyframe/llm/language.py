@@ -196,5 +196,6 @@ def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndar
             for lo, hi, raw, offsets in W.chunks(batch.column("text")):
                 label, _ = predict(raw, offsets, shared.value)
                 yield batch.slice(lo, hi - lo).filter(pa.array([x != "und" for x in label]))
+            W.free_memory()
 
     return docs.mapInArrow(run, docs.schema)

@@ -281,6 +281,8 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model") -> Dat
                     ],
                     names=["doc_id", "n_bytes", "n_pieces", "pieces", "round_trip"],
                 )
+                del raw, buf, ids, back, plain
+                W.free_memory()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return read.mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, pieces array<int>, round_trip boolean")

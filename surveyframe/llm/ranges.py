@@ -18,6 +18,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from surveyframe.llm.words import free_memory
+
 _SENT = "r long, batch binary, keys binary, extra binary, header binary"
 _BACK = "batch binary, r long, flags binary, header binary"
 
@@ -63,6 +65,8 @@ def ask(
     def send(batches):
         for keys, extras, header in prepare(batches):
             yield from pack(keys, extras, header, n_ranges)
+            del keys, extras, header
+            free_memory()
 
     def answer(key, table):
         out = []
@@ -75,6 +79,8 @@ def ask(
             for name, k, _ in entries:
                 out.append((name, key[0].as_py(), flags[at : at + len(k)].tobytes(), None))
                 at += len(k)
+            del entries, keys, extras, flags
+            free_memory()
         out += [(b.as_py(), -1, None, h.as_py()) for b, h in zip(table["batch"], table["header"]) if h.is_valid]
         return pa.table({n: pa.array([row[k] for row in out], pa.int64() if k == 1 else pa.binary()) for k, n in enumerate(["batch", "r", "flags", "header"])})
 
@@ -83,7 +89,9 @@ def ask(
         parts = sorted((r.as_py(), f.as_py()) for r, f in zip(table["r"], table["flags"]) if f.is_valid)
         kept = [f for k, (r, f) in enumerate(parts) if not k or parts[k - 1][0] != r]  # a batch sent twice has the same answers twice
         flags = np.frombuffer(b"".join(kept), np.uint8)
-        return finish(headers[0], flags, len(headers))
+        out = finish(headers[0], flags, len(headers))
+        free_memory()
+        return out
 
     back = docs.mapInArrow(send, _SENT).groupBy("r").applyInArrow(answer, _BACK)
     return back.groupBy("batch").applyInArrow(gather, schema)

@@ -41,8 +41,8 @@ from surveyframe.llm.ranges import ask, dump, group_span, load
 from surveyframe.llm.storage import stored
 
 ANCHOR_WORDS = 8
-FLUSH_WORDS = 1_000_000
-RANGE_BYTES = 24 << 20
+FLUSH_WORDS = 500_000
+RANGE_BYTES = 12 << 20
 _U = np.uint64
 _MANY = _U(0xFFFFFFFFFFFFFFFF)
 
