@@ -9,6 +9,7 @@ from catalog.registry import query, r
 from catalog import fixtures as fx
 from surveyframe.functions import scalars as S
 from surveyframe.operators import joins, reshape
+from surveyframe.operators.keys import numbered
 from surveyframe.plans import clean
 from surveyframe.sources.tables import drop_empty
 
@@ -182,11 +183,8 @@ def _(spark, sf):
 @query("row_id", """
 SELECT survey_id, guild, row_number() OVER (PARTITION BY survey_id ORDER BY guild) AS row_in_survey FROM gc""", ["gc"])
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    rows = clean.guild_counts(fx.tidy(spark, sf))
-    number = F.row_number().over(Window.partitionBy("survey_id").orderBy("guild"))
-    return rows.select("survey_id", "guild", number.alias("row_in_survey"))
+    rows = clean.guild_counts(fx.tidy(spark, sf)).select("survey_id", "guild")
+    return numbered(rows, ["survey_id"], ["guild"], "row_in_survey")
 
 
 @query("signif", """

@@ -297,7 +297,7 @@ FROM {_SMU}""", ["sframe"], places=4)
 def _(spark, sf):
     frame = _stages(spark, sf)
     fit = glm.closed_form(frame, ["species", "life_stage", "type"], "stage_count")
-    return D.pearson_dispersion(glm.fitted_rows(frame, fit), "poisson", "stage_count", 20)
+    return D.pearson_dispersion(glm.fitted_rows(frame, fit), "poisson", "stage_count", 20).drop("p_value")
 
 
 @query("zero_test", f"""

@@ -175,6 +175,7 @@ def safe_ratio(x: ColumnOrName, y: ColumnOrName) -> Column:
     return F.try_divide(as_col(x), as_col(y))
 
 
+# The texts of both labels.
 def trajectory_label(estimate: ColumnOrName, p: ColumnOrName, alpha: float = 0.05) -> Column:
     estimate, p = as_col(estimate), as_col(p)
     return (

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from surveyframe.functions.special import (
     binomial_cdf,
+    chi2_upper_tail,
     kolmogorov_tail,
     negative_binomial_cdf,
+    normal_cdf,
     normal_two_sided,
     poisson_cdf,
 )
@@ -26,8 +28,11 @@ def pit_residuals(rows: DataFrame, family: str, key: Sequence[str], y: str, seed
     """Randomised quantile residual ``u`` of rows with mu, phi and zi.
 
     u lies between F(y-1) and F(y); the place between them is a hash of the row key and the
-    seed, so it does not depend on partitioning.
+    seed, so it does not depend on partitioning. ``gaussian`` rows have mu and the variance phi,
+    and no draw: u is F(y).
     """
+    if family == "gaussian":
+        return rows.withColumn("u", normal_cdf((F.col(y) - F.col("mu")) / F.sqrt("phi")))
     cdf = {
         "poisson": lambda c: poisson_cdf(c, "mu"),
         "nb2": lambda c: negative_binomial_cdf(c, "mu", "phi"),
@@ -51,13 +56,14 @@ def ks_uniform(df: DataFrame, u: str = "u") -> DataFrame:
 
 
 def pearson_dispersion(rows: DataFrame, family: str, y: str, n_par: int) -> DataFrame:
-    """Sum of squared Pearson residuals over the residual degrees of freedom."""
+    """Sum of squared Pearson residuals over the residual degrees of freedom, and its upper-tail p."""
     square = F.pow(F.col(y) - F.col("mu"), 2) / families.variance(family, F.col("mu"), F.col("phi"))
-    return rows.agg(
+    out = rows.agg(
         F.sum(square).alias("chisq"),
         (F.count(F.lit(1)) - n_par).alias("df"),
         (F.sum(square) / (F.count(F.lit(1)) - n_par)).alias("dispersion"),
     )
+    return out.withColumn("p_value", chi2_upper_tail("chisq", "df"))
 
 
 def zero_test(rows: DataFrame, family: str, y: str) -> DataFrame:

@@ -59,8 +59,10 @@ def check_report(
     totals: DataFrame,
     species: Sequence[str],
     cell: Sequence[str] = ("pair", "type", "period", "guild"),
+    designs: DataFrame | None = None,
 ) -> DataFrame:
-    """All row-level checks of a cleaned count table as one frame."""
+    """All row-level checks of a cleaned count table as one frame; ``designs`` (the result of
+    ``design_support``) adds the check of the candidate designs."""
     surveys = tidy.select("survey_id", "n_observer_rows", "n_observers", "researchers").distinct()
     groups = explore.count_distribution(guilds, ["pair", "type", "guild"])
     differing = reconcile(tidy, guilds, ["survey_id", "guild"], "count", "count").where(
@@ -79,4 +81,6 @@ def check_report(
         verdict(explore.extremes(totals, ["pair", "type"]), "extremes", "no extreme survey", "extreme surveys"),
         verdict(explore.weak_cells(guilds, cell), "weak_cells", "all cells have support", "weak cells"),
     ]
+    if designs is not None:
+        rows.append(verdict(designs.where(~F.col("acceptable")), "designs", "every design can be estimated", "designs are deficient or near it"))
     return reduce(lambda a, b: a.unionByName(b), rows)

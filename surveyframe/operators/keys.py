@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _RIGHT = "__right"
@@ -54,5 +54,10 @@ def level_values(df: DataFrame, column: str, max_levels: int = 10_000) -> list:
     return sorted(r[0] for r in rows)
 
 
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "row_id") -> DataFrame:
+    """Running number of each row within its (small) group."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)

@@ -314,3 +314,12 @@ def test_aliased_terms_are_null(spark):
     fit = fit_gaussian(spark.createDataFrame(rows, "f string, g string, y double"), spec, "y")
     got = {r["term"]: r["estimate"] for r in fit.coefficients(spark).collect()}
     assert len(fit.stats["aliased"]) == 2 and [v for v in got.values() if v is not None] == pytest.approx([1.5])
+
+
+def test_gaussian_residuals_and_dispersion_p(spark):
+    rows = spark.createDataFrame([(0.0, 1.0, 4.0), (3.0, 1.0, 4.0)], "y double, mu double, phi double")
+    got = sorted(r["u"] for r in D.pit_residuals(rows, "gaussian", ["y"], "y").collect())
+    assert got == pytest.approx([0.3085375387, 0.8413447461])
+    counts = spark.createDataFrame([(1, 1.0, 1.0), (4, 2.0, 1.0), (0, 1.0, 1.0)], "y int, mu double, phi double")
+    out = D.pearson_dispersion(counts, "poisson", "y", 1).first()
+    assert out["chisq"] == pytest.approx(3.0) and out["p_value"] == pytest.approx(math.exp(-1.5))

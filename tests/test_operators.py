@@ -235,3 +235,9 @@ def test_ranges_follow_the_data(spark):
     sizes = [r["count"] for r in counts.groupBy("__bucket").count().collect()]
     assert len(sizes) > 1 and max(sizes) < 2 * sum(sizes) / len(sizes)
     assert ordering.exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"] == pytest.approx(1.7e9 + 99.995)
+
+
+def test_weak_cells_see_absent_combinations(spark):
+    df = spark.createDataFrame([("a", "x")] * 5 + [("b", "y")] * 2, "f string, g string")
+    found = explore.weak_cells(df, ["f", "g"], complete=True)
+    assert {(r["f"], r["g"]): r["n"] for r in found.collect()} == {("b", "y"): 2, ("a", "y"): 0, ("b", "x"): 0}
