@@ -186,8 +186,9 @@ def _(spark, sf):
 @query("mixed_errors")
 def _(spark, sf):
     frame = _stages(spark, sf)
-    fit = mixed.fit_mixed(frame, STAGE_CELL, "stage_count", "survey_id", None, "nb2", max_iterations=8, between=["type", "pair"])
-    return fit.vcov.where(F.col("term_i") == F.col("term_j")).select("term_i", F.sqrt("value").alias("se"))
+    fit = mixed.fit_mixed(frame, STAGE_CELL, "stage_count", "survey_id", None, "nb2", between=["type", "pair"])
+    errors = fit.vcov.where(F.col("term_i") == F.col("term_j"))
+    return errors.select("term_i", F.sqrt("value").alias("se"), F.lit(fit.stats["converged"]).alias("converged"), F.lit(fit.stats["at_boundary"]).alias("at_boundary"))
 
 
 @query("mixed_crossed")

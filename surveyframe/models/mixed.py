@@ -205,7 +205,7 @@ def fit_mixed(
     phi_by: Sequence[str] | None = (),
     zi_by: Sequence[str] | None = None,
     nodes: int = 7,
-    max_iterations: int = 15,
+    max_iterations: int = 60,
     tolerance: float = 1e-3,
     with_covariance: bool = True,
     between: Sequence[str] = (),
