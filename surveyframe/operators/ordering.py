@@ -110,9 +110,10 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def running_max(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
     """Largest ``value`` among rows of the group ordered at or before this one, where
-    ``order`` is a value column with distinct entries per group, in the ranges of ``ranked_values``."""
+    ``order`` is a value column with distinct entries per group, in the ranges of
+    ``ranked_values`` if ``df`` still has them."""
     keys = list(keys)
-    placed = df
+    placed = df if "__bucket" in df.columns else in_ranges(df, keys, order)
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     tops = placed.groupBy(*keys, "__bucket").agg(F.max(value).alias("__top"))
