@@ -13,6 +13,7 @@ from surveyframe.llm.language import identify, learn
 from surveyframe.llm.licenses import license_scan
 from surveyframe.llm.pieces import encode_documents
 from surveyframe.llm.quality import quality_rules
+from surveyframe.llm.storage import small_batches
 from surveyframe.llm.substrings import substring_dedup
 from surveyframe.llm.tokens import token_counts
 from surveyframe.llm.warc import read_archives, resolve, write_archives
@@ -22,7 +23,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[fn.__name__] = fn
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
