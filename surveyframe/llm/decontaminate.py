@@ -9,13 +9,18 @@ words are one window of their own length; shorter ones cannot be told from ordin
 Benchmark windows fill a filter of fixed size, which lets documents drop windows that cannot match before
 anything is shuffled; the hash join that follows is exact, whatever passed. Windows of plain words are
 matched as well, so that words that stand verbatim match even where their surroundings change what counts as
-a name. Items with the same template are
-one family, so documents never meet each of a thousand variants. Matches are collected per document, item and
+a name. Matches are collected per document, item and
 alignment; in an alignment the slots must agree one to one (a number or name of the item always becomes the
 same one in the document, and no two become one), which tells a re-parameterised question from text that has
 the same shape by chance. A document is contaminated by an item if the windows matched in consistent
 alignments are at least `min_share` of the item's, of template windows or of plain ones.
 
+Items with the same template are one family. Items of a family whose slots repeat at the same places agree
+with the same documents, so the smallest item_id of them stands for their template windows; items that repeat
+a value elsewhere keep theirs. Plain windows stay for every item. Those without a placeholder are the same in
+a whole family and are joined once for it; they then count for its smallest item_id and for every item of
+which the document also holds a window with its own values.
+
 Null and empty texts match nothing. Rows without doc_id or item_id take no part. Repeated rows count once.
 """
 
@@ -94,25 +99,40 @@ def template_windows(
     return at, W.sequence_hash(template, at, at + k) ^ np.uint64(2 * k + typed)
 
 
-def _window_rows(numbers: pa.Array, literal, kinds, bounds, at, hashes, k, typed):
-    of = W.owner(at, bounds)
-    spread = at[:, None] + np.arange(k)
-    lists = np.arange(len(at) + 1) * k
-    return pa.RecordBatch.from_arrays(
-        [
-            numbers.take(pa.array(of)), pa.array(at - bounds[of], pa.int64()), pa.array(W.signed(hashes)),
-            W.list_array(W.signed(literal[spread].ravel()), lists, pa.int64()), W.list_array(kinds[spread].ravel(), lists, pa.int8()),
-            pa.array(np.full(len(at), typed)),
-        ],
-        names=["id", "at", "window", "words", "kinds", "typed"],
-    )
+def _slot_lists(literal: np.ndarray, kinds: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.ListArray:
+    """Words of the number and name slots of each window."""
+    places = np.flatnonzero((kinds == NUMBER) | (kinds == NAME))
+    low, high = np.searchsorted(places, starts), np.searchsorted(places, stops)
+    bounds = np.concatenate([[0], np.cumsum(high - low)])
+    taken = np.repeat(low - bounds[:-1], high - low) + np.arange(bounds[-1])
+    return W.list_array(W.signed(literal[places[taken]]), bounds, pa.int64())
+
 
+def slot_patterns(literal: np.ndarray, kinds: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Per text: a hash of which of its slots hold the same word."""
+    places = np.flatnonzero((kinds == NUMBER) | (kinds == NAME))
+    of = W.owner(places, bounds)
+    order = np.lexsort((places, literal[places], of))
+    new = np.ones(len(places), dtype=bool)
+    new[1:] = (of[order][1:] != of[order][:-1]) | (literal[places][order][1:] != literal[places][order][:-1])
+    first = np.empty(len(places), dtype=np.int64)
+    first[order] = places[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    at = np.searchsorted(places, bounds)
+    return W.sequence_hash(W.mix((first - bounds[of] + 1).astype(np.uint64)), at[:-1], at[1:])
 
-_ROWS = "id long, at long, window long, words array<long>, kinds array<byte>, typed boolean"
+
+_ITEM_ROWS = (
+    "id long, key long, family long, pattern long, at long, window long, slots array<long>, typed boolean, own boolean, "
+    "size long, n_windows long"
+)
+_DOC_ROWS = "doc_id long, d_at long, d_window long, d_slots array<long>"
 
 
 def benchmark_windows(benchmark: DataFrame, k: int, min_literals: int) -> DataFrame:
-    """Windows of one item per template family, with the item's number of windows."""
+    """Windows of the items with their number per item; `own` marks plain windows that not all of the family hold.
+
+    `key` tells texts that share an item_id apart.
+    """
 
     def run(batches):
         for batch in batches:
@@ -121,6 +141,9 @@ def benchmark_windows(benchmark: DataFrame, k: int, min_literals: int) -> DataFr
                 literal, kinds, bounds = canonical(buf, offsets)
                 template = np.where(kinds == LITERAL, literal, _SIGNS[kinds])
                 family = W.sequence_hash(template, bounds[:-1], bounds[1:])
+                key = W.mix(W.sequence_hash(literal, bounds[:-1], bounds[1:])) ^ family
+                pattern = slot_patterns(literal, kinds, bounds)
+                placed = np.concatenate([[0], np.cumsum(kinds != LITERAL)])
                 sizes = np.diff(bounds)
                 for size, typed in product([k, *range(4, k)], (True, False)):
                     marks = kinds if typed else np.zeros_like(kinds)
@@ -128,24 +151,44 @@ def benchmark_windows(benchmark: DataFrame, k: int, min_literals: int) -> DataFr
                     own = sizes[W.owner(at, bounds)]
                     keep = own >= k if size == k else own == size
                     at, hashes = at[keep], hashes[keep]
-                    rows = _window_rows(numbers, literal, marks, bounds, at, hashes, size, typed)
-                    yield rows.append_column("family", pa.array(W.signed(family[W.owner(at, bounds)])))
+                    of = W.owner(at, bounds)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            numbers.take(pa.array(of)), pa.array(W.signed(key[of])), pa.array(W.signed(family[of])), pa.array(W.signed(pattern[of])),
+                            pa.array(at - bounds[of], pa.int64()), pa.array(W.signed(hashes)), _slot_lists(literal, marks, at, at + size),
+                            pa.array(np.full(len(at), typed)), pa.array((placed[at + size] > placed[at]) & (not typed)),
+                            pa.array(np.full(len(at), size)), pa.array(np.bincount(of, minlength=len(sizes))[of]),
+                        ],
+                        names=[c.split()[0] for c in _ITEM_ROWS.split(", ")],
+                    )
 
     read = benchmark.where(F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
     ).distinct()
-    rows = read.mapInArrow(run, _ROWS + ", family long")
-    chosen = rows.groupBy("family").agg(F.min("id").alias("c_id")).withColumnRenamed("family", "c_family")
-    kept = stored(rows.join(chosen, (F.col("family") == F.col("c_family")) & (F.col("id") == F.col("c_id"))).select("id", "at", "window", "words", "kinds", "typed"))
-    totals = kept.groupBy(F.col("id").alias("n_id"), F.col("typed").alias("n_typed")).agg(F.countDistinct("at").alias("n_windows"))
-    return kept.join(totals, (F.col("id") == F.col("n_id")) & (F.col("typed") == F.col("n_typed"))).drop("n_id", "n_typed")
+    rows = stored(read.mapInArrow(run, _ITEM_ROWS))
+    # plain windows without a placeholder: one item for the family; template windows: one for the family and slot pattern
+    group = ["family", "typed", F.when(F.col("typed"), F.col("pattern")).otherwise(0).alias("pattern")]
+    chosen = rows.where(~F.col("own")).groupBy(*group).agg(F.min(F.struct("id", "key")).alias("c")).select(
+        F.col("family").alias("c_family"), F.col("typed").alias("c_typed"), F.col("pattern").alias("c_pattern"),
+        F.col("c.id").alias("c_id"), F.col("c.key").alias("c_key"),
+    )
+    shared = rows.where(~F.col("own")).join(
+        chosen,
+        (F.col("family") == F.col("c_family")) & (F.col("typed") == F.col("c_typed")) & (F.col("id") == F.col("c_id")) & (F.col("key") == F.col("c_key"))
+        & (~F.col("typed") | (F.col("pattern") == F.col("c_pattern"))),
+        "left_semi",
+    )
+    return stored(shared.unionByName(rows.where("own")).drop("pattern").distinct())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals: int = 5, min_share: float = 0.5) -> DataFrame:
-    """doc_id, item_id, n_matched, n_windows, share: one row per contaminated document and item (one item per family)."""
+    """doc_id, item_id, n_matched, n_windows, share: one row per contaminated document and item.
+
+    Where only template windows match, the item is the smallest one of its family and slot pattern.
+    """
     items = benchmark_windows(benchmark, k, min_literals)
     shift = 64 - FILTER_BITS
-    slots = items.select(F.shiftrightunsigned("window", shift).alias("slot"), F.size("words").alias("size")).distinct().toArrow()
+    slots = items.select(F.shiftrightunsigned("window", shift).alias("slot"), "size").distinct().toArrow()
     possible = np.zeros(1 << FILTER_BITS, dtype=bool)
     possible[slots.column("slot").to_numpy().astype(np.int64)] = True
     lengths = sorted(set(slots.column("size").to_pylist()))
@@ -156,30 +199,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals
         for batch in batches:
             for lo, hi, buf, offsets in W.chunks(batch.column("text")):
                 literal, kinds, bounds = canonical(buf, offsets)
+                numbers = batch.column("doc_id").slice(lo, hi - lo)
                 for size, typed in product(lengths, (True, False)):
                     marks = kinds if typed else np.zeros_like(kinds)
                     at, hashes = template_windows(literal, marks, bounds, size, min_literals, typed)
                     keep = allowed[hashes >> np.uint64(shift)]
                     if keep.any():
-                        yield _window_rows(batch.column("doc_id").slice(lo, hi - lo), literal, marks, bounds, at[keep], hashes[keep], size, typed)
+                        at, hashes = at[keep], hashes[keep]
+                        of = W.owner(at, bounds)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                numbers.take(pa.array(of)), pa.array(at - bounds[of], pa.int64()), pa.array(W.signed(hashes)),
+                                _slot_lists(literal, marks, at, at + size),
+                            ],
+                            names=[c.split()[0] for c in _DOC_ROWS.split(", ")],
+                        )
 
     read = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = read.mapInArrow(run, _ROWS).withColumnsRenamed({"id": "doc_id", "at": "d_at", "words": "d_words"}).drop("kinds", "typed")
-    asked = items.withColumnsRenamed({"id": "item_id", "window": "i_window"})
+    found = read.mapInArrow(run, _DOC_ROWS)
     matches = stored(
-        found.join(asked, F.col("window") == F.col("i_window")).select(
-            "doc_id", "item_id", "at", "n_windows", (F.col("d_at") - F.col("at")).alias("shift"), "words", "d_words", "kinds", "typed"
+        found.join(items, F.col("d_window") == F.col("window")).select(
+            "doc_id", F.col("id").alias("item_id"), "key", "family", "at", "n_windows", (F.col("d_at") - F.col("at")).alias("shift"),
+            "slots", "d_slots", "typed", "own",
         )
     )
-    place = ["doc_id", "item_id", "shift"]
-    slots = matches.select(*place, F.explode(F.arrays_zip("words", "d_words", "kinds")).alias("x")).where(
-        F.col("x.kinds").isin(NUMBER, NAME)
-    ).select(*place, F.col("x.words").alias("mine"), F.col("x.d_words").alias("theirs"))
-    broken = slots.groupBy(*place, "mine").agg((F.min("theirs") != F.max("theirs")).alias("bad")).unionByName(
-        slots.groupBy(*place, "theirs").agg((F.min("mine") != F.max("mine")).alias("bad")).withColumnRenamed("theirs", "mine")
+    place = ["doc_id", "item_id", "key", "shift"]
+    pairs = matches.where("typed").select(*place, F.explode(F.arrays_zip("slots", "d_slots")).alias("x")).select(
+        *place, F.col("x.slots").alias("mine"), F.col("x.d_slots").alias("theirs")
+    )
+    broken = pairs.groupBy(*place, "mine").agg((F.min("theirs") != F.max("theirs")).alias("bad")).unionByName(
+        pairs.groupBy(*place, "theirs").agg((F.min("mine") != F.max("mine")).alias("bad")).withColumnRenamed("theirs", "mine")
     ).where("bad").select(*(F.col(c).alias(f"x_{c}") for c in place)).distinct()
-    consistent = matches.join(broken, [F.col(c) == F.col(f"x_{c}") for c in place] + [F.col("typed")], "left_anti")
+    columns = [*place, "at", "n_windows", "typed"]
+    consistent = matches.where("typed").join(broken, [F.col(c) == F.col(f"x_{c}") for c in place], "left_anti")
+    plain = matches.where(~F.col("typed"))
+    holders = plain.where("own").select(
+        F.col("doc_id").alias("h_doc"), F.col("family").alias("h_family"), F.col("item_id").alias("h_item"), F.col("key").alias("h_key")
+    ).distinct()
+    lent = plain.where(~F.col("own")).join(holders, (F.col("doc_id") == F.col("h_doc")) & (F.col("family") == F.col("h_family"))).select(
+        "doc_id", F.col("h_item").alias("item_id"), F.col("h_key").alias("key"), *columns[3:]
+    )
+    counted = consistent.select(*columns).unionByName(plain.select(*columns)).unionByName(lent)
     share = F.col("n_matched") / F.col("n_windows")
-    per_kind = consistent.groupBy("doc_id", "item_id", "typed").agg(F.countDistinct("at").alias("n_matched"), F.max("n_windows").alias("n_windows"))
+    per_kind = counted.groupBy("doc_id", "item_id", "key", "typed").agg(F.countDistinct("at").alias("n_matched"), F.max("n_windows").alias("n_windows"))
     best = per_kind.groupBy("doc_id", "item_id").agg(F.max(F.struct(share.alias("share"), "n_matched", "n_windows")).alias("x"))
     return best.where(F.col("x.share") >= min_share).select("doc_id", "item_id", "x.n_matched", "x.n_windows", "x.share")

@@ -378,6 +378,19 @@ def test_decontamination(spark, odd, empty, real):
     assert want <= set(collected(decontaminate.contaminated(real, benchmark), "doc_id", "item_id"))
 
 
+def test_decontamination_families(spark):
+    """Every item of a template family is found verbatim, whichever slots repeat; the family's shared windows count for each."""
+    shape = "A train takes {} hours to reach the city and another {} hours to come back home again"
+    items = spark.createDataFrame([(1, shape.format(2, 2)), (2, shape.format(3, 9)), (3, shape.format(4, 7))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, shape.format(2, 2)), (2, shape.format(3, 9)), (3, shape.format(4, 7)), (4, shape.format(5, 8)), (5, shape.format(6, 6))], "doc_id long, text string")
+    got = set(collected(decontaminate.contaminated(docs, items), "doc_id", "item_id"))
+    assert {(1, 1), (2, 2), (3, 3), (4, 2), (5, 1)} <= got and (4, 1) not in got and (5, 2) not in got
+    short = "{0} of {1} or {2} of {1} or {3}"
+    dense = spark.createDataFrame([(1, short.format(1, 2, 1, 2)), (2, short.format(3, 4, 5, 6))], "item_id long, text string")
+    copy = spark.createDataFrame([(9, "they ask " + short.format(3, 4, 5, 6) + " at last")], "doc_id long, text string")
+    assert collected(decontaminate.contaminated(copy, dense), "doc_id", "item_id") == [(9, 2)]
+
+
 # all
 
 
