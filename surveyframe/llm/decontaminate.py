@@ -2,9 +2,13 @@
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, ASCII and Latin-1 lower-cased. Typed placeholders
 replace numbers (a word with a digit), units (a unit word after a number) and names (an initial capital
-inside a sentence, the rest not capital). Windows of `k` template words are hashed; those with fewer than
-`min_literals` words that are no placeholder say nothing and are left out. Benchmark items of 4 to k - 1
-words are one window of their own length; shorter ones cannot be told from ordinary text and take no part.
+inside a sentence, the rest not capital). Windows of `k` template words are hashed. A window with fewer than
+`min_literals` words that are no placeholder grows until it has so many: a window that starts at a word ends
+where it has enough, and behind the last start of an item for which that is possible, windows that end at a
+word begin where they have enough. So all of an item is covered, however dense its slots are. An item with
+fewer literal words altogether, or with fewer than `k` words, is one template window of its whole length, if
+it has a literal word; one of placeholders alone has no shape of its own and is matched by plain words only.
+Items under 4 words cannot be told from ordinary text and take no part.
 
 Benchmark windows fill a filter of fixed size, which lets documents drop windows that cannot match before
 anything is shuffled; the hash join that follows is exact, whatever passed. Windows of plain words are
@@ -13,7 +17,8 @@ a name. Matches are collected per document, item and
 alignment; in an alignment the slots must agree one to one (a number or name of the item always becomes the
 same one in the document, and no two become one), which tells a re-parameterised question from text that has
 the same shape by chance. A document is contaminated by an item if the windows matched in consistent
-alignments are at least `min_share` of the item's, of template windows or of plain ones.
+alignments are at least `min_share` of the item's, of template windows or of plain ones, or if neighbouring
+ones of an alignment cover at least `min_run` words: half of a long item is much more than a chance quotation.
 
 Items with the same template are one family. Items of a family whose slots repeat at the same places agree
 with the same documents, so the smallest item_id of them stands for their template windows; items that repeat
@@ -26,11 +31,9 @@ Null and empty texts match nothing. Rows without doc_id or item_id take no part.
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyframe.llm import words as W
@@ -87,16 +90,33 @@ def canonical(buf: np.ndarray, offsets: np.ndarray):
     return literal, kinds, bounds
 
 
-def template_windows(
-    literal: np.ndarray, kinds: np.ndarray, bounds: np.ndarray, k: int, min_literals: int, typed: bool = True
-) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of k template (or, not typed, plain) words with enough literal words."""
-    template = np.where(kinds == LITERAL, literal, _SIGNS[kinds])
-    at = W.windows(bounds, k)
-    placed = np.zeros(len(kinds) + 1, dtype=np.int32)
-    np.cumsum(kinds == LITERAL, out=placed[1:])
-    at = at[placed[at + k] - placed[at] >= min(min_literals, k)]
-    return at, W.sequence_hash(template, at, at + k) ^ np.uint64(2 * k + typed)
+def anchored(kinds: np.ndarray, bounds: np.ndarray, k: int, min_literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops of the windows with enough literals that start at a word, then of those over k words that end at one."""
+    places = np.flatnonzero(kinds == LITERAL)
+    before = np.searchsorted(places, np.arange(len(kinds) + 1))
+    word = np.arange(len(kinds))
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    if len(places) < min_literals:
+        return (np.zeros(0, np.int64),) * 4
+    nth = before[:-1] + min_literals - 1
+    stops = np.where(nth < len(places), np.maximum(places[np.minimum(nth, len(places) - 1)] + 1, word + k), len(kinds) + 1)
+    fits = stops <= bounds[text + 1]
+    nth = before[1:] - min_literals
+    starts = np.where(nth >= 0, np.minimum(places[np.maximum(nth, 0)], word + 1 - k), -1)
+    long = (starts >= bounds[text]) & (word + 1 - starts > k)
+    return word[fits], stops[fits], starts[long], word[long] + 1
+
+
+def whole_windows(kinds: np.ndarray, bounds: np.ndarray, size: int, k: int, min_literals: int) -> np.ndarray:
+    """Starts of windows of `size` words with a literal word; from k words on, only those with fewer than `min_literals`."""
+    at = W.windows(bounds, size)
+    placed = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
+    n = placed[at + size] - placed[at]
+    return at[(n > 0) & ((n < min_literals) | (size < k))]
+
+
+def window_hashes(words: np.ndarray, starts: np.ndarray, stops: np.ndarray, size: int, kind: int) -> np.ndarray:
+    return W.sequence_hash(words, starts, stops) ^ np.uint64(4 * size + kind)
 
 
 def _slot_lists(literal: np.ndarray, kinds: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.ListArray:
@@ -123,8 +143,10 @@ def slot_patterns(literal: np.ndarray, kinds: np.ndarray, bounds: np.ndarray) ->
 
 _ITEM_ROWS = (
     "id long, key long, family long, pattern long, at long, window long, slots array<long>, typed boolean, own boolean, "
-    "size long, n_windows long"
+    "size long, n_windows long, seq long, stop long"
 )
+#: Windows that start at a word, that end at one, of a whole item; each of template words, and plain ones.
+OPENED, CLOSED, WHOLE, PLAIN = range(4)
 _DOC_ROWS = "doc_id long, d_at long, d_window long, d_slots array<long>"
 
 
@@ -145,23 +167,43 @@ def benchmark_windows(benchmark: DataFrame, k: int, min_literals: int) -> DataFr
                 pattern = slot_patterns(literal, kinds, bounds)
                 placed = np.concatenate([[0], np.cumsum(kinds != LITERAL)])
                 sizes = np.diff(bounds)
-                for size, typed in product([k, *range(4, k)], (True, False)):
-                    marks = kinds if typed else np.zeros_like(kinds)
-                    at, hashes = template_windows(literal, marks, bounds, size, min_literals, typed)
-                    own = sizes[W.owner(at, bounds)]
-                    keep = own >= k if size == k else own == size
-                    at, hashes = at[keep], hashes[keep]
-                    of = W.owner(at, bounds)
-                    yield pa.RecordBatch.from_arrays(
+
+                def packed(parts, typed, size):
+                    starts, stops, hashes = (np.concatenate(x) for x in zip(*parts))
+                    of = W.owner(starts, bounds)
+                    order = np.lexsort((stops, starts, of))
+                    starts, stops, hashes, of = starts[order], stops[order], hashes[order], of[order]
+                    seq = np.arange(len(of)) - np.searchsorted(of, of)
+                    return pa.RecordBatch.from_arrays(
                         [
                             numbers.take(pa.array(of)), pa.array(W.signed(key[of])), pa.array(W.signed(family[of])), pa.array(W.signed(pattern[of])),
-                            pa.array(at - bounds[of], pa.int64()), pa.array(W.signed(hashes)), _slot_lists(literal, marks, at, at + size),
-                            pa.array(np.full(len(at), typed)), pa.array((placed[at + size] > placed[at]) & (not typed)),
-                            pa.array(np.full(len(at), size)), pa.array(np.bincount(of, minlength=len(sizes))[of]),
+                            pa.array(starts - bounds[of], pa.int64()), pa.array(W.signed(hashes)),
+                            _slot_lists(literal, kinds if typed else np.zeros_like(kinds), starts, stops),
+                            pa.array(np.full(len(of), typed)), pa.array((placed[stops] > placed[starts]) & (not typed)),
+                            pa.array(np.full(len(of), size)), pa.array(np.bincount(of, minlength=len(sizes))[of]),
+                            pa.array(seq), pa.array(stops - bounds[of], pa.int64()),
                         ],
                         names=[c.split()[0] for c in _ITEM_ROWS.split(", ")],
                     )
 
+                a, b, c, d = anchored(kinds, bounds, k, min_literals)
+                last = np.zeros(len(sizes), dtype=np.int64)  # behind the last window that starts at a word
+                np.maximum.at(last, W.owner(a, bounds), b)
+                enough = sizes >= k
+                a, b = a[enough[W.owner(a, bounds)]], b[enough[W.owner(a, bounds)]]
+                behind = enough[W.owner(c, bounds)] & (d > last[W.owner(c, bounds)])
+                c, d = c[behind], d[behind]
+                yield packed([(a, b, window_hashes(template, a, b, k, OPENED)), (c, d, window_hashes(template, c, d, k, CLOSED))], True, k)
+                for size in np.unique(sizes[(sizes >= 4) & ((sizes < k) | (last == 0))]).tolist():
+                    at = whole_windows(kinds, bounds, size, k, min_literals)
+                    at = at[sizes[W.owner(at, bounds)] == size]
+                    yield packed([(at, at + size, window_hashes(template, at, at + size, size, WHOLE))], True, size)
+                for size in [k, *range(4, k)]:
+                    at = W.windows(bounds, size)
+                    own = sizes[W.owner(at, bounds)]
+                    at = at[own >= k if size == k else own == size]
+                    yield packed([(at, at + size, window_hashes(literal, at, at + size, size, PLAIN))], False, size)
+
     read = benchmark.where(F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
     ).distinct()
@@ -181,17 +223,18 @@ def benchmark_windows(benchmark: DataFrame, k: int, min_literals: int) -> DataFr
     return stored(shared.unionByName(rows.where("own")).drop("pattern").distinct())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals: int = 5, min_share: float = 0.5) -> DataFrame:
-    """doc_id, item_id, n_matched, n_windows, share: one row per contaminated document and item.
+def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals: int = 5, min_share: float = 0.5, min_run: int = 50) -> DataFrame:
+    """doc_id, item_id, n_matched, n_windows, share, run_words: one row per contaminated document and item.
 
     Where only template windows match, the item is the smallest one of its family and slot pattern.
     """
     items = benchmark_windows(benchmark, k, min_literals)
     shift = 64 - FILTER_BITS
-    slots = items.select(F.shiftrightunsigned("window", shift).alias("slot"), "size").distinct().toArrow()
+    slots = items.select(F.shiftrightunsigned("window", shift).alias("slot"), "size", "typed").distinct().toArrow()
     possible = np.zeros(1 << FILTER_BITS, dtype=bool)
     possible[slots.column("slot").to_numpy().astype(np.int64)] = True
-    lengths = sorted(set(slots.column("size").to_pylist()))
+    lengths = sorted(set(zip(slots.column("size").to_pylist(), slots.column("typed").to_pylist())))
+    longest = items.where("typed").agg(F.max(F.col("stop") - F.col("at"))).first()[0] or 0
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(possible))
 
     def run(batches):
@@ -200,27 +243,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals
             for lo, hi, buf, offsets in W.chunks(batch.column("text")):
                 literal, kinds, bounds = canonical(buf, offsets)
                 numbers = batch.column("doc_id").slice(lo, hi - lo)
-                for size, typed in product(lengths, (True, False)):
-                    marks = kinds if typed else np.zeros_like(kinds)
-                    at, hashes = template_windows(literal, marks, bounds, size, min_literals, typed)
+                template = np.where(kinds == LITERAL, literal, _SIGNS[kinds])
+
+                def packed(starts, stops, words, size, kind):
+                    held = stops - starts <= longest if kind != PLAIN else slice(None)
+                    starts, stops = starts[held], stops[held]
+                    hashes = window_hashes(words, starts, stops, size, kind)
                     keep = allowed[hashes >> np.uint64(shift)]
-                    if keep.any():
-                        at, hashes = at[keep], hashes[keep]
-                        of = W.owner(at, bounds)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                numbers.take(pa.array(of)), pa.array(at - bounds[of], pa.int64()), pa.array(W.signed(hashes)),
-                                _slot_lists(literal, marks, at, at + size),
-                            ],
-                            names=[c.split()[0] for c in _DOC_ROWS.split(", ")],
-                        )
+                    starts, stops, of = starts[keep], stops[keep], W.owner(starts[keep], bounds)
+                    return pa.RecordBatch.from_arrays(
+                        [
+                            numbers.take(pa.array(of)), pa.array(starts - bounds[of], pa.int64()), pa.array(W.signed(hashes[keep])),
+                            _slot_lists(literal, kinds if kind != PLAIN else np.zeros_like(kinds), starts, stops),
+                        ],
+                        names=[c.split()[0] for c in _DOC_ROWS.split(", ")],
+                    )
+
+                a, b, c, d = anchored(kinds, bounds, k, min_literals)
+                yield packed(a, b, template, k, OPENED)
+                yield packed(c, d, template, k, CLOSED)
+                for size, typed in lengths:
+                    at = whole_windows(kinds, bounds, size, k, min_literals) if typed else W.windows(bounds, size)
+                    yield packed(at, at + size, template if typed else literal, size, WHOLE if typed else PLAIN)
 
     read = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = read.mapInArrow(run, _DOC_ROWS)
     matches = stored(
         found.join(items, F.col("d_window") == F.col("window")).select(
             "doc_id", F.col("id").alias("item_id"), "key", "family", "at", "n_windows", (F.col("d_at") - F.col("at")).alias("shift"),
-            "slots", "d_slots", "typed", "own",
+            "slots", "d_slots", "typed", "own", "seq", "stop",
         )
     )
     place = ["doc_id", "item_id", "key", "shift"]
@@ -230,7 +281,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals
     broken = pairs.groupBy(*place, "mine").agg((F.min("theirs") != F.max("theirs")).alias("bad")).unionByName(
         pairs.groupBy(*place, "theirs").agg((F.min("mine") != F.max("mine")).alias("bad")).withColumnRenamed("theirs", "mine")
     ).where("bad").select(*(F.col(c).alias(f"x_{c}") for c in place)).distinct()
-    columns = [*place, "at", "n_windows", "typed"]
+    columns = [*place, "at", "n_windows", "typed", "seq", "stop"]
     consistent = matches.where("typed").join(broken, [F.col(c) == F.col(f"x_{c}") for c in place], "left_anti")
     plain = matches.where(~F.col("typed"))
     holders = plain.where("own").select(
@@ -241,6 +292,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals
     )
     counted = consistent.select(*columns).unionByName(plain.select(*columns)).unionByName(lent)
     share = F.col("n_matched") / F.col("n_windows")
-    per_kind = counted.groupBy("doc_id", "item_id", "key", "typed").agg(F.countDistinct("at").alias("n_matched"), F.max("n_windows").alias("n_windows"))
+    kind = ["doc_id", "item_id", "key", "typed"]
+    per_kind = counted.groupBy(*kind).agg(F.countDistinct("seq").alias("n_matched"), F.max("n_windows").alias("n_windows"))
+    once = counted.groupBy(*kind, "shift", "seq").agg(F.min("at").alias("at"), F.max("stop").alias("stop"))
+    island = F.col("seq") - F.row_number().over(Window.partitionBy(*kind, "shift").orderBy("seq"))
+    runs = once.withColumn("island", island).groupBy(*kind, "shift", "island").agg((F.max("stop") - F.min("at")).alias("run"))
+    runs = runs.groupBy("doc_id", "item_id").agg(F.max("run").alias("run_words"))
     best = per_kind.groupBy("doc_id", "item_id").agg(F.max(F.struct(share.alias("share"), "n_matched", "n_windows")).alias("x"))
-    return best.where(F.col("x.share") >= min_share).select("doc_id", "item_id", "x.n_matched", "x.n_windows", "x.share")
+    return best.join(runs, ["doc_id", "item_id"]).where((F.col("x.share") >= min_share) | (F.col("run_words") >= min_run)).select(
+        "doc_id", "item_id", "x.n_matched", "x.n_windows", "x.share", "run_words"
+    )

@@ -391,6 +391,25 @@ def test_decontamination_families(spark):
     assert collected(decontaminate.contaminated(copy, dense), "doc_id", "item_id") == [(9, 2)]
 
 
+def test_decontamination_few_literals(spark):
+    """Items dense with slots, short items with slots, and long verbatim runs below half of an item."""
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("ba", "ke", "li", "mo", "nu", "ra", "si", "to", "ve", "wa") for b in ("dan", "fel", "gor", "hin", "jup")]
+    long = rng.choices(words, k=200)
+    dense = "What is {} km plus {} km minus {} km"
+    trailing = "Please add all of these lengths now {} km {} km {} km {} km {} km {} km {} km {} km"
+    items = [(1, dense.format(12, 7, 5)), (2, "What is 7 plus 5"), (3, "how old will Anna be then"), (4, " ".join(long)), (5, trailing.format(*range(1, 9))), (6, "7 8 9 10")]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    docs = [
+        (1, "they ask: " + dense.format(31, 8, 2) + " and so on"), (2, "Q: What is 9 plus 3? ok"), (3, "and how old will Berta be then"),
+        (4, "so " + " ".join(long[60:140]) + " end"), (5, "so " + " ".join(long[60:100]) + " end"), (6, dense.format(31, 8, 31)),
+        (7, trailing.format(*range(11, 19))), (8, "they say 1 2 3 4 and 7 8 9 10 too"), (9, "Please add all of these lengths now 3 km or so"),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = [(1, 1), (2, 2), (3, 3), (4, 4), (7, 5), (8, 6)]
+    assert collected(decontaminate.contaminated(docs, items), "doc_id", "item_id") == found
+
+
 # all
 
 
