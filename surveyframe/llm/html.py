@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
+from math import isqrt
 
 import pyarrow as pa
 import xxhash
@@ -130,33 +130,61 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
 
 
 def shared_positions(mine: list[int], other: list[int]) -> set[int]:
-    """Positions of `mine` in a longest common subsequence with `other` (Hunt-Szymanski).
+    """Positions of `mine` in a longest common subsequence with `other`, exact for any number of repeats.
 
-    Values that stand over 64 times in `other` take part by their first and last places only, which
-    bounds the work by the length; the alignment then may be shorter than the longest one.
+    Common ends are cut off and values of one side left out; the rest is a row of bits per value of `mine`
+    (bit-parallel dynamic programming). Every root-th row is kept and those between are computed again on the
+    way back, so memory grows with the length times its root.
     """
+    low, n, m = 0, len(mine), len(other)
+    while low < min(n, m) and mine[low] == other[low]:
+        low += 1
+    out = set(range(low))
+    while min(n, m) > low and mine[n - 1] == other[m - 1]:
+        n, m = n - 1, m - 1
+        out.add(n)
+    held = set(other[low:m])
+    at = [i for i in range(low, n) if mine[i] in held]
+    held = {mine[i] for i in at}
+    b = [value for value in other[low:m] if value in held]
     places: dict[int, list[int]] = {}
-    for j, value in enumerate(other):
+    for j, value in enumerate(b):
         places.setdefault(value, []).append(j)
-    for value, js in places.items():
-        if len(js) > 64:
-            places[value] = js[:32] + js[-32:]
-    ends: list[int] = []
-    links: list[tuple[int, object]] = []
-    for i, value in enumerate(mine):
-        for j in reversed(places.get(value, ())):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    out = set()
-    link = links[-1] if links else None
-    while link:
-        out.add(link[0])
-        link = link[1]
+    full = (1 << len(b)) - 1
+
+    def bits(value: int) -> int:
+        out = bytearray(places[value][-1] // 8 + 1)
+        for j in places[value]:
+            out[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(out, "little")
+
+    frequent = {value: bits(value) for value, js in places.items() if len(js) > 64}
+
+    def after(row: int, i: int) -> int:
+        value = mine[at[i]]
+        match = row & (frequent[value] if value in frequent else bits(value))
+        return (row + match | row - match) & full
+
+    step = isqrt(len(at)) + 1
+    kept, row = [], full
+    for i in range(len(at)):
+        if i % step == 0:
+            kept.append(row)
+        row = after(row, i)
+    j = len(b) - 1
+    for block in range(len(kept) - 1, -1, -1):
+        rows = [kept[block]]
+        for i in range(block * step, min(len(at), (block + 1) * step)):
+            rows.append(after(rows[-1], i))
+        rows = [r.to_bytes(len(b) // 8 + 1, "little") for r in rows]
+        for k in range(len(rows) - 1, 0, -1):  # a cleared bit: the subsequence gets longer at this place
+            while j >= 0 and rows[k][j >> 3] >> (j & 7) & 1:
+                j -= 1
+            if j < 0:
+                return out
+            if rows[k - 1][j >> 3] >> (j & 7) & 1:
+                out.add(at[block * step + k - 1])
+                j -= 1
     return out
 
 

@@ -349,6 +349,21 @@ def test_common_subsequence():
     assert html.shared_positions([], [1]) == set() and len(html.shared_positions([7] * 500, [7] * 500)) >= 64
 
 
+def test_common_subsequence_is_longest():
+    rng = random.Random(11)
+    for n, m, values in [(500, 500, 1), (90, 70, 2), (70, 90, 3), (40, 40, 30), (300, 200, 4), (1, 5, 2)]:
+        a, b = rng.choices(range(values), k=n), rng.choices(range(values), k=m)
+        best = [0] * (m + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, best[j] = best[j], max(best[j], best[j - 1], last + (x == y))
+        got = [a[i] for i in sorted(html.shared_positions(a, b))]
+        rest = iter(b)
+        assert len(got) == best[m] and all(x in rest for x in got)
+    assert len(html.shared_positions([1] + [7] * 200 + [2], [3] + [7] * 200 + [4])) == 200
+
+
 # 10
 
 
