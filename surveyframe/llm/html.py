@@ -6,13 +6,15 @@ comments and the like) are left out. If the page marks its main part (article, m
 text is exactly the blocks in there: an article that two pages share stays whole.
 
 A page that marks no main part keeps all other blocks as candidates and is differenced: pages are paired
-within their host by the longest shared URL path (whole segments; ties go to the smallest page_id, for
-that page itself to the largest), the block sequences are aligned by longest common subsequence, and
-shared blocks are deleted as template lines. If the pair shares more than `copy_share` of the page's
-characters, the two pages are copies of each other and nothing is deleted.
+within their host by the longest shared URL path (whole segments) with pages of other content, so copies of a
+page never are its partners. The block sequences are aligned by longest common subsequence, and shared blocks
+are deleted as template lines. If a pair shares more than `copy_share` of the page's characters, it may be
+two versions of an article or short articles under long menus; then only lines are deleted that the page shares
+with all of its up to PARTNERS nearest partners that share any. With one partner alone this cannot be told, and
+what the two share is deleted. A partner's blocks are all its blocks, also those outside a main part it marks.
 
-Partners come from aggregates over path prefixes (smallest and largest id per prefix), so a host with a
-third of all pages is neither sorted nor gathered anywhere. Only the partner's block hashes travel.
+Partners come from aggregates over path prefixes (smallest and largest content hash per prefix), so a host with
+a third of all pages is neither sorted nor gathered anywhere. Only the partners' block hashes travel.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by an
 empty line. A null html or one without text gives an empty text. A null url has no partner. Every row
@@ -54,6 +56,8 @@ _BOILERPLATE = frozenset(
     "sidebars signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 _NAME = re.compile(r"[a-z]+")
+#: Pages of other content that a page is differenced with, at most.
+PARTNERS = 4
 
 
 def _attributes(text: str) -> tuple[bool, bool]:
@@ -70,11 +74,11 @@ def _attributes(text: str) -> tuple[bool, bool]:
     return left_out, main
 
 
-def blocks(page: str | None) -> tuple[list[str], bool]:
-    """Texts of the kept blocks in page order, and whether they come from a marked main part."""
+def blocks(page: str | None) -> tuple[list[str], bool, list[str]]:
+    """Texts of the kept blocks in page order, whether they come from a marked main part, and those of all blocks."""
     page = page or ""
     inside: list[str] = []
-    loose: list[str] = []
+    every: list[str] = []
     text: list[str] = []
     skip_tag, skip_depth = "", 0
     mains: list[str] = []
@@ -85,7 +89,9 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
-                (inside if mains else loose).append(joined)
+                every.append(joined)
+                if mains:
+                    inside.append(joined)
             text.clear()
 
     for m in _MARKUP.finditer(page):
@@ -126,7 +132,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
     if not skip_depth and at < len(page):
         text.append(page[at:])
     close()
-    return (inside, True) if marked else (loose, False)
+    return (inside if marked else every), marked, every
 
 
 def shared_positions(mine: list[int], other: list[int]) -> set[int]:
@@ -188,14 +194,16 @@ def shared_positions(mine: list[int], other: list[int]) -> set[int]:
     return out
 
 
-def difference(texts: list[str], other: list[int] | None, copy_share: float) -> list[str]:
-    if not other or not texts:
+def difference(texts: list[str], others: list[list[int]], copy_share: float) -> list[str]:
+    """The texts without the lines that the partners, nearest first, show to be template lines."""
+    mine = [block_hash(t) for t in texts]
+    found = [shared for shared in (shared_positions(mine, other) for other in others) if shared]
+    if not found:
         return texts
-    shared = shared_positions([block_hash(t) for t in texts], other)
-    length = sum(map(len, texts))
-    if sum(len(texts[i]) for i in shared) > copy_share * length:
-        return texts
-    return [t for i, t in enumerate(texts) if i not in shared]
+    drop = found[0]
+    if sum(len(texts[i]) for i in drop) > copy_share * sum(map(len, texts)):
+        drop = set.intersection(*found)
+    return [t for i, t in enumerate(texts) if i not in drop]
 
 
 def block_hash(text: str) -> int:
@@ -207,30 +215,43 @@ def _cut(batches):
         for at in range(0, len(batch), 128):
             part = batch.slice(at, 128)
             found = [blocks(h.as_py()) for h in part.column("html")]
-            texts = pa.array([t for t, _ in found], pa.list_(pa.string()))
-            hashes = pa.array([[block_hash(x) for x in t] for t, _ in found], pa.list_(pa.int64()))
+            texts = pa.array([t for t, _, _ in found], pa.list_(pa.string()))
+            contents = [block_hash("\n".join(t)) if t else None for t, _, _ in found]
+            lines = pa.array([[block_hash(x) for x in every] for _, _, every in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), texts, pa.array([m for _, m in found]), hashes],
-                names=["page_id", "url", "blocks", "marked", "hashes"],
+                [part.column("page_id"), part.column("url"), texts, pa.array([m for _, m, _ in found]), pa.array(contents, pa.int64()), lines],
+                names=["page_id", "url", "blocks", "marked", "content", "lines"],
             )
 
 
 def partners(pages: DataFrame) -> DataFrame:
-    """For each (host, path) place of a url: the nearest other page, from aggregates over path prefixes."""
-    split = pages.where(F.col("url").isNotNull() & F.col("page_id").isNotNull()).select(
-        "page_id", "marked", F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1).alias("host"),
+    """The nearest pages of other content, deepest shared path first, at most PARTNERS for each page and content.
+
+    From aggregates over path prefixes: with the smallest and the largest content of a prefix at hand, a page
+    finds another content there if there is one.
+    """
+    split = pages.where(F.col("url").isNotNull() & F.col("page_id").isNotNull() & F.col("content").isNotNull()).select(
+        "page_id", "content", "marked", F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1).alias("host"),
         F.split(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1), "/").alias("segments"),
     )
     levels = split.select(
-        "page_id", "marked", F.explode(F.sequence(F.lit(1), F.size("segments"))).alias("level"), "host", "segments"
-    ).select("page_id", "marked", "level", F.xxhash64("host", F.slice("segments", 1, F.col("level"))).alias("prefix"))
-    groups = levels.groupBy("level", "prefix").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).where(
-        F.col("low") != F.col("high")
+        "page_id", "content", "marked", F.explode(F.sequence(F.lit(1), F.size("segments"))).alias("level"), "host", "segments"
+    ).select("page_id", "content", "marked", "level", F.xxhash64("host", F.slice("segments", 1, F.col("level"))).alias("prefix"))
+    one = F.struct("content", "page_id")
+    groups = stored(
+        levels.groupBy("level", "prefix").agg(F.min(one).alias("low"), F.max(one).alias("high"))
+        .where(F.col("low.content") != F.col("high.content"))
+    )
+    met = levels.where(~F.col("marked")).join(groups, ["level", "prefix"]).select(
+        "page_id", F.col("content").alias("own"), "level", F.explode(F.array("low", "high")).alias("other")
+    ).where(F.col("other.content") != F.col("own"))
+    ranked = met.groupBy("page_id", "own").agg(
+        F.array_sort(F.collect_set(F.struct((-F.col("level")).alias("depth"), F.col("other.content").alias("content"), F.col("other.page_id").alias("page"))))
+        .alias("all")
     )
-    return (
-        levels.where(~F.col("marked")).join(groups, ["level", "prefix"])
-        .groupBy(F.col("page_id").alias("p_page"))
-        .agg(F.max_by(F.when(F.col("low") == F.col("page_id"), F.col("high")).otherwise(F.col("low")), "level").alias("partner"))
+    once = F.filter("all", lambda x, i: ~F.exists(F.slice("all", F.lit(1), i), lambda y: y["content"] == x["content"]))
+    return ranked.select("page_id", "own", F.posexplode(F.slice(once, 1, PARTNERS)).alias("rank", "x")).select(
+        F.col("page_id").alias("p_page"), F.col("own").alias("p_content"), "rank", F.col("x.page").alias("partner"), F.col("x.content").alias("partner_content")
     )
 
 
@@ -239,22 +260,25 @@ def extract_text(pages: DataFrame, copy_share: float = 0.8) -> DataFrame:
     read = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     )
-    cut = stored(read.mapInArrow(_cut, "page_id long, url string, blocks array<string>, marked boolean, hashes array<long>"))
+    cut = stored(read.mapInArrow(_cut, "page_id long, url string, blocks array<string>, marked boolean, content long, lines array<long>"))
 
     def pair(batches):
         for batch in batches:
             rows = [
-                "\n\n".join(difference(b.as_py() or [], h.as_py(), copy_share)) for b, h in zip(batch.column("blocks"), batch.column("other"))
+                "\n\n".join(difference(b.as_py(), o.as_py() or [], copy_share)) for b, o in zip(batch.column("blocks"), batch.column("others"))
             ]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(rows, pa.string())], names=["page_id", "url", "text"])
 
-    marked = cut.where("marked").select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
-    open_pages = cut.where(~F.col("marked"))
+    settled = F.col("marked") | F.col("content").isNull()
+    plain = cut.where(settled).select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
+    lines = cut.select(F.col("page_id").alias("o_page"), F.col("content").alias("o_content"), F.col("lines"))
     near = partners(cut)
-    lines = cut.groupBy(F.col("page_id").alias("o_page")).agg(F.min("hashes").alias("other"))
-    open_pages = open_pages.join(near, F.col("page_id") == F.col("p_page"), "left").join(
-        lines.join(near.select(F.col("partner").alias("wanted")).distinct(), F.col("o_page") == F.col("wanted"), "left_semi"),
-        F.col("partner") == F.col("o_page"), "left",
+    others = (
+        near.join(lines, (F.col("partner") == F.col("o_page")) & (F.col("partner_content") == F.col("o_content")))
+        .groupBy("p_page", "p_content").agg(F.array_sort(F.collect_set(F.struct("rank", "lines"))).alias("ranked"))
+        .select("p_page", "p_content", F.col("ranked.lines").alias("others"))
     )
-    differenced = open_pages.select("page_id", "url", "blocks", "other").mapInArrow(pair, "page_id long, url string, text string")
-    return marked.unionByName(differenced).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    differenced = cut.where(~settled).join(others, (F.col("page_id") == F.col("p_page")) & (F.col("content") == F.col("p_content")), "left").select(
+        "page_id", "url", "blocks", "others"
+    ).mapInArrow(pair, "page_id long, url string, text string")
+    return plain.unionByName(differenced).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -364,6 +364,20 @@ def test_common_subsequence_is_longest():
     assert len(html.shared_positions([1] + [7] * 200 + [2], [3] + [7] * 200 + [4])) == 200
 
 
+def test_html_partners(spark):
+    """Copies are no partners, long menus go, versions of an article stay, marked pages show their template."""
+    menu = "".join(f"<div>Long menu entry number {k}</div>" for k in range(30))
+    story = "".join(f"<div>Story line {k} of the long story</div>" for k in range(30))
+    data = [(k, f"http://a/x/{k}", "<div>Menu</div><div>Copy</div>") for k in (1, 2, 3)] + [(4, "http://a/y/1", "<div>Menu</div><div>Else</div>")]
+    data += [(5, "http://b/x/1", menu + "<div>One</div>"), (6, "http://b/x/2", menu + "<div>Two</div>"), (7, "http://b/y", menu + "<div>Three</div>")]
+    data += [(8, "http://c/1", "<div>Top</div><div>Mine</div>"), (9, "http://c/2", "<div>Top</div><main><p>Marked</p></main>")]
+    data += [(10, "http://d/x/1", "<div>Menu</div>" + story + "<div>at 1</div>"), (11, "http://d/x/1", "<div>Menu</div>" + story + "<div>at 2</div>")]
+    data += [(12, "http://d/y", "<div>Menu</div><div>Far</div>")]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, 12)] == ["Copy"] * 3 + ["Else", "One", "Two", "Three", "Mine", "Marked", "Far"]
+    assert got[10].startswith("Story line 0") and got[10].endswith("at 1") and got[10].count("Story") == 30 and got[11].endswith("at 2")
+
+
 # 10
 
 
