@@ -1,20 +1,24 @@
-"""Main text of web pages: page structure first, nearest-URL page differencing for what structure leaves open.
+"""Main text of web pages: nearest-URL page differencing, checked against page structure.
 
 A page is cut into blocks in page order. Blocks inside scripts, styles, forms, navigation, asides, footers,
 page headers, and inside elements whose class, id or role names them as such (adverts, notices, sidebars,
 comments and the like) are left out. If the page marks its main part (article, main, or role main), its
-text is exactly the blocks in there: an article that two pages share stays whole.
+candidates are the blocks in there, else all blocks that are left.
 
-A page that marks no main part keeps all other blocks as candidates and is differenced: pages are paired
-within their host by the longest shared URL path (whole segments) with pages of other content, so copies of a
-page never are its partners. The block sequences are aligned by longest common subsequence, and shared blocks
-are deleted as template lines. If a pair shares more than `copy_share` of the page's characters, it may be
+Every page is differenced: pages are paired within their host by the longest shared URL path (whole
+segments) with pages of other content, so copies of a page never are its partners. The block sequences are aligned by longest common subsequence, and shared blocks
+are deleted as template lines. A marked main part is the check on that: a partner that shares more than
+`article_share` of its characters shares the article, not a template, and is passed over for the next one, so
+an article that pages share stays whole.
+
+On a page that marks no main part, if a pair shares more than `copy_share` of the page's characters, it may be
 two versions of an article or short articles under long menus; then only lines are deleted that the page shares
 with all of its up to PARTNERS nearest partners that share any. With one partner alone this cannot be told, and
 what the two share is deleted. A partner's blocks are all its blocks, also those outside a main part it marks.
 
-Partners come from aggregates over path prefixes (smallest and largest content hash per prefix), so a host with
-a third of all pages is neither sorted nor gathered anywhere. Only the partners' block hashes travel.
+Partners come from aggregates over path prefixes (smallest and largest content hash and next segment per prefix), so a host with
+a third of all pages is neither sorted nor gathered anywhere. What is deleted is decided on block hashes; pages are read again for their texts, and a
+bitmap of fixed size lets only the texts of pages that may lose lines be shuffled, whatever their number.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by an
 empty line. A null html or one without text gives an empty text. A null url has no partner. Every row
@@ -32,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyframe.llm.prefilter import split_members
 from surveyframe.llm.storage import stored
 
 _MARKUP = re.compile(
@@ -194,34 +199,58 @@ def shared_positions(mine: list[int], other: list[int]) -> set[int]:
     return out
 
 
-def difference(texts: list[str], others: list[list[int]], copy_share: float) -> list[str]:
-    """The texts without the lines that the partners, nearest first, show to be template lines."""
-    mine = [block_hash(t) for t in texts]
+def template_lines(
+    mine: list[int], lengths: list[int], others: list[list[int]], marked: bool, copy_share: float, article_share: float
+) -> list[int]:
+    """Places of the blocks that the partners, nearest first, show to be template lines."""
     found = [shared for shared in (shared_positions(mine, other) for other in others) if shared]
+    if marked:
+        found = [shared for shared in found if sum(lengths[i] for i in shared) <= article_share * sum(lengths)]
     if not found:
-        return texts
+        return []
     drop = found[0]
-    if sum(len(texts[i]) for i in drop) > copy_share * sum(map(len, texts)):
+    if not marked and sum(lengths[i] for i in drop) > copy_share * sum(lengths):
         drop = set.intersection(*found)
-    return [t for i, t in enumerate(texts) if i not in drop]
+    return sorted(drop)
 
 
 def block_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _cut(batches):
-    for batch in batches:
-        for at in range(0, len(batch), 128):
-            part = batch.slice(at, 128)
-            found = [blocks(h.as_py()) for h in part.column("html")]
-            texts = pa.array([t for t, _, _ in found], pa.list_(pa.string()))
-            contents = [block_hash("\n".join(t)) if t else None for t, _, _ in found]
-            lines = pa.array([[block_hash(x) for x in every] for _, _, every in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), texts, pa.array([m for _, m, _ in found]), pa.array(contents, pa.int64()), lines],
-                names=["page_id", "url", "blocks", "marked", "content", "lines"],
-            )
+_CUT = "page_id long, url string, marked boolean, content long, mine array<long>, lengths array<int>, lines array<long>"
+_TEXTS = "page_id long, url string, content long, blocks array<string>"
+
+
+def _parsed(names: list[str], make):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 128):
+                part = batch.slice(at, 128)
+                found = [blocks(h.as_py()) for h in part.column("html")]
+                content = pa.array([block_hash("\n".join(t)) if t else None for t, _, _ in found], pa.int64())
+                made = {"page_id": part.column("page_id"), "url": part.column("url"), "content": content, **make(found)}
+                yield pa.RecordBatch.from_arrays([made[n] for n in names], names=names)
+
+    return run
+
+
+def _hashes(found):
+    longs = pa.list_(pa.int64())
+    return {
+        "marked": pa.array([m for _, m, _ in found]),
+        "mine": pa.array([[block_hash(x) for x in t] for t, _, _ in found], longs),
+        "lengths": pa.array([[len(x) for x in t] for t, _, _ in found], pa.list_(pa.int32())),
+        "lines": pa.array([[block_hash(x) for x in every] if m else None for _, m, every in found], longs),
+    }
+
+
+def _texts(found):
+    return {"blocks": pa.array([t for t, _, _ in found], pa.list_(pa.string()))}
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def partners(pages: DataFrame) -> DataFrame:
@@ -231,20 +260,25 @@ def partners(pages: DataFrame) -> DataFrame:
     finds another content there if there is one.
     """
     split = pages.where(F.col("url").isNotNull() & F.col("page_id").isNotNull() & F.col("content").isNotNull()).select(
-        "page_id", "content", "marked", F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1).alias("host"),
+        "page_id", "content", F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1).alias("host"),
         F.split(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1), "/").alias("segments"),
     )
     levels = split.select(
-        "page_id", "content", "marked", F.explode(F.sequence(F.lit(1), F.size("segments"))).alias("level"), "host", "segments"
-    ).select("page_id", "content", "marked", "level", F.xxhash64("host", F.slice("segments", 1, F.col("level"))).alias("prefix"))
-    one = F.struct("content", "page_id")
+        "page_id", "content", F.explode(F.sequence(F.lit(1), F.size("segments"))).alias("level"), "host", "segments"
+    ).select(
+        "page_id", "content", "level", F.xxhash64("host", F.slice("segments", 1, F.col("level"))).alias("prefix"),
+        F.when(F.col("level") < F.size("segments"), F.xxhash64(F.get("segments", F.col("level")))).alias("branch"),
+    )
+    by_content, by_branch = F.struct("content", "page_id"), F.struct("branch", "content", "page_id")
     groups = stored(
-        levels.groupBy("level", "prefix").agg(F.min(one).alias("low"), F.max(one).alias("high"))
-        .where(F.col("low.content") != F.col("high.content"))
+        levels.groupBy("level", "prefix").agg(
+            F.min(by_content).alias("low"), F.max(by_content).alias("high"), F.min(by_branch).alias("first"), F.max(by_branch).alias("last")
+        ).where(F.col("low.content") != F.col("high.content"))
+    )
+    ends = F.array(*(F.struct(F.col(f"{c}.content").alias("content"), F.col(f"{c}.page_id").alias("page_id")) for c in ("low", "high", "first", "last")))
+    met = levels.join(groups, ["level", "prefix"]).select("page_id", F.col("content").alias("own"), "level", F.explode(ends).alias("other")).where(
+        F.col("other.content") != F.col("own")
     )
-    met = levels.where(~F.col("marked")).join(groups, ["level", "prefix"]).select(
-        "page_id", F.col("content").alias("own"), "level", F.explode(F.array("low", "high")).alias("other")
-    ).where(F.col("other.content") != F.col("own"))
     ranked = met.groupBy("page_id", "own").agg(
         F.array_sort(F.collect_set(F.struct((-F.col("level")).alias("depth"), F.col("other.content").alias("content"), F.col("other.page_id").alias("page"))))
         .alias("all")
@@ -255,30 +289,42 @@ def partners(pages: DataFrame) -> DataFrame:
     )
 
 
-def extract_text(pages: DataFrame, copy_share: float = 0.8) -> DataFrame:
+def extract_text(pages: DataFrame, copy_share: float = 0.8, article_share: float = 0.5) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     read = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     )
-    cut = stored(read.mapInArrow(_cut, "page_id long, url string, blocks array<string>, marked boolean, content long, lines array<long>"))
+    cut = stored(read.mapInArrow(_parsed(_names(_CUT), _hashes), _CUT))
 
-    def pair(batches):
+    def decide(batches):
+        columns = ["mine", "lengths", "others", "marked"]
         for batch in batches:
-            rows = [
-                "\n\n".join(difference(b.as_py(), o.as_py() or [], copy_share)) for b, o in zip(batch.column("blocks"), batch.column("others"))
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(rows, pa.string())], names=["page_id", "url", "text"])
-
-    settled = F.col("marked") | F.col("content").isNull()
-    plain = cut.where(settled).select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
-    lines = cut.select(F.col("page_id").alias("o_page"), F.col("content").alias("o_content"), F.col("lines"))
-    near = partners(cut)
+            drops = [template_lines(*(x.as_py() for x in row), copy_share, article_share) for row in zip(*(batch.column(c) for c in columns))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("content"), pa.array(drops, pa.list_(pa.int32()))], names=["d_page", "d_content", "drop"]
+            )
+
+    lines = cut.select(F.col("page_id").alias("o_page"), F.col("content").alias("o_content"), F.coalesce("lines", "mine").alias("lines"))
     others = (
-        near.join(lines, (F.col("partner") == F.col("o_page")) & (F.col("partner_content") == F.col("o_content")))
+        partners(cut).join(lines, (F.col("partner") == F.col("o_page")) & (F.col("partner_content") == F.col("o_content")))
         .groupBy("p_page", "p_content").agg(F.array_sort(F.collect_set(F.struct("rank", "lines"))).alias("ranked"))
         .select("p_page", "p_content", F.col("ranked.lines").alias("others"))
     )
-    differenced = cut.where(~settled).join(others, (F.col("page_id") == F.col("p_page")) & (F.col("content") == F.col("p_content")), "left").select(
-        "page_id", "url", "blocks", "others"
-    ).mapInArrow(pair, "page_id long, url string, text string")
-    return plain.unionByName(differenced).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    asked = cut.join(others, (F.col("page_id") == F.col("p_page")) & (F.col("content") == F.col("p_content"))).select(
+        "page_id", "content", "marked", "mine", "lengths", "others"
+    )
+    dropped = stored(
+        asked.mapInArrow(decide, "d_page long, d_content long, drop array<int>").where(F.size("drop") > 0)
+        .groupBy("d_page", "d_content").agg(F.min("drop").alias("drop"))
+    )
+    touched, whole = split_members(read, "page_id", dropped, "d_page")
+    texts = touched.mapInArrow(_parsed(_names(_TEXTS), _texts), _TEXTS).join(
+        dropped, (F.col("page_id") == F.col("d_page")) & (F.col("content") == F.col("d_content")), "left"
+    )
+    left = F.filter("blocks", lambda x, i: F.col("drop").isNull() | ~F.array_contains("drop", i))
+    out = whole.mapInArrow(_parsed(_names(_TEXTS), _texts), _TEXTS).select("page_id", "url", "blocks").unionByName(
+        texts.select("page_id", "url", left.alias("blocks"))
+    )
+    return out.select("page_id", "url", F.array_join("blocks", "\n\n").alias("text")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    )

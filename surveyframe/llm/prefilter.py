@@ -39,14 +39,22 @@ def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
 
 def likely_members(docs: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
     """Rows of `docs` whose `column` may be among the ids; columns as they are."""
+    return split_members(docs, column, ids, id_column)[0]
+
+
+def split_members(docs: DataFrame, column: str, ids: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of `docs` whose `column` may be among the ids, and the others; columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids, id_column))
     names = docs.columns
 
-    def run(batches):
-        bits = shared.value
-        for batch in batches:
-            slot = batch.column("likely_slot").to_numpy()
-            keep = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
-            yield batch.select(names).filter(pa.array(keep))
+    def take(likely):
+        def run(batches):
+            bits = shared.value
+            for batch in batches:
+                slot = batch.column("likely_slot").to_numpy()
+                keep = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
+                yield batch.select(names).filter(pa.array(keep == likely))
+
+        return docs.withColumn("likely_slot", _slot(column)).mapInArrow(run, docs.schema)
 
-    return docs.withColumn("likely_slot", _slot(column)).mapInArrow(run, docs.schema)
+    return take(True), take(False)

@@ -378,6 +378,19 @@ def test_html_partners(spark):
     assert got[10].startswith("Story line 0") and got[10].endswith("at 1") and got[10].count("Story") == 30 and got[11].endswith("at 2")
 
 
+def test_html_marked_pages_are_differenced(spark):
+    """Template lines inside a marked part go; an article that two pages share stays whole."""
+    def article(*lines):
+        return "<article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>"
+
+    data = [(k, f"http://a/x/{k}", article("Share this story", f"Story {k} told at some length here", "Read more")) for k in (1, 2)]
+    shared = ["One long line of an article that stands twice", "and another long line of it"]
+    data += [(3, "http://b/x/1", article(*shared, "seen at 1")), (4, "http://b/x/1", article(*shared, "seen at 2")), (5, "http://b/y", article("seen at 1", "Other text of some length"))]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Story 1 told at some length here" and got[2] == "Story 2 told at some length here"
+    assert got[4] == "\n\n".join([*shared, "seen at 2"]) and got[3] == "\n\n".join(shared) and got[5] == "Other text of some length"
+
+
 # 10
 
 
