@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from surveyframe.llm import words as W
 from surveyframe.llm.graph import components
 from surveyframe.llm.prefilter import likely_members
-from surveyframe.llm.ranges import ask, dump, load
+from surveyframe.llm.ranges import ask, dump, header_range, load
 from surveyframe.llm.storage import stored
 
 FLUSH_TOKENS = 500_000
@@ -109,7 +109,7 @@ def _pack(sets: list[np.ndarray], ids: list[int | None], n_ranges: int):
         counts = np.diff(np.append(turn, len(own)))
         rows.append((k, batch, own[turn].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), marks[own[turn]].tobytes(), open_tokens[part].tobytes(), known[news].tobytes(), None, None, None, None))
     header = (
-        batch[0] % n_ranges, batch, None, None, None, None, None, numbers.tobytes() + valid.tobytes(), sizes.tobytes(),
+        header_range(batch, n_ranges), batch, None, None, None, None, None, numbers.tobytes() + valid.tobytes(), sizes.tobytes(),
         base.tobytes() + same_as.tobytes(), b"".join(keys),
     )
     rows.append(header)

@@ -32,13 +32,18 @@ def load(header: bytes) -> dict:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(header))
 
 
+def header_range(name: bytes, n_ranges: int) -> int:
+    """Spreads the headers of all batches over all ranges."""
+    return int.from_bytes(name[:8], "little") % n_ranges
+
+
 def pack(keys: np.ndarray, extras: list[np.ndarray], header: bytes, n_ranges: int):
     """`keys` sorted and distinct; each extra is an array of 64-bit values aligned with them."""
     r = ((keys >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)
     present, at = np.unique(r, return_index=True)
     ends = np.append(at[1:], len(keys))
     name = hashlib.md5(header).digest()
-    rows = [(name[0] % n_ranges, name, None, None, header)]
+    rows = [(header_range(name, n_ranges), name, None, None, header)]
     rows += [
         (int(k), name, keys[a:b].tobytes(), b"".join(x[a:b].tobytes() for x in extras), None) for k, a, b in zip(present, at, ends)
     ]

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from surveyframe.llm import decontaminate, html, jaccard, language, licenses, pieces, quality, substrings, tokens, warc
+from surveyframe.llm import decontaminate, html, jaccard, language, licenses, pieces, quality, ranges, substrings, tokens, warc
 from surveyframe.llm import words as W
 from surveyframe.llm.graph import components
 from surveyframe.llm.queries import QUERIES
@@ -452,6 +452,14 @@ def test_decontamination_few_literals(spark):
     assert collected(decontaminate.contaminated(docs, items), "doc_id", "item_id") == found
 
 
+def test_headers_spread_over_all_ranges():
+    names = [hashlib.md5(bytes([k & 255, k >> 8])).digest() for k in range(5000)]
+    assert len({ranges.header_range(n, 2500) for n in names}) > 2000
+    batches = ranges.pack(np.array([5], np.uint64), [np.array([1], np.uint64)], b"head", 2500)
+    sent = [r for b in batches for r in b.to_pylist() if r["header"]]
+    assert [r["r"] for r in sent] == [ranges.header_range(hashlib.md5(b"head").digest(), 2500)]
+
+
 # all
 
 
