@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from surveyframe.llm import oracles
+from surveyframe.llm.chat import Template, chat_digests, format_chats
+from surveyframe.llm.compress import code_report
 from surveyframe.llm.decontaminate import contaminated
 from surveyframe.llm.html import extract_text
 from surveyframe.llm.jaccard import jaccard_components
 from surveyframe.llm.language import identify, learn
 from surveyframe.llm.licenses import license_scan
+from surveyframe.llm.negatives import hard_negatives
 from surveyframe.llm.pieces import encode_documents
 from surveyframe.llm.quality import quality_rules
 from surveyframe.llm.storage import small_batches
@@ -84,3 +89,35 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
+
+
+#: A conversation whose texts hold control strings, formatted beside the given ones.
+_CONTROL_CHAT = "(-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')"
+
+
+@query
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.sql(f"select bigint(c) as conv_id, bigint(t) as turn, r as role, x as text from values {_CONTROL_CHAT} v(c, t, r, x)")
+    return chat_digests(format_chats(given.unionByName(own)))
+
+
+ORACLES["op11_chat_format"] = oracles.chat_sql(Template(), _CONTROL_CHAT)
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(given.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op12_hard_negatives"] = oracles.NEGATIVES_SQL
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_report(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_vector_codes"] = oracles.codes_sql()
