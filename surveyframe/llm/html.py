@@ -6,10 +6,11 @@ comments and the like) are left out. If the page marks its main part (article, m
 candidates are the blocks in there, else all blocks that are left.
 
 Every page is differenced: pages are paired within their host by the longest shared URL path (whole
-segments) with pages of other content, so copies of a page never are its partners. The block sequences are aligned by longest common subsequence, and shared blocks
-are deleted as template lines. A marked main part is the check on that: a partner that shares more than
-`article_share` of its characters shares the article, not a template, and is passed over for the next one, so
-an article that pages share stays whole.
+segments) with pages of other content, so copies of a page never are its partners. The block sequences are aligned by longest
+common subsequence, and shared blocks are deleted as template lines. A marked main part is the check on that: its text
+is the article, and sentences that other articles hold too stay in it. There a shared block goes only if the page's structure
+also says template: it is no heading, most of its characters are link text, it belongs to the unbroken run of such
+blocks at the start or at the end of the part, and every partner that shares anything shares it.
 
 On a page that marks no main part, if a pair shares more than `copy_share` of the page's characters, it may be
 two versions of an article or short articles under long menus; then only lines are deleted that the page shares
@@ -51,6 +52,7 @@ _BLOCKS = frozenset(
 )
 _LEFT_OUT = frozenset("nav aside footer form menu select button dialog fieldset head object canvas audio video map".split())
 _OPTIONAL_END = frozenset("p li dt dd option tr".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 _SPACES = frozenset("br td th img".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -79,12 +81,17 @@ def _attributes(text: str) -> tuple[bool, bool]:
     return left_out, main
 
 
-def blocks(page: str | None) -> tuple[list[str], bool, list[str]]:
-    """Texts of the kept blocks in page order, whether they come from a marked main part, and those of all blocks."""
+def blocks(page: str | None) -> tuple[list[str], bool, list[str], list[bool]]:
+    """Texts of the kept blocks in page order, whether they come from a marked main part, the texts of all
+    blocks, and for each kept block whether it is link text for the most part and no heading."""
     page = page or ""
     inside: list[str] = []
     every: list[str] = []
     text: list[str] = []
+    linked: list[str] = []
+    inside_links: list[bool] = []
+    every_links: list[bool] = []
+    in_link = in_heading = False
     skip_tag, skip_depth = "", 0
     mains: list[str] = []
     marked = False
@@ -94,14 +101,20 @@ def blocks(page: str | None) -> tuple[list[str], bool, list[str]]:
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
+                links = not in_heading and bool(linked) and 2 * len(" ".join(entities.unescape("".join(linked)).split())) > len(joined)
                 every.append(joined)
+                every_links.append(links)
                 if mains:
                     inside.append(joined)
+                    inside_links.append(links)
             text.clear()
+            linked.clear()
 
     for m in _MARKUP.finditer(page):
         if not skip_depth and m.start() > at:
             text.append(page[at : m.start()])
+            if in_link:
+                linked.append(text[-1])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
@@ -119,6 +132,10 @@ def blocks(page: str | None) -> tuple[list[str], bool, list[str]]:
                 continue
         if tag in _BLOCKS:
             close()
+            if tag in _HEADINGS:
+                in_heading = not ending
+        elif tag == "a":
+            in_link = not ending
         elif tag in _SPACES:
             text.append(" ")
         if ending:
@@ -137,7 +154,7 @@ def blocks(page: str | None) -> tuple[list[str], bool, list[str]]:
     if not skip_depth and at < len(page):
         text.append(page[at:])
     close()
-    return (inside if marked else every), marked, every
+    return (inside, marked, every, inside_links) if marked else (every, marked, every, every_links)
 
 
 def shared_positions(mine: list[int], other: list[int]) -> set[int]:
@@ -200,16 +217,20 @@ def shared_positions(mine: list[int], other: list[int]) -> set[int]:
 
 
 def template_lines(
-    mine: list[int], lengths: list[int], others: list[list[int]], marked: bool, copy_share: float, article_share: float
+    mine: list[int], lengths: list[int], links: list[bool], others: list[list[int]], marked: bool, copy_share: float
 ) -> list[int]:
     """Places of the blocks that the partners, nearest first, show to be template lines."""
     found = [shared for shared in (shared_positions(mine, other) for other in others) if shared]
-    if marked:
-        found = [shared for shared in found if sum(lengths[i] for i in shared) <= article_share * sum(lengths)]
     if not found:
         return []
+    if marked:
+        drop = {i for i in set.intersection(*found) if links[i]}
+        n = len(mine)
+        start = next((i for i in range(n) if i not in drop), n)
+        end = next((i for i in range(n, 0, -1) if i - 1 not in drop), 0)
+        return sorted(i for i in drop if i < start or i >= end)
     drop = found[0]
-    if not marked and sum(lengths[i] for i in drop) > copy_share * sum(lengths):
+    if sum(lengths[i] for i in drop) > copy_share * sum(lengths):
         drop = set.intersection(*found)
     return sorted(drop)
 
@@ -218,7 +239,7 @@ def block_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-_CUT = "page_id long, url string, marked boolean, content long, mine array<long>, lengths array<int>, lines array<long>"
+_CUT = "page_id long, url string, marked boolean, content long, mine array<long>, lengths array<int>, links array<boolean>, lines array<long>"
 _TEXTS = "page_id long, url string, content long, blocks array<string>"
 
 
@@ -228,7 +249,7 @@ def _parsed(names: list[str], make):
             for at in range(0, len(batch), 128):
                 part = batch.slice(at, 128)
                 found = [blocks(h.as_py()) for h in part.column("html")]
-                content = pa.array([block_hash("\n".join(t)) if t else None for t, _, _ in found], pa.int64())
+                content = pa.array([block_hash("\n".join(t)) if t else None for t, *_ in found], pa.int64())
                 made = {"page_id": part.column("page_id"), "url": part.column("url"), "content": content, **make(found)}
                 yield pa.RecordBatch.from_arrays([made[n] for n in names], names=names)
 
@@ -238,15 +259,16 @@ def _parsed(names: list[str], make):
 def _hashes(found):
     longs = pa.list_(pa.int64())
     return {
-        "marked": pa.array([m for _, m, _ in found]),
-        "mine": pa.array([[block_hash(x) for x in t] for t, _, _ in found], longs),
-        "lengths": pa.array([[len(x) for x in t] for t, _, _ in found], pa.list_(pa.int32())),
-        "lines": pa.array([[block_hash(x) for x in every] if m else None for _, m, every in found], longs),
+        "marked": pa.array([m for _, m, _, _ in found]),
+        "mine": pa.array([[block_hash(x) for x in t] for t, *_ in found], longs),
+        "lengths": pa.array([[len(x) for x in t] for t, *_ in found], pa.list_(pa.int32())),
+        "links": pa.array([links for *_, links in found], pa.list_(pa.bool_())),
+        "lines": pa.array([[block_hash(x) for x in every] if m else None for _, m, every, _ in found], longs),
     }
 
 
 def _texts(found):
-    return {"blocks": pa.array([t for t, _, _ in found], pa.list_(pa.string()))}
+    return {"blocks": pa.array([t for t, *_ in found], pa.list_(pa.string()))}
 
 
 def _names(schema: str) -> list[str]:
@@ -289,7 +311,7 @@ def partners(pages: DataFrame) -> DataFrame:
     )
 
 
-def extract_text(pages: DataFrame, copy_share: float = 0.8, article_share: float = 0.5) -> DataFrame:
+def extract_text(pages: DataFrame, copy_share: float = 0.8) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     read = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
@@ -297,9 +319,9 @@ def extract_text(pages: DataFrame, copy_share: float = 0.8, article_share: float
     cut = stored(read.mapInArrow(_parsed(_names(_CUT), _hashes), _CUT))
 
     def decide(batches):
-        columns = ["mine", "lengths", "others", "marked"]
+        columns = ["mine", "lengths", "links", "others", "marked"]
         for batch in batches:
-            drops = [template_lines(*(x.as_py() for x in row), copy_share, article_share) for row in zip(*(batch.column(c) for c in columns))]
+            drops = [template_lines(*(x.as_py() for x in row), copy_share) for row in zip(*(batch.column(c) for c in columns))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("content"), pa.array(drops, pa.list_(pa.int32()))], names=["d_page", "d_content", "drop"]
             )
@@ -311,7 +333,7 @@ def extract_text(pages: DataFrame, copy_share: float = 0.8, article_share: float
         .select("p_page", "p_content", F.col("ranked.lines").alias("others"))
     )
     asked = cut.join(others, (F.col("page_id") == F.col("p_page")) & (F.col("content") == F.col("p_content"))).select(
-        "page_id", "content", "marked", "mine", "lengths", "others"
+        "page_id", "content", "marked", "mine", "lengths", "links", "others"
     )
     dropped = stored(
         asked.mapInArrow(decide, "d_page long, d_content long, drop array<int>").where(F.size("drop") > 0)
