@@ -123,6 +123,12 @@ def _guild_fit(spark, sf, family="nb2", **kw):
     return g, glm.fit_cells(g, CELL, "count", "date_s", family, **kw)
 
 
+def _survey_fit(spark, sf, family="nb2"):
+    """Guild trends with a random intercept per survey and a zero share per guild."""
+    g = _guilds(spark, sf)
+    return g, mixed.fit_mixed(g, CELL, "count", "survey_id", "date_s", family, zi_by=["guild"])
+
+
 @query("trend_fit")
 def _(spark, sf):
     _, fit = _guild_fit(spark, sf)
@@ -179,21 +185,20 @@ def _(spark, sf):
 
 @query("mixed_intercept")
 def _(spark, sf):
-    fit = mixed.fit_mixed(_guilds(spark, sf), CELL, "count", "survey_id", "date_s", "nb2", zi_by=["guild"], with_covariance=False, between=["pair", "type"], between_x=True)
-    return mixed.effect_table(fit)
+    return mixed.effect_table(_survey_fit(spark, sf)[1])
 
 
 @query("mixed_errors")
 def _(spark, sf):
-    frame = _stages(spark, sf)
-    fit = mixed.fit_mixed(frame, STAGE_CELL, "stage_count", "survey_id", None, "nb2", between=["type", "pair"])
+    """Standard errors of all parameters: lines, dispersion, zero shares and the effects' deviation."""
+    _, fit = _survey_fit(spark, sf)
     errors = fit.vcov.where(F.col("term_i") == F.col("term_j"))
     return errors.select("term_i", F.sqrt("value").alias("se"), F.lit(fit.stats["converged"]).alias("converged"), F.lit(fit.stats["at_boundary"]).alias("at_boundary"))
 
 
 @query("mixed_crossed")
 def _(spark, sf):
-    fit = mixed.fit_crossed(_stages(spark, sf), STAGE_CELL, "stage_count", "survey_id", "species", "nb2", phi_by=["type"], between=["type", "pair"])
+    fit = mixed.fit_crossed(_stages(spark, sf), STAGE_CELL, "stage_count", "survey_id", "species", "nb2", phi_by=["type"])
     return mixed.effect_table(fit)
 
 
@@ -212,7 +217,7 @@ def _(spark, sf):
 
 @query("predict_grid")
 def _(spark, sf):
-    g, fit = _guild_fit(spark, sf, zi_by=["guild"])
+    g, fit = _survey_fit(spark, sf)
     return glm.predict(fit, g.select("survey_id", *CELL, "date_s"), "date_s")
 
 
@@ -231,14 +236,16 @@ def _(spark, sf):
 
 
 def _species_fit(spark, sf):
+    """One model per species, each with a random intercept per survey, fitted together."""
     frame = _stages(spark, sf)
-    return frame, glm.fit_cells(frame, ["species", *STAGE_CELL], "stage_count", None, "nb2", phi_by=["species"])
+    return frame, mixed.fit_mixed(frame, ["species", *STAGE_CELL], "stage_count", "survey_id", None, "nb2", model_by=["species"])
 
 
 @query("fit_by_species")
 def _(spark, sf):
     _, fit = _species_fit(spark, sf)
-    return fit.coef.select("species", *STAGE_CELL, "a", "phi", F.sqrt("v00").alias("se"), "n", "total", "loglik")
+    per = fit.models.select(F.col("model").alias("species"), "sigma", "loglik")
+    return fit.coef.join(per, "species").select("species", *STAGE_CELL, "a", "phi", F.sqrt("v00").alias("se"), "n", "total", "sigma", "loglik")
 
 
 @query("fit_summary")
@@ -403,7 +410,7 @@ def _(spark, sf):
 
 @query("slope_tables")
 def _(spark, sf):
-    _, fit = _guild_fit(spark, sf)
+    _, fit = _survey_fit(spark, sf)
     parts = []
     for name, t in results.contrast_tables(fit, "slope", SLOPE_TABLES).items():
         keep = [c for c in ("pair", "type", "guild", *_OUT, "p_value", "p_adjusted", "trajectory") if c in t.columns]
@@ -453,7 +460,7 @@ def _(spark, sf):
 
 @query("fig_trajectory")
 def _(spark, sf):
-    g, fit = _guild_fit(spark, sf, zi_by=["guild"])
+    g, fit = _survey_fit(spark, sf)
     return figures.trajectory_frame(fit, g, CELL, figures.time_line(g)).select(*CELL, "i", "day", "conditional_mean", "lower", "upper")
 
 

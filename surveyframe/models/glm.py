@@ -352,7 +352,12 @@ def coefficients(fit: CellFit, model_by: Sequence[str] = (), model: str = "model
 
 def covariance(fit: CellFit, model_by: Sequence[str] = (), model: str = "model") -> DataFrame:
     """Long covariance (model, term_i, term_j, value): blocks, plus products of loadings
-    inside a dispersion group where the family needs them."""
+    inside a dispersion group where the family needs them. A fit that holds the covariance of all its
+    parameters gives that one."""
+    if getattr(fit, "vcov", None) is not None:
+        if list(model_by) != fit.model_by:
+            raise ValueError(f"the fit has one model per {fit.model_by}")
+        return fit.vcov.select("model", "term_i", "term_j", "value")
     name = interaction_key(list(model_by)) if model_by else F.lit(model)
     cell = interaction_key([k for k in fit.keys if k not in model_by])
     base = fit.coef.withColumns({"model": name, "cell": cell})

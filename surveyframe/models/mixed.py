@@ -8,13 +8,18 @@ checkpointed every round, never collected.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyframe.functions.scalars import interaction_key
+from surveyframe.functions.special import digamma, lgamma, trigamma
 from surveyframe.models import families, glm
 from surveyframe.models.gram import MAX_COLUMNS, gram, matrix
 from surveyframe.operators.keys import attach_scalars, join_on
@@ -22,17 +27,19 @@ from surveyframe.session import checkpointed, stored, stored_with_max, literal_f
 
 
 @dataclass
-class MixedFit:
-    """``coef`` as in a cell fit (without standard errors), ``clusters`` with the posterior
-    mean of each effect, ``vcov`` long, ``stats`` with sigma, loglik and convergence."""
+class MixedFit(glm.CellFit):
+    """A cell fit with effects: everything that reads a cell fit reads this one.
 
-    family: str
-    keys: list[str]
-    has_slope: bool
-    coef: DataFrame
-    clusters: DataFrame
-    vcov: DataFrame | None
-    stats: dict = field(default_factory=dict)
+    ``clusters`` has the posterior mean and deviation of each effect, ``vcov`` the long covariance of all
+    parameters (cells, log phi, logit zero shares, log sigma), ``models`` one row per model with sigma,
+    log-likelihood, counts and health. ``stats`` holds that row where there is one model.
+    """
+
+    clusters: DataFrame | None = None
+    vcov: DataFrame | None = None
+    models: DataFrame | None = None
+    model_by: list[str] = field(default_factory=list)
+    levels: DataFrame | None = None
 
 
 def cluster_rows(df: DataFrame, cluster: str, keys: Sequence[str], y: str, x: str | None, extra: Sequence[str] = ()) -> DataFrame:
@@ -105,94 +112,386 @@ def sandwich(df: DataFrame, fit: glm.CellFit, cluster: str, y: str, x: str | Non
 
 # --- one random intercept ---------------------------------------------------------------
 
+#: Smallest standard deviation of the effects; a fit that reaches it has none.
+SIGMA_FLOOR = 0.01
+_PHI, _ZI, _SIGMA = 10**9, 2 * 10**9, 3 * 10**9  # codes of parameters; cell k has 2k (intercept) and 2k + 1 (slope)
+_TOTAL = -1
+#: Bounds of log phi and of the logit of a zero share.
+_LOG_PHI, _LOGIT_ZI = 13.8, 12.0
+
 
+@lru_cache
 def _node_array(count: int) -> Column:
     t, w = np.polynomial.hermite.hermgauss(count)
     return F.array(*[F.struct(F.lit(float(a)).alias("t"), F.lit(float(math.log(b) + a * a)).alias("lw")) for a, b in zip(t, w)])
 
 
-def _row_loglik(family: str, zero_part: bool) -> Column:
-    ll = families.loglik(family, F.col("y"), F.col("mu"), F.col("phi"))
-    if not zero_part:
-        return ll
-    p0 = families.zero_probability(family, F.col("mu"), F.col("phi"))
-    at_zero = F.ln(F.col("zi") + (1 - F.col("zi")) * p0)
-    return F.when(F.col("y") == 0, at_zero).otherwise(F.log1p(-F.col("zi")) + ll)
-
-
-def _posterior(rows: DataFrame, coef: DataFrame, keys: list[str], effects: DataFrame, sigma: float, family: str, nodes: int, zero_part: bool) -> DataFrame:
-    """Per cluster: nodes ``u`` with posterior weights ``w``, posterior mean and deviation,
-    and the marginal log-likelihood. Nodes sit around the previous posterior."""
-    placed = join_on(glm.with_linear_predictor(rows, coef, keys), effects, ["cluster"])
-    exploded = placed.select("*", F.posexplode(_node_array(nodes)).alias("k", "node"))
-    u = F.col("m") + math.sqrt(2.0) * F.col("s") * F.col("node").getField("t")
-    exploded = exploded.withColumns({"u": u, "mu": F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("eta") + u)))})
-    at_node = exploded.groupBy("cluster", "k").agg(
-        F.sum(F.col("n") * _row_loglik(family, zero_part)).alias("l"), F.max("u").alias("u"), F.max("s").alias("s"),
-        F.max(F.col("node").getField("lw")).alias("lw"),
-    )
-    prior = -0.5 * F.pow(F.col("u") / sigma, 2) - math.log(sigma) - 0.5 * math.log(2 * math.pi)
-    total = F.col("l") + F.col("lw") + F.log(F.col("s") * math.sqrt(2.0)) + prior
-    per = at_node.withColumn("total", total).groupBy("cluster").agg(
-        F.max("total").alias("top"), F.collect_list(F.struct("u", "total")).alias("nodes")
-    )
-    weighed = F.transform("nodes", lambda e: F.struct(e.getField("u").alias("u"), F.exp(e.getField("total") - F.col("top")).alias("w")))
-    per = per.withColumn("nodes", weighed)
-    add = lambda f: F.aggregate("nodes", F.lit(0.0), lambda acc, e: acc + f(e))
-    per = per.withColumn("mass", add(lambda e: e.getField("w")))
-    per = per.withColumns(
+@lru_cache
+def _node_free(family: str) -> dict[str, Column]:
+    """Parts of a row's likelihood and derivatives that do not depend on the effect."""
+    y, phi = F.col("y"), F.col("phi")
+    if family == "nb2":
+        return {
+            "k_ll": lgamma(y + phi) - lgamma(phi) + phi * F.ln(phi) - lgamma(y + 1),
+            "k_up": digamma(y + phi) - digamma(phi) + F.ln(phi) + 1,
+            "k_tri": trigamma(y + phi) - trigamma(phi) + 1 / phi,
+        }
+    return {"k_ll": -lgamma(y + 1)} if family == "poisson" else {}
+
+
+@lru_cache
+def _effect_steps(family: str) -> list[dict[str, Column]]:
+    """``ll`` and the derivatives of ``_node_free`` rows with their full ``eta``, all observed:
+    d1, obs (d/d eta, minus its derivative), up, hp (first, second d/d log phi), cp (cross)."""
+    y, phi, mu, t = F.col("y"), F.col("phi"), F.col("mu"), F.col("t")
+    eta = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("eta")))
+    start = [{"eta": eta, "mu": F.exp(eta)}]
+    if family == "nb1":
+        # One lgamma and digamma of the size per node serve all parts.
+        size, k = F.col("size"), 1 + phi
+        a, b = F.col("psi"), F.col("psi1")
+        first = -size / phi * a - size / k + y * (1 / phi - 1 / k)
+        second = (
+            2 * size / (phi * phi) * a + size / phi * (b * size / phi + 1 / k) + size / phi / k + size / (k * k) - y / (phi * phi) + y / (k * k)
+        )
+        return [
+            *start, {"size": mu / phi},
+            {"psi": digamma(y + size) - digamma(size) - F.log1p(phi), "psi1": trigamma(y + size) - trigamma(size)},
+            {
+                "ll": families.loglik("nb1", y, mu, phi), "d1": size * a, "obs": -(size * a + size * size * b), "w": mu / k, "up": phi * first,
+                "hp": phi * first + phi * phi * second, "cp": phi * (-size / phi * a - size * (b * size / phi + 1 / k)),
+            },
+        ]
+    zero = F.lit(0.0)
+    if family == "poisson":
+        return [*start, {"ll": F.col("k_ll") + y * F.col("eta") - mu, "d1": y - mu, "obs": mu, "up": zero, "hp": zero, "cp": zero}]
+    up = phi * (F.col("k_up") - F.ln(t) - (y + phi) / t)
+    return [
+        *start, {"t": mu + phi},
         {
-            "m": add(lambda e: e.getField("w") * e.getField("u")) / F.col("mass"),
-            "u2": add(lambda e: e.getField("w") * e.getField("u") * e.getField("u")) / F.col("mass"),
-            "loglik": F.ln("mass") + F.col("top"),
+            "ll": F.col("k_ll") + y * F.col("eta") - (y + phi) * F.ln(t),
+            "d1": phi * (y - mu) / t,
+            "obs": (y + phi) * mu * phi / (t * t),
+            "up": up,
+            "hp": up + phi * phi * (F.col("k_tri") - 2 / t + (y + phi) / (t * t)),
+            "cp": phi * mu * (y - mu) / (t * t),
+        },
+    ]
+
+
+def _at_effect(rows: DataFrame, family: str) -> DataFrame:
+    for step in _effect_steps(family):
+        rows = rows.withColumns(step)
+    return rows
+
+
+@lru_cache
+def _row_terms(zero_part: bool) -> dict[str, Column]:
+    """Weighted likelihood, scores and informations of a row in (eta, log phi, logit zero share), and with x."""
+    c = F.col
+    none = F.lit(0.0)
+    if not zero_part:
+        terms = {"ll": c("ll"), "s_e": c("d1"), "s_p": c("up"), "s_z": none, "i_ee": c("obs"), "i_ep": -c("cp"), "i_pp": -c("hp"),
+                 "i_ez": none, "i_pz": none, "i_zz": none}
+    else:
+        zi, z, one = c("zi"), c("z"), 1 - c("z")
+        terms = {
+            "ll": F.when(c("y") == 0, F.ln(zi + (1 - zi) * F.exp("ll"))).otherwise(F.log1p(-zi) + c("ll")),
+            "s_e": one * c("d1"), "s_p": one * c("up"), "s_z": z - zi,
+            "i_ee": one * c("obs") - z * one * c("d1") * c("d1"),
+            "i_ep": -one * c("cp") - z * one * c("d1") * c("up"),
+            "i_pp": -one * c("hp") - z * one * c("up") * c("up"),
+            "i_ez": z * one * c("d1"), "i_pz": z * one * c("up"), "i_zz": zi * (1 - zi) - z * one,
         }
-    )
-    spread = F.sqrt(F.greatest(F.col("u2") - F.col("m") * F.col("m"), F.lit(1e-8)))
-    nodes_out = F.transform("nodes", lambda e: F.struct(e.getField("u").alias("u"), (e.getField("w") / F.col("mass")).alias("w")))
-    return per.select("cluster", "m", spread.alias("s"), "u2", "loglik", nodes_out.alias("nodes"))
-
-
-#: Smallest standard deviation of the effects; a fit that reaches it has none.
-SIGMA_FLOOR = 0.01
-
-
-def _sigma_move(state: DataFrame, sigma: float, last: float) -> float:
-    """Step in log sigma: summed score over summed squared scores of the clusters. A step
-    that turns back is at most half of the one before."""
-    score = F.col("u2") / (sigma * sigma) - 1
-    total, square = state.agg(F.sum(score), F.sum(score * score)).first()
-    move = total / square if square > 0 else 0.0
-    limit = 0.5 * abs(last) if move * last < 0 else 0.7
-    return max(-limit, min(limit, move))
+    terms = {name: c("n") * value for name, value in terms.items()}
+    x = c("x")
+    return terms | {"s_x": x * terms["s_e"], "i_ex": x * terms["i_ee"], "i_xx": x * x * terms["i_ee"], "i_xp": x * terms["i_ep"], "i_xz": x * terms["i_ez"]}
+
+
+@lru_cache
+def _cluster_columns(zero_part: bool) -> list[Column]:
+    sums = [F.sum(v).alias(n) for n, v in _row_terms(zero_part).items()]
+    return [*[F.max(n).alias(n) for n in ("u", "reach", "sigma")], F.max(F.col("node").getField("lw")).alias("lw"), *sums]
+
+
+@lru_cache
+def _placing_columns() -> list[Column]:
+    c = F.col
+    at = lambda name, k: F.element_at(name, c(k) + 1)
+    hold = c("curve") + F.exp(-2 * c("ls"))  # a normal posterior: nodes follow when sigma moves
+    return [
+        (c("pull") / hold).alias("m"), (1 / F.sqrt(hold)).alias("reach"), (at("a", "cell_id") + at("b", "cell_id") * c("x")).alias("eta0"), F.exp(at("lp", "phi_id")).alias("phi"),
+        (1 / (1 + F.exp(-at("lz", "zi_id")))).alias("zi"), F.exp("ls").alias("sigma"),
+    ]
+
+
+def _cluster_sums(rows: DataFrame, models: DataFrame, effects: DataFrame, family: str, nodes: int, zero_part: bool) -> DataFrame:
+    """One row per (model, cluster) with a list of sums per node and cell."""
+    c = F.col
+    placed = join_on(rows.join(models.select("model", "a", "b", "lp", "lz", "ls"), "model"), effects.select("model", "cluster", "pull", "curve"), ["model", "cluster"])
+    placed = placed.select(*rows.columns, *_placing_columns())
+    spread = placed.withColumns(_node_free(family)).select("*", F.posexplode(_node_array(nodes)).alias("k", "node"))
+    spread = spread.withColumn("u", c("m") + math.sqrt(2.0) * c("reach") * c("node").getField("t")).withColumn("eta", c("eta0") + c("u"))
+    spread = _at_effect(spread, family)
+    if zero_part:
+        share = F.coalesce(F.try_divide("zi", c("zi") + (1 - c("zi")) * F.exp("ll")), F.lit(0.0))
+        spread = spread.withColumn("z", F.when(c("y") == 0, share).otherwise(0.0))
+    sums = spread.groupBy("model", "cluster", "k", "cell_id", "phi_id", "zi_id").agg(*_cluster_columns(zero_part))
+    packed = F.struct(*[n for n in sums.columns if n not in ("model", "cluster")])
+    return sums.groupBy("model", "cluster").agg(F.collect_list(packed).alias("e"))
+
+
+class _Sums:
+    """Scores and informations of one model, over the parameters met so far."""
+
+    def __init__(self) -> None:
+        self.codes, self.score, self.info, self.loglik = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0)), 0.0
+
+    def add(self, codes: np.ndarray, score: np.ndarray, info: np.ndarray, loglik: float) -> None:
+        every = np.union1d(self.codes, codes)
+        if len(every) > len(self.codes):
+            old, at = (self.score, self.info), np.searchsorted(every, self.codes)
+            self.codes, self.score, self.info = every, np.zeros(len(every)), np.zeros((len(every), len(every)))
+            self.score[at], self.info[np.ix_(at, at)] = old
+        at = np.searchsorted(self.codes, codes)
+        self.score[at] += score
+        self.info[np.ix_(at, at)] += info
+        self.loglik += loglik
+
+    def rows(self):
+        i, j = np.nonzero(self.info)
+        first = np.concatenate([[_TOTAL], self.codes, self.codes[i]])
+        second = np.concatenate([[_TOTAL], np.full(len(self.codes), _TOTAL), self.codes[j]])
+        return first, second, np.concatenate([[self.loglik], self.score, self.info[i, j]])
+
+
+def _posterior_sums(nodes: int, has_slope: bool, with_phi: bool, with_zi: bool, block: int = 256):
+    """Per cluster: nodes weighed by likelihood and prior, the next centre of its nodes, and by
+    Louis' identity its part of the observed information: expected information of the complete data
+    less the posterior covariance of its score."""
+
+    def one_model(e: dict, ci: np.ndarray, n: int, total: _Sums):
+        k = e["k"]
+        grid = lambda: np.zeros((n, nodes))
+        ll, u, lw, s, sigma, slope, curve = grid(), grid(), grid(), np.zeros(n), np.ones(n), grid(), grid()
+        np.add.at(ll, (ci, k), e["ll"])
+        np.add.at(slope, (ci, k), e["s_e"])
+        np.add.at(curve, (ci, k), e["i_ee"])
+        u[ci, k], lw[ci, k], s[ci], sigma[ci] = e["u"], e["lw"], e["reach"], e["sigma"]
+        sg = sigma[:, None]
+        joint = ll + lw + np.log(s * math.sqrt(2.0))[:, None] - 0.5 * (u / sg) ** 2 - np.log(sg) - 0.5 * math.log(2 * math.pi)
+        top = joint.max(axis=1, keepdims=True)
+        w = np.exp(joint - top)
+        mass = w.sum(axis=1, keepdims=True)
+        w /= mass
+        loglik = (np.log(mass) + top)[:, 0]
+        mean = (w * u).sum(axis=1)
+        curvature = np.maximum((w * curve).sum(axis=1), 0.0) + 1 / sigma**2
+        # At the posterior the mean slope of the joint density is zero; where nodes miss it this leads back.
+        mean = mean + np.clip((w * (slope - u / sg**2)).sum(axis=1) / curvature, -1.0, 1.0)
+        pull, spread = mean * curvature, curvature - 1 / sigma**2
+        wt = w[ci, k]
+        lines = [(2 * e["cell_id"], "s_e")] + ([(2 * e["cell_id"] + 1, "s_x")] if has_slope else [])
+        lines += ([(_PHI + e["phi_id"], "s_p")] if with_phi else []) + ([(_ZI + e["zi_id"], "s_z")] if with_zi else [])
+        crosses = {("s_e", "s_e"): "i_ee", ("s_e", "s_x"): "i_ex", ("s_x", "s_x"): "i_xx", ("s_e", "s_p"): "i_ep", ("s_x", "s_p"): "i_xp",
+                   ("s_p", "s_p"): "i_pp", ("s_e", "s_z"): "i_ez", ("s_x", "s_z"): "i_xz", ("s_p", "s_z"): "i_pz", ("s_z", "s_z"): "i_zz"}
+        codes = np.unique(np.concatenate([c for c, _ in lines] + [[_SIGMA]]))
+        score = np.zeros((n, nodes, len(codes)))
+        info = np.zeros((len(codes), len(codes)))
+        at = [(np.searchsorted(codes, c), name) for c, name in lines]
+        for a, (i, p) in enumerate(at):
+            np.add.at(score, (ci, k, i), e[p])
+            for j, q in at[a:]:
+                value = wt * e[crosses[p, q]]
+                np.add.at(info, (i, j), value)
+                if p != q:
+                    np.add.at(info, (j, i), value)
+        score[:, :, -1] = (u / sg) ** 2 - 1
+        info[-1, -1] += (2 * w * (u / sg) ** 2).sum()
+        expected = np.einsum("ck,ckp->cp", w, score)
+        apart = (np.sqrt(w)[:, :, None] * (score - expected[:, None, :])).reshape(-1, len(codes))
+        total.add(codes, expected.sum(axis=0), info - apart.T @ apart, float(loglik.sum()))
+        return pull, spread
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, _Sums] = {}
+        kinds = None
+        for whole in batches:
+            kinds = whole.schema
+            for start in range(0, whole.num_rows, block):
+                batch = whole.slice(start, block)
+                lists, names = batch.column("e"), batch.column("model").to_pylist()
+                flat = lists.flatten()
+                e = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+                ci = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                mean, spread = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+                label = np.array(names, dtype=object)
+                for name in set(names):
+                    mine = np.flatnonzero(label == name)
+                    place = np.full(batch.num_rows, -1)
+                    place[mine] = np.arange(len(mine))
+                    take = place[ci] >= 0
+                    mean[mine], spread[mine] = one_model({f: v[take] for f, v in e.items()}, place[ci][take], len(mine), totals.setdefault(name, _Sums()))
+                none = pa.nulls(batch.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("model"), batch.column("cluster"), pa.array(mean), pa.array(spread), none, none, pa.nulls(batch.num_rows, pa.float64())],
+                    names=["model", "cluster", "pull", "curve", "i", "j", "value"],
+                )
+        for name, total in totals.items():
+            i, j, value = total.rows()
+            none = pa.nulls(len(i), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(i), pa.string()), pa.nulls(len(i), kinds.field("cluster").type), none, none, pa.array(i), pa.array(j), pa.array(value)],
+                names=["model", "cluster", "pull", "curve", "i", "j", "value"],
+            )
 
+    return run
+
+
+_VECTORS = "a array<double>, b array<double>, lp array<double>, lz array<double>, ls double"
+_MODEL = (
+    f"model string, {_VECTORS}, fa array<boolean>, fb array<boolean>, a_last array<double>, b_last array<double>, lp_last array<double>, "
+    "lz_last array<double>, ls_last double, ll double, step double, halved int"
+)
+
+
+def _pack(row: dict, has_slope: bool, with_phi: bool, with_zi: bool, suffix: str = "") -> dict[int, float]:
+    """Free parameters of a model by code."""
+    out = {2 * k: v for k, (v, free) in enumerate(zip(row[f"a{suffix}"], row["fa"])) if free}
+    if has_slope:
+        out |= {2 * k + 1: v for k, (v, free) in enumerate(zip(row[f"b{suffix}"], row["fb"])) if free}
+    out |= {_PHI + k: v for k, v in enumerate(row[f"lp{suffix}"])} if with_phi else {}
+    out |= {_ZI + k: v for k, v in enumerate(row[f"lz{suffix}"])} if with_zi else {}
+    return out | {_SIGMA: row[f"ls{suffix}"]}
+
+
+def _bounds(code: int) -> tuple[float, float]:
+    if code < _PHI:
+        return -40.0, 40.0
+    if code < _ZI:
+        return -_LOG_PHI, _LOG_PHI
+    return (-_LOGIT_ZI, _LOGIT_ZI) if code < _SIGMA else (math.log(SIGMA_FLOOR), 5.0)
+
+
+def _system(pdf: pd.DataFrame, codes: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Score, information and log-likelihood out of summed rows (i, j, value)."""
+    place = {c: k for k, c in enumerate(codes)}
+    score, info, loglik = np.zeros(len(codes)), np.zeros((len(codes), len(codes))), 0.0
+    for i, j, value in zip(pdf["i"], pdf["j"], pdf["value"]):
+        if i == _TOTAL:
+            loglik = value
+        elif j == _TOTAL:
+            if i in place:
+                score[place[i]] = value
+        elif i in place and j in place:
+            info[place[i], place[j]] = value
+    return score, info, loglik
+
+
+def _held(theta: dict[int, float], score: np.ndarray) -> np.ndarray:
+    """Parameters that rest at a bound which their score pushes against."""
+    low, high = np.array([_bounds(c) for c in theta]).T
+    value = np.array(list(theta.values()))
+    return ((value <= low) & (score <= 0)) | ((value >= high) & (score >= 0))
+
+
+def _newton(has_slope: bool, with_phi: bool, with_zi: bool):
+    """A guarded Newton step of one model from its summed score and information."""
+
+    def step(key, sums: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        row = model.iloc[0].to_dict()
+        theta = _pack(row, has_slope, with_phi, with_zi)
+        codes = list(theta)
+        score, info, loglik = _system(sums, codes)
+        value = np.array([theta[c] for c in codes])
+        if np.isfinite(row["ll"]) and loglik < row["ll"] - 1e-4 - 1e-7 * abs(loglik) and row["halved"] < 12:
+            last = _pack(row, has_slope, with_phi, with_zi, "_last")
+            fresh = (value + np.array([last[c] for c in codes])) / 2
+            row |= {"halved": row["halved"] + 1, "step": float("inf")}
+        else:
+            free = ~_held(theta, score)
+            inner = info[np.ix_(free, free)]
+            scale = np.sqrt(np.maximum(np.abs(np.diag(inner)), 1e-8))
+            values, vectors = np.linalg.eigh(inner / np.outer(scale, scale))
+            move = np.zeros(len(codes))
+            move[free] = vectors @ ((vectors.T @ (score[free] / scale)) / np.maximum(np.abs(values), 1e-3)) / scale
+            largest = float(np.abs(move).max(initial=0.0))
+            # Lines share one limit; a flat dispersion, share or deviation must not hold them back.
+            lines = np.array(codes) < _PHI
+            move[lines] *= min(1.0, 1.0 / max(np.abs(move[lines]).max(initial=0.0), 1e-12))
+            fresh = value + np.clip(move, -1.0, 1.0)
+            low, high = np.array([_bounds(c) for c in codes]).T
+            fresh = np.clip(fresh, low, high)
+            row |= {f"{n}_last": row[n] for n in ("a", "b", "lp", "lz", "ls")}
+            row |= {"ll": loglik, "halved": 0, "step": largest}
+        new = {n: np.array(row[n], dtype=float) for n in ("a", "b", "lp", "lz")}
+        for c, v in zip(codes, fresh):
+            if c >= _SIGMA:
+                row["ls"] = float(v)
+            elif c >= _ZI:
+                new["lz"][c - _ZI] = v
+            elif c >= _PHI:
+                new["lp"][c - _PHI] = v
+            else:
+                new["b" if c % 2 else "a"][c // 2] = v
+        return pd.DataFrame([row | new])[list(model.columns)]
+
+    return step
+
+
+def _inverse(has_slope: bool, with_phi: bool, with_zi: bool):
+    """Covariances of one model's free parameters, and its summary in rows with i = -1."""
+
+    def run(key, sums: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        row = model.iloc[0].to_dict()
+        theta = _pack(row, has_slope, with_phi, with_zi)
+        codes = list(theta)
+        score, info, loglik = _system(sums, codes)
+        held = _held(theta, score)
+        free = np.flatnonzero(~held)
+        inner = info[np.ix_(free, free)]
+        scale = np.sqrt(np.maximum(np.diag(inner), 1e-300))
+        definite = bool(len(free)) and bool(np.linalg.eigvalsh(inner / np.outer(scale, scale)).min() > 1e-10)
+        rows = [(row["model"], -1, k, float(v)) for k, v in enumerate([loglik, len(free), np.abs(score[free]).max(initial=0.0), float(definite), float(held.any())])]
+        if definite:
+            cov = np.linalg.inv(inner / np.outer(scale, scale)) / np.outer(scale, scale)
+            rows += [(row["model"], codes[p], codes[q], float(cov[a, b])) for a, p in enumerate(free) for b, q in enumerate(free)]
+        rows += [(row["model"], codes[p], -1, float(score[p])) for p in range(len(codes))]
+        return pd.DataFrame(rows, columns=["model", "i", "j", "value"])
+
+    return run
+
+
+def _identified(rows: DataFrame, coef: DataFrame, keys: list[str], model: Column, phi_by, zi_by) -> DataFrame:
+    """Cells of ``coef`` with their numbers inside the model and what the data let us estimate."""
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    seen = rows.groupBy(*keys).agg(
+        F.sum(n).alias("n"), F.sum(n * y).alias("total"), F.sum(n * x).alias("sx"), F.sum(n * x * x).alias("sxx"), F.sum(n * y * x).alias("sxy"),
+    )
+    varies = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n") > 1e-9 * F.col("sxx")
+    cells = join_on(coef.select(*keys, "a", "b", "phi"), seen, keys).withColumn("model", model)
+    rank = lambda by: F.dense_rank().over(Window.partitionBy("model").orderBy(*by)) - 1 if by else F.lit(0)
+    return cells.select(
+        *keys, "model", "a", "b", "phi", "n", "total", (F.col("total") > 0).alias("fa"), ((F.col("total") > 0) & varies).alias("fb"),
+        rank(keys).alias("cell_id"), rank(phi_by).alias("phi_id"), rank(zi_by).alias("zi_id"),
+    )
 
-def _recentred(
-    coef: DataFrame, state: DataFrame, traits: DataFrame, between: list[str], with_x: bool
-) -> tuple[DataFrame, DataFrame]:
-    """Move the part of the effects that is a line per ``between`` group into the cells.
 
-    At the maximum the posterior effects of a group sum to zero (and to zero against a
-    covariate that is constant within clusters), so this only shortens the way there:
-    factors that do not vary within clusters would otherwise creep towards their values.
-    """
-    x = F.col("trait_x") if with_x else F.lit(0.0)
-    placed = join_on(state, traits, ["cluster"])
-    sums = placed.groupBy(*between).agg(
-        F.count(F.lit(1)).cast("double").alias("k"), F.sum("m").alias("sm"), F.sum(x).alias("sx"),
-        F.sum(x * x).alias("sxx"), F.sum(x * F.col("m")).alias("sxm"),
+def _start(cells: DataFrame, sigma: float, zi: float) -> DataFrame:
+    ordered = lambda value, by: F.transform(F.array_sort(F.collect_set(F.struct(by, value.alias("v")))), lambda e: e["v"])
+    flags = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("cell_id", c))), lambda e: e[c])
+    last = lambda c: F.col(c).alias(f"{c}_last")
+    a = F.when(F.col("fa"), F.col("a")).otherwise(glm.FLOOR)
+    out = cells.groupBy("model").agg(
+        ordered(a, "cell_id").alias("a"), ordered(F.when(F.col("fb"), F.col("b")).otherwise(0.0), "cell_id").alias("b"),
+        F.transform(F.array_sort(F.collect_set("phi_id")), lambda k: F.lit(0.0)).alias("lp0"),
+        F.transform(F.array_sort(F.collect_set("zi_id")), lambda k: F.lit(math.log(zi / (1 - zi)))).alias("lz"),
+        F.array_sort(F.collect_set(F.struct("phi_id", F.ln("phi").alias("v")))).alias("lps"),
+        flags("fa").alias("fa"), flags("fb").alias("fb"), F.count(F.lit(1)).alias("cells"),
     )
-    det = F.col("k") * F.col("sxx") - F.col("sx") * F.col("sx")
-    slope = F.when(det > 1e-9 * F.col("k") * F.col("sxx"), (F.col("k") * F.col("sxm") - F.col("sx") * F.col("sm")) / det).otherwise(0.0)
-    lines = sums.withColumn("move_b", slope)
-    lines = stored(lines.select(*between, ((F.col("sm") - F.col("move_b") * F.col("sx")) / F.col("k")).alias("move_a"), "move_b"))
-    attach = lambda df: join_on(df, lines, between) if between else attach_scalars(df, lines)
-    by = F.col("move_a") + F.col("move_b") * x
-    moved = attach(placed).withColumn("by", by)
-    nodes = F.transform("nodes", lambda e: F.struct((e.getField("u") - F.col("by")).alias("u"), e.getField("w").alias("w")))
-    u2 = F.col("u2") - 2 * F.col("by") * F.col("m") + F.col("by") * F.col("by")
-    moved = moved.withColumns({"u2": u2, "nodes": nodes}).withColumn("m", F.col("m") - F.col("by"))
-    shifted = attach(coef).withColumns({"a": F.col("a") + F.col("move_a"), "b": F.col("b") + F.col("move_b")})
-    return shifted.drop("move_a", "move_b"), moved.select(*state.columns)
+    out = out.withColumns({"lp": F.transform("lps", lambda e: e["v"]), "ls": F.lit(math.log(sigma))})
+    ends = [F.lit(None).cast("double").alias("ll"), F.lit(None).cast("double").alias("step"), F.lit(0).alias("halved")]
+    return out.select("model", "a", "b", "lp", "lz", "ls", "fa", "fb", *[last(c) for c in ("a", "b", "lp", "lz", "ls")], *ends)
 
 
 def fit_mixed(
@@ -205,70 +504,213 @@ def fit_mixed(
     phi_by: Sequence[str] | None = (),
     zi_by: Sequence[str] | None = None,
     nodes: int = 7,
-    max_iterations: int = 60,
-    tolerance: float = 1e-3,
-    with_covariance: bool = True,
-    between: Sequence[str] = (),
-    between_x: bool = False,
+    max_iterations: int = 40,
+    tolerance: float = 1e-5,
+    model_by: Sequence[str] = (),
 ) -> MixedFit:
-    """Cell lines with one normal random intercept per cluster, over Gauss-Hermite nodes
-    placed around each cluster's posterior: the lines take the weighted Newton step of
-    their expected log-likelihood, sigma a scoring step.
+    """Cell lines with one normal random intercept per cluster, by maximum likelihood.
 
-    Standard errors come from the products of per-cluster scores of all parameters
-    (lines, log phi, log sigma), not from the M-step. ``between`` names the keys that are
-    constant within a cluster and ``between_x`` says that x is; both only speed the search.
+    The likelihood of a cluster is its Gauss-Hermite sum over nodes around its posterior. A round is
+    one pass over the rows: sums per cluster, node and cell, from which each cluster adds its score and its
+    observed information (Louis' identity) in all parameters of its model: lines, log phi, the logit of a zero share and
+    log sigma. A Newton step per model follows; a step that loses likelihood is halved. The covariance of all parameters
+    is the inverse of that information at the end.
+
+    ``model_by`` (some of ``keys``) fits one model per key in the same passes; ``phi_by`` and ``zi_by``
+    are then groups inside a model. All-zero cells and slopes over a constant x take no part. Raises if a
+    model still moves after ``max_iterations`` rounds.
     """
-    keys = list(keys)
+    keys, model_by = list(keys), list(model_by)
     phi_by = None if family == "poisson" else list(phi_by or [])
     zi_by = None if zi_by is None else list(zi_by)
-    rows = checkpointed(cluster_rows(df, cluster, keys, y, x))
-    coef = glm.starting_values(rows.drop("cluster"), keys, family, phi_by, 0.0 if zi_by is None else 0.05)
-    sigma, done, iteration, state, last = 0.5, False, 0, None, 0.0
-    names = rows.select("cluster").distinct()
-    effects = names.withColumns({"m": F.lit(0.0), "s": F.lit(sigma)})
-    traits = checkpointed(rows.groupBy("cluster", *between).agg(F.max("x").alias("trait_x")))
-    while iteration < max_iterations and not done:
-        state = checkpointed(_posterior(rows, coef, keys, effects, sigma, family, nodes, zi_by is not None))
-        coef, state = _recentred(coef, state, traits, list(between), between_x and x is not None)
-        effects = state.select("cluster", "m", "s")
-        scored = _scored_nodes(rows, coef, keys, state, family)
-        coef, step = stored_with_max(glm.advance(glm.cell_sums(scored, keys), keys, phi_by, zi_by, x is not None), "step")
-        move = _sigma_move(state, sigma, last)
-        new = max(sigma * math.exp(move), SIGMA_FLOOR)
+    with_phi, with_zi, has_slope = phi_by is not None, zi_by is not None, x is not None
+    name = interaction_key(model_by) if model_by else F.lit("model")
+    counted = checkpointed(cluster_rows(df, cluster, keys, y, x))
+    start = glm.starting_values(counted.drop("cluster"), keys, family, None if phi_by is None else [*model_by, *[k for k in phi_by if k not in model_by]], 0.0)
+    cells = stored(_identified(counted, start, keys, name, phi_by or [], zi_by or []))
+    largest = cells.groupBy("model").count().agg(F.max("count")).first()[0] or 0
+    if largest > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} cells in a model; a dense covariance is not available")
+    ids = cells.select(*keys, "model", "cell_id", "phi_id", "zi_id")
+    rows = stored(join_on(counted, ids, keys).select("model", "cluster", "cell_id", "phi_id", "zi_id", "x", "y", "n"))
+    sigma = 0.5
+    models = stored(_start(cells, sigma, 0.05 if with_zi else 1e-12))
+    effects = stored(_first_effects(rows, models, sigma))
+    cluster_type = dict(rows.dtypes)["cluster"]
+
+    def one_pass() -> DataFrame:
+        lists = _cluster_sums(rows, models, effects, family, nodes, with_zi)
+        run = _posterior_sums(nodes, has_slope, with_phi, with_zi)
+        return stored(lists.mapInArrow(run, f"model string, cluster {cluster_type}, pull double, curve double, i long, j long, value double"))
+
+    def per_model(done: DataFrame, how, schema: str) -> DataFrame:
+        sums = done.where(F.col("i").isNotNull()).groupBy("model", "i", "j").agg(F.sum("value").alias("value"))
+        return sums.groupBy("model").cogroup(models.groupBy("model")).applyInPandas(how(has_slope, with_phi, with_zi), schema)
+
+    iteration, moved = 0, float("inf")
+    while moved >= tolerance:
+        if iteration == max_iterations:
+            raise RuntimeError(f"mixed fit still moves by {moved} after {max_iterations} rounds")
+        done = one_pass()
+        effects = done.where(F.col("i").isNull()).select("model", "cluster", "pull", "curve")
+        if iteration:  # the first pass only places the nodes
+            models, moved = stored_with_max(per_model(done, _newton, _MODEL), "step")
+            moved = 0.0 if moved is None else moved
         iteration += 1
-        done = step < tolerance and (abs(new - sigma) < tolerance * sigma or new == SIGMA_FLOOR == sigma)
-        sigma, last = new, move
-    state = checkpointed(_posterior(rows, coef, keys, effects, sigma, family, nodes, zi_by is not None))
-    total = state.agg(F.sum("loglik"), F.count(F.lit(1))).first()
-    vcov = None
-    if with_covariance:
-        scored = _scored_nodes(rows, coef, keys, state, family)
-        shared = {} if phi_by is None else {"log_phi": F.col("weight") * F.col("up")}
-        # d/d log sigma belongs to the cluster: spread it over its rows through their share.
-        rows_in = rows.groupBy("cluster").agg(F.sum("n").alias("rows_in"))
-        scored = join_on(scored, rows_in, ["cluster"])
-        shared["log_sigma"] = F.col("n") * (F.pow(F.col("u") / sigma, 2) - 1) / F.col("rows_in")
-        products, labels = score_products(scored, "cluster", keys, _cells(coef, keys), x is not None, shared)
-        vcov = long_covariance(df.sparkSession, np.linalg.pinv(products), labels)
-    stats = {"sigma": sigma, "loglik": total[0], "n_clusters": total[1], "iterations": iteration, "converged": bool(done), "at_boundary": sigma <= SIGMA_FLOOR}
-    return MixedFit(family, keys, x is not None, coef, state.select("cluster", "m", "s"), vcov, stats)
-
-
-def _scored_nodes(rows: DataFrame, coef: DataFrame, keys: list[str], state: DataFrame, family: str) -> DataFrame:
-    """Rows at every posterior node with derivatives; ``n`` and ``weight`` carry the node weight."""
-    placed = join_on(glm.with_linear_predictor(rows, coef, keys), state.select("cluster", "nodes"), ["cluster"])
-    exploded = placed.select("*", F.explode("nodes").alias("node")).drop("nodes")
-    exploded = exploded.withColumns({"u": F.col("node").getField("u"), "w_node": F.col("node").getField("w")}).drop("node")
-    exploded = exploded.withColumn("eta", F.col("eta") + F.col("u"))
-    scored = glm.with_zero_share(families.with_derivatives(exploded, family), family)
-    weight = F.col("n") * F.col("w_node")
-    return scored.withColumns({"weight": weight * (1 - F.col("z")), "n": weight})
+        if largest == 0:
+            break
+    done = one_pass()
+    hold = F.col("curve") + F.exp(-2 * F.col("ls"))
+    effects = done.where(F.col("i").isNull()).join(models.select("model", "ls"), "model")
+    effects = effects.select("model", "cluster", (F.col("pull") / hold).alias("m"), (1 / F.sqrt(hold)).alias("s"))
+    return _mixed_result(family, keys, has_slope, phi_by, zi_by, model_by, cells, models, effects, stored(per_model(done, _inverse, "model string, i long, j long, value double")), iteration)
+
+
+def _first_effects(rows: DataFrame, models: DataFrame, sigma: float) -> DataFrame:
+    """Where each cluster's nodes start: a shrunken step from its counts against the starting lines."""
+    eta = F.element_at("a", F.col("cell_id") + 1) + F.element_at("b", F.col("cell_id") + 1) * F.col("x")
+    mu = F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), eta)))
+    placed = rows.join(models.select("model", "a", "b"), "model").withColumn("mu", mu)
+    q = 1 + F.col("mu")  # as of a dispersion of one: the first nodes need not be sharp
+    sums = placed.groupBy("model", "cluster").agg(F.sum(F.col("n") * (F.col("y") - F.col("mu")) / q).alias("u"), F.sum(F.col("n") * F.col("mu") / q).alias("w"))
+    hold = F.col("w") + 1 / sigma**2
+    return sums.select("model", "cluster", (hold * F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("u") / hold))).alias("pull"), F.col("w").alias("curve"))
+
+
+def _mixed_result(family, keys, has_slope, phi_by, zi_by, model_by, cells, models, effects, inverse, iterations) -> MixedFit:
+    c = F.col
+    pick = lambda i, j: inverse.where((c("i") >= 0) & (c("i") < _PHI) & (F.floor(c("i") / 2) == F.floor(c("j") / 2)) & (c("i") % 2 == i) & (c("j") % 2 == j))
+    blocks = pick(0, 0).select("model", F.floor(c("i") / 2).alias("cell_id"), c("value").alias("v00"))
+    for k, (i, j) in {"v01": (0, 1), "v11": (1, 1)}.items():
+        blocks = blocks.join(pick(i, j).select("model", F.floor(c("i") / 2).alias("cell_id"), c("value").alias(k)), ["model", "cell_id"], "left")
+    score = inverse.where((c("i") >= 0) & (c("i") < _PHI) & (c("j") < 0)).groupBy("model", F.floor(c("i") / 2).alias("cell_id")).agg(F.max(F.abs("value")).alias("score"))
+    at = lambda name, k: F.element_at(name, c(k) + 1)
+    none = F.lit(0.0)
+    solved = cells.drop("a", "b", "phi").join(models.select("model", "a", "b", "lp", "lz"), "model")
+    solved = solved.join(blocks, ["model", "cell_id"], "left").join(score, ["model", "cell_id"], "left")
+    flat = F.when(c("fa") & c("v00").isNotNull(), 0.0)
+    coef = stored(
+        solved.select(
+            *keys, at("a", "cell_id").alias("a"), at("b", "cell_id").alias("b"), F.exp(at("lp", "phi_id")).alias("phi"),
+            ((1 / (1 + F.exp(-at("lz", "zi_id")))) if zi_by is not None else none).alias("zi"),
+            "v00", (c("v01") if has_slope else flat).alias("v01"), (c("v11") if has_slope else flat).alias("v11"), none.alias("load0"), none.alias("load1"),
+            "n", "total", F.coalesce("score", none).alias("score"), c("v00").isNotNull().alias("definite"),
+        )
+    )
+    inside = [k for k in keys if k not in model_by]
+    label = lambda by, kind: F.concat_ws(":", F.lit(kind), *([interaction_key([k for k in by if k not in model_by])] if [k for k in by if k not in model_by] else []))
+    of_cell = interaction_key(inside) if inside else F.lit("all")
+    entries = [F.struct((2 * c("cell_id")).cast("long").alias("code"), F.concat_ws(":", of_cell, F.lit("intercept")).alias("term"))]
+    entries += [F.struct((2 * c("cell_id") + 1).cast("long").alias("code"), F.concat_ws(":", of_cell, F.lit("slope")).alias("term"))] if has_slope else []
+    entries += [F.struct((c("phi_id") + _PHI).cast("long").alias("code"), label(phi_by, "log_phi").alias("term"))] if phi_by is not None else []
+    entries += [F.struct((c("zi_id") + _ZI).cast("long").alias("code"), label(zi_by, "logit_zi").alias("term"))] if zi_by is not None else []
+    entries += [F.struct(F.lit(_SIGMA).cast("long").alias("code"), F.lit("log_sigma").alias("term"))]
+    terms = stored(cells.select("model", F.inline(F.array(*entries))).distinct())
+    side = lambda k: terms.select("model", c("code").alias(k), c("term").alias(f"term_{k}"))
+    vcov = stored(
+        inverse.where((c("i") >= 0) & (c("j") >= 0)).join(side("i"), ["model", "i"]).join(side("j"), ["model", "j"]).select("model", "term_i", "term_j", "value")
+    )
+    part = lambda k: F.max(F.when((c("i") < 0) & (c("j") == k), c("value")))
+    sums = inverse.groupBy("model").agg(
+        part(0).alias("loglik"), part(1).cast("bigint").alias("n_par"), part(2).alias("max_score"), (part(3) > 0).alias("positive_definite"), (part(4) > 0).alias("at_bound")
+    )
+    count = effects.groupBy("model").agg(F.count(F.lit(1)).alias("n_clusters"))
+    table = models.select("model", F.exp("ls").alias("sigma"), (c("ls") <= math.log(SIGMA_FLOOR)).alias("at_boundary")).join(sums, "model").join(count, "model")
+    table = stored(table.withColumns({"aic": 2 * c("n_par") - 2 * c("loglik"), "iterations": F.lit(iterations), "converged": F.lit(True)}))
+    first = table.orderBy("model").limit(2).collect()
+    stats = {**first[0].asDict(), "n_obs": coef.agg(F.sum("n")).first()[0]} if len(first) == 1 else {"iterations": iterations, "converged": True}
+    return MixedFit(family, keys, has_slope, coef, phi_by, zi_by, stats, effects, vcov, table, list(model_by))
 
 
 # --- two crossed intercepts ---------------------------------------------------------------
 
 
+def _arrow_sums(p: int, q: int):
+    """Sums of one pass of the crossed fit. Parameters are p cells, then q levels; each cluster's own effect
+    is eliminated from them by its row of the information (Schur complement)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = p + q
+        score, info, other = np.zeros(size), np.zeros((size, size)), np.zeros(4)
+        phi: dict[int, np.ndarray] = {}
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("cluster").type
+            lists, hold = batch.column("e"), batch.column("hold").to_numpy()
+            flat = lists.flatten()
+            e = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+            n = batch.num_rows
+            ci = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            effect = batch.column("effect").to_numpy()
+            cell, level = e["cell_id"], p + e["level_id"]
+            d, u = hold.copy(), -effect * hold
+            np.add.at(d, ci, e["w"])
+            np.add.at(u, ci, e["d1"])
+            for at in (cell, level):
+                np.add.at(score, at, e["d1"] - e["w"] * (u / d)[ci])
+                np.add.at(info, (at, at), e["w"])
+            np.add.at(info, (cell, level), e["w"])
+            np.add.at(info, (level, cell), e["w"])
+            step = max(1, (1 << 22) // size)
+            for a in range(0, n, step):
+                b = min(n, a + step)
+                mine = (ci >= a) & (ci < b)
+                g = np.zeros((b - a, size))
+                np.add.at(g, (ci[mine] - a, cell[mine]), e["w"][mine])
+                np.add.at(g, (ci[mine] - a, level[mine]), e["w"][mine])
+                info -= (g / d[a:b, None]).T @ g
+            other += [e["ll"].sum(), np.log(d).sum(), (effect**2).sum(), n]
+            for k in np.unique(e["phi_id"]):
+                here = e["phi_id"] == k
+                phi[k] = phi.get(k, np.zeros(2)) + [e["up"][here].sum(), e["hp"][here].sum()]
+            none = pa.nulls(n, pa.int64())
+            index = pa.ListArray.from_arrays(lists.offsets, flat.field("cell_id")), pa.ListArray.from_arrays(lists.offsets, flat.field("level_id"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cluster"), pa.array(effect), pa.array(d), pa.array(u), *index, pa.ListArray.from_arrays(lists.offsets, flat.field("w")), none, none, pa.nulls(n, pa.float64())],
+                names=_CROSSED,
+            )
+        if kind is not None:
+            i, j = np.nonzero(info)
+            many = list(phi)
+            rows = [(i, j, info[i, j]), (np.arange(size), np.full(size, -1), score), (np.arange(4), np.full(4, -2), other)]
+            rows += [(np.array(many), np.full(len(many), -3 - k), np.array([phi[m][k] for m in many])) for k in range(2)]
+            first, second, value = (np.concatenate([r[k] for r in rows]) for k in range(3))
+            m = len(first)
+            none = pa.nulls(m, pa.float64())
+            ints, floats = pa.nulls(m, pa.list_(pa.int32())), pa.nulls(m, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), none, none, none, ints, ints, floats, pa.array(first.astype(np.int64)), pa.array(second.astype(np.int64)), pa.array(value)], names=_CROSSED)
+
+    return run
+
+
+_CROSSED = ["cluster", "effect", "d", "u", "cells", "levels", "ws", "i", "j", "value"]
+
+
+def _back_substituted(move: np.ndarray, p: int, spread: np.ndarray, factor: float):
+    """New effect of each cluster once cells and levels have moved, and its posterior variance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, lists = batch.num_rows, batch.column("ws")
+            ci = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            cell, level = (batch.column(k).flatten().to_numpy() for k in ("cells", "levels"))
+            w, d = lists.flatten().to_numpy(), batch.column("d").to_numpy()
+            pull = np.bincount(ci, weights=w * (move[cell] + move[p + level]), minlength=n)
+            step = (batch.column("u").to_numpy() - pull) / d
+            variance = 1 / d
+            block = max(1, (1 << 22) // max(len(spread), 1))
+            for a in range(0, n, block):
+                b = min(n, a + block)
+                mine = (ci >= a) & (ci < b)
+                g = np.zeros((b - a, len(spread)))
+                np.add.at(g, (ci[mine] - a, level[mine]), w[mine])
+                variance[a:b] += ((g @ spread) * g).sum(axis=1) / d[a:b] ** 2
+            effect = batch.column("effect").to_numpy() + factor * step
+            yield pa.RecordBatch.from_arrays([batch.column("cluster"), pa.array(effect), pa.array(variance), pa.array(np.abs(step))], names=["cluster", "effect", "v", "step"])
+
+    return run
+
+
 def fit_crossed(
     df: DataFrame,
     keys: Sequence[str],
@@ -277,84 +719,130 @@ def fit_crossed(
     small: str,
     family: str = "nb2",
     phi_by: Sequence[str] | None = (),
-    max_iterations: int = 300,
-    tolerance: float = 1e-3,
-    between: Sequence[str] = (),
+    max_iterations: int = 60,
+    tolerance: float = 1e-4,
 ) -> MixedFit:
-    """Cells with intercepts for every cluster and every level of a second factor.
-
-    Penalised quasi-likelihood by turns: cells, levels, clusters. Each turn is one
-    aggregation by its own key with the other effects held, so neither factor's size
-    matters. A variance is the effects' squares over their effective number (the count less the
-    posterior variances' share of the prior's), which settles faster than adding both up. The mean of the
-    levels, and of the clusters within each group of ``between`` (keys constant within a cluster),
-    moves into the cells each time: that part of the effects would else creep there.
+    """Cells with intercepts for every cluster and for every level of a second, smaller factor.
+
+    Each round solves for cells, levels and clusters together: a cluster touches few cells and levels, so its own
+    effect is eliminated inside its group, one pass sums what is left over cells and levels (a dense system of at
+    most ``MAX_COLUMNS`` unknowns), and the clusters follow by back-substitution. The same blocks give the standard errors
+    (the inverse of the reduced system) and the determinant of the Laplace approximation of the log-likelihood. The
+    variances move to the effects' squares over their effective number (the count less the posterior
+    variances' share of the prior's), log phi by a Newton step at the effects: they approximate the maximum.
+    Raises if anything still moves after ``max_iterations`` rounds.
     """
     keys = list(keys)
     phi_by = None if family == "poisson" else list(phi_by or [])
     renamed = df.withColumnRenamed(small, "level") if small != "level" else df
-    rows = checkpointed(cluster_rows(renamed, cluster, keys, y, None, ["level"]))
-    coef = glm.starting_values(rows.drop("cluster", "level"), keys, family, phi_by, 0.0)
-    effects = {
-        "level": stored(rows.select("level").distinct().withColumn("e_level", F.lit(0.0))),
-        "cluster": rows.select("cluster").distinct().withColumn("e_cluster", F.lit(0.0)),
-    }
-    sigma = {"level": 0.5, "cluster": 0.5}
-    groups = checkpointed(rows.select("cluster", *between).distinct()) if between else None
-    done, iteration = False, 0
-
-    def scored(with_phi: bool) -> DataFrame:
-        placed = glm.with_linear_predictor(rows, coef, keys)
-        for name, frame in effects.items():
-            placed = join_on(placed, frame.select(name, f"e_{name}"), [name])
-        placed = placed.withColumn("eta", F.col("eta") + F.col("e_level") + F.col("e_cluster"))
-        out = families.with_derivatives(placed, family, with_phi)
-        return out.withColumns({"z": F.lit(0.0), "weight": F.col("n")})
-
-    while iteration < max_iterations and not done:
-        coef, largest = stored_with_max(glm.advance(glm.cell_sums(scored(True), keys), keys, phi_by, None, False), "step")
-        for name in ("level", "cluster"):
-            precision = 1.0 / sigma[name] ** 2
-            sums = scored(False).groupBy(name).agg(
-                F.sum(F.col("n") * F.col("d1")).alias("u"), F.sum(F.col("n") * F.col("w")).alias("w"), F.max(f"e_{name}").alias("e")
-            )
-            move = (F.col("u") - F.col("e") * precision) / (F.col("w") + precision)
-            moved = sums.select(
-                name, (F.col("e") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), move))).alias(f"e_{name}"),
-                (1 / (F.col("w") + precision)).alias("v"), F.abs(move).alias("step"),
-            )
-            coef, effects[name] = _centred(coef, stored(moved), name, groups if name == "cluster" else None, list(between))
-            row = effects[name].agg(F.sum(F.pow(f"e_{name}", 2)), F.max("step"), F.count(F.lit(1)) - F.sum("v") * precision).first()
-            new = math.sqrt(max(row[0] / max(row[2], 1e-12), 1e-8))
-            largest = max(largest, row[1], abs(new - sigma[name]))
-            sigma[name] = new
+    counted = checkpointed(cluster_rows(renamed, cluster, keys, y, None, ["level"]))
+    start = glm.starting_values(counted.drop("cluster", "level"), keys, family, phi_by, 0.0)
+    name = F.lit("model")
+    cells = stored(_identified(counted.drop("cluster", "level"), start, keys, name, phi_by or [], []))
+    levels = _cells(counted.select("level").distinct(), ["level"])
+    table = sorted(cells.collect(), key=lambda r: r["cell_id"])
+    p, q = len(table), len(levels)
+    if p + q > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} cells and levels; the reduced system is not available")
+    spark = df.sparkSession
+    numbered_levels = literal_frame(spark, [(k, v[0]) for k, v in enumerate(levels)], f"level_id int, level {dict(counted.dtypes)['level']}")
+    ids = join_on(counted, cells.select(*keys, "cell_id", "phi_id"), keys)
+    rows = stored(join_on(ids, numbered_levels, ["level"]).select("cluster", "cell_id", "level_id", "phi_id", "y", "n"))
+    kind = dict(rows.dtypes)["cluster"]
+    m = rows.select("cluster").distinct().count()
+    a = np.array([r["a"] if r["fa"] else glm.FLOOR for r in table])
+    known = np.array([r["fa"] for r in table], dtype=bool)
+    lp = np.zeros(max((r["phi_id"] for r in table), default=-1) + 1)
+    for r in table:
+        lp[r["phi_id"]] = math.log(r["phi"])
+    e, sigma, sigma_level = np.zeros(q), 0.5, 0.5
+    effects = stored(rows.select("cluster").distinct().withColumn("effect", F.lit(0.0)))
+    schema = f"cluster {kind}, effect double, d double, u double, cells array<int>, levels array<int>, ws array<double>, i long, j long, value double"
+
+    def one_pass() -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        at = literal_frame(spark, [([float(v) for v in a], [float(v) for v in e], [float(v) for v in lp])], "a array<double>, e array<double>, lp array<double>")
+        placed = attach_scalars(join_on(rows, effects.select("cluster", "effect"), ["cluster"]), at)
+        pick = lambda arr, k: F.element_at(arr, F.col(k) + 1)
+        placed = placed.withColumns({"eta": pick("a", "cell_id") + pick("e", "level_id") + F.col("effect"), "phi": F.exp(pick("lp", "phi_id"))})
+        scored = _at_effect(placed.drop("a", "e", "lp").withColumns(_node_free(family)), family)
+        info = F.col("w") if family == "nb1" else F.col("obs")
+        terms = {"d1": F.col("d1"), "w": info, "ll": F.col("ll"), "up": F.col("up"), "hp": F.col("hp")}
+        sums = scored.groupBy("cluster", "cell_id", "level_id", "phi_id").agg(F.max("effect").alias("effect"), *[F.sum(F.col("n") * v).alias(k) for k, v in terms.items()])
+        lists = sums.groupBy("cluster").agg(F.max("effect").alias("effect"), F.collect_list(F.struct("cell_id", "level_id", "phi_id", *terms)).alias("e"))
+        done = stored(lists.withColumn("hold", F.lit(1.0 / sigma**2)).mapInArrow(_arrow_sums(p, q), schema))
+        score, inner, other, phis = np.zeros(p + q), np.zeros((p + q, p + q)), np.zeros(4), np.zeros((2, len(lp)))
+        for r in done.where(F.col("i").isNotNull()).groupBy("i", "j").agg(F.sum("value").alias("value")).collect():
+            i, j, v = r["i"], r["j"], r["value"]
+            if j >= 0:
+                inner[i, j] = v
+            elif j == -1:
+                score[i] = v
+            elif j == -2:
+                other[i] = v
+            else:
+                phis[-3 - j, i] = v
+        at_levels = np.arange(p, p + q)
+        inner[at_levels, at_levels] += 1.0 / sigma_level**2
+        score[p:] -= e / sigma_level**2
+        return done, score, inner, other, phis
+
+    iteration, moved = 0, float("inf")
+    used = np.concatenate([known, np.ones(q, dtype=bool)])
+    while True:
+        done, score, inner, other, phis = one_pass()
+        if moved < tolerance:
+            break
+        if iteration == max_iterations:
+            raise RuntimeError(f"crossed intercepts still move by {moved} after {max_iterations} rounds")
+        move = np.zeros(p + q)
+        move[used] = np.linalg.solve(inner[np.ix_(used, used)], score[used])
+        factor = min(1.0, 1.0 / max(np.abs(move).max(initial=0.0), 1e-12))
+        spread = np.linalg.inv(inner[p:, p:])
+        clusters = done.where(F.col("i").isNull())
+        effects = stored(clusters.select("cluster", "effect", "d", "u", "cells", "levels", "ws").mapInArrow(
+            _back_substituted(move, p, spread, factor), f"cluster {kind}, effect double, v double, step double"))
+        a, e = a + factor * move[:p], e + factor * move[p:]
+        after = effects.agg(F.sum(F.col("effect") * F.col("effect")), F.sum("v"), F.max("step")).first()
+        new = math.sqrt(max(after[0] / max(m - after[1] / sigma**2, 1e-12), 1e-8))
+        new_level = math.sqrt(max(float(e @ e) / max(q - float(np.trace(spread)) / sigma_level**2, 1e-12), 1e-8))
+        d_phi = np.zeros(len(lp))
+        if phi_by is not None:
+            d_phi = np.where(phis[1] < 0, -phis[0] / np.where(phis[1] < 0, phis[1], 1.0), 0.7 * np.sign(phis[0]))
+            fresh = np.clip(lp + np.clip(d_phi, -1.0, 1.0), -_LOG_PHI, _LOG_PHI)
+            d_phi, lp = fresh - lp, fresh
+        moved = max(np.abs(move).max(initial=0.0), after[2], abs(new - sigma), abs(new_level - sigma_level), np.abs(d_phi).max(initial=0.0))
+        sigma, sigma_level = max(new, 1e-3), max(new_level, 1e-3)
         iteration += 1
-        done = largest < tolerance
-    if not done:
-        raise RuntimeError(f"crossed intercepts still move by {largest} after {max_iterations} iterations")
-    both = effects["cluster"].select("cluster", F.col("e_cluster").alias("m"))
-    stats = {"sigma": sigma["cluster"], "sigma_level": sigma["level"], "iterations": iteration, "converged": bool(done), "last_step": largest}
-    fit = MixedFit(family, keys, False, coef, both, None, stats)
-    fit.levels = effects["level"].select("level", F.col("e_level").alias("m"))
+    cov = np.full((p + q, p + q), np.nan)
+    cov[np.ix_(used, used)] = np.linalg.inv(inner[np.ix_(used, used)])
+    loglik = other[0] - other[2] / (2 * sigma**2) - m * math.log(sigma) - float(e @ e) / (2 * sigma_level**2) - q * math.log(sigma_level)
+    loglik -= 0.5 * (other[1] + np.linalg.slogdet(inner[p:, p:])[1])
+    n_par = int(known.sum()) + (0 if phi_by is None else len(lp)) + 2
+    value = lambda v: float(v) if np.isfinite(v) else None
+    solved = [(r["cell_id"], float(a[k]), float(math.exp(lp[r["phi_id"]])), value(cov[k, k]), float(abs(score[k]))) for k, r in enumerate(table)]
+    found = literal_frame(spark, solved, "cell_id int, a double, phi double, v00 double, score double")
+    flat = F.when(F.col("v00").isNotNull(), 0.0)
+    none = F.lit(0.0)
+    coef = stored(cells.drop("a", "b", "phi").join(found, "cell_id").select(
+        *keys, "a", none.alias("b"), "phi", none.alias("zi"), "v00", flat.alias("v01"), flat.alias("v11"), none.alias("load0"), none.alias("load1"),
+        "n", "total", "score", F.col("v00").isNotNull().alias("definite")))
+    label = {r["cell_id"]: r["t"] for r in cells.select("cell_id", interaction_key(keys).alias("t")).collect()}
+    vcov = long_covariance(spark, cov[:p, :p], [f"{label[k]}:intercept" for k in range(p)])
+    stats = {
+        "loglik": float(loglik), "n_par": n_par, "aic": float(-2 * loglik + 2 * n_par), "sigma": sigma, "sigma_level": sigma_level, "iterations": iteration, "converged": True,
+        "n_clusters": m, "n_obs": sum(r["n"] for r in table), "max_score": float(np.abs(score[used]).max(initial=0.0)), "positive_definite": True,
+        "at_boundary": bool(min(sigma, sigma_level) <= SIGMA_FLOOR), "last_step": float(moved),
+    }
+    fit = MixedFit(family, keys, False, coef, phi_by, None, stats, effects.select("cluster", F.col("effect").alias("m"), F.sqrt("v").alias("s")), vcov, None, [])
+    fit.levels = literal_frame(spark, [(v[0], float(e[k]), value(math.sqrt(cov[p + k, p + k]))) for k, v in enumerate(levels)], f"level {dict(counted.dtypes)['level']}, m double, s double")
     return fit
 
 
-def _centred(coef: DataFrame, moved: DataFrame, name: str, groups: DataFrame | None, between: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Cells and effects with the effects' means (per group of clusters) moved into the cells."""
-    effect = F.col(f"e_{name}")
-    if groups is None:
-        attach = lambda df: attach_scalars(df, moved.agg(F.avg(effect).alias("by")))
-    else:
-        moved = join_on(moved, groups, [name])
-        means = stored(moved.groupBy(*between).agg(F.avg(effect).alias("by")))
-        attach = lambda df: join_on(df, means, between)
-    effects = attach(moved).withColumn(f"e_{name}", effect - F.col("by")).drop("by", *(between if groups is not None else []))
-    return stored(attach(coef).withColumn("a", F.col("a") + F.col("by")).drop("by")), stored(effects)
-
-
 def effect_table(fit: MixedFit) -> DataFrame:
-    """Cells with the model-wide variance parts beside them."""
-    spark = fit.coef.sparkSession
-    row = literal_frame(spark, [(float(fit.stats["sigma"]), bool(fit.stats["converged"]), int(fit.stats["iterations"]))],
-                        "sigma double, converged boolean, iterations bigint")
-    return attach_scalars(fit.coef.drop("step"), row)
+    """Cells with their standard errors and the model-wide variance parts beside them."""
+    s = fit.stats
+    row = literal_frame(
+        fit.coef.sparkSession, [(float(s["sigma"]), float(s["loglik"]), bool(s["converged"]), int(s["iterations"]))],
+        "sigma double, model_loglik double, converged boolean, iterations bigint",
+    )
+    return attach_scalars(fit.coef.select(*fit.keys, "a", "b", "phi", "zi", F.sqrt("v00").alias("se_a"), F.sqrt("v11").alias("se_b")), row)

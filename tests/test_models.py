@@ -151,6 +151,128 @@ def test_crossed_effects_shrink_towards_zero(spark):
     assert fit.stats["sigma"] == pytest.approx(0.4, abs=0.15)
 
 
+def _clustered(seed, n_clusters, phi=2.0, zero=0.15, sigma=0.6):
+    rng = np.random.default_rng(seed)
+    out = []
+    for c in range(n_clusters):
+        u, t = rng.normal() * sigma, rng.uniform(-1, 1)
+        for g, (a, b) in {"x": (1.2, 0.4), "y": (0.6, -0.5)}.items():
+            mu = math.exp(a + b * t + u)
+            out.append((f"c{c}", g, float(t), 0 if rng.random() < zero else int(rng.poisson(rng.gamma(phi, mu / phi)))))
+    return out
+
+
+def _second_differences(f, at, h=1e-3):
+    n, e = len(at), np.eye(len(at)) * h
+    out = np.zeros((n, n))
+    for i in range(n):
+        for j in range(i, n):
+            out[i, j] = out[j, i] = (f(at + e[i] + e[j]) - f(at + e[i] - e[j]) - f(at - e[i] + e[j]) + f(at - e[i] - e[j])) / (4 * h * h)
+    return out
+
+
+def test_mixed_errors_equal_second_differences(spark):
+    """Lines, dispersion, zero shares and the effects' deviation: all in one covariance, read like any other fit."""
+    rows = _clustered(1, 150)
+    df = spark.createDataFrame(rows, "k string, g string, t double, y int")
+    fit = mixed.fit_mixed(df, ["g"], "y", "k", "t", "nb2", zi_by=["g"], nodes=11)
+    coef = {r["g"]: r for r in fit.coef.collect()}
+    logit = lambda p: math.log(p / (1 - p))
+    names = ["x:intercept", "x:slope", "y:intercept", "y:slope", "log_phi", "logit_zi:x", "logit_zi:y", "log_sigma"]
+    at = [coef["x"]["a"], coef["x"]["b"], coef["y"]["a"], coef["y"]["b"], math.log(coef["x"]["phi"]), logit(coef["x"]["zi"]), logit(coef["y"]["zi"]), math.log(fit.stats["sigma"])]
+    nodes, weights = np.polynomial.hermite_e.hermegauss(50)
+    which = np.array([r[1] == "y" for r in rows], dtype=int)
+    t, y, k = np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.unique([r[0] for r in rows], return_inverse=True)[1]
+    lg = np.vectorize(math.lgamma)
+
+    def marginal(p):
+        phi, zi = math.exp(p[4]), 1 / (1 + np.exp(-p[5:7]))[which][:, None]
+        eta = (p[0:4:2][which] + p[1:4:2][which] * t)[:, None] + math.exp(p[7]) * nodes[None]
+        ll = (lg(y + phi) - math.lgamma(phi) - lg(y + 1))[:, None] + phi * math.log(phi) + y[:, None] * eta - (y[:, None] + phi) * np.log(np.exp(eta) + phi)
+        ll = np.where(y[:, None] == 0, np.log(zi + (1 - zi) * np.exp(ll)), np.log1p(-zi) + ll)
+        per = np.zeros((k.max() + 1, 50))
+        np.add.at(per, k, ll)
+        top = per.max(axis=1, keepdims=True)
+        return float((np.log((np.exp(per - top) * weights).sum(axis=1) / math.sqrt(2 * math.pi)) + top[:, 0]).sum())
+
+    assert fit.stats["loglik"] == pytest.approx(marginal(np.array(at)), abs=1e-4)
+    want = np.linalg.inv(-_second_differences(marginal, np.array(at)))
+    got = {(r["term_i"], r["term_j"]): r["value"] for r in fit.vcov.collect()}
+    assert set(got) == {(a, b) for a in names for b in names}
+    assert np.array([[got[a, b] for b in names] for a in names]) == pytest.approx(want, rel=1e-3, abs=1e-4)
+    frame = {r["term"]: r for r in glm.coefficients(fit).collect()}
+    assert frame["y:slope"]["se"] == pytest.approx(math.sqrt(want[3, 3]), rel=1e-3)
+    assert glm.covariance(fit).where("term_i = 'x:slope' and term_j = 'log_sigma'").count() == 1
+    apart = C.contrast(glm.coefficients(fit), glm.covariance(fit), C.cell_weights(glm.coefficients(fit), "slope", [], {"g": ("x", "y")}), []).first()
+    assert apart["se"] == pytest.approx(math.sqrt(want[1, 1] + want[3, 3] - 2 * want[1, 3]), rel=1e-3)
+    band = glm.predict(fit, spark.createDataFrame([("x", 0.5)], "g string, t double"), "t").first()
+    assert band["link_se"] == pytest.approx(math.sqrt(want[0, 0] + want[0, 1] + 0.25 * want[1, 1]), rel=1e-3)
+
+
+def test_mixed_models_by_key_and_without_effects(spark):
+    rows = [("one", *r) for r in _clustered(2, 60, zero=0.0)] + [("two", *r) for r in _clustered(3, 60, zero=0.0, sigma=0.0, phi=50.0)]
+    rows += [("two", f"c{k}", "empty", 0.1 * k, 0) for k in range(5)]
+    df = spark.createDataFrame(rows, "sp string, k string, g string, t double, y int")
+    both = mixed.fit_mixed(df, ["sp", "g"], "y", "k", None, "nb2", model_by=["sp"])
+    alone = mixed.fit_mixed(df.where("sp = 'one'"), ["g"], "y", "k", None, "nb2")
+    a = both.coef.where("sp = 'one'").orderBy("g").select("a", "phi", "v00").collect()
+    assert [tuple(r) for r in a] == [pytest.approx(tuple(r), rel=1e-3) for r in alone.coef.orderBy("g").select("a", "phi", "v00").collect()]
+    per = {r["model"]: r for r in both.models.collect()}
+    assert per["one"]["sigma"] == pytest.approx(alone.stats["sigma"], rel=1e-3) and per["two"]["sigma"] < 0.3
+    assert per["one"]["loglik"] == pytest.approx(alone.stats["loglik"], abs=1e-3)
+    none = both.coef.where("g = 'empty'").first()
+    assert none["v00"] is None and not none["definite"]
+    terms = {(r["model"], r["term"]): r["estimate"] for r in glm.coefficients(both, ["sp"]).collect()}
+    assert terms["two", "empty:intercept"] is None and ("one", "x:intercept") in terms
+
+
+def test_crossed_equals_a_dense_solve(spark):
+    rng = np.random.default_rng(3)
+    level = rng.normal(0, 0.7, 5)
+    rows = []
+    for c in range(40):
+        u = rng.normal() * 0.6
+        for k in range(5):
+            for g in ("j", "a"):
+                mu = math.exp(0.8 + (0.3 if g == "j" else 0) + u + level[k])
+                rows.append((f"c{c:02d}", f"s{k}", g, int(rng.poisson(rng.gamma(3.0, mu / 3.0)))))
+    fit = mixed.fit_crossed(spark.createDataFrame(rows, "k string, sp string, g string, y int"), ["g"], "y", "k", "sp", "nb2")
+    s, coef = fit.stats, {r["g"]: r for r in fit.coef.collect()}
+    assert s["iterations"] < 30
+    cells = ["a", "j"]
+    x = np.zeros((len(rows), 2 + 5 + 40))
+    for i, (c, k, g, _) in enumerate(rows):
+        x[i, cells.index(g)] = x[i, 2 + int(k[1:])] = x[i, 7 + int(c[1:])] = 1
+    y, phi = np.array([r[3] for r in rows]), coef["a"]["phi"]
+    hold = np.concatenate([np.zeros(2), np.full(5, s["sigma_level"] ** -2), np.full(40, s["sigma"] ** -2)])
+    theta = np.zeros(47)
+    for _ in range(60):
+        mu = np.exp(x @ theta)
+        info = x.T @ (x * ((y + phi) * mu * phi / (mu + phi) ** 2)[:, None]) + np.diag(hold)
+        step = np.linalg.solve(info, x.T @ (phi * (y - mu) / (mu + phi)) - hold * theta)
+        theta = theta + step * min(1.0, 1.0 / np.abs(step).max())
+    cov = np.linalg.inv(info)
+    assert [coef[g]["a"] for g in cells] == pytest.approx(theta[:2], abs=1e-3)
+    assert [math.sqrt(coef[g]["v00"]) for g in cells] == pytest.approx(np.sqrt(np.diag(cov))[:2], rel=1e-3)
+    assert [r["m"] for r in fit.levels.orderBy("level").collect()] == pytest.approx(theta[2:7], abs=1e-3)
+    assert [r["m"] for r in fit.clusters.orderBy("cluster").collect()] == pytest.approx(theta[7:], abs=1e-3)
+    lg = np.vectorize(math.lgamma)
+    ll = (lg(y + phi) - math.lgamma(phi) - lg(y + 1) + phi * math.log(phi) + y * np.log(mu) - (y + phi) * np.log(mu + phi)).sum()
+    laplace = ll - 0.5 * (hold * theta**2).sum() - 5 * math.log(s["sigma_level"]) - 40 * math.log(s["sigma"]) - 0.5 * np.linalg.slogdet(info[2:, 2:])[1]
+    assert s["loglik"] == pytest.approx(laplace, abs=1e-2)
+    off = fit.vcov.where("term_i = 'a:intercept' and term_j = 'j:intercept'").first()["value"]
+    assert off == pytest.approx(cov[0, 1], rel=1e-3)
+
+
+def test_laplace_of_one_factor_is_near_quadrature(spark):
+    rows = [(c, "one", g, y) for c, g, _, y in _clustered(5, 60, zero=0.0)]
+    df = spark.createDataFrame(rows, "k string, sp string, g string, y int")
+    crossed = mixed.fit_crossed(df, ["g"], "y", "k", "sp", "poisson")
+    one = mixed.fit_mixed(df, ["g"], "y", "k", None, "poisson")
+    assert crossed.stats["sigma"] == pytest.approx(one.stats["sigma"], rel=0.1)
+    assert crossed.stats["loglik"] == pytest.approx(one.stats["loglik"], abs=2.0)
+
+
 def test_sandwich_equals_dense_formula(spark):
     rows = simulated("poisson", n=200, clusters=20)
     df = spark.createDataFrame(rows, "cell string, x double, y int, k string")
