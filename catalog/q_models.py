@@ -10,9 +10,11 @@ from catalog import fixtures as fx
 from surveyframe.models import contrasts as C
 from surveyframe.models import diagnostics as D
 from surveyframe.models import glm, mixed, smooth
-from surveyframe.models.gram import ModelSpec, design_columns, design_support, fit_gaussian, gram, grid_weights
+from surveyframe.models.holdout import holdout, mixed_line, mixed_smooth
+from surveyframe.models.gram import ModelSpec, design_columns, design_support, fit_gaussian, gram, mean_weights, reference_grid
+from surveyframe.models.sparse import weighted_counts
 from surveyframe.operators.diversity import diversity
-from surveyframe.operators.joins import split_by_key, time_holdout
+from surveyframe.operators.joins import time_holdout
 from surveyframe.operators.keys import attach_scalars
 from surveyframe.plans import clean, figures, results
 from surveyframe.session import checkpointed
@@ -224,15 +226,12 @@ def _(spark, sf):
 @query("holdout_compare")
 def _(spark, sf):
     g = _guilds(spark, sf)
-    split = time_holdout(g, "site", "date", "survey_id")
-    train, test = split_by_key(g, split.where("test").select("survey_id"), ["survey_id"])
-    fit = glm.fit_cells(train, CELL, "count", "date_s", "nb2", zi_by=["guild"])
-    coef, knots = smooth.fit_smooth(train, CELL, "date_s", "count", fit)
-    rows = glm.fitted_rows(test, fit, x="date_s")
-    rows = smooth.predict_smooth(coef, knots, rows, CELL, "date_s")
-    pair = F.array(F.struct(F.lit("line").alias("model"), F.col("mean").alias("p")), F.struct(F.lit("smooth").alias("model"), F.col("smooth_mean").alias("p")))
-    errors = glm.log_rmse(rows.select("count", F.inline(pair)), "count", "p", ["model"])
-    return glm.compare_errors(errors, "model", "line")
+    test = time_holdout(g, "site", "date", "survey_id").where("test").select("survey_id")
+    models = {
+        "line": mixed_line(CELL, "count", "survey_id", "date_s", zi_by=["guild"]),
+        "smooth": mixed_smooth(CELL, "count", "survey_id", "date_s", zi_by=["guild"]),
+    }
+    return holdout(g, test, ["survey_id"], "count", models, "line")
 
 
 def _species_fit(spark, sf):
@@ -255,6 +254,28 @@ def _(spark, sf):
     return glm.fit_summary(spark, fits)
 
 
+@query("species_health")
+def _(spark, sf):
+    """Per species: convergence, the survey effect's deviation, and four residual tests in the same passes."""
+    frame, fit = _species_fit(spark, sf)
+    return D.health_table(frame, fit, ["survey_id", "species", "life_stage"], "stage_count")
+
+
+@query("sparse_zeros", """
+SELECT species, life_stage, type, pair, count(*) AS n, sum(stage_count) AS total, round(CASE WHEN sum(stage_count) > 0 THEN ln(avg(stage_count)) END, 6) AS estimate,
+ round(CASE WHEN sum(stage_count) > 0 THEN 1 / sqrt(sum(stage_count)) END, 6) AS se, count(*) FILTER (WHERE stage_count = 0) AS zeros
+FROM sframe GROUP BY species, life_stage, type, pair""", ["sframe"])
+def _(spark, sf):
+    """Cell means of the zero-filled counts without filling them: zeros are weights."""
+    staged = fx.stored_stages(spark, sf)
+    counts = staged.groupBy("survey_id", "type", "pair", "species", "life_stage").agg(F.sum("stage_count").alias("stage_count"))
+    levels = staged.select("species").distinct().withColumn("life_stage", F.explode(F.array(F.lit("juvenile"), F.lit("adult"))))
+    rows = checkpointed(weighted_counts(counts, staged.select("survey_id", "type", "pair").distinct(), ["type", "pair"], ["species", "life_stage"], "stage_count", categories=levels))
+    cell = ["species", *STAGE_CELL]
+    zeros = rows.groupBy(*cell).agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).cast("bigint").alias("zeros"), F.sum(F.col("n") * F.col("y")).cast("bigint").alias("total"))
+    return glm.poisson_cells(rows, cell, "y", weight="n").drop("loglik").join(zeros, cell)
+
+
 @query("coef_table")
 def _(spark, sf):
     return results.coef_table(fit_gaussian(_diversity(spark, sf), SHANNON, "shannon", "type").coefficients(spark))
@@ -421,30 +442,23 @@ def _(spark, sf):
     return out
 
 
-def _period_points():
-    points = []
-    for ty, sign in (("Artificial", 1.0), ("Natural", -1.0)):
-        for pe, s2 in (("Post", 1.0), ("Pre", -1.0)):
-            for pair in fx.PAIRS:
-                values = {"type": ty, "period": pe, "pair": pair, "date_s": 0.0}
-                points.append(({"name": f"{ty} {pe}"}, values, 1 / 3))
-                points.append(({"name": "type x period"}, values, sign * s2 / 3))
-    return points
-
-
 @query("marginal_means")
 def _(spark, sf):
+    """Means per type and period, their interaction, and the types' difference at the first and last date."""
     div = _diversity(spark, sf)
     fit = fit_gaussian(div, SHANNON, "shannon", "type")
-    ends = div.agg(F.min("date_s"), F.max("date_s")).first()
-    points = _period_points()
-    for label, at in (("Start", ends[0]), ("End", ends[1])):
-        for ty, sign in (("Artificial", 1.0), ("Natural", -1.0)):
-            for pair in fx.PAIRS:
-                values = {"type": ty, "period": "Post", "pair": pair, "date_s": at}
-                points.append(({"name": f"{label} {ty}"}, values, 1 / 3))
-                points.append(({"name": f"{label} difference"}, values, sign / 3))
-    weights = grid_weights(spark, SHANNON, points)
+    ends = div.agg(F.min("date_s").alias("low"), F.max("date_s").alias("high"))
+    one = lambda label, x: F.struct(F.lit(label).alias("label"), x.cast("double").alias("date_s"))
+    ends = ends.select(F.inline(F.array(one("Start", F.col("low")), one("End", F.col("high")))))
+    middle = spark.range(1).select(F.lit("at 0").alias("label"), F.lit(0.0).alias("date_s"))
+    step = {"type": ("Natural", "Artificial")}
+    periods = reference_grid(middle, SHANNON)
+    times = reference_grid(ends, SHANNON, {"period": ["Post"]})
+    named = lambda w, *c: w.select(F.concat_ws(" ", *c).alias("name"), "term", "weight")
+    weights = named(mean_weights(periods, SHANNON, ["type", "period"]), F.col("type"), F.col("period"))
+    weights = weights.unionByName(named(mean_weights(periods, SHANNON, [], {**step, "period": ("Pre", "Post")}), F.lit("type x period")))
+    weights = weights.unionByName(named(mean_weights(times, SHANNON, ["label", "type"]), F.col("label"), F.col("type")))
+    weights = weights.unionByName(named(mean_weights(times, SHANNON, ["label"], step), F.col("label"), F.lit("difference")))
     return C.contrast(fit.coefficients(spark), fit.covariance(spark), weights, ["name"]).select("name", *_OUT, "df", "p_value")
 
 

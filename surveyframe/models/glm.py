@@ -49,9 +49,9 @@ def model_rows(df: DataFrame, keys: Sequence[str], y: str, x: str | None = None,
     return kept.groupBy(*keys, x_col.alias("x"), F.col(y).cast("double").alias("y")).agg(n.cast("double").alias("n"))
 
 
-def poisson_cells(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
+def poisson_cells(df: DataFrame, keys: Sequence[str], y: str, weight: str | None = None) -> DataFrame:
     """Closed form: log mean, its standard error and the log-likelihood of every cell."""
-    rows = model_rows(df, keys, y)
+    rows = model_rows(df, keys, y, weight=weight)
     n, total = F.sum("n"), F.sum(F.col("n") * F.col("y"))
     constant = F.sum(F.col("n") * lgamma(F.col("y") + 1))
     sums = rows.groupBy(*keys).agg(n.alias("n"), total.alias("total"), constant.alias("constant"))
@@ -239,17 +239,19 @@ def fit_cells(
     zi_by: Sequence[str] | None = None,
     max_iterations: int = MAX_ITERATIONS,
     tolerance: float = TOLERANCE,
+    weight: str | None = None,
 ) -> CellFit:
     """Maximum likelihood for intercept (and slope) per cell, a dispersion per ``phi_by``
     group and, with ``zi_by``, a structural-zero share per group (by EM).
 
-    ``phi_by`` and ``zi_by`` are subsets of ``keys``. Many models are fitted in one pass by
+    ``weight`` counts equal rows, so zeros may stay implicit (``sparse.weighted_counts``). ``phi_by`` and
+    ``zi_by`` are subsets of ``keys``. Many models are fitted in one pass by
     putting their key into all three.
     """
     keys = list(keys)
     phi_by = None if family == "poisson" else list(phi_by or [])
     zi_by = None if zi_by is None else list(zi_by)
-    rows = checkpointed(model_rows(df, keys, y, x))
+    rows = checkpointed(model_rows(df, keys, y, x, weight))
     coef = starting_values(rows, keys, family, phi_by, 0.0 if zi_by is None else 0.1)
     done, iteration = False, 0
     while iteration < max_iterations and not done:
@@ -327,7 +329,8 @@ def predict(fit: CellFit, grid: DataFrame, x: str | None = None) -> DataFrame:
     link = F.col("a") + F.col("b") * x_col
     load = F.col("load0") + F.col("load1") * x_col
     var = F.col("v00") + 2 * x_col * F.col("v01") + x_col * x_col * F.col("v11") + load * load
-    joined = joined.withColumns({"link": link, "link_se": F.sqrt(var)})
+    known = F.col("v00").isNotNull()  # an all-zero cell has no finite link
+    joined = joined.withColumns({"link": F.when(known, link), "link_se": F.sqrt(var)})
     band = BAND_Z * F.col("link_se")
     return joined.select(
         *grid.columns, "link", "link_se",
@@ -444,7 +447,7 @@ def fit_summary(spark, fits: dict[str, CellFit]) -> DataFrame:
             F.max("phi").alias("dispersion_max"),
             F.max((F.col("phi") <= 1e-6) | (F.col("phi") >= 1e6)).alias("at_boundary"),
             F.lit(float(f.stats.get("sigma", 0.0))).alias("cluster_sd"),
-            F.sum("loglik").alias("loglik"),
+            F.lit(float(f.stats["loglik"])).alias("loglik"),
         )
         parts.append(row)
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -234,3 +234,31 @@ def grid_weights(spark: SparkSession, spec: ModelSpec, points: Sequence[tuple[di
             rows[key] = rows.get(key, 0.0) + w * v
     schema = ", ".join(f"`{k}` string" for k in label_names) + ", term string, weight double"
     return literal_frame(spark, [(*k, v) for k, v in rows.items()], schema)
+
+
+def reference_grid(at: DataFrame, spec: ModelSpec, fixed: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Rows of ``at`` (labels and numeric variables) under every combination of the factors' levels.
+
+    ``fixed`` restricts a factor to some of its levels. The grid has as many rows as ``at`` times the
+    combinations, none of them data rows.
+    """
+    fixed = fixed or {}
+    for name in (v for v in spec.variables() if v in spec.levels):
+        at = at.withColumn(name, F.explode(F.array(*[F.lit(v) for v in fixed.get(name, spec.levels[name])])))
+    return at
+
+
+def mean_weights(grid: DataFrame, spec: ModelSpec, by: Sequence[str], change: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+    """(by, term, weight): equally weighted means of a model over grid rows, or with ``change`` (factor to (from, to)) the
+    differences of such means; two factors give a difference of differences."""
+    change = change or {}
+    sign, corners = F.lit(1.0), grid
+    for factor, (start, end) in change.items():
+        corners = corners.where(F.col(factor).isin(start, end))
+        sign = sign * F.when(F.col(factor) == end, 1.0).otherwise(-1.0)
+    terms = F.array(*[F.struct(F.lit(n).alias("term"), c.alias("value")) for n, c in zip(spec.names(), design_columns(spec))])
+    size = len(change)
+    rows = corners.select(*by, sign.alias("__sign"), F.inline(terms))
+    # A mean per corner has its rows over one corner: all rows of the group over 2 ** factors.
+    weight = F.sum(F.col("__sign") * F.col("value")) / (F.count(F.lit(1)) / F.lit(float(2**size)))
+    return rows.groupBy(*by, "term").agg(weight.alias("weight")).where(F.col("weight") != 0)

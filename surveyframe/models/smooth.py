@@ -56,13 +56,17 @@ def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit_smooth(
-    df: DataFrame, keys: Sequence[str], x: str, y: str, start: glm.CellFit, rounds: int = 8, tolerance: float = 1e-5
+    df: DataFrame, keys: Sequence[str], x: str, y: str, start: glm.CellFit, rounds: int = 30, tolerance: float = 1e-5, offset: str | None = None
 ) -> tuple[DataFrame, list[float]]:
     """(coefficients per cell, knots): penalised iteration on the log link with the family
     and dispersion of ``start``. Knots are the thirds of all x. Each round is one
-    aggregation of basis products per cell; a cell's system has four unknowns."""
+    aggregation of basis products per cell; a cell's system has four unknowns. ``offset`` names a
+    known part of each row's linear predictor, such as its cluster's effect. Cells without a count keep their
+    starting line. Coefficients have ``converged`` per cell; cells may trade between two penalties of
+    the grid, so those that still move after ``rounds`` are marked, not hidden."""
     keys = list(keys)
-    rows = checkpointed(glm.model_rows(df, keys, y, x))
+    fixed = F.coalesce(F.col(offset), F.lit(0.0)) if offset else F.lit(0.0)
+    rows = checkpointed(glm.model_rows(df.withColumn("__fixed", fixed), [*keys, "__fixed"], y, x))
     thirds = exact_quantiles(rows, [], "x", {"k1": 1 / 3, "k2": 2 / 3}, weight="n").first()
     knots = [thirds["k1"], thirds["k2"]]
     names = {f"key_{i}": k for i, k in enumerate(keys)}
@@ -73,11 +77,11 @@ def fit_smooth(
         joined = join_on(rows, coef.select(*keys, "b0", "b1", "b2", "b3", "phi"), keys)
         c = basis(F.col("x"), knots)
         joined = joined.withColumns({f"c{i}": e for i, e in enumerate(c)})
-        eta = sum((F.col(f"b{i}") * F.col(f"c{i}") for i in range(1, BASIS)), F.col("b0"))
+        eta = sum((F.col(f"b{i}") * F.col(f"c{i}") for i in range(1, BASIS)), F.col("b0") + F.col("__fixed"))
         joined = joined.withColumn("eta", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), eta)))
         joined = joined.withColumn("mu", F.exp("eta"))
         w = {"poisson": F.col("mu"), "nb2": F.col("mu") / (1 + F.col("mu") / F.col("phi")), "nb1": F.col("mu") / (1 + F.col("phi"))}[start.family]
-        joined = joined.withColumns({"w": F.col("n") * w, "zeta": F.col("eta") + (F.col("y") - F.col("mu")) / F.col("mu")})
+        joined = joined.withColumns({"w": F.col("n") * w, "zeta": F.col("eta") - F.col("__fixed") + (F.col("y") - F.col("mu")) / F.col("mu")})
         sums = joined.groupBy(*[F.col(k).alias(i) for i, k in names.items()]).agg(
             *[F.sum(F.col("w") * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"g{i}_{j}") for i in range(BASIS) for j in range(i, BASIS)],
             *[F.sum(F.col("w") * F.col(f"c{i}") * F.col("zeta")).alias(f"r{i}") for i in range(BASIS)],
@@ -88,7 +92,7 @@ def fit_smooth(
         coef, step = stored_with_max(solved, "step")
         if step < tolerance:
             break
-    return stored(coef), knots
+    return stored(coef.withColumn("converged", F.col("step") < tolerance)), knots
 
 
 def predict_smooth(coef: DataFrame, knots: Sequence[float], grid: DataFrame, keys: Sequence[str], x: str, out: str = "smooth_mean") -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from surveyframe.functions import special
 from surveyframe.models import contrasts as C
 from surveyframe.models import diagnostics as D
-from surveyframe.models import glm, mixed, smooth
-from surveyframe.models.gram import ModelSpec, design_columns, fit_gaussian, gram, matrix
+from surveyframe.models import glm, mixed, smooth, sparse
+from surveyframe.models.gram import ModelSpec, design_columns, fit_gaussian, gram, matrix, mean_weights, reference_grid
 from surveyframe.operators.keys import join_on
 from surveyframe.session import literal_frame
 
@@ -378,6 +378,81 @@ def test_residuals_are_uniform_and_reproducible(spark):
     assert D.outlier_test(once).first()["p_value"] > 0.001
 
 
+def test_marginal_residuals_of_mixed_data_are_uniform(spark):
+    """Over the effect's distribution residuals are uniform; at the mean effect alone they are not."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(3000):
+        mu = math.exp(1.0 + rng.normal() * 0.9)
+        rows.append((i, "one" if i % 2 else "two", 0 if rng.random() < 0.2 else int(rng.poisson(rng.gamma(2.0, mu / 2.0)))))
+    df = spark.createDataFrame(rows, "i int, g string, y int").withColumns({"mu": F.lit(math.exp(1.0)), "phi": F.lit(2.0), "zi": F.lit(0.2), "s": F.lit(0.9)})
+    fair = D.pit_residuals(df, "nb2", ["i"], "y", sigma="s")
+    assert all(r["p_value"] > 0.01 for r in D.ks_uniform(fair, by=["g"]).collect())
+    assert D.ks_uniform(D.pit_residuals(df, "nb2", ["i"], "y")).first()["p_value"] < 0.001
+    both = {r["g"]: r for r in D.pearson_dispersion(df, "nb2", "y", 1, ["g"], "s").collect()}
+    assert both["one"]["df"] == 1499 and all(0.6 < r["dispersion"] < 1.6 for r in both.values())
+    assert all(r["p_value"] > 0.001 for r in D.zero_test(df, "nb2", "y", ["g"], "s").collect())
+    assert {r["g"] for r in D.outlier_test(fair, by=["g"]).collect()} == {"one", "two"}
+    mean, variance = D.marginal_moments("nb2", F.col("zi"), F.col("mu"), F.col("phi"), F.col("s"))
+    m, v = df.limit(1).select(mean, variance).first()
+    lift = math.exp(0.9**2 / 2)
+    square = math.exp(1.0) * lift + 1.5 * math.exp(2.0) * math.exp(2 * 0.9**2)
+    assert m == pytest.approx(0.8 * math.exp(1.0) * lift, rel=1e-6) and v == pytest.approx(0.8 * square - m * m, rel=1e-4)
+
+
+def test_implicit_zeros_fit_like_filled_ones(spark):
+    rng = np.random.default_rng(13)
+    surveys = [(f"s{k}", "ab"[k % 2], float(k % 7)) for k in range(80)] + [("s99", "c", 1.0)]
+    filled = [(i, t, x, sp, int(rng.poisson(0.7 if sp == "p" else 0.2))) for i, t, x in surveys for sp in ("p", "q")]
+    filled = [(i, t, x, sp, 0 if t == "c" else y) for i, t, x, sp, y in filled]
+    frame = spark.createDataFrame(surveys, "survey string, type string, x double")
+    seen = spark.createDataFrame([r for r in filled if r[4] > 0 or r[3] == "q"], "survey string, type string, x double, sp string, y int")
+    rows = sparse.weighted_counts(seen, frame, ["type"], ["sp"], "y", "x")
+    assert rows.agg(F.sum("n")).first()[0] == 160
+    key = lambda df: sorted((r["type"], r["sp"], round(r["a"], 8), round(r["b"], 8), round(r["phi"], 6)) for r in df.coef.collect())
+    full = spark.createDataFrame([r for r in filled if r[1] != "c"], "survey string, type string, x double, sp string, y int")
+    assert key(glm.fit_cells(rows, ["type", "sp"], "y", "x", "nb2", weight="n")) == key(glm.fit_cells(full, ["type", "sp"], "y", "x", "nb2"))
+    listed = sparse.weighted_counts(seen, frame, ["type"], ["sp"], "y", "x", categories=spark.createDataFrame([("p",), ("q",), ("r",)], "sp string"))
+    assert listed.agg(F.sum("n")).first()[0] == 81 * 3 and listed.where("y > 0").count() == rows.where("y > 0").count()
+    checks = sparse.weighted_checks(rows.withColumns({"mu": F.lit(0.5), "phi": F.lit(1.0)}), "poisson", ["sp"], 2)
+    want = {sp: sum((r[4] - 0.5) ** 2 / 0.5 for r in filled if r[3] == sp and r[1] != "c") for sp in ("p", "q")}
+    assert {r["sp"]: r["chisq"] for r in checks.collect()} == pytest.approx(want)
+    assert sparse.weighted_counts(seen.limit(0), frame, ["type"], ["sp"], "y", "x").count() == 0
+
+
+def test_health_table_of_mixed_fits(spark):
+    rows = [("one", *r, i) for i, r in enumerate(_clustered(7, 60, zero=0.0))] + [("two", *r, i) for i, r in enumerate(_clustered(8, 60, zero=0.0, phi=20.0))]
+    df = spark.createDataFrame(rows, "sp string, k string, g string, t double, y int, i int")
+    fit = mixed.fit_mixed(df, ["sp", "g"], "y", "k", None, "nb2", model_by=["sp"])
+    table = {r["model"]: r for r in D.health_table(df, fit, ["sp", "i"], "y").collect()}
+    assert set(table) == {"one", "two"}
+    one, two = table["one"], table["two"]
+    assert 0.3 < one["cluster_sd"] < 1.0 and one["n_par"] == 4 and not one["at_boundary"]
+    # The likelihood of the second sample falls in sigma from zero on (profiled over a grid): a boundary fit.
+    assert two["at_boundary"] and two["cluster_sd"] == pytest.approx(mixed.SIGMA_FLOOR) and two["n_par"] == 3
+    for r in table.values():
+        assert r["converged"] and r["positive_definite"]
+        assert all(0.001 < r[p] <= 1 for p in ("uniformity_p", "dispersion_p", "zero_p", "outlier_p"))
+
+
+def test_reference_grid_means(spark):
+    spec = ModelSpec([("f",), ("x",), ("g",), ("f", "x"), ("f", "g")], {"f": ["a", "b"], "g": ["u", "v", "w"]})
+    at = spark.createDataFrame([("s", -1.0), ("e", 2.0)], "label string, x double")
+    grid = reference_grid(at, spec, {"g": ["u", "v"]})
+    assert grid.count() == 2 * 2 * 2
+    got = {(r["label"], r["f"], r["term"]): r["weight"] for r in mean_weights(grid, spec, ["label", "f"]).collect()}
+    for label, x in (("s", -1.0), ("e", 2.0)):
+        for f in "ab":
+            want = np.mean([spec.row({"f": f, "g": g, "x": x}) for g in "uv"], axis=0)
+            assert [got.get((label, f, n), 0.0) for n in spec.names()] == pytest.approx(list(want))
+    apart = {(r["label"], r["term"]): r["weight"] for r in mean_weights(grid, spec, ["label"], {"f": ("a", "b")}).collect()}
+    twice = {r["term"]: r["weight"] for r in mean_weights(grid.where("label = 's'"), spec, [], {"f": ("a", "b"), "g": ("u", "v")}).collect()}
+    mean = lambda f, x, gs: np.mean([spec.row({"f": f, "g": g, "x": x}) for g in gs], axis=0)
+    assert [apart.get(("e", n), 0.0) for n in spec.names()] == pytest.approx(list(mean("b", 2.0, "uv") - mean("a", 2.0, "uv")))
+    want = mean("b", -1.0, "v") - mean("a", -1.0, "v") - mean("b", -1.0, "u") + mean("a", -1.0, "u")
+    assert [twice.get(n, 0.0) for n in spec.names()] == pytest.approx(list(want))
+
+
 # --- special functions ---------------------------------------------------------------------
 
 
