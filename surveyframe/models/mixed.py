@@ -686,6 +686,26 @@ def _arrow_sums(p: int, q: int):
 _CROSSED = ["cluster", "effect", "d", "u", "cells", "levels", "ws", "i", "j", "value"]
 
 
+class _Settling:
+    """A deviation on its way to a fixed point: two plain steps in its logarithm, then one to where their ratio leads."""
+
+    def __init__(self) -> None:
+        self.steps: list[float] = []
+
+    def next(self, now: float, new: float) -> tuple[float, float]:
+        """The next value, not below SIGMA_FLOOR, and by how much the plain step moves it."""
+        step = math.log(max(new, SIGMA_FLOOR) / now)
+        self.steps.append(step)
+        reach = step
+        if len(self.steps) == 2:
+            first, ratio = self.steps[0], step / self.steps[0] if self.steps[0] else 0.0
+            if 0.0 < ratio < 1.0 and first:
+                reach = max(-1.5, min(1.5, step / (1.0 - min(ratio, 0.95))))
+            self.steps = []
+        after = max(now * math.exp(reach), SIGMA_FLOOR)
+        return after, 0.0 if now <= SIGMA_FLOOR and step <= 0 else abs(after - now) if abs(reach) > abs(step) else abs(step) * now
+
+
 def _back_substituted(move: np.ndarray, p: int, spread: np.ndarray, factor: float):
     """New effect of each cluster once cells and levels have moved, and its posterior variance."""
 
@@ -729,7 +749,7 @@ def fit_crossed(
     most ``MAX_COLUMNS`` unknowns), and the clusters follow by back-substitution. The same blocks give the standard errors
     (the inverse of the reduced system) and the determinant of the Laplace approximation of the log-likelihood. The
     variances move to the effects' squares over their effective number (the count less the posterior
-    variances' share of the prior's), log phi by a Newton step at the effects: they approximate the maximum.
+    variances' share of the prior's) in extrapolated steps, not below ``SIGMA_FLOOR``; log phi by a Newton step at the effects: they approximate the maximum.
     Raises if anything still moves after ``max_iterations`` rounds.
     """
     keys = list(keys)
@@ -756,6 +776,7 @@ def fit_crossed(
     for r in table:
         lp[r["phi_id"]] = math.log(r["phi"])
     e, sigma, sigma_level = np.zeros(q), 0.5, 0.5
+    settle, settle_level = _Settling(), _Settling()
     effects = stored(rows.select("cluster").distinct().withColumn("effect", F.lit(0.0)))
     schema = f"cluster {kind}, effect double, d double, u double, cells array<int>, levels array<int>, ws array<double>, i long, j long, value double"
 
@@ -810,8 +831,9 @@ def fit_crossed(
             d_phi = np.where(phis[1] < 0, -phis[0] / np.where(phis[1] < 0, phis[1], 1.0), 0.7 * np.sign(phis[0]))
             fresh = np.clip(lp + np.clip(d_phi, -1.0, 1.0), -_LOG_PHI, _LOG_PHI)
             d_phi, lp = fresh - lp, fresh
-        moved = max(np.abs(move).max(initial=0.0), after[2], abs(new - sigma), abs(new_level - sigma_level), np.abs(d_phi).max(initial=0.0))
-        sigma, sigma_level = max(new, 1e-3), max(new_level, 1e-3)
+        sigma, left = settle.next(sigma, new)
+        sigma_level, left_level = settle_level.next(sigma_level, new_level)
+        moved = max(np.abs(move).max(initial=0.0), after[2], left, left_level, np.abs(d_phi).max(initial=0.0))
         iteration += 1
     cov = np.full((p + q, p + q), np.nan)
     cov[np.ix_(used, used)] = np.linalg.inv(inner[np.ix_(used, used)])
