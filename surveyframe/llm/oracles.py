@@ -119,3 +119,24 @@ digest as (
 select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
 from codes join kept using (n), digest
 """
+
+
+def revisits_sql() -> str:
+    """Roles of pages by payload; base32 takes five bits at a time out of two hex digits."""
+    nibble = "(instr('0123456789abcdef', substr(sha, {}, 1)) - 1)"
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    chars = []
+    for k in range(32):
+        at, skip = divmod(5 * k, 4)
+        both = f"(16 * {nibble.format(at + 1)} + {nibble.format(at + 2)})"
+        chars.append(f"substr('{letters}', (({both} >> {3 - skip}) & 31)::int + 1, 1)")
+    return f"""
+with read as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as sha from pages
+),
+placed as (select *, max(page_id) over (partition by sha) as original from read)
+select page_id, payload_bytes, {' || '.join(chars)} as payload_digest,
+       case when page_id = original then 'response' else 'revisit' end as record_type,
+       case when page_id <> original then original end as refers_to
+from placed
+"""

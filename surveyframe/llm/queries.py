@@ -66,6 +66,9 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(read_archives(spark, write_archives(table(spark, sf_dir, "pages"))))
 
 
+ORACLES["op2_warc_revisits"] = oracles.revisits_sql()
+
+
 @query
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))

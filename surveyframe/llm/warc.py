@@ -1,15 +1,21 @@
 """WARC archives with resolved revisits.
 
-Headers (id, payload digest, size) are shuffled by digest without payloads; the largest page_id of each
-digest is the original. Pages join their digest's original once; revisits leave their payload behind at
-that point. Records are put together as column expressions and written by Spark's text writer, one gzip
-file per partition in the shared folder, records closed by two CRLF. Reading takes each file as bytes,
+Headers (id, url, payload digest, size) are shuffled by digest without payloads; the largest page_id of each
+digest is the original, the others become revisit records out of their headers alone. Payloads of responses stay where
+they are read: a bitmap of fixed size tells which pages cannot be revisits, a second one finds the responses among
+the rest, and only what passes that one too is joined by id (with many millions of revisits the bitmaps let
+everything through, and the join is an ordinary one). Records are put together as column expressions and written by Spark's
+text writer as gzip files in the shared folder, records closed by two CRLF. Files are bounded by bytes:
+`SMALL_BYTES` divides records into two writes, each with a number of records per file that keeps a file below
+`FILE_BYTES` before compression, or to one record. A file is one gzip stream, so a single record is read by reading
+its file. Reading takes each file as bytes,
 walks the records by Content-Length and recomputes every response's digest; revisit records then join the
 response with their digest, which gives payload size and the fresh reference.
 
 A null html is an empty payload. A null page_id counts below every number; where all are null, each is a
-response. Rows that repeat page_id and payload are responses each. Control characters of a url are
-percent-encoded in the header; a null url gives an empty target.
+response. Rows that repeat page_id and payload are responses each. Control characters of a url (up to 0x1F, and
+0x7F) are percent-encoded in the header; a null url gives an empty target. WARC-Date is the time given to
+`write_archives`, as pages hold none; each file starts with no warcinfo record of its own.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyframe.llm.prefilter import split_members
 from surveyframe.llm.storage import shared_path, stored
 
 _HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -43,28 +50,46 @@ def _urn(page: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">"))
 
 
-def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (null for revisits), payload_digest, payload_bytes, original."""
+def read_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, payload_digest, payload_bytes."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    read = pages.select(
+    return pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"),
         base32_sha1(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"),
     )
+
+
+def revisits_of(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """Stored headers of the records that revisit an original, with its id."""
     originals = stored(
-        read.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("o_digest")).agg(F.max("page_id").alias("original"))
+        headers.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("o_digest")).agg(F.max("page_id").alias("original"))
     )
-    joined = read.join(originals, F.col("payload_digest") == F.col("o_digest"), "left").drop("o_digest")
-    revisit = F.coalesce(~F.col("original").eqNullSafe(F.col("page_id")), F.lit(False)) & F.col("original").isNotNull()
-    return joined.withColumn("revisit", revisit).withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
+    joined = headers.join(originals, F.col("payload_digest") == F.col("o_digest")).drop("o_digest")
+    return stored(joined.where(F.col("original").isNotNull() & ~F.col("original").eqNullSafe(F.col("page_id"))))
+
+
+def responses_of(read: DataFrame, headers: DataFrame, revisits: DataFrame) -> DataFrame:
+    """The rows of `read` that are no revisits."""
+    ids = revisits.select(F.col("page_id").alias("v_page"), F.col("payload_digest").alias("v_digest"))
+
+    def others(rows: DataFrame) -> DataFrame:
+        return rows.join(ids, F.col("page_id").eqNullSafe(F.col("v_page")) & (F.col("payload_digest") == F.col("v_digest")), "left_anti")
+
+    known = read.where(F.col("page_id").isNotNull())
+    maybe, sure = split_members(known, "page_id", ids, "v_page")
+    left = others(split_members(headers.where(F.col("page_id").isNotNull()), "page_id", ids, "v_page")[0])
+    left = stored(left.select(F.col("page_id").alias("l_page")))
+    maybe, _ = split_members(maybe, "page_id", left, "l_page")
+    return sure.unionByName(others(maybe)).unionByName(others(read.where(F.col("page_id").isNull())))
 
 
 def records(roles: DataFrame, date: str) -> DataFrame:
     """The text of one WARC record per row, without the closing CRLFs."""
     target = F.coalesce(F.col("url"), F.lit(""))
-    for code in (9, 10, 13):
+    for code in (*range(32), 127):
         target = F.replace(target, F.lit(chr(code)), F.lit(f"%{code:02X}"))
     http = F.concat(F.lit(_HTTP + "Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
-    block = F.concat(http, F.coalesce(F.col("payload"), F.lit("")))
+    block = F.concat(http, F.when(F.col("revisit"), F.lit("")).otherwise(F.col("payload")))
     kind = F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))
     refers = F.when(
         F.col("revisit"), F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("original")), F.lit(f"\r\nWARC-Profile: {_PROFILE}\r\n"))
@@ -79,13 +104,29 @@ def records(roles: DataFrame, date: str) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str | None = None, date: str = "2020-01-01T00:00:00Z", min_bytes: int = 0, per_file: int = 20_000) -> str:
+#: Bytes of a file before compression, unless one record is longer; and of a record's payload in the first write.
+FILE_BYTES = 128 << 20
+SMALL_BYTES = 64 << 10
+
+
+def write_archives(pages: DataFrame, path: str | None = None, date: str = "2020-01-01T00:00:00Z", min_bytes: int = 0) -> str:
     """Write deduplicated archives; returns the folder."""
     path = path or shared_path(pages.sparkSession, "warc")
-    (
-        records(with_roles(pages, min_bytes), date).write.option("lineSep", END).option("compression", "gzip")
-        .option("maxRecordsPerFile", per_file).text(path)
-    )
+    read = read_pages(pages)
+    headers = stored(read.drop("payload"))
+    revisits = revisits_of(headers, min_bytes)
+    longest = headers.agg(F.max("payload_bytes")).first()[0] or 0
+
+    def write(rows: DataFrame, size: int) -> None:
+        out = records(rows, date).write.mode("append").option("lineSep", END).option("compression", "gzip")
+        out.option("maxRecordsPerFile", max(1, FILE_BYTES // max(size, 1))).text(path)
+
+    responses = responses_of(read, headers, revisits).withColumns({"original": F.lit(None).cast("long"), "revisit": F.lit(False)})
+    small = F.col("payload_bytes") <= SMALL_BYTES
+    again = revisits.withColumns({"payload": F.lit(None).cast("string"), "revisit": F.lit(True)})
+    write(responses.where(small).unionByName(again), SMALL_BYTES)
+    if longest > SMALL_BYTES:
+        write(responses.where(~small), longest)
     return path
 
 

@@ -144,7 +144,7 @@ def test_signature_tree_finds_every_pair():
 
 
 def test_warc(spark):
-    data = [(1, "u", "a"), (2, "u\r\nx", "é\r\n\r\nWARC/1.1\r\n"), (3, None, "a"), (4, "z", None), (None, "q", "a"), (7, "z", ""), (None, None, "only"), (8, "w", "x" * 300_000), (3, None, "a")]
+    data = [(1, "u", "a"), (2, "u\r\nx", "é\r\n\r\nWARC/1.1\r\n"), (3, None, "a"), (4, "z", None), (None, "q", "a"), (7, "z", ""), (None, None, "only"), (8, "w", "x" * 300_000), (3, None, "a"), (1, "u2", "solo")]
     pages = spark.createDataFrame([(*d, "clash", 1) for d in data], "page_id long, url string, html string, payload string, original int")
     path = warc.write_archives(pages)
     found = warc.resolve(warc.read_archives(spark, path))
