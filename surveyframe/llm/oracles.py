@@ -140,3 +140,95 @@ select page_id, payload_bytes, {' || '.join(chars)} as payload_digest,
        case when page_id <> original then original end as refers_to
 from placed
 """
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def jaccard_sql() -> str:
+    """Shingle sets, links by exact counts, and components by spreading the smallest id along links."""
+    return f"""
+with recursive read as materialized (
+  select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') as ws from documents
+),
+shingles as materialized (
+  select distinct doc_id, case when len(ws) < 5 then array_to_string(ws, ' ') else array_to_string(ws[i:i + 4], ' ') end as s
+  from read, unnest(generate_series(1, greatest(len(ws) - 4, 1))) as u(i) where len(ws) > 0
+),
+sizes as materialized (select doc_id, count(*) as n from shingles group by doc_id),
+links as materialized (
+  select a.doc_id as x, b.doc_id as y
+  from shingles a join shingles b using (s) join sizes p on p.doc_id = a.doc_id join sizes q on q.doc_id = b.doc_id
+  where a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, p.n, q.n having 100 * count(*) >= 80 * (p.n + q.n - count(*))
+),
+reach(x, y) as (select x, y from links union select r.x, l.y from reach r join links l on l.x = r.y)
+select d.doc_id, coalesce(any_value(z.n), 0)::bigint as n_shingles, least(d.doc_id, coalesce(min(r.y), d.doc_id)) as component_id
+from read d left join sizes z on z.doc_id = d.doc_id left join reach r on r.x = d.doc_id
+group by d.doc_id
+"""
+
+
+def spans_sql(window: int = 20) -> str:
+    """Windows whose words start earlier elsewhere cover what is removed."""
+    return f"""
+with read as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
+windows as materialized (
+  select doc_id, i, md5(array_to_string(ws[i:i + {window - 1}], ' ')) as k from read, unnest(generate_series(1, len(ws) - {window - 1})) as u(i)
+),
+again as (
+  select doc_id, i from windows qualify row_number() over (partition by k order by doc_id, i) > 1
+),
+covered as (select distinct doc_id, j from again, unnest(generate_series(i, i + {window - 1})) as u(j)),
+words as (select doc_id, j, ws[j] as word from read, unnest(generate_series(1, len(ws))) as u(j)),
+kept as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by j) as t from words anti join covered using (doc_id, j) group by doc_id
+)
+select r.doc_id, len(r.ws)::bigint as n_words, (len(r.ws) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256
+from read r left join kept k using (doc_id)
+"""
+
+
+def quality_sql() -> str:
+    """Statistics of each text, lines over their host's limit, and the verdict."""
+    return f"""
+with read as materialized (
+  select row_number() over () as n, doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents
+),
+windows as (
+  select n, i, array_to_string(ws[i:i + 7], ' ') as k from read, unnest(generate_series(1, len(ws) - 7)) as u(i)
+),
+repeats as (
+  select n, count(distinct j) as n_repeat_words
+  from (select n, i from windows qualify count(*) over (partition by n, k) > 1), unnest(generate_series(i, i + 7)) as u(j) group by n
+),
+lines as materialized (
+  select n, source, array_to_string(ws, ' ') as text_key, line, regexp_extract_all(line, '{_WORD}') as lw
+  from (select *, unnest(string_split(t, chr(10))) as line from read) where regexp_matches(line, '{_WORD}')
+),
+named as materialized (select *, {_LOWER.format("array_to_string(lw, ' ')")} as norm from lines),
+doubled as (select n, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from named group by n),
+hosts as (select source, count(distinct text_key) as all_texts from lines group by source),
+limited as (
+  select m.source, m.norm from named m join hosts h on h.source is not distinct from m.source
+  group by m.source, m.norm, h.all_texts having count(distinct m.text_key) > 5 and count(distinct m.text_key) > 0.05::double * h.all_texts
+),
+gone as (
+  select m.n, sum(len(m.lw)) as words from named m join limited l on l.source is not distinct from m.source and l.norm = m.norm group by m.n
+),
+stats as (
+  select r.n, r.doc_id, len(r.ws)::bigint as n_words, coalesce(list_sum(list_transform(r.ws, lambda w: length(w))), 0)::bigint as word_chars,
+         (length(r.t) - length(regexp_replace(r.t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+         coalesce(d.n_dup_lines, 0)::bigint as n_dup_lines, coalesce(d.n_lines, 0) as n_lines,
+         coalesce(p.n_repeat_words, 0)::bigint as n_repeat_words, coalesce(g.words, 0)::bigint as n_line_words_removed
+  from read r left join doubled d using (n) left join repeats p using (n) left join gone g using (n)
+),
+judged as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, n_words - n_line_words_removed < 0.3::double * n_words as depleted from stats
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not depleted and n_symbols <= 0.06::double * word_chars and n_dup_lines <= 0.5::double * n_lines as kept,
+       n_line_words_removed, depleted
+from judged
+"""
