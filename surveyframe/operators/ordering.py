@@ -102,9 +102,9 @@ def exact_quantiles(
     return picked.select(*keys, *[quantile(name, at).alias(name) for name, at in position.items()])
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """(keys, value, n, rank): mid-rank of each distinct value."""
-    ranks = ranked_values(df, keys, value)
+    ranks = ranked_values(df, keys, value, weight)
     return ranks.select(*keys, value, "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from surveyframe.functions import scalars as S
 from surveyframe.operators.keys import attach_scalars
 from surveyframe.operators.reshape import to_long
+from surveyframe.session import stored
 
 LIFE_STAGES = ("juvenile", "adult")
 
@@ -200,6 +201,7 @@ def split_legacy_bin(df: DataFrame, old: str, parts: tuple[str, str], by: str) -
     for part in parts:
         if part not in df.columns:
             df = df.withColumn(part, F.lit(None).cast("int"))
+    df = stored(df)  # read three times: rates by group, the overall rate, the rows
     by_group, p_overall = legacy_rates(df, parts, by)
     needed = F.col(old).isNotNull() & (F.col(parts[0]).isNull() | F.col(parts[1]).isNull())
     lost = F.raise_error(F.lit(f"no record with both {parts}: {old} cannot be split")).cast("double")
