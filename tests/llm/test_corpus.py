@@ -583,5 +583,5 @@ def test_pipeline(spark, odd, tmp_path):
 
 
 def test_registered_queries(spark):
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert QUERIES["op5_token_counts"](spark, SMALL).count() == 200
