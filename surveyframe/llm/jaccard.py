@@ -9,11 +9,17 @@
    first; two sets at the threshold share a token of both prefixes. Vertices that share one form candidate
    groups (connected components over tables). Passages that many sets share come last in the order, so
    they do not tie groups together.
-4. A group is cut into tiles of bounded token count by hash, and every tile pair is one task's work. It
+4. A group is cut into tiles of bounded token count by hash, and the sets of each tile are linked. A task
    builds a signature tree: nodes hold the OR and the AND of their sets' token bitmaps and their size range.
    The dual traversal drops node pairs whose largest possible overlap misses the threshold; what is left
    is compared exactly. Pairs already connected are not compared again.
-5. Links of all tiles are joined to components once more.
+5. A prefix token is open while sets of different tiles and different components hold it. In star rounds
+   each set with open tokens goes once to one set of the component it shares most of them with, in bounded
+   chunks; links found close tokens. A large group of near copies is one component after that, whatever
+   the number of its tiles. Rounds go on while they halve the sets with open tokens.
+6. Sets whose tokens stay open are grouped and tiled anew, and every tile pair is one task's work. So no link
+   is lost where the stars did not find it.
+7. Links of all steps are joined to components once more.
 
 Null and empty texts, and texts without a word, have an empty set and are linked with nothing. A null
 doc_id has a null component. Rows that share a doc_id each get a row.
@@ -365,6 +371,84 @@ def _link_group(num: int, den: int):
     return run
 
 
+def compare(sets: DataFrame, places: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the sets that `places` (root, i, j, tile, node) brings together; only across tiles where i and j differ."""
+    work = sets.join(places, F.col("doc_id") == F.col("node")).select("root", "i", "j", "tile", "doc_id", "tokens")
+    return stored(work.groupBy("root", "i", "j").applyInArrow(_link_group(num, den), "a long, b long"))
+
+
+def tiled(near: DataFrame, sizes: DataFrame) -> DataFrame:
+    """node, root, tiles, tile: candidate groups of sets that share tokens, cut by hash into tiles of about TILE_TOKENS."""
+    blocks = near.groupBy("token").agg(F.min("doc").alias("b"), F.max("doc").alias("most")).where(F.col("b") != F.col("most"))
+    edges = near.join(blocks.select(F.col("token").alias("t"), "b"), F.col("token") == F.col("t")).select(F.col("doc").alias("a"), "b")
+    members = components(edges).join(sizes, F.col("node") == F.col("doc_id")).select("node", "root", "n")
+    tiles = members.groupBy("root").agg(F.sum("n").alias("total")).select(
+        F.col("root").alias("g_root"), F.ceil(F.col("total") / TILE_TOKENS).cast("long").alias("tiles")
+    )
+    return stored(
+        members.join(tiles, F.col("root") == F.col("g_root")).select("node", "root", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile"))
+    )
+
+
+def open_tokens(held: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of `held` (token, doc, tile) whose token stands in several tiles and components, with a set of the smallest component."""
+    of = known.select(F.col("node").alias("k_node"), F.col("root").alias("k_root"))
+    now = held.join(of, F.col("doc") == F.col("k_node"), "left").select("token", "doc", "tile", F.coalesce("k_root", "doc").alias("component"))
+    shared = now.groupBy("token").agg(
+        F.min(F.struct("component", "doc")).alias("first"), F.max("component").alias("last"), F.min("tile").alias("t_low"), F.max("tile").alias("t_high")
+    ).where((F.col("first.component") != F.col("last")) & (F.col("t_low") != F.col("t_high"))).select(
+        F.col("token").alias("o_token"), F.col("first.component").alias("c_component"), F.col("first.doc").alias("center")
+    )
+    return stored(now.join(shared, F.col("token") == F.col("o_token")).drop("o_token"))
+
+
+def stars(open_rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Places of one round: each set at the center it shares most open tokens with, in chunks of about TILE_TOKENS."""
+    asked = open_rows.where(F.col("component") != F.col("c_component")).groupBy("doc", "c_component", "center").agg(F.count(F.lit(1)).alias("shared"))
+    chosen = asked.groupBy("doc").agg(F.max(F.struct("shared", (-F.col("center")).alias("least"))).alias("best")).select(
+        F.col("doc").alias("node"), (-F.col("best.least")).alias("root")
+    )
+    chosen = stored(chosen.join(sizes, F.col("node") == F.col("doc_id")).select("node", "root", "n"))
+    chunks = chosen.groupBy("root").agg(F.ceil(F.sum("n") / TILE_TOKENS).cast("long").alias("chunks"))
+    leaves = chosen.join(chunks.withColumnRenamed("root", "g_root"), F.col("root") == F.col("g_root")).select(
+        "root", F.lit(0).cast("long").alias("i"), (1 + F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("j"), F.lit(1).cast("long").alias("tile"), "node"
+    )
+    centers = chunks.select("root", F.lit(0).cast("long").alias("i"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("chunks"))).alias("j"),
+                            F.lit(0).cast("long").alias("tile"), F.col("root").alias("node"))
+    return leaves.unionByName(centers)
+
+
+def linked(sets: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, root) of every set with a link; `near` holds the prefix tokens (token, doc)."""
+    sizes = stored(sets.groupBy("doc_id").agg(F.sum("n").alias("n")))
+    placed = tiled(near, sizes)
+    known = components(compare(sets, placed.select("root", F.col("tile").alias("i"), F.col("tile").alias("j"), "tile", "node"), num, den))
+    split = placed.where(F.col("tiles") > 1).select(F.col("node").alias("p_node"), "tile")
+    held = stored(near.join(split, F.col("doc") == F.col("p_node")).select("token", "doc", "tile"))
+
+    def more(links: DataFrame) -> DataFrame:
+        return components(links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    def docs_of(rows: DataFrame) -> int:
+        return rows.agg(F.countDistinct("doc")).first()[0]
+
+    rows = open_tokens(held, known)
+    left = docs_of(rows)
+    while left:
+        known = more(compare(sets, stars(rows, sizes), num, den))
+        rows = open_tokens(held, known)
+        before, left = left, docs_of(rows)
+        if 2 * left > before:
+            break
+    if left:
+        pairs = tiled(rows.select("token", "doc"), sizes).select(
+            "node", "root", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("meets")
+        )
+        pairs = pairs.select("root", F.least("tile", "meets").alias("i"), F.greatest("tile", "meets").alias("j"), "tile", "node")
+        known = more(compare(sets, pairs, num, den))
+    return known
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every document; links where den * overlap >= num * union."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -380,23 +464,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         .where(F.col("n") > 0)
     )
     near = stored(prefixes(sets, num, den))
-    blocks = near.groupBy("token").agg(F.min("doc").alias("b"), F.max("doc").alias("most")).where(F.col("b") != F.col("most"))
-    edges = near.join(blocks.select(F.col("token").alias("t"), "b"), F.col("token") == F.col("t")).select(F.col("doc").alias("a"), "b")
-    groups = components(edges)
-    sizes = sets.groupBy("doc_id").agg(F.sum("n").alias("n"))
-    members = groups.join(sizes, F.col("node") == F.col("doc_id")).select("node", "root", "n")
-    tiles = members.groupBy("root").agg(F.sum("n").alias("total")).select(
-        F.col("root").alias("g_root"), F.ceil(F.col("total") / TILE_TOKENS).cast("long").alias("tiles")
-    )
-    placed = members.join(tiles, F.col("root") == F.col("g_root")).select(
-        "node", "root", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile")
-    )
-    spread = placed.select("node", "root", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("meets")).select(
-        "node", "root", "tile", F.least("tile", "meets").alias("i"), F.greatest("tile", "meets").alias("j")
-    )
-    work = sets.join(spread, F.col("doc_id") == F.col("node")).select("root", "i", "j", "tile", "doc_id", "tokens")
-    links = work.groupBy("root", "i", "j").applyInArrow(_link_group(num, den), "a long, b long")
-    found = components(links)
+    found = linked(sets, near, num, den)
     of_set = same.select(F.col("set_key").alias("s_key"), "vertex").join(found, F.col("vertex") == F.col("node"), "left").select(
         "s_key", F.coalesce("root", "vertex").alias("component")
     )

@@ -123,6 +123,37 @@ def test_jaccard_tiles_and_tree(spark, monkeypatch):
     assert collected(jaccard.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == jaccard_brute(all_rows(docs))
 
 
+def test_jaccard_large_group_sends_each_set_a_few_times(spark, monkeypatch):
+    sent = []
+    compare = jaccard.compare
+
+    def counting(sets, places, num, den):
+        sent.append(places.count())
+        return compare(sets, places, num, den)
+
+    monkeypatch.setattr(jaccard, "compare", counting)
+    monkeypatch.setattr(jaccard, "TILE_TOKENS", 2_400)
+    per_set = []
+    for n in (100, 400):
+        rng = random.Random(n)
+        data = [" ".join(f"n{c}" if k == at else f"w{k}" for k in range(100)) for c in range(n) for at in [rng.randrange(100)]]
+        docs = spark.createDataFrame(rows(data), SCHEMA)
+        sent.clear()
+        assert collected(jaccard.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == jaccard_brute(all_rows(docs))
+        per_set.append(sum(sent) / n)
+    assert max(per_set) < 2.5 and per_set[1] < 1.25 * per_set[0]
+
+
+def test_jaccard_chain_over_tiles(spark, monkeypatch):
+    """Each text links with its two neighbours only: what the stars leave is found by tile pairs."""
+    monkeypatch.setattr(jaccard, "TILE_TOKENS", 500)
+    order = list(range(40))
+    random.Random(2).shuffle(order)
+    docs = spark.createDataFrame(rows([" ".join(f"w{k}" for k in range(8 * i, 8 * i + 100)) for i in order]), SCHEMA)
+    found = collected(jaccard.jaccard_components(docs), "doc_id", "n_shingles", "component_id")
+    assert found == jaccard_brute(all_rows(docs)) and {x[2] for x in found} == {1}
+
+
 def test_signature_tree_finds_every_pair():
     rng = np.random.default_rng(3)
     sets = []
