@@ -8,6 +8,7 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 SAMPLE = [
     "clean_counts", "observer_merge", "months_since", "bin_split", "life_stage", "missing_cells", "nearest_date",
     "match_summary", "holdout_split", "count_distribution", "temporal_support", "spearman", "level_support", "diversity_summary", "holm", "ks_uniform",
+    "trend_moments", "sandwich_cells", "wald_cells", "grid_means",
 ]
 
 
