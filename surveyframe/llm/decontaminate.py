@@ -26,6 +26,11 @@ a value elsewhere keep theirs. Plain windows stay for every item. Those without
 a whole family and are joined once for it; they then count for its smallest item_id and for every item of
 which the document also holds a window with its own values.
 
+Documents that hold the same benchmark windows at the same distances, with slots that agree in the same places,
+are one class (`match_classes`): sums of hashes per document tell them apart, nothing is gathered. Only the
+smallest doc_id of a class is joined with the items, so a passage that many documents hold meets the items that hold it
+once. `contaminated_documents` gives one row per document with its class; `contaminated` expands classes to pairs.
+
 Null and empty texts match nothing. Rows without doc_id or item_id take no part. Repeated rows count once.
 """
 
@@ -223,12 +228,8 @@ def benchmark_windows(benchmark: DataFrame, k: int, min_literals: int) -> DataFr
     return stored(shared.unionByName(rows.where("own")).drop("pattern").distinct())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals: int = 5, min_share: float = 0.5, min_run: int = 50) -> DataFrame:
-    """doc_id, item_id, n_matched, n_windows, share, run_words: one row per contaminated document and item.
-
-    Where only template windows match, the item is the smallest one of its family and slot pattern.
-    """
-    items = benchmark_windows(benchmark, k, min_literals)
+def held_windows(docs: DataFrame, items: DataFrame, k: int, min_literals: int) -> DataFrame:
+    """Stored distinct windows (doc_id, d_at, d_window, d_slots) of the documents that some item holds."""
     shift = 64 - FILTER_BITS
     slots = items.select(F.shiftrightunsigned("window", shift).alias("slot"), "size", "typed").distinct().toArrow()
     possible = np.zeros(1 << FILTER_BITS, dtype=bool)
@@ -267,7 +268,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals
                     yield packed(at, at + size, template if typed else literal, size, WHOLE if typed else PLAIN)
 
     read = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = read.mapInArrow(run, _DOC_ROWS)
+    known = stored(items.select("window").distinct())
+    found = read.mapInArrow(run, _DOC_ROWS).join(known, F.col("d_window") == F.col("window"), "left_semi")
+    return stored(found.distinct())
+
+
+def match_classes(held: DataFrame) -> DataFrame:
+    """Stored (doc_id, match_class): the smallest doc_id with the same windows at the same distances and the same equal slots."""
+
+    def both(*columns: str) -> list:  # 128 bits; all rows hashed are distinct, so none cancels another
+        return [F.bit_xor(F.xxhash64(F.lit(seed), *columns)).alias(f"h{seed}") for seed in (1, 2)]
+
+    first = held.groupBy(F.col("doc_id").alias("f_doc")).agg(F.min("d_at").alias("first"))
+    placed = held.join(first, F.col("doc_id") == F.col("f_doc")).withColumn("at", F.col("d_at") - F.col("first"))
+    windows = placed.groupBy("doc_id").agg(*both("at", "d_window"), F.count(F.lit(1)).alias("n"))
+    slots = placed.select("doc_id", "at", "d_window", F.posexplode("d_slots").alias("i", "word"))
+    equal = slots.groupBy("doc_id", "word").agg(*both("at", "d_window", "i"), F.count(F.lit(1)).alias("n"))
+    slots = equal.groupBy(F.col("doc_id").alias("s_doc")).agg(
+        *(h.alias(f"s{k}") for k, h in enumerate(both("h1", "h2", "n"), 1)), F.count(F.lit(1)).alias("s_n")
+    )
+    marks = ["h1", "h2", "n", "s1", "s2", "s_n"]
+    signed = stored(windows.join(slots, F.col("doc_id") == F.col("s_doc"), "left").select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in marks)))
+    classes = stored(signed.groupBy(*(F.col(c).alias(f"c_{c}") for c in marks)).agg(F.min("doc_id").alias("match_class")))
+    return stored(signed.join(classes, [F.col(c) == F.col(f"c_{c}") for c in marks]).select("doc_id", "match_class"))
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, k: int, min_literals: int, min_share: float, min_run: int) -> tuple[DataFrame, DataFrame]:
+    """Contaminating items of the first document of each class, and the classes."""
+    items = benchmark_windows(benchmark, k, min_literals)
+    held = held_windows(docs, items, k, min_literals)
+    classes = match_classes(held)
+    first = classes.where(F.col("doc_id") == F.col("match_class")).select("match_class")
+    found = held.join(first, F.col("doc_id") == F.col("match_class"), "left_semi")
     matches = stored(
         found.join(items, F.col("d_window") == F.col("window")).select(
             "doc_id", F.col("id").alias("item_id"), "key", "family", "at", "n_windows", (F.col("d_at") - F.col("at")).alias("shift"),
@@ -299,6 +331,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals
     runs = once.withColumn("island", island).groupBy(*kind, "shift", "island").agg((F.max("stop") - F.min("at")).alias("run"))
     runs = runs.groupBy("doc_id", "item_id").agg(F.max("run").alias("run_words"))
     best = per_kind.groupBy("doc_id", "item_id").agg(F.max(F.struct(share.alias("share"), "n_matched", "n_windows")).alias("x"))
-    return best.join(runs, ["doc_id", "item_id"]).where((F.col("x.share") >= min_share) | (F.col("run_words") >= min_run)).select(
-        "doc_id", "item_id", "x.n_matched", "x.n_windows", "x.share", "run_words"
+    judged = best.join(runs, ["doc_id", "item_id"]).where((F.col("x.share") >= min_share) | (F.col("run_words") >= min_run)).select(
+        F.col("doc_id").alias("of_class"), "item_id", "x.n_matched", "x.n_windows", "x.share", "run_words"
+    )
+    return judged, classes
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals: int = 5, min_share: float = 0.5, min_run: int = 50) -> DataFrame:
+    """doc_id, item_id, n_matched, n_windows, share, run_words: one row per contaminated document and item.
+
+    Where only template windows match, the item is the smallest one of its family and slot pattern.
+    """
+    judged, classes = _judged(docs, benchmark, k, min_literals, min_share, min_run)
+    return classes.join(judged, F.col("match_class") == F.col("of_class")).drop("of_class", "match_class")
+
+
+def contaminated_documents(
+    docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals: int = 5, min_share: float = 0.5, min_run: int = 50
+) -> DataFrame:
+    """doc_id, match_class, item_id, n_matched, n_windows, share, run_words, n_items, items: one row per contaminated document.
+
+    The item is the one with the largest share (then longest run, then smallest id); n_items counts all of them. `items`, ascending,
+    stands on the row of the class's smallest doc_id (doc_id = match_class) and is null on the others, to which it applies alike.
+    """
+    judged, classes = _judged(docs, benchmark, k, min_literals, min_share, min_run)
+    best = F.max(F.struct("share", "run_words", (-F.col("item_id")).alias("least"), "n_matched", "n_windows")).alias("x")
+    of = stored(judged.groupBy("of_class").agg(best, F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("items")))
+    return classes.join(of, F.col("match_class") == F.col("of_class")).select(
+        "doc_id", "match_class", (-F.col("x.least")).alias("item_id"), "x.n_matched", "x.n_windows", "x.share", "x.run_words", "n_items",
+        F.when(F.col("doc_id") == F.col("match_class"), F.col("items")).alias("items"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from surveyframe.llm import oracles
 from surveyframe.llm.chat import Template, chat_digests, format_chats
 from surveyframe.llm.compress import code_report
-from surveyframe.llm.decontaminate import contaminated
+from surveyframe.llm.decontaminate import contaminated_documents
 from surveyframe.llm.html import extract_text
 from surveyframe.llm.jaccard import jaccard_components
 from surveyframe.llm.language import identify, learn
@@ -95,7 +95,7 @@ ORACLES["op3_substring_dedup"] = oracles.spans_sql()
 
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query

@@ -577,6 +577,36 @@ def test_decontamination_few_literals(spark):
     assert collected(decontaminate.contaminated(docs, items), "doc_id", "item_id") == found
 
 
+def test_decontamination_classes(spark):
+    """A passage that 40 items and 60 documents hold: rows per document, not per document and item; pairs are those of the classes."""
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in ("ba", "ke", "li", "mo", "nu", "ra", "si", "to", "ve", "wa") for b in ("dan", "fel", "gor", "hin", "jup")]
+    middle = " ".join(rng.choices(words, k=40)) + " in {} hours and {} days " + " ".join(rng.choices(words, k=12))
+
+    def around(i, kind):
+        return f"{kind}{chr(97 + i // 26)}{chr(97 + i % 26)} "
+
+    items = spark.createDataFrame([(i, around(i, "head") + middle.format(2, 3) + " " + around(i, "tail")) for i in range(40)], "item_id long, text string")
+    docs = [(i, around(i, "lead") * 9 + middle.format(2, 3) + " " + around(i, "rest") * (i % 5)) for i in range(60)]
+    docs += [(i, middle.format(i, i + 1)) for i in range(60, 70)] + [(i, middle.format(i, i)) for i in range(70, 75)]  # other values; a broken slot
+    docs += [(80, around(3, "head") + middle.format(2, 3) + " " + around(3, "tail")), (5, docs[5][1]), (None, docs[5][1]), (81, "nothing of this"), (82, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    windows = decontaminate.benchmark_windows(items, 8, 5)
+    held = decontaminate.held_windows(docs, windows, 8, 5)
+    classes = dict(collected(decontaminate.match_classes(held), "doc_id", "match_class"))
+    assert {classes[d] for d in range(60)} == {0} and {classes[d] for d in range(60, 70)} == {60} and {classes[d] for d in range(70, 75)} == {70} and classes[80] == 80
+    rows_out = {r["doc_id"]: r for r in decontaminate.contaminated_documents(docs, items).collect()}
+    pairs = collected(decontaminate.contaminated(docs, items), "doc_id", "item_id")
+    assert len(rows_out) == len({d for d, _ in pairs}) and set(rows_out) == {d for d, _ in pairs} and set(range(60)) | {80} <= set(rows_out)
+    by_doc = {}
+    for d, i in pairs:
+        by_doc.setdefault(d, []).append(i)
+    for d, r in rows_out.items():
+        shared = rows_out[r["match_class"]]["items"]
+        assert sorted(by_doc[d]) == shared and r["n_items"] == len(shared) and (r["items"] is None) == (d != r["match_class"])
+    assert rows_out[80]["item_id"] == 3 and rows_out[80]["share"] == 1.0 and len(by_doc[0]) == 40
+
+
 def test_headers_spread_over_all_ranges():
     names = [hashlib.md5(bytes([k & 255, k >> 8])).digest() for k in range(5000)]
     assert len({ranges.header_range(n, 2500) for n in names}) > 2000
