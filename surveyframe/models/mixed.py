@@ -1,8 +1,8 @@
 """Random intercepts and cluster-robust covariances.
 
 Row sums and cluster sums are Spark aggregations and joins; each cluster contributes its few
-quadrature nodes. Cluster effects are a frame as long as the list of clusters and are
-checkpointed every round, never collected.
+quadrature nodes inside a task. Clusters are a frame with the list of their rows and their effect,
+stored every round, never collected.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from surveyframe.functions.scalars import interaction_key
 from surveyframe.functions.special import digamma, lgamma, trigamma
 from surveyframe.models import families, glm
 from surveyframe.models.gram import MAX_COLUMNS, gram, matrix
+from surveyframe.models.nodes import count_terms, members, repacked, unpacked, weighted_terms
 from surveyframe.operators.keys import attach_scalars, join_on
-from surveyframe.session import checkpointed, stored, stored_with_max, literal_frame
+from surveyframe.session import stored, stored_with_max, literal_frame
 
 
 @dataclass
@@ -265,89 +267,190 @@ class _Sums:
         return first, second, np.concatenate([[self.loglik], self.score, self.info[i, j]])
 
 
-def _posterior_sums(nodes: int, has_slope: bool, with_phi: bool, with_zi: bool, block: int = 256):
-    """Per cluster: nodes weighed by likelihood and prior, the next centre of its nodes, and by
-    Louis' identity its part of the observed information: expected information of the complete data
-    less the posterior covariance of its score."""
-
-    def one_model(e: dict, ci: np.ndarray, n: int, total: _Sums):
-        k = e["k"]
-        grid = lambda: np.zeros((n, nodes))
-        ll, u, lw, s, sigma, slope, curve = grid(), grid(), grid(), np.zeros(n), np.ones(n), grid(), grid()
-        np.add.at(ll, (ci, k), e["ll"])
-        np.add.at(slope, (ci, k), e["s_e"])
-        np.add.at(curve, (ci, k), e["i_ee"])
-        u[ci, k], lw[ci, k], s[ci], sigma[ci] = e["u"], e["lw"], e["reach"], e["sigma"]
-        sg = sigma[:, None]
-        joint = ll + lw + np.log(s * math.sqrt(2.0))[:, None] - 0.5 * (u / sg) ** 2 - np.log(sg) - 0.5 * math.log(2 * math.pi)
-        top = joint.max(axis=1, keepdims=True)
-        w = np.exp(joint - top)
-        mass = w.sum(axis=1, keepdims=True)
-        w /= mass
-        loglik = (np.log(mass) + top)[:, 0]
-        mean = (w * u).sum(axis=1)
-        curvature = np.maximum((w * curve).sum(axis=1), 0.0) + 1 / sigma**2
-        # At the posterior the mean slope of the joint density is zero; where nodes miss it this leads back.
-        mean = mean + np.clip((w * (slope - u / sg**2)).sum(axis=1) / curvature, -1.0, 1.0)
-        pull, spread = mean * curvature, curvature - 1 / sigma**2
-        wt = w[ci, k]
-        lines = [(2 * e["cell_id"], "s_e")] + ([(2 * e["cell_id"] + 1, "s_x")] if has_slope else [])
-        lines += ([(_PHI + e["phi_id"], "s_p")] if with_phi else []) + ([(_ZI + e["zi_id"], "s_z")] if with_zi else [])
-        crosses = {("s_e", "s_e"): "i_ee", ("s_e", "s_x"): "i_ex", ("s_x", "s_x"): "i_xx", ("s_e", "s_p"): "i_ep", ("s_x", "s_p"): "i_xp",
-                   ("s_p", "s_p"): "i_pp", ("s_e", "s_z"): "i_ez", ("s_x", "s_z"): "i_xz", ("s_p", "s_z"): "i_pz", ("s_z", "s_z"): "i_zz"}
-        codes = np.unique(np.concatenate([c for c, _ in lines] + [[_SIGMA]]))
-        score = np.zeros((n, nodes, len(codes)))
-        info = np.zeros((len(codes), len(codes)))
-        at = [(np.searchsorted(codes, c), name) for c, name in lines]
-        for a, (i, p) in enumerate(at):
-            np.add.at(score, (ci, k, i), e[p])
-            for j, q in at[a:]:
-                value = wt * e[crosses[p, q]]
-                np.add.at(info, (i, j), value)
-                if p != q:
-                    np.add.at(info, (j, i), value)
-        score[:, :, -1] = (u / sg) ** 2 - 1
-        info[-1, -1] += (2 * w * (u / sg) ** 2).sum()
-        expected = np.einsum("ck,ckp->cp", w, score)
-        apart = (np.sqrt(w)[:, :, None] * (score - expected[:, None, :])).reshape(-1, len(codes))
-        total.add(codes, expected.sum(axis=0), info - apart.T @ apart, float(loglik.sum()))
-        return pull, spread
+def _posterior(e: dict, ci: np.ndarray, u: np.ndarray, lw: np.ndarray, s: np.ndarray, sigma: np.ndarray, times: np.ndarray, total: _Sums, has_slope: bool, with_phi: bool, with_zi: bool):
+    """Clusters of one model out of sums per node and cell (``e``, entry by entry with its cluster ``ci`` and node ``k``):
+    nodes weighed by likelihood and prior, the next centre of the nodes, and by Louis' identity their part of the
+    observed information: expected information of the complete data less the posterior covariance of its score.
+    A cluster that stands for several equal ones counts ``times``."""
+    n, nodes = u.shape
+    k = e["k"]
+    node = ci * nodes + k
+    grid = lambda value: np.bincount(node, weights=value, minlength=n * nodes).reshape(n, nodes)
+    ll, slope, curve = grid(e["ll"]), grid(e["s_e"]), grid(e["i_ee"])
+    sg = sigma[:, None]
+    joint = ll + lw + np.log(s * math.sqrt(2.0))[:, None] - 0.5 * (u / sg) ** 2 - np.log(sg) - 0.5 * math.log(2 * math.pi)
+    top = joint.max(axis=1, keepdims=True)
+    w = np.exp(joint - top)
+    mass = w.sum(axis=1, keepdims=True)
+    w /= mass
+    loglik = (np.log(mass) + top)[:, 0]
+    mean = (w * u).sum(axis=1)
+    curvature = np.maximum((w * curve).sum(axis=1), 0.0) + 1 / sigma**2
+    # At the posterior the mean slope of the joint density is zero; where nodes miss it this leads back.
+    mean = mean + np.clip((w * (slope - u / sg**2)).sum(axis=1) / curvature, -1.0, 1.0)
+    pull, spread = mean * curvature, curvature - 1 / sigma**2
+    wt = (w * times[:, None]).ravel()[node]
+    lines = [(2 * e["cell_id"].astype(np.int64), "s_e")] + ([(2 * e["cell_id"].astype(np.int64) + 1, "s_x")] if has_slope else [])
+    lines += ([(_PHI + e["phi_id"].astype(np.int64), "s_p")] if with_phi else []) + ([(_ZI + e["zi_id"].astype(np.int64), "s_z")] if with_zi else [])
+    crosses = {("s_e", "s_e"): "i_ee", ("s_e", "s_x"): "i_ex", ("s_x", "s_x"): "i_xx", ("s_e", "s_p"): "i_ep", ("s_x", "s_p"): "i_xp",
+               ("s_p", "s_p"): "i_pp", ("s_e", "s_z"): "i_ez", ("s_x", "s_z"): "i_xz", ("s_p", "s_z"): "i_pz", ("s_z", "s_z"): "i_zz"}
+    codes = np.unique(np.concatenate([np.unique(c) for c, _ in lines] + [[_SIGMA]]))
+    size = len(codes)
+    at = [(np.searchsorted(codes, c), name) for c, name in lines]
+    info = np.zeros(size * size)
+    for a, (i, p) in enumerate(at):
+        for j, q in at[a:]:
+            value = wt * e[crosses[p, q]]
+            info += np.bincount(i * size + j, weights=value, minlength=size * size)
+            if p != q:
+                info += np.bincount(j * size + i, weights=value, minlength=size * size)
+    info = info.reshape(size, size)
+    score = sum(np.bincount(i * (n * nodes) + node, weights=e[p], minlength=size * n * nodes) for i, p in at).reshape(size, n, nodes)
+    score[-1] = (u / sg) ** 2 - 1
+    info[-1, -1] += (2 * w * times[:, None] * (u / sg) ** 2).sum()
+    expected = np.einsum("ck,pck->pc", w, score)
+    apart = (np.sqrt(w * times[:, None])[None] * (score - expected[:, :, None])).reshape(size, -1)
+    total.add(codes, expected @ times, info - apart @ apart.T, float(loglik @ times))
+    return pull, spread
+
+
+def _total_rows(totals: dict[str, _Sums], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Each model's sums as rows (i, j, value) of a round's table."""
+    for name, total in totals.items():
+        i, j, value = total.rows()
+        given = {"model": pa.array([name] * len(i), pa.string()), "i": pa.array(i), "j": pa.array(j), "value": pa.array(value)}
+        yield pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(len(i), f.type)) for f in kind], names=kind.names)
+
+
+def _round_batch(kind: pa.Schema, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    n = len(columns["model"])
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in kind], names=kind.names)
+
+
+def _round_schema(cluster: pa.DataType) -> pa.Schema:
+    """Columns of a round's table: clusters (i is null), then each task's sums per model."""
+    entry = pa.struct([*[(k, pa.int32()) for k in _IDS], *[(k, pa.float64()) for k in ("x", "y", "n")]])
+    floats = lambda *names: [(k, pa.float64()) for k in names]
+    return pa.schema([("model", pa.string()), ("cluster", cluster), ("e", pa.list_(entry)), *floats("times", "pull", "curve"), ("i", pa.int64()), ("j", pa.int64()), *floats("value")])
+
+
+def _wide_round(nodes: int, has_slope: bool, with_phi: bool, with_zi: bool, block: int = 256):
+    """A round of clusters given as sums per node and cell (``_cluster_sums``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, _Sums] = {}
-        kinds = None
+        kind = None
         for whole in batches:
-            kinds = whole.schema
+            kind = _round_schema(whole.schema.field("cluster").type)
             for start in range(0, whole.num_rows, block):
                 batch = whole.slice(start, block)
-                lists, names = batch.column("e"), batch.column("model").to_pylist()
-                flat = lists.flatten()
-                e = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
-                ci = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                e, lengths = unpacked(batch.column("e"))
+                label = np.array(batch.column("model").to_pylist(), dtype=object)
                 mean, spread = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-                label = np.array(names, dtype=object)
-                for name in set(names):
+                for name in set(label):
                     mine = np.flatnonzero(label == name)
-                    place = np.full(batch.num_rows, -1)
-                    place[mine] = np.arange(len(mine))
-                    take = place[ci] >= 0
-                    mean[mine], spread[mine] = one_model({f: v[take] for f, v in e.items()}, place[ci][take], len(mine), totals.setdefault(name, _Sums()))
-                none = pa.nulls(batch.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("model"), batch.column("cluster"), pa.array(mean), pa.array(spread), none, none, pa.nulls(batch.num_rows, pa.float64())],
-                    names=["model", "cluster", "pull", "curve", "i", "j", "value"],
-                )
-        for name, total in totals.items():
-            i, j, value = total.rows()
-            none = pa.nulls(len(i), pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(i), pa.string()), pa.nulls(len(i), kinds.field("cluster").type), none, none, pa.array(i), pa.array(j), pa.array(value)],
-                names=["model", "cluster", "pull", "curve", "i", "j", "value"],
-            )
+                    take, ci = members(lengths, mine), np.repeat(np.arange(len(mine)), lengths[mine])
+                    own = {f: v[take] for f, v in e.items()}
+                    u, lw, s, sigma = np.zeros((len(mine), nodes)), np.zeros((len(mine), nodes)), np.zeros(len(mine)), np.ones(len(mine))
+                    u[ci, own["k"]], lw[ci, own["k"]], s[ci], sigma[ci] = own["u"], own["lw"], own["reach"], own["sigma"]
+                    mean[mine], spread[mine] = _posterior(own, ci, u, lw, s, sigma, np.ones(len(mine)), totals.setdefault(name, _Sums()), has_slope, with_phi, with_zi)
+                yield _round_batch(kind, {"model": batch.column("model"), "cluster": batch.column("cluster"), "pull": pa.array(mean), "curve": pa.array(spread)})
+        if kind is not None:
+            yield from _total_rows(totals, kind)
 
     return run
 
 
+def _list_round(family: str, nodes: int, has_slope: bool, with_phi: bool, with_zi: bool, cluster: pa.DataType, block: int = 1024, most_rows: int = 10_000, most_scores: int = 400_000):
+    """A round of clusters given as lists of their rows; the nodes exist inside the task only."""
+    t, weight = np.polynomial.hermite.hermgauss(nodes)
+    log_weight = np.log(weight) + t * t
+    kind = _round_schema(cluster)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, _Sums] = {}
+        for batch in batches:
+            e, lengths = unpacked(batch.column("e"))
+            label = np.array(batch.column("model").to_pylist(), dtype=object)
+            times, pull, curve, ls = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("times", "pull", "curve", "ls"))
+            hold = curve + np.exp(-2 * ls)  # a normal posterior: nodes follow when sigma moves
+            mean, reach, sigma = pull / hold, 1 / np.sqrt(hold), np.exp(ls)
+            first = e["cell_id"][np.cumsum(lengths) - lengths]
+            pull, curve = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for name in set(label):
+                mine = np.flatnonzero(label == name)
+                mine = mine[np.argsort(first[mine], kind="stable")]  # neighbours touch the same cells, so blocks have few parameters
+                widest = 2 * len(np.unique(e["cell_id"][members(lengths, mine)])) + 4
+                step = max(16, min(block, most_scores // widest))
+                part = np.cumsum(lengths[mine]) // most_rows + np.arange(len(mine)) // step
+                for some in np.split(mine, np.flatnonzero(np.diff(part)) + 1):
+                    take, row = members(lengths, some), np.repeat(np.arange(len(some)), lengths[some])
+                    own = {f: v[take] for f, v in e.items()}
+                    u = mean[some, None] + math.sqrt(2.0) * reach[some, None] * t[None]
+                    terms = weighted_terms(family, own, own["eta0"][:, None] + u[row], with_zi)
+                    entries = {f: v.ravel() for f, v in terms.items()} | {f: np.repeat(own[f], nodes) for f in _IDS}
+                    entries["k"] = np.tile(np.arange(nodes), len(row))
+                    pull[some], curve[some] = _posterior(
+                        entries, np.repeat(row, nodes), u, np.broadcast_to(log_weight, u.shape), reach[some], sigma[some], times[some], totals.setdefault(name, _Sums()),
+                        has_slope, with_phi, with_zi,
+                    )
+            yield _round_batch(kind, {
+                "model": batch.column("model"), "e": repacked(lengths, {f: e[f] for f in (*_IDS, "x", "y", "n")}), "times": batch.column("times"),
+                "pull": pa.array(pull), "curve": pa.array(curve),
+            })
+        yield from _total_rows(totals, kind)
+
+    return run
+
+
+_IDS = ("cell_id", "phi_id", "zi_id")
+#: Clusters with more distinct rows than this are summed per node and cell by Spark, the others are lists.
+LIST_ROWS = 256
+
+
+def row_lists(rows: DataFrame, by: Sequence[str], fields: Sequence[str], wide: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """(one row per cluster with the sorted list of its rows, the rows of clusters in ``wide``)."""
+    gathered = lambda some: some.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("e"))
+    if wide is None:
+        return gathered(rows), None
+    return gathered(join_on(rows, wide, ["cluster"], "left_anti")), join_on(rows, wide, ["cluster"], "left_semi")
+
+
+def wide_clusters(counted: DataFrame, most: int) -> DataFrame | None:
+    """Clusters with more than ``most`` rows, if there are any."""
+    wide = stored(counted.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("cluster"))
+    return None if wide.isEmpty() else wide
+
+
+def _list_start(lists: DataFrame, models: DataFrame, sigma: float) -> DataFrame:
+    """Equal clusters counted once, with the first place of their nodes (``_first_effects``)."""
+    def part(r: Column) -> Column:
+        eta = F.element_at("a", r["cell_id"] + 1) + F.element_at("b", r["cell_id"] + 1) * r["x"]
+        return F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), eta)))
+
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
+    state = lists.groupBy("model", "e").agg(F.count(F.lit(1)).cast("double").alias("times")).join(models.select("model", "a", "b"), "model")
+    state = state.withColumn("mus", F.transform("e", part))
+    pairs = F.arrays_zip("e", "mus")
+    state = state.withColumns({
+        "u": add(F.transform(pairs, lambda p: p["e"]["n"] * (p["e"]["y"] - p["mus"]) / (1 + p["mus"]))),
+        "w": add(F.transform(pairs, lambda p: p["e"]["n"] * p["mus"] / (1 + p["mus"]))),
+    })
+    hold = F.col("w") + 1 / sigma**2
+    return state.select("model", "e", "times", (hold * F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("u") / hold))).alias("pull"), F.col("w").alias("curve"))
+
+
+def _placed_lists(state: DataFrame, models: DataFrame) -> DataFrame:
+    """Each listed row with its line, dispersion and zero share under the models' parameters."""
+    at = lambda name, k: F.element_at(name, k + 1)
+    entry = lambda r: F.struct(
+        *[r[k].alias(k) for k in (*_IDS, "x", "y", "n")], (at("a", r["cell_id"]) + at("b", r["cell_id"]) * r["x"]).alias("eta0"),
+        F.exp(at("lp", r["phi_id"])).alias("phi"), (1 / (1 + F.exp(-at("lz", r["zi_id"])))).alias("zi"),
+    )
+    joined = state.join(models.select("model", "a", "b", "lp", "lz", "ls"), "model")
+    return joined.select("model", F.transform("e", entry).alias("e"), "times", "pull", "curve", "ls")
+
+
 _VECTORS = "a array<double>, b array<double>, lp array<double>, lz array<double>, ls double"
 _MODEL = (
     f"model string, {_VECTORS}, fa array<boolean>, fb array<boolean>, a_last array<double>, b_last array<double>, lp_last array<double>, "
@@ -525,23 +628,37 @@ def fit_mixed(
     zi_by = None if zi_by is None else list(zi_by)
     with_phi, with_zi, has_slope = phi_by is not None, zi_by is not None, x is not None
     name = interaction_key(model_by) if model_by else F.lit("model")
-    counted = checkpointed(cluster_rows(df, cluster, keys, y, x))
-    start = glm.starting_values(counted.drop("cluster"), keys, family, None if phi_by is None else [*model_by, *[k for k in phi_by if k not in model_by]], 0.0)
-    cells = stored(_identified(counted, start, keys, name, phi_by or [], zi_by or []))
+    counted = stored(cluster_rows(df, cluster, keys, y, x))
+    cell_rows = stored(counted.groupBy(*keys, "x", "y").agg(F.sum("n").alias("n")))
+    start = glm.starting_values(cell_rows, keys, family, None if phi_by is None else [*model_by, *[k for k in phi_by if k not in model_by]], 0.0)
+    cells = stored(_identified(cell_rows, start, keys, name, phi_by or [], zi_by or []))
     largest = cells.groupBy("model").count().agg(F.max("count")).first()[0] or 0
     if largest > MAX_COLUMNS:
         raise ValueError(f"more than {MAX_COLUMNS} cells in a model; a dense covariance is not available")
-    ids = cells.select(*keys, "model", "cell_id", "phi_id", "zi_id")
-    rows = stored(join_on(counted, ids, keys).select("model", "cluster", "cell_id", "phi_id", "zi_id", "x", "y", "n"))
+    ids = cells.select(*keys, "model", *_IDS)
+    rows = join_on(counted, ids, keys).select("model", "cluster", *_IDS, "x", "y", "n")
     sigma = 0.5
     models = stored(_start(cells, sigma, 0.05 if with_zi else 1e-12))
-    effects = stored(_first_effects(rows, models, sigma))
+    lists, wide = row_lists(rows, ["model", "cluster"], [*_IDS, "x", "y", "n"], wide_clusters(counted, LIST_ROWS))
+    state, effects = stored(_list_start(lists, models, sigma)), None
+    if wide is not None:
+        wide = stored(wide)
+        effects = stored(_first_effects(wide, models, sigma))
     cluster_type = dict(rows.dtypes)["cluster"]
+    entry = "struct<" + ",".join([f"{k}:int" for k in _IDS] + ["x:double", "y:double", "n:double"]) + ">"
+    schema = f"model string, cluster {cluster_type}, e array<{entry}>, times double, pull double, curve double, i long, j long, value double"
+    arrow_cluster = to_arrow_type(rows.schema["cluster"].dataType)
 
     def one_pass() -> DataFrame:
-        lists = _cluster_sums(rows, models, effects, family, nodes, with_zi)
-        run = _posterior_sums(nodes, has_slope, with_phi, with_zi)
-        return stored(lists.mapInArrow(run, f"model string, cluster {cluster_type}, pull double, curve double, i long, j long, value double"))
+        done = _placed_lists(state, models).mapInArrow(_list_round(family, nodes, has_slope, with_phi, with_zi, arrow_cluster), schema)
+        if wide is not None:
+            sums = _cluster_sums(wide, models, effects, family, nodes, with_zi)
+            done = done.unionByName(sums.mapInArrow(_wide_round(nodes, has_slope, with_phi, with_zi), schema))
+        return stored(done)
+
+    def clusters(done: DataFrame) -> tuple[DataFrame, DataFrame]:
+        mine = done.where(F.col("i").isNull())
+        return mine.where(F.col("e").isNotNull()).select("model", "e", "times", "pull", "curve"), mine.where(F.col("e").isNull()).select("model", "cluster", "pull", "curve")
 
     def per_model(done: DataFrame, how, schema: str) -> DataFrame:
         sums = done.where(F.col("i").isNotNull()).groupBy("model", "i", "j").agg(F.sum("value").alias("value"))
@@ -552,7 +669,7 @@ def fit_mixed(
         if iteration == max_iterations:
             raise RuntimeError(f"mixed fit still moves by {moved} after {max_iterations} rounds")
         done = one_pass()
-        effects = done.where(F.col("i").isNull()).select("model", "cluster", "pull", "curve")
+        state, effects = clusters(done)
         if iteration:  # the first pass only places the nodes
             models, moved = stored_with_max(per_model(done, _newton, _MODEL), "step")
             moved = 0.0 if moved is None else moved
@@ -560,10 +677,14 @@ def fit_mixed(
         if largest == 0:
             break
     done = one_pass()
+    state, effects = clusters(done)
+    count = stored(state.select("model", "times").unionByName(effects.select("model", F.lit(1.0).alias("times"))).groupBy("model").agg(F.sum("times").cast("bigint").alias("n_clusters")))
+    # Each cluster's effect is read back from the equal ones it was counted with, when asked for.
+    effects = lists.join(state.select("model", "e", "pull", "curve"), ["model", "e"]).select("model", "cluster", "pull", "curve").unionByName(effects)
     hold = F.col("curve") + F.exp(-2 * F.col("ls"))
-    effects = done.where(F.col("i").isNull()).join(models.select("model", "ls"), "model")
+    effects = effects.join(models.select("model", "ls"), "model")
     effects = effects.select("model", "cluster", (F.col("pull") / hold).alias("m"), (1 / F.sqrt(hold)).alias("s"))
-    return _mixed_result(family, keys, has_slope, phi_by, zi_by, model_by, cells, models, effects, stored(per_model(done, _inverse, "model string, i long, j long, value double")), iteration)
+    return _mixed_result(family, keys, has_slope, phi_by, zi_by, model_by, cells, models, effects, count, stored(per_model(done, _inverse, "model string, i long, j long, value double")), iteration)
 
 
 def _first_effects(rows: DataFrame, models: DataFrame, sigma: float) -> DataFrame:
@@ -577,7 +698,7 @@ def _first_effects(rows: DataFrame, models: DataFrame, sigma: float) -> DataFram
     return sums.select("model", "cluster", (hold * F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("u") / hold))).alias("pull"), F.col("w").alias("curve"))
 
 
-def _mixed_result(family, keys, has_slope, phi_by, zi_by, model_by, cells, models, effects, inverse, iterations) -> MixedFit:
+def _mixed_result(family, keys, has_slope, phi_by, zi_by, model_by, cells, models, effects, count, inverse, iterations) -> MixedFit:
     c = F.col
     pick = lambda i, j: inverse.where((c("i") >= 0) & (c("i") < _PHI) & (F.floor(c("i") / 2) == F.floor(c("j") / 2)) & (c("i") % 2 == i) & (c("j") % 2 == j))
     blocks = pick(0, 0).select("model", F.floor(c("i") / 2).alias("cell_id"), c("value").alias("v00"))
@@ -614,7 +735,6 @@ def _mixed_result(family, keys, has_slope, phi_by, zi_by, model_by, cells, model
     sums = inverse.groupBy("model").agg(
         part(0).alias("loglik"), part(1).cast("bigint").alias("n_par"), part(2).alias("max_score"), (part(3) > 0).alias("positive_definite"), (part(4) > 0).alias("at_bound")
     )
-    count = effects.groupBy("model").agg(F.count(F.lit(1)).alias("n_clusters"))
     table = models.select("model", F.exp("ls").alias("sigma"), (c("ls") <= math.log(SIGMA_FLOOR)).alias("at_boundary")).join(sums, "model").join(count, "model")
     table = stored(table.withColumns({"aic": 2 * c("n_par") - 2 * c("loglik"), "iterations": F.lit(iterations), "converged": F.lit(True)}))
     first = table.orderBy("model").limit(2).collect()
@@ -625,67 +745,69 @@ def _mixed_result(family, keys, has_slope, phi_by, zi_by, model_by, cells, model
 # --- two crossed intercepts ---------------------------------------------------------------
 
 
-def _arrow_sums(p: int, q: int):
+@dataclass
+class _Crossed:
+    """Parameters of a crossed fit on their way: p cells, q levels, log phi, and the clusters' precision."""
+
+    family: str
+    a: np.ndarray
+    e: np.ndarray
+    lp: np.ndarray
+    hold: float
+
+    def scored(self, batch: pa.RecordBatch) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Terms of a batch's entries, their clusters, and each cluster's effect, information and score. Entries are
+        rows with y and n, or sums that Spark took (d1, w, ll, up, hp)."""
+        e, lengths = unpacked(batch.column("e"))
+        ci, effect = np.repeat(np.arange(batch.num_rows), lengths), batch.column("effect").to_numpy()
+        if "y" in e:
+            eta = self.a[e["cell_id"]] + self.e[e["level_id"]] + effect[ci]
+            terms = count_terms(self.family, e["y"], np.exp(self.lp)[e["phi_id"]], eta[:, None])
+            terms["w"] = terms["w"] if self.family == "nb1" else terms["obs"]
+            e |= {k: e["n"] * terms[k][:, 0] for k in ("d1", "w", "ll", "up", "hp")}
+        d = self.hold + np.bincount(ci, weights=e["w"], minlength=batch.num_rows)
+        u = -effect * self.hold + np.bincount(ci, weights=e["d1"], minlength=batch.num_rows)
+        return e, ci, effect, d, u
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, size):
+            yield whole.slice(start, size)
+
+
+def _arrow_sums(now: _Crossed):
     """Sums of one pass of the crossed fit. Parameters are p cells, then q levels; each cluster's own effect
     is eliminated from them by its row of the information (Schur complement)."""
+    p, q = len(now.a), len(now.e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = p + q
         score, info, other = np.zeros(size), np.zeros((size, size)), np.zeros(4)
-        phi: dict[int, np.ndarray] = {}
-        kind = None
-        for batch in batches:
-            kind = batch.schema.field("cluster").type
-            lists, hold = batch.column("e"), batch.column("hold").to_numpy()
-            flat = lists.flatten()
-            e = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
-            n = batch.num_rows
-            ci = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-            effect = batch.column("effect").to_numpy()
-            cell, level = e["cell_id"], p + e["level_id"]
-            d, u = hold.copy(), -effect * hold
-            np.add.at(d, ci, e["w"])
-            np.add.at(u, ci, e["d1"])
+        phi = np.zeros((2, len(now.lp)))
+        for batch in _blocks(batches):
+            e, ci, effect, d, u = now.scored(batch)
+            n, cell, level = batch.num_rows, e["cell_id"].astype(np.int64), p + e["level_id"].astype(np.int64)
+            g = np.zeros(n * size)
             for at in (cell, level):
-                np.add.at(score, at, e["d1"] - e["w"] * (u / d)[ci])
-                np.add.at(info, (at, at), e["w"])
-            np.add.at(info, (cell, level), e["w"])
-            np.add.at(info, (level, cell), e["w"])
-            step = max(1, (1 << 22) // size)
-            for a in range(0, n, step):
-                b = min(n, a + step)
-                mine = (ci >= a) & (ci < b)
-                g = np.zeros((b - a, size))
-                np.add.at(g, (ci[mine] - a, cell[mine]), e["w"][mine])
-                np.add.at(g, (ci[mine] - a, level[mine]), e["w"][mine])
-                info -= (g / d[a:b, None]).T @ g
+                score += np.bincount(at, weights=e["d1"] - e["w"] * (u / d)[ci], minlength=size)
+                info[np.arange(size), np.arange(size)] += np.bincount(at, weights=e["w"], minlength=size)
+                g += np.bincount(ci * size + at, weights=e["w"], minlength=n * size)
+            both = np.bincount(cell * size + level, weights=e["w"], minlength=size * size).reshape(size, size)
+            g = g.reshape(n, size)
+            info += both + both.T - (g / d[:, None]).T @ g
             other += [e["ll"].sum(), np.log(d).sum(), (effect**2).sum(), n]
-            for k in np.unique(e["phi_id"]):
-                here = e["phi_id"] == k
-                phi[k] = phi.get(k, np.zeros(2)) + [e["up"][here].sum(), e["hp"][here].sum()]
-            none = pa.nulls(n, pa.int64())
-            index = pa.ListArray.from_arrays(lists.offsets, flat.field("cell_id")), pa.ListArray.from_arrays(lists.offsets, flat.field("level_id"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cluster"), pa.array(effect), pa.array(d), pa.array(u), *index, pa.ListArray.from_arrays(lists.offsets, flat.field("w")), none, none, pa.nulls(n, pa.float64())],
-                names=_CROSSED,
-            )
-        if kind is not None:
-            i, j = np.nonzero(info)
-            many = list(phi)
-            rows = [(i, j, info[i, j]), (np.arange(size), np.full(size, -1), score), (np.arange(4), np.full(4, -2), other)]
-            rows += [(np.array(many), np.full(len(many), -3 - k), np.array([phi[m][k] for m in many])) for k in range(2)]
-            first, second, value = (np.concatenate([r[k] for r in rows]) for k in range(3))
-            m = len(first)
-            none = pa.nulls(m, pa.float64())
-            ints, floats = pa.nulls(m, pa.list_(pa.int32())), pa.nulls(m, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), none, none, none, ints, ints, floats, pa.array(first.astype(np.int64)), pa.array(second.astype(np.int64)), pa.array(value)], names=_CROSSED)
+            phi += [np.bincount(e["phi_id"], weights=e[k], minlength=len(now.lp)) for k in ("up", "hp")]
+        i, j = np.nonzero(info)
+        many = np.arange(len(now.lp))
+        rows = [(i, j, info[i, j]), (np.arange(size), np.full(size, -1), score), (np.arange(4), np.full(4, -2), other)]
+        rows += [(many, np.full(len(many), -3 - k), phi[k]) for k in range(2)]
+        first, second, value = (np.concatenate([r[k] for r in rows]) for k in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(first.astype(np.int64)), pa.array(second.astype(np.int64)), pa.array(value)], names=["i", "j", "value"])
 
     return run
 
 
-_CROSSED = ["cluster", "effect", "d", "u", "cells", "levels", "ws", "i", "j", "value"]
-
-
 class _Settling:
     """A deviation on its way to a fixed point: two plain steps in its logarithm, then one to where their ratio leads."""
 
@@ -706,31 +828,29 @@ class _Settling:
         return after, 0.0 if now <= SIGMA_FLOOR and step <= 0 else abs(after - now) if abs(reach) > abs(step) else abs(step) * now
 
 
-def _back_substituted(move: np.ndarray, p: int, spread: np.ndarray, factor: float):
+def _back_substituted(now: _Crossed, move: np.ndarray, spread: np.ndarray, factor: float):
     """New effect of each cluster once cells and levels have moved, and its posterior variance."""
+    p, q = len(now.a), len(now.e)
+    entry = pa.struct([(k, pa.int32()) for k in _CROSSED_IDS] + [("y", pa.float64()), ("n", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, lists = batch.num_rows, batch.column("ws")
-            ci = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-            cell, level = (batch.column(k).flatten().to_numpy() for k in ("cells", "levels"))
-            w, d = lists.flatten().to_numpy(), batch.column("d").to_numpy()
+        for batch in _blocks(batches):
+            e, ci, effect, d, u = now.scored(batch)
+            n, cell, level, w = batch.num_rows, e["cell_id"], e["level_id"], e["w"]
             pull = np.bincount(ci, weights=w * (move[cell] + move[p + level]), minlength=n)
-            step = (batch.column("u").to_numpy() - pull) / d
-            variance = 1 / d
-            block = max(1, (1 << 22) // max(len(spread), 1))
-            for a in range(0, n, block):
-                b = min(n, a + block)
-                mine = (ci >= a) & (ci < b)
-                g = np.zeros((b - a, len(spread)))
-                np.add.at(g, (ci[mine] - a, level[mine]), w[mine])
-                variance[a:b] += ((g @ spread) * g).sum(axis=1) / d[a:b] ** 2
-            effect = batch.column("effect").to_numpy() + factor * step
-            yield pa.RecordBatch.from_arrays([batch.column("cluster"), pa.array(effect), pa.array(variance), pa.array(np.abs(step))], names=["cluster", "effect", "v", "step"])
+            step = (u - pull) / d
+            g = np.bincount(ci * q + level, weights=w, minlength=n * q).reshape(n, q)
+            variance = 1 / d + ((g @ spread) * g).sum(axis=1) / d**2
+            lists = repacked(np.bincount(ci, minlength=n), {f.name: e[f.name] for f in entry}) if "y" in e else pa.nulls(n, pa.list_(entry))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cluster"), lists, pa.array(effect + factor * step), pa.array(variance), pa.array(np.abs(step))], names=["cluster", "e", "effect", "v", "step"])
 
     return run
 
 
+_CROSSED_IDS = ("cell_id", "level_id", "phi_id")
+
+
 def fit_crossed(
     df: DataFrame,
     keys: Sequence[str],
@@ -755,10 +875,11 @@ def fit_crossed(
     keys = list(keys)
     phi_by = None if family == "poisson" else list(phi_by or [])
     renamed = df.withColumnRenamed(small, "level") if small != "level" else df
-    counted = checkpointed(cluster_rows(renamed, cluster, keys, y, None, ["level"]))
-    start = glm.starting_values(counted.drop("cluster", "level"), keys, family, phi_by, 0.0)
+    counted = stored(cluster_rows(renamed, cluster, keys, y, None, ["level"]))
+    cell_rows = stored(counted.groupBy(*keys, "x", "y").agg(F.sum("n").alias("n")))
+    start = glm.starting_values(cell_rows, keys, family, phi_by, 0.0)
     name = F.lit("model")
-    cells = stored(_identified(counted.drop("cluster", "level"), start, keys, name, phi_by or [], []))
+    cells = stored(_identified(cell_rows, start, keys, name, phi_by or [], []))
     levels = _cells(counted.select("level").distinct(), ["level"])
     table = sorted(cells.collect(), key=lambda r: r["cell_id"])
     p, q = len(table), len(levels)
@@ -767,9 +888,15 @@ def fit_crossed(
     spark = df.sparkSession
     numbered_levels = literal_frame(spark, [(k, v[0]) for k, v in enumerate(levels)], f"level_id int, level {dict(counted.dtypes)['level']}")
     ids = join_on(counted, cells.select(*keys, "cell_id", "phi_id"), keys)
-    rows = stored(join_on(ids, numbered_levels, ["level"]).select("cluster", "cell_id", "level_id", "phi_id", "y", "n"))
+    rows = join_on(ids, numbered_levels, ["level"]).select("cluster", *_CROSSED_IDS, "y", "n")
     kind = dict(rows.dtypes)["cluster"]
-    m = rows.select("cluster").distinct().count()
+    lists, wide = row_lists(rows, ["cluster"], [*_CROSSED_IDS, "y", "n"], wide_clusters(counted, LIST_ROWS))
+    state, effects = stored(lists.withColumn("effect", F.lit(0.0))), None
+    m = state.count()
+    if wide is not None:
+        wide = stored(wide)
+        effects = stored(wide.select("cluster").distinct().withColumn("effect", F.lit(0.0)))
+        m += effects.count()
     a = np.array([r["a"] if r["fa"] else glm.FLOOR for r in table])
     known = np.array([r["fa"] for r in table], dtype=bool)
     lp = np.zeros(max((r["phi_id"] for r in table), default=-1) + 1)
@@ -777,22 +904,28 @@ def fit_crossed(
         lp[r["phi_id"]] = math.log(r["phi"])
     e, sigma, sigma_level = np.zeros(q), 0.5, 0.5
     settle, settle_level = _Settling(), _Settling()
-    effects = stored(rows.select("cluster").distinct().withColumn("effect", F.lit(0.0)))
-    schema = f"cluster {kind}, effect double, d double, u double, cells array<int>, levels array<int>, ws array<double>, i long, j long, value double"
+    entry = "struct<" + ",".join(f"{k}:int" for k in _CROSSED_IDS) + ",y:double,n:double>"
 
-    def one_pass() -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def wide_sums() -> DataFrame:
+        """Clusters with many rows: their terms summed per cell and level by Spark."""
         at = literal_frame(spark, [([float(v) for v in a], [float(v) for v in e], [float(v) for v in lp])], "a array<double>, e array<double>, lp array<double>")
-        placed = attach_scalars(join_on(rows, effects.select("cluster", "effect"), ["cluster"]), at)
+        placed = attach_scalars(join_on(wide, effects.select("cluster", "effect"), ["cluster"]), at)
         pick = lambda arr, k: F.element_at(arr, F.col(k) + 1)
         placed = placed.withColumns({"eta": pick("a", "cell_id") + pick("e", "level_id") + F.col("effect"), "phi": F.exp(pick("lp", "phi_id"))})
         scored = _at_effect(placed.drop("a", "e", "lp").withColumns(_node_free(family)), family)
         info = F.col("w") if family == "nb1" else F.col("obs")
         terms = {"d1": F.col("d1"), "w": info, "ll": F.col("ll"), "up": F.col("up"), "hp": F.col("hp")}
-        sums = scored.groupBy("cluster", "cell_id", "level_id", "phi_id").agg(F.max("effect").alias("effect"), *[F.sum(F.col("n") * v).alias(k) for k, v in terms.items()])
-        lists = sums.groupBy("cluster").agg(F.max("effect").alias("effect"), F.collect_list(F.struct("cell_id", "level_id", "phi_id", *terms)).alias("e"))
-        done = stored(lists.withColumn("hold", F.lit(1.0 / sigma**2)).mapInArrow(_arrow_sums(p, q), schema))
+        sums = scored.groupBy("cluster", *_CROSSED_IDS).agg(F.max("effect").alias("effect"), *[F.sum(F.col("n") * v).alias(k) for k, v in terms.items()])
+        return sums.groupBy("cluster").agg(F.max("effect").alias("effect"), F.collect_list(F.struct(*_CROSSED_IDS, *terms)).alias("e"))
+
+    def over_clusters(run, schema: str) -> DataFrame:
+        done = state.select("cluster", "e", "effect").mapInArrow(run, schema)
+        return done if wide is None else done.unionByName(wide_sums().mapInArrow(run, schema))
+
+    def one_pass() -> tuple[_Crossed, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        now = _Crossed(family, a, e, lp, 1.0 / sigma**2)
         score, inner, other, phis = np.zeros(p + q), np.zeros((p + q, p + q)), np.zeros(4), np.zeros((2, len(lp)))
-        for r in done.where(F.col("i").isNotNull()).groupBy("i", "j").agg(F.sum("value").alias("value")).collect():
+        for r in over_clusters(_arrow_sums(now), "i long, j long, value double").groupBy("i", "j").agg(F.sum("value").alias("value")).collect():
             i, j, v = r["i"], r["j"], r["value"]
             if j >= 0:
                 inner[i, j] = v
@@ -805,12 +938,12 @@ def fit_crossed(
         at_levels = np.arange(p, p + q)
         inner[at_levels, at_levels] += 1.0 / sigma_level**2
         score[p:] -= e / sigma_level**2
-        return done, score, inner, other, phis
+        return now, score, inner, other, phis
 
     iteration, moved = 0, float("inf")
     used = np.concatenate([known, np.ones(q, dtype=bool)])
     while True:
-        done, score, inner, other, phis = one_pass()
+        now, score, inner, other, phis = one_pass()
         if moved < tolerance:
             break
         if iteration == max_iterations:
@@ -819,11 +952,10 @@ def fit_crossed(
         move[used] = np.linalg.solve(inner[np.ix_(used, used)], score[used])
         factor = min(1.0, 1.0 / max(np.abs(move).max(initial=0.0), 1e-12))
         spread = np.linalg.inv(inner[p:, p:])
-        clusters = done.where(F.col("i").isNull())
-        effects = stored(clusters.select("cluster", "effect", "d", "u", "cells", "levels", "ws").mapInArrow(
-            _back_substituted(move, p, spread, factor), f"cluster {kind}, effect double, v double, step double"))
+        done = stored(over_clusters(_back_substituted(now, move, spread, factor), f"cluster {kind}, e array<{entry}>, effect double, v double, step double"))
+        state, effects = (done, None) if wide is None else (done.where(F.col("e").isNotNull()), done.where(F.col("e").isNull()))
         a, e = a + factor * move[:p], e + factor * move[p:]
-        after = effects.agg(F.sum(F.col("effect") * F.col("effect")), F.sum("v"), F.max("step")).first()
+        after = done.agg(F.sum(F.col("effect") * F.col("effect")), F.sum("v"), F.max("step")).first()
         new = math.sqrt(max(after[0] / max(m - after[1] / sigma**2, 1e-12), 1e-8))
         new_level = math.sqrt(max(float(e @ e) / max(q - float(np.trace(spread)) / sigma_level**2, 1e-12), 1e-8))
         d_phi = np.zeros(len(lp))
@@ -855,7 +987,7 @@ def fit_crossed(
         "n_clusters": m, "n_obs": sum(r["n"] for r in table), "max_score": float(np.abs(score[used]).max(initial=0.0)), "positive_definite": True,
         "at_boundary": bool(min(sigma, sigma_level) <= SIGMA_FLOOR), "last_step": float(moved),
     }
-    fit = MixedFit(family, keys, False, coef, phi_by, None, stats, effects.select("cluster", F.col("effect").alias("m"), F.sqrt("v").alias("s")), vcov, None, [])
+    fit = MixedFit(family, keys, False, coef, phi_by, None, stats, done.select("cluster", F.col("effect").alias("m"), F.sqrt("v").alias("s")), vcov, None, [])
     fit.levels = literal_frame(spark, [(v[0], float(e[k]), value(math.sqrt(cov[p + k, p + k]))) for k, v in enumerate(levels)], f"level {dict(counted.dtypes)['level']}, m double, s double")
     return fit
 

@@ -34,9 +34,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A row-level table computed once, lineage cut, in the checkpoint folder, so it survives executor loss.
+
+    Written as columns (``stored``): repeated labels take little space and later steps read only what they use."""
+    return stored(df)
 
 
 def ship_package(spark: SparkSession) -> None:

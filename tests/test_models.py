@@ -520,3 +520,67 @@ def test_gaussian_residuals_and_dispersion_p(spark):
     counts = spark.createDataFrame([(1, 1.0, 1.0), (4, 2.0, 1.0), (0, 1.0, 1.0)], "y int, mu double, phi double")
     out = D.pearson_dispersion(counts, "poisson", "y", 1).first()
     assert out["chisq"] == pytest.approx(3.0) and out["p_value"] == pytest.approx(math.exp(-1.5))
+
+
+@pytest.mark.parametrize("family", ["poisson", "nb1", "nb2"])
+def test_node_terms_equal_the_column_expressions(spark, family):
+    from surveyframe.models import families, nodes
+
+    rows = [(float(y), phi, eta) for y in (0, 1, 7, 400) for phi in (1e-3, 0.4, 2.0, 5e3) for eta in (-6.0, 0.0, 1.5, 6.0)]
+    df = families.with_derivatives(spark.createDataFrame(rows, "y double, phi double, eta double"), family)
+    df = df.withColumn("ll", families.loglik(family, F.col("y"), F.col("mu"), F.col("phi")))
+    y, phi, eta = np.array([[r[k] for k in ("y", "phi", "eta")] for r in df.collect()]).T
+    got = nodes.count_terms(family, y, phi, eta[:, None])
+    names = ["ll", "d1", "w"] if family == "nb2" else ["ll", "d1", "w", "obs"]
+    for name in names + (["up"] if family != "poisson" else []):
+        want = [r[name] for r in df.collect()]
+        assert got[name][:, 0] == pytest.approx(want, rel=1e-6, abs=1e-6 * max(1.0, np.abs(want).max()) if name == "up" else 1e-7), name
+
+
+def test_mixed_rounds_write_no_row_per_node_and_wide_clusters_agree(spark, monkeypatch):
+    """Rounds keep a row per distinct cluster; clusters over the list limit go another way to the same fit."""
+    rows = _clustered(4, 40) + [(f"t{k}", g, 0.5, 3) for k in range(30) for g in ("x", "y")]
+    df = spark.createDataFrame(rows + [(None, "x", 0.1 * k, k) for k in range(6)], "k string, g string, t double, y int")
+    plans, kept, real = [], [], mixed.stored
+
+    def spied(frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        out = real(frame)
+        if "curve" in out.columns and "i" in out.columns:
+            kept.append(out.where("i is null").count())
+        return out
+
+    monkeypatch.setattr(mixed, "stored", spied)
+    fit = mixed.fit_mixed(df, ["g"], "y", "k", "t", "nb2", zi_by=["g"])
+    assert not any("posexplode" in p for p in plans) and set(kept) == {42}
+    assert fit.stats["n_clusters"] == 71 and fit.clusters.count() == 71
+    monkeypatch.setattr(mixed, "LIST_ROWS", 2)
+    other = mixed.fit_mixed(df, ["g"], "y", "k", "t", "nb2", zi_by=["g"])
+    assert any("posexplode" in p for p in plans)
+    assert other.stats["loglik"] == pytest.approx(fit.stats["loglik"], rel=1e-9) and other.stats["n_clusters"] == 71
+    row = lambda f: [tuple(r) for r in f.coef.orderBy("g").select("a", "b", "phi", "zi", "v00", "v11").collect()]
+    assert row(other) == [pytest.approx(r, rel=1e-6) for r in row(fit)]
+    effects = lambda f: {r["cluster"]: (r["m"], r["s"]) for r in f.clusters.collect()}
+    assert effects(other)[None] == pytest.approx(effects(fit)[None], rel=1e-5)
+
+
+def test_crossed_wide_clusters_agree_and_rounds_read_lists(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(f"c{c}", f"s{k}", g, int(rng.poisson(3))) for c in range(20) for k in range(3) for g in ("j", "a")] + [("c0", "s0", "j", 40 + k) for k in range(5)]
+    df = spark.createDataFrame(rows, "k string, sp string, g string, y int")
+    plans, real = [], mixed.stored
+
+    def spied(frame):
+        if "step" in frame.columns and "effect" in frame.columns:
+            plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return real(frame)
+
+    monkeypatch.setattr(mixed, "stored", spied)
+    fit = mixed.fit_crossed(df, ["g"], "y", "k", "sp", "nb2")
+    assert plans and not any("Aggregate" in p or "Join" in p for p in plans)
+    monkeypatch.setattr(mixed, "LIST_ROWS", 6)
+    other = mixed.fit_crossed(df, ["g"], "y", "k", "sp", "nb2")
+    assert any("Aggregate" in p for p in plans)
+    assert other.stats["loglik"] == pytest.approx(fit.stats["loglik"], rel=1e-8)
+    effects = lambda f: [r["m"] for r in f.clusters.orderBy("cluster").collect()]
+    assert effects(other) == pytest.approx(effects(fit), abs=1e-5) and len(effects(fit)) == 20
