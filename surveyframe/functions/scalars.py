@@ -42,25 +42,31 @@ def safe_double(c: ColumnOrName) -> Column:
 def safe_int(c: ColumnOrName, tokens: Sequence[str] = MISSING_TOKENS) -> Column:
     """Text to integer, decimals cut off towards zero; missing-value tokens are null.
 
-    Tokens that are no number are null anyway, so only numeric ones cost a comparison.
+    Tokens that are no number are null anyway, so only numeric ones cost a comparison. A plain integer, as most
+    cells are, is recognised by writing it back; anything else goes through the pattern of ``safe_double``.
     """
     text = as_col(c).cast("string")
     numeric = [t for t in tokens if t.strip().lstrip("+-").replace(".", "", 1).isdigit()]
     if numeric:
         text = F.when(~text.isin(numeric), text)
-    return safe_double(text).try_cast("int")
+    plain = text.try_cast("int")
+    return F.when(plain.cast("string") == text, plain).otherwise(safe_double(text).try_cast("int"))
 
 
 def parse_date(c: ColumnOrName) -> Column:
     """``month/day/year`` text to a date; trailing text is ignored, a bad date is null.
 
-    A two-digit year is read literally (year 23), so ``repair_year`` can mend it.
+    A two-digit year is read literally (year 23), so ``repair_year`` can mend it. A date written without leading
+    zeros, with a four-digit year and a day that every month has, is put together from its numbers; any other
+    text goes through the pattern.
     """
     text = as_col(c).cast("string")
+    month, day, year = (F.split_part(text, F.lit("/"), F.lit(i)).try_cast("int") for i in (1, 2, 3))
+    plain = (F.concat_ws("/", month, day, year) == text) & month.between(1, 12) & day.between(1, 28) & year.between(1000, 9999)
     pattern = r"^\s*(\d{1,2})/(\d{1,2})/(\d{1,4})"
     part = lambda i, width: F.lpad(F.regexp_extract(text, pattern, i), width, "0")
     iso = F.concat_ws("-", part(3, 4), part(1, 2), part(2, 2))
-    return F.when(text.rlike(pattern), F.try_to_date(iso, "yyyy-MM-dd"))
+    return F.when(plain, F.make_date(year, month, day)).when(text.rlike(pattern), F.try_to_date(iso, "yyyy-MM-dd"))
 
 
 def repair_year(c: ColumnOrName, floor: str, year: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from surveyframe.functions import scalars as S
 from surveyframe.operators.keys import attach_scalars
 from surveyframe.operators.reshape import to_long
-from surveyframe.session import stored
+from surveyframe.session import compiled_steps, stored
 
 LIFE_STAGES = ("juvenile", "adult")
 
@@ -163,12 +163,13 @@ def size_records(raw: DataFrame, rules: SizeRules, blank_is_null: bool = False)
 
     ``raw`` has site, date_text, visibility, species, sci_name and bin columns as text.
     """
+    compiled_steps(raw.sparkSession)
     visibility = S.visibility_text("visibility") if blank_is_null else F.trim("visibility")
     columns = [b[0] for b in rules.bins] + ([rules.legacy[0]] if rules.legacy else [])
     present = [c for c in columns if c in raw.columns]
-    date = S.repair_year(S.parse_date("date_text"), rules.date_floor, rules.repair_to)
+    date = S.repair_year("__date", rules.date_floor, rules.repair_to)
     kept = raw.withColumn("visibility", visibility).where(S.visibility_kept("visibility"))
-    return kept.select(
+    return kept.withColumn("__date", S.parse_date("date_text")).select(
         S.recode("site", rules.site_aliases).alias("site"),
         date.alias("date"),
         S.parse_number("visibility").alias("visibility_m"),
@@ -279,8 +280,12 @@ def clean_sizes(
     records: DataFrame, sites: DataFrame, guilds: DataFrame, maturity: DataFrame, rules: SizeRules
 ) -> DataFrame:
     """Typed records to life-stage rows. Empty bins are left out before the stage split,
-    since a stage count above zero needs a bin count above zero."""
-    long = bins_long(binned_records(records, sites, guilds, rules), rules.bins, keep_zero=False)
+    since a stage count above zero needs a bin count above zero.
+
+    Records are dealt by survey first: a stored table is so compact that a task would read more of them than
+    it can hold groups of their many stage rows."""
+    binned = binned_records(records, sites, guilds, rules).repartition("site", "date")
+    long = bins_long(binned, rules.bins, keep_zero=False)
     staged = life_stages(long, maturity)
     return staged.select(
         "site", "pair", "type", "date", S.survey_key("site", "date").alias("survey_id"),

@@ -40,6 +40,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return stored(df)
 
 
+def compiled_steps(spark: SparkSession) -> None:
+    """Let Spark generate long steps in parts that the JVM compiles.
+
+    The JVM runs a method of over 8,000 bytes interpreted, and parsing a dozen text columns in one step makes such a
+    method. Changes the session's setting only where it is Spark's default.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(name) == "65535":
+        spark.conf.set(name, "8000")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the workers, once per application, for the functions that run in Python there."""
     sc = spark.sparkContext
