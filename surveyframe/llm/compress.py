@@ -129,7 +129,7 @@ def fit_codebooks(rows: DataFrame, length: int, parts: int, entries: int, rounds
     books = np.ascontiguousarray(seeds.reshape(len(first), parts, width).transpose(1, 0, 2))
     for _ in range(rounds):
         fresh = books.copy().reshape(-1, width)
-        for row in _sums(rows, books, length).toLocalIterator():
+        for row in _sums(rows, books, length).collect():  # one row per entry and component, in one job
             fresh[row["slot"], row["at"]] = int(row["total"]) // int(row["n"])
         books = fresh.reshape(books.shape)
     return books

@@ -234,3 +234,21 @@ def test_limb_products_are_exact():
 def test_chat_module_uses_no_python_on_workers(spark):
     plan = chat.chat_digests(chat.format_chats(spark.createDataFrame([(1, 0, "user", "x", None, None)], CHATS)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_codebook_rounds_take_one_job_each_at_any_number_of_partitions(spark):
+    table = [(i, i % 3, [math.sin(i * k + 1.0) for k in range(16)]) for i in range(60)]
+    rows, length = compress.integers(spark.createDataFrame(table, "vec_id long, label int, embedding array<float>"), 4096, 8)
+    wanted = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    context = spark.sparkContext
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("codebooks", "codebooks")
+        compress.fit_codebooks(rows, length, 8, 16, 6)
+        assert len(context.statusTracker().getJobIdsForGroup("codebooks")) < 40
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
