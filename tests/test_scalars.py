@@ -104,3 +104,23 @@ def test_period_levels_and_guards(spark):
     assert one(spark, S.level_index(F.lit("b"), ["a", "b"])) == 2
     assert one(spark, S.level_index(F.lit("q"), ["a", "b"])) is None
     assert one(spark, S.safe_ratio(F.lit(1.0), F.lit(0.0))) is None
+
+
+def test_plain_dates_and_integers_read_as_by_the_patterns(spark):
+    import datetime
+
+    from surveyframe.plans import clean
+
+    dates = {"1/2/2023": (2023, 1, 2), "01/2/2023": (2023, 1, 2), "2/29/2024": (2024, 2, 29), "2/30/2023": None, "13/1/2023": None, "1/2/23": (23, 1, 2),
+             "1/2/2023 10:00": (2023, 1, 2), "0/1/2023": None, "1/2": None, "": None}
+    got = spark.createDataFrame([(k,) for k in dates], "t string").select("t", S.parse_date("t").alias("d")).collect()
+    assert {r["t"]: r["d"] for r in got} == {k: v and datetime.date(*v) for k, v in dates.items()}
+    numbers = {"37": 37, "-5": -5, "+1": 1, "01": 1, "1.9": 1, "1e3": 1000, "\t1": None, "1d": None, "2147483648": None, "NA": None}
+    got = spark.createDataFrame([(k,) for k in numbers], "t string").select("t", S.safe_int("t").alias("n")).collect()
+    assert {r["t"]: r["n"] for r in got} == numbers
+    # Records are dealt by survey before their bins become rows.
+    records = spark.createDataFrame([("s", datetime.date(2024, 1, 1), 5.0, "a", "a", 3)], "site string, date date, visibility_m double, species string, sci_name string, bin_1_2 int")
+    frames = [spark.createDataFrame(r, s) for r, s in (([("s", "T", "p")], "site string, type string, pair string"), ([("a", "g")], "species string, guild string"), ([("a", 1.5)], "sci_name string, lmat double"))]
+    staged = clean.clean_sizes(records, *frames, clean.SizeRules(bins=[("bin_1_2", "1-2", 1.0, 2.0)]))
+    assert "RepartitionByExpression [site" in staged._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["life_stage"], r["stage_count"]) for r in staged.collect()) == [("adult", 1), ("juvenile", 2)]
