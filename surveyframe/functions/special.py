@@ -7,6 +7,7 @@ iteration (incomplete gamma and beta) run vectorised on Arrow batches.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -198,18 +199,75 @@ def _f_tail(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _series(_beta_lower(d2 / 2, d1 / 2, d2 / (d2 + d1 * x)))
 
 
+def _poisson_lower(y: np.ndarray, mu: np.ndarray) -> np.ndarray:
+    value = _gamma_upper(np.where(y < 0, 1.0, np.floor(y) + 1), mu)
+    return np.where(y < 0, 0.0, value)
+
+
+def _negative_binomial_lower(y: np.ndarray, mu: np.ndarray, size: np.ndarray) -> np.ndarray:
+    value = _beta_lower(size, np.where(y < 0, 1.0, np.floor(y) + 1), size / (size + mu))
+    return np.where(y < 0, 0.0, value)
+
+
 @F.pandas_udf(DoubleType())
 def _poisson_cdf(y: pd.Series, mu: pd.Series) -> pd.Series:
-    y, mu = y.to_numpy(float), mu.to_numpy(float)
-    value = _gamma_upper(np.where(y < 0, 1.0, np.floor(y) + 1), mu)
-    return _series(np.where(y < 0, 0.0, value))
+    return _series(_poisson_lower(y.to_numpy(float), mu.to_numpy(float)))
 
 
 @F.pandas_udf(DoubleType())
 def _negative_binomial_cdf(y: pd.Series, mu: pd.Series, size: pd.Series) -> pd.Series:
-    y, mu, size = y.to_numpy(float), mu.to_numpy(float), size.to_numpy(float)
-    value = _beta_lower(size, np.where(y < 0, 1.0, np.floor(y) + 1), size / (size + mu))
-    return _series(np.where(y < 0, 0.0, value))
+    return _series(_negative_binomial_lower(y.to_numpy(float), mu.to_numpy(float), size.to_numpy(float)))
+
+
+def _count_cdf(family: str, y: np.ndarray, mu: np.ndarray, phi: np.ndarray) -> np.ndarray:
+    if family == "poisson":
+        return _poisson_lower(y, mu)
+    return _negative_binomial_lower(y, mu, phi if family == "nb2" else mu / phi)
+
+
+def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a position of each distinct combination, each row's combination); missing values are equal."""
+    which = pd.DataFrame(dict(enumerate(columns))).groupby(list(range(len(columns))), sort=False, dropna=False).ngroup().to_numpy()
+    return np.unique(which, return_index=True)[1], which
+
+
+#: Values of a distribution that a task remembers; it forgets them all when more come.
+KNOWN_STEPS = 100_000
+
+
+def _count_steps(family: str, nodes: list[tuple[float, float]]):
+    """Distribution at y and at y - 1, averaged over ``nodes`` of a normal effect of deviation sigma.
+
+    It is computed once per distinct mean, dispersion, deviation and count that a task meets, the counts and those below them together.
+    """
+
+    def values(y: np.ndarray, mu: np.ndarray, phi: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+        total = 0.0
+        for t, weight in nodes:
+            total = total + weight * _count_cdf(family, y, mu * np.exp(sigma * t), phi)
+        return total
+
+    @F.pandas_udf("upto double, below double")
+    def steps(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, float] = {}
+        for batch in batches:
+            rows = [c.to_numpy(float) for c in batch]
+            first, row = _numbered(*rows)
+            y, mu, phi, sigma = (c[first] for c in rows)
+            twice = [np.concatenate([y, y - 1]), *[np.tile(c, 2) for c in (mu, phi, sigma)]]
+            at, place = _numbered(*twice)
+            places = np.column_stack([c[at] for c in twice])
+            keys = [p.tobytes() for p in places]
+            new = [k for k, key in enumerate(keys) if key not in known]
+            if len(known) + len(new) > KNOWN_STEPS:
+                known.clear()
+                new = list(range(len(keys)))
+            if new:
+                known.update(zip([keys[k] for k in new], values(*places[new].T).tolist()))
+            value = np.array([known[key] for key in keys], dtype=float)[place]
+            yield pd.DataFrame({"upto": _series(value[: len(first)][row]), "below": _series(value[len(first) :][row])})
+
+    return steps
 
 
 @F.pandas_udf(DoubleType())
@@ -269,6 +327,17 @@ def negative_binomial_cdf(y: ColumnOrName, mu: ColumnOrName, size: ColumnOrName)
     return _negative_binomial_cdf(_double(y), _double(mu), _double(size))
 
 
+def count_steps(
+    family: str, y: ColumnOrName, mu: ColumnOrName, phi: ColumnOrName, sigma: ColumnOrName | None = None, nodes: Sequence[tuple[float, float]] = ()
+) -> Column:
+    """Distribution of a count family at y (``upto``) and at y - 1 (``below``) as one struct.
+
+    With ``sigma`` both are means over a normal effect on the log scale, given by standard normal ``nodes`` and their weights.
+    """
+    at = [(float(t), float(w)) for t, w in nodes] if sigma is not None else [(0.0, 1.0)]
+    return _count_steps(family, at)(_double(y), _double(mu), _double(phi), _double(F.lit(0.0) if sigma is None else sigma))
+
+
 def binomial_cdf(k: ColumnOrName, n: ColumnOrName, p: ColumnOrName) -> Column:
     return _binomial_cdf(_double(k), _double(n), _double(p))
 

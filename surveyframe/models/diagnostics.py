@@ -14,11 +14,10 @@ from surveyframe.functions.scalars import interaction_key
 from surveyframe.functions.special import (
     binomial_cdf,
     chi2_upper_tail,
+    count_steps,
     kolmogorov_tail,
-    negative_binomial_cdf,
     normal_cdf,
     normal_two_sided,
-    poisson_cdf,
 )
 from surveyframe.models import families, glm
 from surveyframe.models.contrasts import holm
@@ -65,20 +64,13 @@ def pit_residuals(rows: DataFrame, family: str, key: Sequence[str], y: str, seed
     """
     if family == "gaussian":
         return rows.withColumn("u", normal_cdf((F.col(y) - F.col("mu")) / F.sqrt("phi")))
-    cdf = {
-        "poisson": lambda c, mu: poisson_cdf(c, mu),
-        "nb2": lambda c, mu: negative_binomial_cdf(c, mu, "phi"),
-        "nb1": lambda c, mu: negative_binomial_cdf(c, mu, mu / F.col("phi")),
-    }[family]
     effect = None if sigma is None else F.col(sigma)
     zi = F.col("zi")
-    at = lambda name: F.when(F.col(y) >= 0, zi + (1 - zi) * F.col(name))
-    rows = rows.withColumns({
-        "__upto": over_effects(lambda m: cdf(F.col(y), m), F.col("mu"), effect), "__below": over_effects(lambda m: cdf(F.col(y) - 1, m), F.col("mu"), effect)
-    })
-    low = F.when(F.col(y) <= 0, 0.0).otherwise(zi + (1 - zi) * F.col("__below"))
+    at = lambda name: F.when(F.col(y) >= 0, zi + (1 - zi) * F.col("__steps").getField(name))
+    rows = rows.withColumn("__steps", count_steps(family, y, "mu", "phi", effect, _effect_nodes()))
+    low = F.when(F.col(y) <= 0, 0.0).otherwise(zi + (1 - zi) * F.col("__steps").getField("below"))
     draw = F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 11) / F.lit(float(2**53))
-    return rows.withColumn("u", low + draw * (at("__upto") - low)).drop("__upto", "__below")
+    return rows.withColumn("u", low + draw * (at("upto") - low)).drop("__steps")
 
 
 def ks_uniform(df: DataFrame, u: str = "u", by: Sequence[str] = ()) -> DataFrame:

@@ -1,6 +1,8 @@
 import math
+import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -400,6 +402,32 @@ def test_marginal_residuals_of_mixed_data_are_uniform(spark):
     assert m == pytest.approx(0.8 * math.exp(1.0) * lift, rel=1e-6) and v == pytest.approx(0.8 * square - m * m, rel=1e-4)
 
 
+def test_residual_steps_are_computed_once_per_line_and_count(spark, monkeypatch):
+    """One Python function gives a row's steps over all nodes, and evaluates each distinct line and count once per task."""
+    rows = [(i, [0, 1, 2, 5, 40, None][i % 6], [0.5, 3.0, None][i % 3], [0.7, 2.0][i % 2], None if i == 3 else 0.8) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, y int, mu double, phi double, s double").withColumn("zi", F.lit(0.1))
+    for family in ("poisson", "nb1", "nb2"):
+        out = D.pit_residuals(df, family, ["i"], "y", sigma="s")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert len(set(re.findall(r"pythonUDF\d+", plan))) == 1
+        cdf = lambda c, m: special.poisson_cdf(c, m) if family == "poisson" else special.negative_binomial_cdf(c, m, "phi" if family == "nb2" else m / F.col("phi"))
+        at = lambda c: 0.1 + 0.9 * D.over_effects(lambda m: cdf(c, m), F.col("mu"), F.col("s"))
+        low = F.when(F.col("y") <= 0, 0.0).otherwise(at(F.col("y") - 1))
+        draw = F.shiftrightunsigned(F.xxhash64("i", F.lit(D.SEED)), 11) / F.lit(float(2**53))
+        want = {r["i"]: r["w"] for r in df.select("i", (low + draw * (F.when(F.col("y") >= 0, at(F.col("y"))) - low)).alias("w")).collect()}
+        got = {r["i"]: r["u"] for r in out.select("i", "u").collect()}
+        assert {k for k, v in got.items() if v is None} == {k for k, v in want.items() if v is None}
+        assert all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items() if v is not None)
+    seen = []
+    true = special._count_cdf
+    monkeypatch.setattr(special, "_count_cdf", lambda family, y, mu, phi: seen.append(len(y)) or true(family, y, mu, phi))
+    batch = [pd.Series(v, dtype=float) for v in (list(range(20)) * 50, [2.0] * 1000, [1.5] * 1000, [0.0] * 1000)]
+    first, second = special._count_steps("nb2", [(0.0, 1.0)]).func(iter([batch, batch]))
+    assert sum(seen) == 21 and first.equals(second) and first["below"][1] == first["upto"][0]
+    monkeypatch.setattr(special, "KNOWN_STEPS", 5)  # forgotten values are computed again
+    assert all(first.equals(again) for again in special._count_steps("nb2", [(0.0, 1.0)]).func(iter([batch, batch])))
+
+
 def test_implicit_zeros_fit_like_filled_ones(spark):
     rng = np.random.default_rng(13)
     surveys = [(f"s{k}", "ab"[k % 2], float(k % 7)) for k in range(80)] + [("s99", "c", 1.0)]
