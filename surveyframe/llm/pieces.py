@@ -2,8 +2,9 @@
 
 A text becomes units: a run of spaces with the characters up to the next space (with the model's leading
 space); no piece reaches across a unit's end, so a batch needs every distinct unit once. A worker keeps the
-ids of up to `KNOWN_UNITS` units and forgets them all when more come. A batch's new units are concatenated and indexed by their sorted suffixes (to the length of the longest piece); every piece of
-the vocabulary finds its range of occurrences by binary search. The occurrences are edges between character
+ids of up to `KNOWN_UNITS` units and forgets them all when more come. A batch's new units are concatenated and indexed by their sorted suffixes (to the
+length of the longest piece, as 64-bit words of numbered characters); every piece of several characters finds its range of
+occurrences by binary search. The occurrences are edges between character
 positions. Sorted by position, they are relaxed in order of score: an edge whose inside is exactly two
 symbols joins them, best score first, then leftmost, until no edge applies. Short units do so side by side,
 one join per unit and round; units over `LONG_UNIT` characters use a heap each. What is left of a character
@@ -30,13 +31,12 @@ from surveyframe.llm import words as W
 
 LONG_UNIT = 48
 MARK = "▁"
-_TOP = "\U0010ffff"
 CHUNK = 1 << 20
 KNOWN_UNITS = 200_000
 
 
 class PieceModel:
-    """Pieces in sorted order with their scores, ids and bytes."""
+    """Pieces by length with their scores, ids and bytes."""
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -53,11 +53,17 @@ class PieceModel:
         if any(MARK in p.lstrip(MARK) for p, _, _ in normal):
             raise ValueError("a piece reaches across a space")
         self.width = max(len(p) for p, _, _ in normal)
-        normal.sort(key=lambda x: x[0])
-        self.low = np.array([p for p, _, _ in normal], dtype=f"U{self.width}")
-        self.high = np.array([p + _TOP * (self.width - len(p)) for p, _, _ in normal], dtype=f"U{self.width}")
+        normal.sort(key=lambda x: len(x[0]))
         self.length = np.array([len(p) for p, _, _ in normal], dtype=np.int64)
         self.id = np.array([k for _, k, _ in normal], dtype=np.int64)
+        text = np.array([p for p, _, _ in normal], dtype=f"U{self.width}").view(np.uint32).reshape(-1, self.width)
+        letters = np.setdiff1d(text, [0])
+        self.letter = np.zeros(0x110000, dtype=np.uint16 if len(letters) < 1 << 16 else np.uint32)  # 0: in no piece
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        self.text = self.letter[text]
+        one = self.length == 1
+        self.single = np.full(len(letters) + 1, -1, dtype=np.int64)
+        self.single[self.text[one, 0]] = self.id[one]
         _, rank = np.unique(-np.array([s for _, _, s in normal]), return_inverse=True)
         self.rank = rank.astype(np.int64)
         self.byte_id = np.zeros(256, dtype=np.int64)
@@ -87,17 +93,53 @@ class PieceModel:
         self.known_ids = np.concatenate([self.known_ids, ids.astype(np.int32)])
 
     def edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Position and piece (in sorted order) of every occurrence in `code`, by position, then length."""
-        padded = np.concatenate([code, np.zeros(self.width, np.uint32)])
-        suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.width)[: len(code)]).view(f"U{self.width}").ravel()
-        order = np.argsort(suffixes)
-        ranked = suffixes[order]
-        first = np.searchsorted(ranked, self.low, side="left")
-        counts = np.maximum(np.searchsorted(ranked, self.high, side="right") - first, 0)
-        piece = np.repeat(np.arange(len(self.low)), counts)
-        at = order[np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(piece))]
-        by_place = np.lexsort((self.length[piece], at))
-        return at[by_place], piece[by_place]
+        """Position and piece of every occurrence of pieces of several characters in `code`, by position, then length.
+
+        The characters that occur are numbered anew, so that a 64-bit word holds eight of them, or four where they are many. Suffixes
+        are sorted by their first word, then by ranks of neighbouring words (prefix doubling) as far as longer pieces need it.
+        """
+        letters = np.concatenate([self.letter[code], np.zeros(self.width, self.letter.dtype)])
+        used = np.zeros(len(self.single), dtype=bool)
+        used[letters] = True
+        used[0] = True
+        number = np.cumsum(used) - 1
+        piece = np.flatnonzero((self.length > 1) & used[self.text].all(axis=1))
+        bits = next(b for b in (8, 16, 32) if number[-1] < 1 << b)
+        span = 64 // bits
+        key = number[letters].astype(np.uint64)
+        for k in range(span.bit_length() - 1):
+            key = key << np.uint64(bits << k) | _after(key, 1 << k)
+        shift = np.arange(span - 1, -1, -1, dtype=np.uint64) * np.uint64(bits)
+        blocks = -(-self.width // span)
+        text = np.zeros((len(piece), blocks * span), dtype=np.uint64)
+        text[:, : self.width] = number[self.text[piece]]
+        inside = np.arange(blocks * span) < self.length[piece, None]
+        words = lambda filled: np.bitwise_or.reduce(filled.reshape(len(piece), blocks, span) << shift, axis=2)
+        low, high = words(text), words(np.where(inside, text, np.uint64((1 << bits) - 1)))
+        found = []
+        while True:
+            order = np.argsort(key)
+            ranked = key[order]
+            here = self.length[piece] <= span
+            first = np.searchsorted(ranked, low[here, 0], side="left")
+            counts = np.maximum(np.searchsorted(ranked, high[here, 0], side="right") - first, 0)
+            found.append(order[_ranges(first, counts)] << 32 | np.repeat(piece[here], counts))
+            piece, low, high = piece[~here], low[~here], high[~here]
+            if not len(piece):
+                break
+            fresh = np.diff(ranked, prepend=ranked[:1] + np.uint64(1)) != 0
+            distinct, rank = ranked[fresh], np.empty(len(key), np.uint64)
+            rank[order] = (np.cumsum(fresh) - 1).astype(np.uint64)
+            low, high = np.searchsorted(distinct, low, side="left"), np.searchsorted(distinct, high, side="right") - 1
+            live = (low <= high).all(axis=1)  # a block that occurs nowhere ends its piece
+            piece, low, high = piece[live], low[live].astype(np.uint64), high[live].astype(np.uint64)
+            key = rank << np.uint64(32) | _after(rank, span)
+            if low.shape[1] % 2:
+                low, high = np.pad(low, ((0, 0), (0, 1))), np.pad(high, ((0, 0), (0, 1)), constant_values=len(distinct) - 1)
+            low, high = (x[:, ::2] << np.uint64(32) | x[:, 1::2] for x in (low, high))
+            span *= 2
+        places = np.sort(np.concatenate(found))  # pieces are numbered by length
+        return places >> 32, places & 0xFFFFFFFF
 
     def relax(self, code: np.ndarray, unit_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(borders: truth per position, edge places, edge pieces) after all joins.
@@ -106,8 +148,7 @@ class PieceModel:
         """
         at, piece = self.edges(code)
         border = np.ones(len(code) + 1, dtype=bool)
-        several = self.length[piece] > 1
-        start, kind = at[several], piece[several]
+        start, kind = at, piece
         end = start + self.length[kind]
         unit = np.searchsorted(unit_at, start, side="right") - 1
         unit_end = np.append(unit_at[1:], len(code)) - 1
@@ -116,23 +157,25 @@ class PieceModel:
         for u in np.unique(unit[long_]):
             mine = edges[np.searchsorted(unit[edges], u) : np.searchsorted(unit[edges], u, side="right")]
             self._join_one(border, int(unit_at[u]), int(unit_end[u]), start[mine].tolist(), end[mine].tolist(), self.rank[kind[mine]].tolist())
-        start, end, unit, order = start[~long_], end[~long_], unit[~long_], self.rank[kind[~long_]]
-        order = order * (len(code) + 1) + start
-        while len(start):
-            inner = np.cumsum(border)
-            inside = inner[end - 1] - inner[start]
-            live = border[start] & border[end] & (inside > 0)
-            start, end, unit, order, inside = start[live], end[live], unit[live], order[live], inside[live]
-            now = np.flatnonzero(inside == 1)
-            if not len(now):
-                break
+        short = np.flatnonzero(~long_)
+        start, end, unit = (x[short].astype(np.int32) for x in (start, end, unit))
+        order = self.rank[kind[short]] * (len(code) + 1) + start
+        inside = end - start - 1
+        while len(now := np.flatnonzero(inside == 1)):
             own = unit[now]
             first = np.flatnonzero(np.diff(own, prepend=-1))
             best = np.repeat(np.minimum.reduceat(order[now], first), np.diff(np.append(first, len(own))))
             chosen = now[order[now] == best]
             a, b = start[chosen], end[chosen]
-            for step in range(1, self.width):
+            for step in range(1, int((b - a).max())):
                 border[(a + step)[a + step < b]] = False
+            inner = np.cumsum(border, dtype=np.int32)
+            live = np.flatnonzero(border[start] & border[end])
+            start, end = start[live], end[live]
+            inside = inner[end - 1] - inner[start]
+            some = np.flatnonzero(inside > 0)
+            start, end, inside = start[some], end[some], inside[some]
+            unit, order = unit[live[some]], order[live[some]]
         return border, at, piece
 
     @staticmethod
@@ -168,7 +211,9 @@ class PieceModel:
         """Piece ids of the units, flat, and where each unit's ids begin (with the end at the end)."""
         text = b"\0".join(units).replace(b" ", MARK.encode()) + b"\0"
         code = np.frombuffer(text.decode().encode("utf-32-le"), dtype=np.uint32)
-        lengths = np.array([len(u.decode()) for u in units], dtype=np.int64)
+        raw = np.frombuffer(b"".join(units), np.uint8)
+        ends = np.cumsum([len(u) for u in units])
+        lengths = np.diff(np.cumsum((raw & 0xC0) != 0x80)[ends - 1], prepend=0)
         unit_at = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
         border, at, piece = self.relax(code, unit_at)
         separator = unit_at + lengths
@@ -181,18 +226,25 @@ class PieceModel:
         wanted = symbol * (self.width + 1) + size
         place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
         known = (keys[place] == wanted) if len(keys) else np.zeros(len(symbol), bool)
-        ids = np.full(len(symbol), -1, dtype=np.int64)
+        ids = np.where(size == 1, self.single[self.letter[code[symbol]]], -1)
         ids[known] = self.id[piece[place[known]]]
+        known |= ids >= 0
         owner = np.searchsorted(unit_at, symbol, side="right") - 1
         if not known.all():
-            raw = {int(s): chr(int(code[s])).encode() for s in symbol[~known]}
-            repeat = np.array([len(raw[int(s)]) if not k else 1 for s, k in zip(symbol, known)])
+            rest = [chr(c).encode() for c in code[symbol[~known]].tolist()]
+            repeat = np.ones(len(symbol), dtype=np.int64)
+            repeat[~known] = [len(c) for c in rest]
             flat = np.repeat(ids, repeat)
-            flat[flat < 0] = self.byte_id[np.frombuffer(b"".join(raw[int(s)] for s in symbol[~known]), np.uint8)]
+            flat[flat < 0] = self.byte_id[np.frombuffer(b"".join(rest), np.uint8)]
             ids, owner = flat, np.repeat(owner, repeat)
         return ids, np.searchsorted(owner, np.arange(len(units) + 1))
 
 
+def _after(values: np.ndarray, step: int) -> np.ndarray:
+    """Each position's value `step` further on, 0 beyond the end."""
+    return np.concatenate([values[step:], np.zeros(min(step, len(values)), values.dtype)])
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Concatenated aranges."""
     total = np.concatenate([[0], np.cumsum(sizes)])
@@ -229,7 +281,8 @@ def encode(model: PieceModel, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.
         new = list(range(len(keys)))
     if new:
         data = buf.tobytes()
-        model.remember([keys[i] for i in new], [data[starts[s] : ends[s]] for s in sample[new].tolist()])
+        places = zip(starts[sample[new]].tolist(), ends[sample[new]].tolist())
+        model.remember([keys[i] for i in new], [data[a:b] for a, b in places])
     unit = np.array([model.known[key] for key in keys], dtype=np.int64)[which]
     sizes = np.diff(model.known_at)[unit]
     places = np.concatenate([[0], np.cumsum(sizes)])

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -333,6 +334,28 @@ def test_pieces_of_odd_strings():
     assert got == library.encode(texts)
 
 
+def test_piece_index_of_few_and_many_letters():
+    """Every occurrence of a piece of several characters, out of 64-bit words: no fixed-width text per position."""
+    from sentencepiece import SentencePieceProcessor
+
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    library, model = SentencePieceProcessor(model_file=path), pieces.PieceModel(path)
+    longest = sorted((library.id_to_piece(i) for i in range(library.get_piece_size()) if not library.is_control(i) and not library.is_byte(i) and not library.is_unknown(i)), key=len)
+    rng = random.Random(6)
+    for text in (longest[-300:], [p for p in longest if len(p) > 1][::40] + longest[:700]):  # words of eight letters, of four
+        some = "".join(rng.choice(text) + rng.choice(["", "\0", "\U0010fffe"]) for _ in range(600)) + text[0]
+        vocabulary = set(longest)
+        want = [(i, some[i : i + n]) for i in range(len(some)) for n in range(2, model.width + 1) if i + n <= len(some) and some[i : i + n] in vocabulary]
+        at, piece = model.edges(np.array([ord(c) for c in some], dtype=np.uint32))
+        assert [(i, library.id_to_piece(k)) for i, k in zip(at.tolist(), model.id[piece].tolist())] == want
+    code = np.array([ord(c) for c in rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=100_000)], dtype=np.uint32)
+    tracemalloc.start()
+    model.edges(code)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 * len(code)
+
+
 # 8
 
 
