@@ -82,13 +82,23 @@ class PieceModel:
         self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, dtype=np.uint64)  # sorted, with each unit's number
+        self.known_unit = np.zeros(0, dtype=np.int32)
         self.known_ids = np.zeros(0, dtype=np.int32)
         self.known_at = np.zeros(1, dtype=np.int64)
 
-    def remember(self, keys: list[int], units: list[bytes]) -> None:
+    def is_known(self, keys: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.known, keys)
+        found = place < len(self.known)
+        found[found] = self.known[place[found]] == keys[found]
+        return found
+
+    def remember(self, keys: np.ndarray, units: list[bytes]) -> None:
+        """Add sorted new keys of units."""
         ids, at = self.unit_ids(units)
-        self.known.update(zip(keys, range(len(self.known_at) - 1, len(self.known_at) - 1 + len(keys))))
+        place = np.searchsorted(self.known, keys)
+        self.known = np.insert(self.known, place, keys)
+        self.known_unit = np.insert(self.known_unit, place, np.arange(len(self.known_at) - 1, len(self.known_at) - 1 + len(keys)))
         self.known_at = np.concatenate([self.known_at, len(self.known_ids) + at[1:]])
         self.known_ids = np.concatenate([self.known_ids, ids.astype(np.int32)])
 
@@ -274,16 +284,15 @@ def encode(model: PieceModel, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.
     starts = np.flatnonzero(first)
     ends = np.append(starts[1:], len(buf))
     keys, sample, which = np.unique(W.byte_hash(buf, starts, ends), return_index=True, return_inverse=True)
-    keys = keys.tolist()
-    new = [i for i, key in enumerate(keys) if key not in model.known]
+    new = np.flatnonzero(~model.is_known(keys))
     if len(model.known) + len(new) > KNOWN_UNITS:
         model.forget()
-        new = list(range(len(keys)))
-    if new:
+        new = np.arange(len(keys))
+    if len(new):
         data = buf.tobytes()
         places = zip(starts[sample[new]].tolist(), ends[sample[new]].tolist())
-        model.remember([keys[i] for i in new], [data[a:b] for a, b in places])
-    unit = np.array([model.known[key] for key in keys], dtype=np.int64)[which]
+        model.remember(keys[new], [data[a:b] for a, b in places])
+    unit = model.known_unit[np.searchsorted(model.known, keys)][which]
     sizes = np.diff(model.known_at)[unit]
     places = np.concatenate([[0], np.cumsum(sizes)])
     return model.known_ids[_ranges(model.known_at[:-1][unit], sizes)], places[np.searchsorted(starts, offsets)]
